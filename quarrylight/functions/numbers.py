@@ -5,56 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed patterns: the number grammars the two request parsers accept.
-DOT_NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
-PREFIX_NUMBER = r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)"
-PREFIX_SPECIAL = r"(?i)^\s*([+-]?(infinity|inf|nan))"
-CSV_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# Fixed patterns: the number grammars the request parsers and the result cleaning accept.
+_WORD = r"[+-]?([iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])"
+DOT_NUMBER = rf"^({_WORD}|[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?)$"
+PREFIX_NUMBER = rf"^\s*({_WORD}|[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)"
+CSV_NUMBER = rf"^({_WORD}|[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)$"
 
 FLOAT_MAX = 3.4028234663852886e38
 
 
-def _special(text: Column) -> Column:
-    """inf / infinity / nan in any case, with a sign, as a double; null for other text."""
-    word = F.lower(F.trim(text))
-    bare = F.regexp_replace(word, r"^[+-]", "")
-    return (
-        F.when(bare == "nan", F.lit(float("nan")))
-        .when(bare.isin("inf", "infinity") & word.startswith("-"), F.lit(float("-inf")))
-        .when(bare.isin("inf", "infinity"), F.lit(float("inf")))
-    )
+def _to_double(text: Column) -> Column:
+    """Checked number text as a double: digit separators and the sign of nan go first."""
+    return F.regexp_replace(text, "_|^[+-](?=[nN])", "").try_cast("double")
 
 
 def parse_dot(text: Column) -> Column:
     """Decimal comma becomes a point and the whole text must be a number, else 0.0."""
-    dotted = F.regexp_replace(F.replace(text, F.lit(","), F.lit(".")), r"^\s+|\s+$", "")
-    number = F.when(
-        dotted.rlike(DOT_NUMBER), F.replace(dotted, F.lit("_"), F.lit("")).try_cast("double")
-    )
-    return F.coalesce(_special(dotted), number, F.lit(0.0))
+    dotted = F.trim(F.translate(text, ",\t\n\r", ".   "))
+    return F.coalesce(F.when(dotted.rlike(DOT_NUMBER), _to_double(dotted)), F.lit(0.0))
 
 
 def parse_prefix(text: Column) -> Column:
     """Commas and blanks are removed and the longest leading number counts, as a float, else 0."""
-    packed = F.replace(F.replace(text, F.lit(","), F.lit("")), F.lit(" "), F.lit(""))
-    word = F.regexp_extract(packed, PREFIX_SPECIAL, 1)
-    number = F.nullif(F.regexp_extract(packed, PREFIX_NUMBER, 1), F.lit("")).try_cast("double")
-    in_range = F.when(F.abs(number) <= F.lit(FLOAT_MAX), number)
-    return F.coalesce(_special(word), in_range, F.lit(0.0)).cast("float")
+    leading = F.regexp_extract(F.translate(text, ", ", ""), PREFIX_NUMBER, 1)
+    number = _to_double(leading)
+    in_range = (F.abs(number) <= F.lit(FLOAT_MAX)) | leading.rlike("[iInN]")
+    return F.when(in_range, number).otherwise(F.lit(0.0)).cast("float")
 
 
 def to_numeric(value: Column) -> Column:
     """Number or null: text that is no number becomes null."""
     text = F.trim(value.cast("string"))
-    number = F.when(text.rlike(CSV_NUMBER), text.try_cast("double"))
-    special = _special(text)
-    return F.coalesce(number, F.when(~F.isnan(special), special))
+    number = F.when(text.rlike(CSV_NUMBER), _to_double(text))
+    return F.nullif(number, F.lit(float("nan")))
 
 
 def looks_numeric(value: Column) -> Column:
     """True if a numeric parse of the value would not fail; nulls and empty text are fine."""
     text = F.trim(value.cast("string"))
-    return text.isNull() | (text == "") | text.rlike(CSV_NUMBER) | _special(text).isNotNull()
+    return F.coalesce((text == "") | text.rlike(CSV_NUMBER), F.lit(True))
 
 
 def guarded_ratio(numerator: Column, denominator: Column) -> Column:
@@ -115,28 +104,30 @@ def fixed_text(value: Column, decimals: int) -> Column:
     return F.format_string(f"%.{decimals}f", value.cast("double"))
 
 
-def shortest_text(value: Column) -> Column:
-    """Shortest decimal text of a double: plain digits from 1e-4 up to 1e16, else d.de+XX."""
-    value = value.cast("double")
+def _shortest(value: Column) -> Column:
     java = value.cast("string")
-    magnitude = F.abs(value)
+    size = F.abs(value)
     plain = F.regexp_replace(java.try_cast("decimal(38,20)").cast("string"), r"0+$", "")
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    mantissa = F.regexp_replace(F.regexp_extract(java, r"^(-?[\d.]+)E", 1), r"\.0$", "")
     power = F.regexp_extract(java, r"E(-?\d+)$", 1).try_cast("int")
     scientific = F.concat(
-        mantissa, F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
+        F.regexp_replace(F.regexp_extract(java, r"^(-?[\d.]+)E", 1), r"\.0$", ""),
+        F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
         F.format_string("%02d", F.abs(power)),
     )
     return (
-        F.when(F.isnan(value), F.lit("nan"))
-        .when(magnitude == float("inf"), F.when(value > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-        .when((magnitude == 0) | ((magnitude >= 1e-3) & (magnitude < 1e7)), java)
-        .when((magnitude >= 1e-4) & (magnitude < 1e16), plain)
+        F.when(F.isnan(value) | (size == float("inf")), F.lower(F.replace(java, F.lit("inity"), F.lit(""))))
+        .when(~java.contains("E"), java)
+        .when((size >= 1e-4) & (size < 1e16), F.regexp_replace(plain, r"\.$", ".0"))
         .otherwise(scientific)
     )
 
 
+def shortest_text(value: Column) -> Column:
+    """Shortest decimal text of a double: plain digits from 1e-4 up to 1e16, else d.de+XX."""
+    # The lambda binds the value once, which keeps the many uses out of the generated code.
+    return F.get(F.transform(F.array(value.cast("double")), _shortest), F.lit(0))
+
+
 def null_if_nan(name: str, dtype: str) -> Column:
     """Treat NaN in floating columns as missing."""
     column = F.col(f"`{name}`")

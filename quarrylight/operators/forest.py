@@ -46,7 +46,7 @@ def fit_classifier(
     """
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="_label", weightCol="weight", numTrees=trees, maxDepth=depth,
-        seed=SEED, maxBins=64, maxMemoryInMB=512, cacheNodeIds=True,
+        seed=SEED, maxMemoryInMB=1024,
     )
     labelled = with_class_weight(train, target).withColumn("_label", F.col(target).cast("double"))
     return Pipeline(stages=[*preprocessing_stages(params), forest]).fit(labelled)
@@ -57,7 +57,7 @@ def fit_regressor(
 ) -> PipelineModel:
     forest = RandomForestRegressor(
         featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, seed=SEED,
-        featureSubsetStrategy="all", maxBins=64, maxMemoryInMB=512, cacheNodeIds=True,
+        featureSubsetStrategy="all", maxMemoryInMB=1024,
     )
     return Pipeline(stages=[*preprocessing_stages(params), forest]).fit(train)
 
@@ -73,8 +73,7 @@ def score(
     """Prediction records: probability of class 1, strict 0.5 threshold, class name, constants."""
     classes = classes or CLASSES
     scored = model.transform(df)
-    width = len(scored.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})) or None
-    used = scored.schema["features"].metadata.get("ml_attr", {}).get("num_attrs", width)
+    used = scored.schema["features"].metadata["ml_attr"]["num_attrs"]
     probability = vector_to_array("probability")[1]
     out = scored.withColumn("_p", probability)
     keep = df.columns if keep is None else keep

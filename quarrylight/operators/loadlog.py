@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions.numbers import error_percent, error_percent_truncated, guarded_ratio
+from quarrylight.functions.times import seconds_between
 from quarrylight.operators.ordering import ROWS_PER_BUCKET, running_totals
 from quarrylight.operators.percentiles import exact_percentiles
 from quarrylight.session import null_safe_join, small_side
@@ -27,11 +28,10 @@ def load_summary(
 ) -> DataFrame:
     """Per load level: requests, rate, mean and exact percentile latency, error percentages."""
     percentiles = percentiles or LATENCY_PERCENTILES
-    seconds = (F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / F.lit(1e6)
     totals = df.groupBy(*level).agg(
         F.count(F.lit(1)).alias("total_requests"),
         F.count_if(success).alias("success_requests"),
-        seconds.alias("seconds"),
+        seconds_between(F.min(ts), F.max(ts)).alias("seconds"),
         F.avg(latency).alias("latency_avg"),
     )
     ranks = exact_percentiles(df, [latency], percentiles, by=level)
@@ -53,9 +53,13 @@ def request_sequence(df: DataFrame, order: list[str], output: str = "request_no"
 
 
 def running_health(df: DataFrame, order: list[str], duration: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """After each request: how many were served and their mean duration so far."""
+    """After each request: how many were served and their mean duration so far.
+
+    A decimal duration gives sums that do not depend on the order of addition.
+    """
     out = running_totals(df, order, "requests_processed", {"_total": duration}, rows_per_bucket)
-    return out.withColumn("avg_time", F.col("_total") / F.col("requests_processed")).drop("_total")
+    mean = F.col("_total").cast("double") / F.col("requests_processed")
+    return out.withColumn("avg_time", mean).drop("_total")
 
 
 def health(df: DataFrame, duration: str, feature_count: int, model: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quarrylight.functions.times import epoch_micros
 from quarrylight.session import null_safe_join, small_side
 
 ROWS_PER_BUCKET = 1_000_000
@@ -21,9 +22,10 @@ MAX_BUCKETS = 10_000
 
 
 def _order_number(df: DataFrame, name: str) -> Column:
-    column = F.col(f"`{name}`")
-    kind = dict(df.dtypes)[name]
-    return (F.unix_micros(column.cast("timestamp")) if kind.startswith(("timestamp", "date")) else column).cast("double")
+    column, dtype = F.col(f"`{name}`"), dict(df.dtypes)[name]
+    if dtype == "date":
+        column, dtype = column.cast("timestamp_ntz"), "timestamp_ntz"
+    return (epoch_micros(column, dtype) if dtype.startswith("timestamp") else column).cast("double")
 
 
 def _quantile_cuts(df: DataFrame, column: str, buckets: int) -> list[float]:

@@ -206,10 +206,11 @@ def preprocessing_stages(params: Preprocessing, output: str = "features", scale:
         texts = [f"_cat_{i}" for i in range(len(params.categorical))]
         codes = [f"_code_{i}" for i in range(len(params.categorical))]
         slots = [f"_hot_{i}" for i in range(len(params.categorical))]
-        labels = [params.categories.get(c, []) for c in params.categorical]
-        stages.append(
-            StringIndexerModel.from_arrays_of_labels(labels, inputCols=texts, outputCols=codes, handleInvalid="keep")
-        )
+        # One indexer per column: label lists of different lengths must not share an array.
+        stages += [
+            StringIndexerModel.from_labels(params.categories.get(c, []), inputCol=t, outputCol=o, handleInvalid="keep")
+            for c, t, o in zip(params.categorical, texts, codes)
+        ]
         stages.append(OneHotEncoder(inputCols=codes, outputCols=slots, dropLast=True))
         parts += slots
     stages.append(VectorAssembler(inputCols=parts, outputCol=output))

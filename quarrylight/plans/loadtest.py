@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.functions.times import epoch_seconds
 from quarrylight.operators import compare, loadlog, metrics, resources
 from quarrylight.session import new_folder
 from quarrylight.sources import results
@@ -41,18 +42,19 @@ def load_summary(spark: SparkSession, sf: str) -> DataFrame:
 def request_sequence(spark: SparkSession, sf: str) -> DataFrame:
     events = read_table(spark, sf, "events").select("event_id", "ts")
     out = loadlog.request_sequence(events, ["ts", "event_id"])
+    ts_type = dict(events.dtypes)["ts"]
     return out.select(
         "event_id", F.col("request_no").cast("bigint").alias("request_no"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), F.unix_timestamp("ts").alias("epoch"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), F.floor(epoch_seconds(F.col("ts"), ts_type)).cast("bigint").alias("epoch"),
     )
 
 
 def running_health(spark: SparkSession, sf: str) -> DataFrame:
-    events = read_table(spark, sf, "events").select("event_id", "ts", "value")
+    events = read_table(spark, sf, "events").select("event_id", "ts", F.col("value").cast("decimal(18,2)").alias("value"))
     out = loadlog.running_health(events, ["ts", "event_id"], "value")
     return out.select(
         "event_id", F.col("requests_processed").cast("bigint").alias("requests_processed"),
-        F.round("avg_time", 4).alias("avg_time"),
+        "avg_time",
     )
 
 
@@ -85,13 +87,13 @@ def _bench(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_type").alias("service"), "concurrency", "user_id"
     ).agg(
         F.count(F.lit(1)).cast("double").alias("rps"),
-        F.round(F.avg("value"), 3).alias("latency_avg_ms"),
+        (F.sum(F.col("value").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("latency_avg_ms"),
         F.min("value").alias("latency_p50_ms"),
         F.max("value").alias("latency_p95_ms"),
         F.max("value").alias("latency_p99_ms"),
-        F.round(F.avg("k"), 3).alias("cpu_percent"),
+        F.avg("k").alias("cpu_percent"),
         F.max("k").alias("mem_mb"),
-        F.round(F.avg((F.col("k") >= 95).cast("int")) * 100, 3).alias("error_rate"),
+        (F.count_if(F.col("k") >= 95) * 100 / F.count(F.lit(1))).alias("error_rate"),
     ).withColumn("rps", F.col("rps") * 100 + F.col("user_id") / 1000)
 
 
@@ -137,14 +139,16 @@ def load_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _counters(spark: SparkSession, sf: str) -> DataFrame:
-    return _log(spark, sf).select(
+    log = _log(spark, sf)
+    minutes = F.floor(epoch_seconds(F.col("ts"), dict(log.dtypes)["ts"]) / 60).cast("bigint")
+    return log.select(
         F.col("event_type").alias("run"),
         "ts",
         "event_id",
         (F.col("event_id") * 2 + F.col("user_id")).alias("user"),
         F.lit(0).cast("bigint").alias("nice"),
         (F.col("event_id") + F.col("k")).alias("system"),
-        F.call_function("div", F.unix_timestamp("ts"), F.lit(60).cast("bigint")).alias("idle"),
+        minutes.alias("idle"),
         (F.col("user_id") % 3).alias("iowait"),
         F.col("k").cast("bigint").alias("irq"),
         F.lit(1).cast("bigint").alias("softirq"),
@@ -222,19 +226,20 @@ def benchmark_append(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def newest_file(spark: SparkSession, sf: str) -> DataFrame:
-    """Result files of each service in two generations; the newest is found and cleaned."""
+    """Two generations of result files per service; the newer ones are found, read and cleaned."""
     folder = new_folder(spark, "generations")
+    header = results.BENCH_V2.split(",")
     bench = _bench(spark, sf)
-    for generation in ("a", "b"):
-        rows = bench.where("service IN ('view', 'click')") if generation == "b" else bench.limit(0)
-        for service in ("view", "click"):
-            header = [c for c in results.BENCH_V2.split(",")]
-            table = rows.where(F.col("service") == service).select(
-                *[(F.col(c) if c in bench.columns else F.lit(None).cast("string")).cast("string").alias(c) for c in header]
-            )
-            table.coalesce(1).write.option("header", True).csv(f"{folder}/{service}_{generation}")
-    merged = spark.read.option("header", True).schema(results.text_schema(results.BENCH_V2)).csv(f"{folder}/*_b")
-    return compare.clean_benchmark(merged).groupBy().agg(F.count(F.lit(1)).alias("rows"), F.round(F.max("rps"), 3).alias("max_rps"))
+    absent = {c: F.lit(None).cast("string") for c in header if c not in bench.columns}
+    rows = bench.withColumns(absent).select("service", *[F.col(c).cast("string").alias(c) for c in header])
+    for generation, factor in (("first", 2), ("second", 1)):
+        table = rows.withColumn("rps", (F.col("rps").cast("double") * factor).cast("string"))
+        table.write.partitionBy("service").option("header", True).csv(f"{folder}/{generation}")
+    newest = results.read_newest_results(spark, folder, r"^(.*/service=([a-z]+))/")
+    cleaned = compare.clean_benchmark(newest, by=["service"])
+    return cleaned.groupBy("service").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.max("rps"), 6).alias("max_rps")
+    )
 
 
 def binary_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,9 +278,9 @@ QUERIES = {
 _LOG = """g AS (SELECT event_id, event_type, user_id % 7 AS concurrency, user_id, ts, value,
     CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)"""
 _BENCH = f"""{_LOG}, b AS (SELECT event_type AS service, concurrency, user_id,
-    count(*) * 100.0 + user_id / 1000 AS rps, round(avg(value), 3) AS latency_avg_ms, min(value) AS latency_p50_ms,
-    max(value) AS latency_p95_ms, max(value) AS latency_p99_ms, round(avg(k), 3) AS cpu_percent, max(k) AS mem_mb,
-    round(avg(CASE WHEN k >= 95 THEN 1.0 ELSE 0.0 END) * 100, 3) AS error_rate
+    count(*) * 100.0 + user_id / 1000 AS rps, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS latency_avg_ms, min(value) AS latency_p50_ms,
+    max(value) AS latency_p95_ms, max(value) AS latency_p99_ms, avg(k) AS cpu_percent, max(k) AS mem_mb,
+    count(*) FILTER (k >= 95) * 100 / count(*) AS error_rate
     FROM g GROUP BY event_type, concurrency, user_id)"""
 _BEST = "o AS (SELECT service, max(rps) AS max_rps, arg_max(concurrency, rps) AS best_concurrency FROM b GROUP BY 1)"
 
@@ -321,7 +326,7 @@ SQL = {
                strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, CAST(floor(epoch(ts)) AS BIGINT) AS epoch FROM events""",
     "running_health": """
         SELECT event_id, row_number() OVER w AS requests_processed,
-               round(sum(CAST(value AS DECIMAL(18,2))) OVER w / row_number() OVER w, 4) AS avg_time
+               CAST(sum(CAST(value AS DECIMAL(18,2))) OVER w AS DOUBLE) / row_number() OVER w AS avg_time
         FROM events WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""",
     "health": """
         SELECT 'ok' AS status, 'forest' AS model, count(*) AS requests_processed,
@@ -377,6 +382,8 @@ SQL = {
         SELECT event_type AS service, CAST(count(*) AS DOUBLE) AS rps, CAST(max(event_id) AS DOUBLE) AS total_requests,
                CAST(0 AS DOUBLE) AS error_rate FROM events GROUP BY 1""",
     "benchmark_append": f"WITH {_BENCH} SELECT service, concurrency, round(max(rps), 3) AS rps FROM b GROUP BY 1, 2",
+    "newest_file": f"""
+        WITH {_BENCH} SELECT service, count(*) AS "rows", round(max(rps), 6) AS max_rps FROM b WHERE concurrency > 0 GROUP BY 1""",
     "binary_report": f"""
         WITH {_report_sql('labels', 'quality', 'toxic')}
         SELECT CAST(class AS VARCHAR) AS class, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM y

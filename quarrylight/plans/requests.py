@@ -173,7 +173,7 @@ SQL = {
         SELECT vec_id, CASE WHEN label IN (0, 1) OR len(embedding) <> 64 THEN 400 ELSE 200 END AS status,
                CASE WHEN label = 1 THEN '{rq.NOT_NUMERIC}' WHEN label = 0 OR len(embedding) <> 64 THEN '{rq.WRONG_WIDTH}' END AS error,
                CASE WHEN label NOT IN (0, 1) AND len(embedding) = 64
-                    THEN round(list_sum(list_transform(embedding, x -> CAST(x AS DOUBLE))), 4) END AS total
+                    THEN round(list_sum(CAST(embedding AS DOUBLE[])), 4) END AS total
         FROM embeddings""",
     "sample_payload": f"SELECT l_quantity, l_tax, l_returnflag FROM lineitem ORDER BY {', '.join(LINE_ORDER)} LIMIT 1",
     "sigmoid_fallback": """

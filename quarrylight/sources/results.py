@@ -9,31 +9,36 @@ from quarrylight.functions.numbers import error_percent, error_percent_truncated
 from quarrylight.schemas import BENCH_V2, SAMPLES_V2, text_schema
 
 
-def newest_files(spark: SparkSession, folder: str, service_pattern: str = r"([a-z]+)_benchmark_[^/]*\.csv$") -> DataFrame:
-    """(service, path, modified): the most recently changed result file of each service.
+# A result file or folder of files, and the service named in it.
+RUN_PATTERN = r"^(.*/([a-z]+)_benchmark_[^/]*)"
 
-    Lists the files without reading them; a header-only file can be the newest one.
+
+def newest_files(spark: SparkSession, folder: str, run_pattern: str = RUN_PATTERN) -> DataFrame:
+    """(service, path, modified): the most recently changed run of each service.
+
+    Only lists the files. A run without rows can be the newest one; it then gives no result rows.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
-    files = files.select(
-        F.regexp_extract("path", service_pattern, 1).alias("service"), "path", F.col("modificationTime").alias("modified")
+    files = spark.read.format("binaryFile").options(pathGlobFilter="*.csv", recursiveFileLookup=True).load(folder)
+    runs = files.select(
+        F.regexp_extract("path", run_pattern, 2).alias("service"),
+        F.regexp_extract("path", run_pattern, 1).alias("path"),
+        F.col("modificationTime").alias("modified"),
     )
-    return files.where("service <> ''").groupBy("service").agg(
+    return runs.where("service <> ''").groupBy("service").agg(
         F.max_by("path", F.struct("modified", "path")).alias("path"), F.max("modified").alias("modified")
     )
 
 
-def read_newest_results(spark: SparkSession, folder: str, header: str = BENCH_V2) -> DataFrame:
-    """Rows of each service's newest file, tagged with the service; empty files give no row."""
-    chosen = newest_files(spark, folder).collect()
-    out = None
-    for row in chosen:
-        table = spark.read.schema(text_schema(header)).option("header", True).csv(row["path"])
-        table = table.withColumn("service", F.lit(row["service"]))
-        out = table if out is None else out.unionByName(table)
-    if out is None:
+def read_newest_results(
+    spark: SparkSession, folder: str, run_pattern: str = RUN_PATTERN, header: str = BENCH_V2
+) -> DataFrame:
+    """Rows of each service's newest run, tagged with the service."""
+    newest = newest_files(spark, folder, run_pattern).select("path").collect()
+    if not newest:
         raise FileNotFoundError(f"no result files in {folder}")
-    return out
+    reader = spark.read.schema(text_schema(header)).options(header=True, recursiveFileLookup=True)
+    rows = reader.csv([run["path"] for run in newest])
+    return rows.withColumn("service", F.regexp_extract(F.col("_metadata.file_path"), run_pattern, 2))
 
 
 def read_samples(spark: SparkSession, path: str, header: str = SAMPLES_V2) -> DataFrame:
