@@ -13,7 +13,7 @@ from quarrylight.functions.numbers import exceeds
 from quarrylight.operators import metrics, sampling
 from quarrylight.operators.preprocess import Preprocessing, fit_preprocessing, preprocessing_stages
 from quarrylight.operators.profile import select_features
-from quarrylight.session import materialize
+from quarrylight.session import materialize, spread
 
 # Forest settings.
 CLASSIFIER_TREES, CLASSIFIER_DEPTH = 50, 15
@@ -105,7 +105,7 @@ def train_and_evaluate(
         numeric, categorical = features
     chosen = df.select(*dict.fromkeys([*keys, *numeric, *categorical, target]))
     sampled = materialize(sampling.stratified_split(sampling.balance(chosen, keys, target, **balancing), keys, target))
-    train, test = sampled.where("split = 'train'"), sampled.where("split = 'test'")
+    train, test = spread(sampled.where("split = 'train'")), sampled.where("split = 'test'")
     params = fit_preprocessing(train, numeric, categorical)
     model = fit_classifier(train, params, target, trees, depth)
     scored = materialize(model.transform(test).select(F.col(target).cast("int").alias("label"), F.col("prediction").cast("int").alias("guess")))
@@ -118,7 +118,7 @@ def train_and_evaluate_value(
     """Random split, regression forest, error metrics on the test part."""
     chosen = df.select(*dict.fromkeys([*keys, *numeric, target]))
     sampled = materialize(sampling.random_split(chosen, keys))
-    train, test = sampled.where("split = 'train'"), sampled.where("split = 'test'")
+    train, test = spread(sampled.where("split = 'train'")), sampled.where("split = 'test'")
     params = fit_preprocessing(train, numeric, [])
     model = fit_regressor(train, params, target, trees, depth)
     report = metrics.regression_metrics(model.transform(test), target, "prediction")

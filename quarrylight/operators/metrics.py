@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions.numbers import guarded_ratio
+from quarrylight.session import materialize
 
 
 def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """(label, prediction, rows): everything later reads this small table, not the data."""
+    """(label, prediction, rows)"""
     return df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
         F.count(F.lit(1)).alias("rows")
     )
@@ -21,7 +22,10 @@ def accuracy(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 
 def class_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Precision, recall, F1 and support per class; an undefined ratio is 0."""
+    """Precision, recall, F1 and support per class; an undefined ratio is 0.
+
+    The data is read once, for the small confusion table.
+    """
     hit = F.when(F.col("label") == F.col("prediction"), F.col("rows")).otherwise(0)
     none = F.lit(0).cast("bigint")
     sides = F.array(
@@ -29,7 +33,7 @@ def class_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
         F.struct(F.col("prediction").alias("class"), none.alias("actual"), F.col("rows").alias("predicted"), none.alias("hits")),
     )
     totals = (
-        confusion(df, label, prediction)
+        materialize(confusion(df, label, prediction))
         .select(F.inline(sides))
         .groupBy("class")
         .agg(*[F.sum(c).alias(c) for c in ("actual", "predicted", "hits")])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarrylight.functions.times import epoch_micros
+from quarrylight.operators.percentiles import SKETCH_ROWS
 from quarrylight.session import null_safe_join, small_side
 
 ROWS_PER_BUCKET = 1_000_000
@@ -28,9 +29,11 @@ def _order_number(df: DataFrame, name: str) -> Column:
     return (epoch_micros(column, dtype) if dtype.startswith("timestamp") else column).cast("double")
 
 
-def _quantile_cuts(df: DataFrame, column: str, buckets: int) -> list[float]:
+def _quantile_cuts(df: DataFrame, column: str, buckets: int, rows: int) -> list[float]:
+    """Cuts into about equal buckets; a sample will do, and keeps the merged sketches small."""
     shares = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(column, shares, min(10 * buckets, 100_000)).alias("q")).first()
+    sample = df if rows <= SKETCH_ROWS else df.sample(SKETCH_ROWS / rows, seed=1)
+    row = sample.agg(F.percentile_approx(column, shares, min(10 * buckets, 100_000)).alias("q")).first()
     return list(row["q"] or [])
 
 
@@ -50,14 +53,14 @@ def order_buckets(df: DataFrame, order: list[str], rows_per_bucket: int = ROWS_P
     if buckets == 1:
         return df.withColumns({"_major": F.lit(0.0), "_minor": F.lit(0.0)})
     first = df.withColumn("_o", _order_number(df, order[0]))
-    cuts = _quantile_cuts(first, "_o", buckets)
+    cuts = _quantile_cuts(first, "_o", buckets, total)
     hot = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
     above = [math.nextafter(value, math.inf) for value in hot]
     out = _bucketize(first, "_o", cuts + above, "_major")
     if hot and len(order) > 1:
         out = out.withColumn("_t", _order_number(df, order[1]))
         ties = out.where(F.col("_o").isin(hot))
-        out = _bucketize(out, "_t", _quantile_cuts(ties, "_t", buckets), "_minor").drop("_t")
+        out = _bucketize(out, "_t", _quantile_cuts(ties, "_t", buckets, total), "_minor").drop("_t")
         out = out.withColumn("_minor", F.when(F.col("_o").isin(hot), F.col("_minor")).otherwise(0.0))
     else:
         out = out.withColumn("_minor", F.lit(0.0))

@@ -1,10 +1,10 @@
 """Exact percentiles without holding a column's values in one task.
 
 The built-in exact percentile keeps every distinct value of a group in memory, which a group with
-a third of a huge table does not survive. Here a sketch first brackets each wanted rank; only the
-values inside the bracket are then counted one by one, everything outside collapses to one count.
-Brackets that still hold many rows are narrowed by further sketches of their inside, so the last
-step sorts a bounded number of rows per group whatever the distribution or the ties.
+a third of a huge table does not survive. Here a sketch of a sample brackets each wanted rank. The
+brackets are checked by counting, moved if they missed, and narrowed by further sketches until
+they hold a bounded number of rows. Only the values inside are then counted one by one; everything
+outside collapses to one count. The result is exact whatever the distribution or the ties.
 """
 
 from __future__ import annotations
@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarrylight.session import materialize, null_safe_join, small_side
+from quarrylight.session import materialize, null_safe_join, small_side, spread
 
 GRID = 1000
+# A sketch reads about this many rows per group, so that merging the tasks' sketches stays small.
+SKETCH_ROWS = 10_000_000
 
 
 def _long_form(df: DataFrame, values: list[str], by: list[str]) -> DataFrame:
@@ -27,12 +29,12 @@ def _long_form(df: DataFrame, values: list[str], by: list[str]) -> DataFrame:
     return long.where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def _ranges(long: DataFrame, group: list[str], probs: list[float]) -> DataFrame:
+def _ranges(long: DataFrame, group: list[str], probs: list[float], settle: int) -> DataFrame:
     """Rows, wanted ranks and, as widest possible brackets, the range of every group."""
     sizes = long.groupBy(*group).agg(
         F.count("v").alias("n"), F.min("v").alias("lowest"), F.max("v").alias("highest")
     )
-    out = [*group, "n"]
+    out = [*group, "n", "lowest", "highest"]
     for i, p in enumerate(probs):
         position = F.lit(p) * (F.col("n") - 1)
         out += [
@@ -40,61 +42,83 @@ def _ranges(long: DataFrame, group: list[str], probs: list[float]) -> DataFrame:
             (position - F.floor(position)).alias(f"part{i}"),
             F.col("lowest").alias(f"lo{i}"),
             F.col("highest").alias(f"hi{i}"),
-            F.col("n").alias(f"inside{i}"),
+            (F.col("n") <= settle).alias(f"ok{i}"),
         ]
     return sizes.select(*out)
 
 
-def _sketch(long: DataFrame, ranges: DataFrame, group: list[str], probs: list[float], accuracy: int, settle: int) -> DataFrame:
-    """Brackets from one quantile sketch per group; small groups keep their range."""
-    margin = 3.0 / accuracy
+def _sampled(joined: DataFrame, rows: Column, sketch_rows: int, seed: int) -> DataFrame:
+    return joined.where(F.rand(seed) * rows < sketch_rows)
+
+
+def _margin(accuracy: int, sketch_rows: int) -> float:
+    """Share of the rows by which a sketched rank may be off, with six deviations for the sample."""
+    return 3.0 / accuracy + 3.0 / math.sqrt(sketch_rows)
+
+
+def _sketch(long: DataFrame, state: DataFrame, group: list[str], probs: list[float], accuracy: int, sketch_rows: int) -> DataFrame:
+    """First brackets of the groups that are not settled."""
+    margin = _margin(accuracy, sketch_rows)
     wanted = [q for p in probs for q in (max(0.0, p - margin), min(1.0, p + margin))]
-    sketched = long.groupBy(*group).agg(F.percentile_approx("v", wanted, accuracy).alias("q"))
-    large = F.col("n") > settle
+    open_groups = state.where(~F.col("ok0")).select(*group, "n")
+    sample = _sampled(null_safe_join(long, small_side(open_groups), group), F.col("n"), sketch_rows, 1)
+    sketched = sample.groupBy(*group).agg(F.percentile_approx("v", wanted, accuracy).alias("q"))
     changes = {}
     for i in range(len(probs)):
-        changes[f"lo{i}"] = F.when(large, F.col("q")[2 * i]).otherwise(F.col(f"lo{i}"))
-        changes[f"hi{i}"] = F.when(large, F.col("q")[2 * i + 1]).otherwise(F.col(f"hi{i}"))
-        share = F.ceil(F.col("n") * (8.0 / accuracy))
-        changes[f"inside{i}"] = F.when(large, share).otherwise(F.col(f"inside{i}"))
-    return null_safe_join(ranges, sketched, group).withColumns(changes).select(ranges.columns)
+        changes[f"lo{i}"] = F.coalesce(F.col("q")[2 * i], F.col(f"lo{i}"))
+        changes[f"hi{i}"] = F.coalesce(F.col("q")[2 * i + 1], F.col(f"hi{i}"))
+    return null_safe_join(state, sketched, group, "left").withColumns(changes).select(state.columns)
 
 
-def _narrow(long: DataFrame, brackets: DataFrame, group: list[str], count: int, accuracy: int) -> DataFrame:
-    """One more sketch over the open inside of every bracket."""
+def _narrow(
+    long: DataFrame, state: DataFrame, group: list[str], count: int, accuracy: int, settle: int, sketch_rows: int, seed: int
+) -> DataFrame:
+    """Count around every open bracket; settle, move or narrow it."""
     grid = [g / GRID for g in range(GRID + 1)]
-    cells = 2 + math.ceil(GRID / accuracy)
-    joined = null_safe_join(long, brackets, group)
+    slack = 2 + math.ceil(GRID * _margin(accuracy, sketch_rows))
+    settled = [F.col(f"ok{i}") for i in range(count)]
+    unsettled = state.where(~F.greatest(*settled, F.lit(False)) | ~F.least(*settled, F.lit(True)))
+    joined = null_safe_join(long, small_side(unsettled), group).withColumn("luck", F.rand(seed))
     aggs = []
     for i in range(count):
-        inside = (F.col("v") > F.col(f"lo{i}")) & (F.col("v") < F.col(f"hi{i}"))
+        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
+        inside = (F.col("v") > lo) & (F.col("v") < hi)
+        drawn = inside & (F.col("luck") * F.col("n") < sketch_rows)
         aggs += [
-            F.count_if(F.col("v") <= F.col(f"lo{i}")).alias(f"upto{i}"),
+            F.count_if(F.col("v") < lo).alias(f"below{i}"),
+            F.count_if(F.col("v") <= lo).alias(f"upto{i}"),
             F.count_if(inside).alias(f"open{i}"),
-            F.percentile_approx(F.when(inside, F.col("v")), grid, accuracy).alias(f"grid{i}"),
+            F.count_if(F.col("v") <= hi).alias(f"end{i}"),
+            F.percentile_approx(F.when(drawn, F.col("v")), grid, accuracy).alias(f"grid{i}"),
         ]
-    measured = null_safe_join(brackets, joined.groupBy(*group).agg(*aggs), group)
+    measured = null_safe_join(state, joined.groupBy(*group).agg(*aggs), group, "left")
     changes = {}
     for i in range(count):
-        rank, lo, hi = F.col(f"k{i}"), F.col(f"lo{i}"), F.col(f"hi{i}")
+        done, lo, hi = F.col(f"ok{i}"), F.col(f"lo{i}"), F.col(f"hi{i}")
+        first, last = F.col(f"k{i}"), F.least(F.col(f"k{i}") + 1, F.col("n") - 1)
         upto, width, values = F.col(f"upto{i}"), F.col(f"open{i}"), F.col(f"grid{i}")
-        share = F.lit(float(GRID)) / F.greatest(width, F.lit(1))
-        left = F.floor((rank - upto) * share) - cells
-        right = F.ceil((rank + 2 - upto) * share) + cells
+        early, late = first < F.col(f"below{i}"), last >= F.col(f"end{i}")
+        cells = F.lit(float(GRID)) / F.greatest(width, F.lit(1))
+        left = F.floor((first - upto) * cells) - slack
+        right = F.ceil((last + 1 - upto) * cells) + slack
         changes[f"lo{i}"] = (
-            F.when(rank < upto, lo)
-            .when(rank >= upto + width, hi)
-            .when(left < 0, lo)
-            .otherwise(F.get(values, left.cast("int")))
+            F.when(done, lo)
+            .when(early, F.col("lowest"))
+            .when(late & (first >= F.col(f"end{i}")), hi)
+            .when(late | (width <= settle) | (first < upto), lo)
+            .when(first >= upto + width, hi)
+            .otherwise(F.when(left >= 0, F.coalesce(F.get(values, left.cast("int")), lo)).otherwise(lo))
         )
         changes[f"hi{i}"] = (
-            F.when(rank + 1 < upto, lo)
-            .when(rank + 1 >= upto + width, hi)
-            .when(right > GRID, hi)
-            .otherwise(F.get(values, right.cast("int")))
+            F.when(done, hi)
+            .when(early & (last < F.col(f"below{i}")), lo)
+            .when(late, F.col("highest"))
+            .when(early | (width <= settle) | (last >= upto + width), hi)
+            .when(last < upto, lo)
+            .otherwise(F.when(right <= GRID, F.coalesce(F.get(values, right.cast("int")), hi)).otherwise(hi))
         )
-        changes[f"inside{i}"] = F.ceil(width * ((4.0 * cells + 4) / GRID))
-    return measured.withColumns(changes).select(brackets.columns)
+        changes[f"ok{i}"] = done | (~early & ~late & (width <= settle))
+    return measured.withColumns(changes).select(state.columns)
 
 
 def _cells(joined: DataFrame, group: list[str], count: int) -> DataFrame:
@@ -119,32 +143,34 @@ def exact_percentiles(
     by: list[str] | None = None,
     accuracy: int = 10_000,
     settle: int = 1_000_000,
+    sketch_rows: int = SKETCH_ROWS,
 ) -> DataFrame:
     """Exact, linearly interpolated percentiles of numeric columns, nulls and NaN skipped.
 
     Returns one row per group and column: (*by, feature, n, percentiles array in the order of
-    probs). `settle` is the number of rows a bracket may hold before it is narrowed again.
+    probs). `settle` is the number of rows a bracket may hold in the end; groups up to that size
+    take one counting pass only.
     """
-    if settle < accuracy:
-        raise ValueError("settle must be at least accuracy, or the first bracket may miss a rank")
     by = list(by or [])
     group = [*by, "feature"]
     order = sorted(range(len(probs)), key=lambda i: probs[i])
     sorted_probs = [probs[i] for i in order]
     count = len(probs)
 
-    long = _long_form(df, values, by)
-    brackets = materialize(_ranges(long, group, sorted_probs))
-    widest = F.max(F.greatest(*[F.col(f"inside{i}") for i in range(count)], F.lit(0)))
+    long = _long_form(spread(df.select(*[f"`{c}`" for c in dict.fromkeys([*by, *values])])), values, by)
+    brackets = materialize(_ranges(long, group, sorted_probs, settle))
+    all_settled = F.min(F.least(*[F.col(f"ok{i}") for i in range(count)], F.lit(True)))
 
-    def too_wide() -> bool:
-        return (brackets.agg(widest).first()[0] or 0) > settle
+    def settled() -> bool:
+        return brackets.agg(all_settled).first()[0] is not False
 
-    if too_wide():
-        brackets = materialize(_sketch(long, small_side(brackets, True), group, sorted_probs, accuracy, settle))
-    # Each round divides the inside by about 60 or more, so a trillion rows take two rounds.
-    while too_wide():
-        brackets = materialize(_narrow(long, small_side(brackets, True), group, count, accuracy))
+    if not settled():
+        brackets = materialize(_sketch(long, brackets, group, sorted_probs, accuracy, sketch_rows))
+    # A round divides the rows inside by 100 or so: a trillion rows take three, the last one a check.
+    seed = 2
+    while not settled():
+        brackets = materialize(_narrow(long, brackets, group, count, accuracy, settle, sketch_rows, seed))
+        seed += 1
 
     cells = _cells(null_safe_join(long, small_side(brackets, True), group), group, count)
     running = F.sum("cnt").over(W.partitionBy(*group).orderBy("top").rowsBetween(W.unboundedPreceding, 0))

@@ -55,6 +55,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for an input of fewer file splits than cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_side(df: DataFrame, materialized: bool = False) -> DataFrame:
     """Materialise a lookup table and hint a broadcast only if its measured size allows it.
 

@@ -66,23 +66,23 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
 
 
-def report_field(text: Column, marker: str, place: int) -> Column:
+def report_field(lines: Column, marker: str, place: int) -> Column:
     """A blank-separated field of the first line holding the marker; null if there is none."""
-    line = F.regexp_extract(text, rf"(?m)^(.*{marker}.*)$", 1)
-    fields = F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
-    return F.nullif(F.get(fields, F.lit(place)), F.lit(""))
+    line = F.get(F.filter(lines, lambda text: text.contains(marker)), F.lit(0))
+    return F.get(F.split(F.trim(F.translate(line, "\t\r", "  ")), " +"), F.lit(place))
 
 
 def parse_reports(df: DataFrame, value: str = "value") -> DataFrame:
     """Figures of a load tool's text report as columns, with the error percentages they imply."""
-    columns = {}
+    columns: dict[str, Column] = {}
+    split = df.withColumn("_lines", F.split(value, "\n"))
     for name, (marker, place, decimals) in REPORT_FIELDS.items():
-        found = report_field(F.col(value), marker, place)
+        found = report_field(F.col("_lines"), marker, place)
         if decimals is None:
             columns[name] = F.replace(found, F.lit(","), F.lit("")).try_cast("double")
         else:
             columns[name] = leading_number(F.coalesce(found, F.lit("")), decimals)
-    out = df.withColumns(columns)
+    out = split.withColumns(columns).drop("_lines")
     total, good = F.col("total_requests"), F.col("success_requests")
     return out.withColumns(
         {"error_rate": error_percent(good, total), "error_rate_cut": error_percent_truncated(good, total)}
