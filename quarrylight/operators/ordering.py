@@ -31,7 +31,7 @@ def _order_number(df: DataFrame, name: str) -> Column:
 
 def _quantile_cuts(df: DataFrame, column: str, buckets: int, rows: int) -> list[float]:
     """Cuts into about equal buckets; a sample will do, and keeps the merged sketches small."""
-    shares = [i / buckets for i in range(1, buckets)]
+    shares = F.expr("array(" + ", ".join(f"{i / buckets!r}D" for i in range(1, buckets)) + ")")
     sample = df if rows <= SKETCH_ROWS else df.sample(SKETCH_ROWS / rows, seed=1)
     row = sample.agg(F.percentile_approx(column, shares, min(10 * buckets, 100_000)).alias("q")).first()
     return list(row["q"] or [])

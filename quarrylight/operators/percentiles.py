@@ -74,7 +74,8 @@ def _narrow(
     long: DataFrame, state: DataFrame, group: list[str], count: int, accuracy: int, settle: int, sketch_rows: int, seed: int
 ) -> DataFrame:
     """Count around every open bracket; settle, move or narrow it."""
-    grid = [g / GRID for g in range(GRID + 1)]
+    # One parsed literal instead of a thousand single ones.
+    grid = F.expr("array(" + ", ".join(f"{g / GRID!r}D" for g in range(GRID + 1)) + ")")
     slack = 2 + math.ceil(GRID * _margin(accuracy, sketch_rows))
     settled = [F.col(f"ok{i}") for i in range(count)]
     unsettled = state.where(~F.greatest(*settled, F.lit(False)) | ~F.least(*settled, F.lit(True)))

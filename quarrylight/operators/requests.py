@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions.numbers import fixed_text, parse_dot, parse_prefix, shortest_text
 from quarrylight.operators.preprocess import MISSING, Preprocessing, standardise
+from quarrylight.session import evaluate_once
 
 MODES = ("dot", "prefix", "consistent")
 
@@ -41,41 +42,46 @@ def _is_number(kind: Column) -> Column:
     return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
 
 
-def number_of(value: Column, mode: str, default: float | None = None) -> Column:
-    """Numeric meaning of a variant; absent (null) values take `default`."""
+def read_values(df: DataFrame, names: list[str]) -> DataFrame:
+    """Add `_kind_i` (type name, null if absent) and `_text_i` for every named value of `body`."""
+    if not names:
+        return df
+    values = evaluate_once(df, {f"_value_{i}": _value(F.col("body"), n) for i, n in enumerate(names)})
+    parts = {}
+    for i in range(len(names)):
+        parts[f"_kind_{i}"] = F.schema_of_variant(F.col(f"_value_{i}"))
+        parts[f"_text_{i}"] = F.try_variant_get(F.col(f"_value_{i}"), "$", "string")
+    return evaluate_once(values, parts).drop(*[f"_value_{i}" for i in range(len(names))])
+
+
+def number_of(kind: Column, text: Column, mode: str, default: float | None = None) -> Column:
+    """Numeric meaning of a value from its type and text; absent values take `default`."""
     _check_mode(mode)
-    kind = F.schema_of_variant(value)
-    as_double = F.try_variant_get(value, "$", "double")
-    text = F.try_variant_get(value, "$", "string")
-    parse = parse_prefix if mode == "prefix" else parse_dot
     fallback = {"dot": F.lit(0.0), "prefix": F.lit(default if default is not None else 0.0), "consistent": F.lit(None)}
+    parse = parse_prefix if mode == "prefix" else parse_dot
     out = (
-        F.when(value.isNull(), fallback[mode].cast("double"))
-        .when(_is_number(kind), as_double)
+        F.when(kind.isNull(), fallback[mode].cast("double"))
+        .when(_is_number(kind), text.try_cast("double"))
         .when(kind == "STRING", parse(text).cast("double"))
-        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double"))
+        .when((kind == "BOOLEAN") & (text == "true"), F.lit(1.0))
     )
     out = out.when(kind == "VOID", F.lit(None).cast("double")) if mode == "consistent" else out
     out = out.otherwise(F.lit(0.0))
     return out.cast("float") if mode == "prefix" else out
 
 
-def category_of(value: Column, mode: str) -> Column:
-    """Text meaning of a variant; absent values are the missing category."""
+def category_of(kind: Column, text: Column, mode: str) -> Column:
+    """Text meaning of a value from its type and text; absent values are the missing category."""
     _check_mode(mode)
-    kind = F.schema_of_variant(value)
-    text = F.try_variant_get(value, "$", "string")
     if mode == "prefix":
-        other = fixed_text(number_of(value, "prefix"), 6)
-        return F.when(value.isNull(), F.lit(MISSING)).when(kind == "STRING", text).otherwise(other)
-    as_double = F.try_variant_get(value, "$", "double")
-    flag = F.try_variant_get(value, "$", "boolean")
+        other = fixed_text(number_of(kind, text, "prefix"), 6)
+        return F.when(kind.isNull(), F.lit(MISSING)).when(kind == "STRING", text).otherwise(other)
     nothing = F.lit(MISSING) if mode == "consistent" else F.lit("None")
     return (
-        F.when(value.isNull(), F.lit(MISSING))
+        F.when(kind.isNull(), F.lit(MISSING))
         .when(kind == "VOID", nothing)
-        .when(kind == "BOOLEAN", F.when(flag, "True").otherwise("False"))
-        .when((kind == "DOUBLE") | kind.startswith("DECIMAL"), shortest_text(as_double))
+        .when(kind == "BOOLEAN", F.initcap(text))
+        .when((kind == "DOUBLE") | kind.startswith("DECIMAL"), shortest_text(text.try_cast("double")))
         .otherwise(text)
     )
 
@@ -83,7 +89,7 @@ def category_of(value: Column, mode: str) -> Column:
 def check_named(df: DataFrame, value: str, mode: str = "consistent") -> DataFrame:
     """Add `body` (variant), `status` and `error` (null if the request is well formed)."""
     _check_mode(mode)
-    parsed = df.withColumn("body", F.try_parse_json(F.col(value)))
+    parsed = evaluate_once(df, {"body": F.try_parse_json(F.col(value))})
     features = F.try_variant_get("body", "$.features", "variant")
     is_object = F.try_variant_get("body", "$.features", "map<string,variant>").isNotNull()
     error = (
@@ -104,14 +110,19 @@ def parse_named(
     """
     checked = check_named(df, value, mode)
     scale = mode != "consistent" if scale is None else scale
-    numbers = {}
-    for name in params.numeric:
+    names = [*params.numeric, *params.categorical]
+    read = read_values(checked, names)
+    columns = {}
+    for i, name in enumerate(params.numeric):
         median = params.medians.get(name)
-        number = number_of(_value(F.col("body"), name), mode, median)
+        number = number_of(F.col(f"_kind_{i}"), F.col(f"_text_{i}"), mode, median)
         if mode == "dot" and median is not None:
-            number = F.when(F.isnan(number), F.lit(median)).otherwise(number)
-        numbers[name] = number
-    out = checked.withColumns(numbers)
+            number = F.coalesce(F.nullif(number, F.lit(float("nan"))), F.lit(median))
+        columns[name] = number
+    for i, name in enumerate(params.categorical, len(params.numeric)):
+        columns[name] = category_of(F.col(f"_kind_{i}"), F.col(f"_text_{i}"), mode)
+    out = evaluate_once(read, columns) if columns else read
+    out = out.drop("body", *[f"_{part}_{i}" for part in ("kind", "text") for i in range(len(names))])
     if mode == "dot" and params.numeric:
         endless = reduce(or_, [F.abs(F.col(f"`{n}`")) == float("inf") for n in params.numeric])
         broken = F.col("error").isNull() & endless
@@ -121,21 +132,21 @@ def parse_named(
                 "status": F.when(broken, 500).otherwise(F.col("status")),
             }
         )
-    if scale:
-        scaled = {}
-        for n in params.numeric:
-            number = standardise(F.col(f"`{n}`"), params.means.get(n), params.scales.get(n), mode == "prefix")
-            scaled[n] = number.cast("float") if mode == "prefix" else number
-        out = out.withColumns(scaled)
-    texts = {c: category_of(_value(F.col("body"), c), mode) for c in params.categorical}
-    return (out.withColumns(texts) if texts else out).drop("body")
+    if not scale:
+        return out
+    scaled = {}
+    for n in params.numeric:
+        number = standardise(F.col(f"`{n}`"), params.means.get(n), params.scales.get(n), mode == "prefix")
+        scaled[n] = number.cast("float") if mode == "prefix" else number
+    return out.withColumns(scaled) if scaled else out
 
 
 def named_values(df: DataFrame, value: str, names: list[str]) -> DataFrame:
     """Without fitted parameters: an array of the named numbers in order, absent ones as 0."""
-    checked = check_named(df, value, "prefix")
-    numbers = [number_of(_value(F.col("body"), n), "prefix") for n in names]
-    return checked.withColumn("features", F.array(*numbers)).drop("body")
+    read = read_values(check_named(df, value, "prefix"), names)
+    numbers = [number_of(F.col(f"_kind_{i}"), F.col(f"_text_{i}"), "prefix") for i in range(len(names))]
+    helpers = [f"_{part}_{i}" for part in ("kind", "text") for i in range(len(names))]
+    return evaluate_once(read, {"features": F.array(*numbers)}).drop("body", *helpers)
 
 
 def parse_positional(df: DataFrame, value: str, width: int = 8, mode: str = "prefix") -> DataFrame:
@@ -145,7 +156,7 @@ def parse_positional(df: DataFrame, value: str, width: int = 8, mode: str = "pre
     numeric text, takes null as NaN and answers unreadable bodies and values with 500.
     """
     _check_mode(mode)
-    parsed = df.withColumn("body", F.try_parse_json(F.col(value)))
+    parsed = evaluate_once(df, {"body": F.try_parse_json(F.col(value))})
     raw = F.try_variant_get("body", "$.features", "variant")
     items = F.try_variant_get("body", "$.features", "array<variant>")
 
@@ -159,17 +170,18 @@ def parse_positional(df: DataFrame, value: str, width: int = 8, mode: str = "pre
             out = out.when(kind == "VOID", F.lit(float("nan")))
         return out.cast("float")
 
-    out = parsed.withColumn("features", F.transform(items, number))
+    read = {"features": F.transform(items, number), "_absent": raw.isNull(), "_no_array": items.isNull()}
+    out = evaluate_once(parsed, read)
     bad = F.exists("features", lambda x: x.isNull())
     error = (
         F.when(F.col("body").isNull(), NOT_JSON)
-        .when(raw.isNull(), NO_FEATURES)
-        .when(items.isNull() | bad, NOT_NUMERIC)
+        .when(F.col("_absent"), NO_FEATURES)
+        .when(F.col("_no_array") | bad, NOT_NUMERIC)
         .when(F.size("features") != width, WRONG_WIDTH)
     )
     client = F.lit(True) if mode == "prefix" else error.isin(NO_FEATURES, WRONG_WIDTH)
     status = F.when(error.isNull(), 200).when(client, 400).otherwise(500)
-    return out.withColumns({"error": error, "status": status}).drop("body")
+    return out.withColumns({"error": error, "status": status}).drop("body", "_absent", "_no_array")
 
 
 def split_requests(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ import uuid
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A table is broadcast only if it was measured to stay below both limits.
@@ -76,6 +76,17 @@ def small_side(df: DataFrame, materialized: bool = False) -> DataFrame:
     return F.broadcast(done) if fits else done
 
 
+def evaluate_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """withColumns for costly expressions.
+
+    The optimizer copies a projected expression into every filter pushed below it, and would parse
+    the same JSON again for each use. It does not look into a generator, so a one-element inline
+    keeps the columns as they were computed.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join that matches null keys and leaves one copy of the key columns."""
     renamed = right.withColumnsRenamed({key: f"__r_{key}" for key in keys})
