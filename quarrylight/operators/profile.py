@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,15 +39,43 @@ def table_shape(df: DataFrame) -> DataFrame:
 def _reason(distinct: Column, nulls: Column, rows: Column, name: Column) -> Column:
     return (
         F.when(distinct > rows * MAX_DISTINCT_SHARE, "distinct")
-        .when(nulls / rows > MAX_NULL_SHARE, "nulls")
+        .when(F.try_divide(nulls, rows) > MAX_NULL_SHARE, "nulls")
         .when(F.lower(name).isin(DENIED_NAMES), "name")
     )
 
 
-def _melt(row: DataFrame, df: DataFrame, measures: dict[str, str]) -> DataFrame:
-    """One-row aggregate with columns prefix+index into one row per profiled column."""
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, rows, distinct, nulls), exact, NaN counting as null.
+
+    Every column is grouped on its own: a narrow scan, repeated values collapse before the
+    shuffle, and a frequent value costs its reducer one row per task. A single aggregate over all
+    columns would copy each row once per column instead. The columns of a row format such as CSV
+    share one scan, so store such a file as a columnar table first.
+    """
+    dtypes = dict(df.dtypes)
+    parts = []
+    for name in columns:
+        grouped = df.groupBy(null_if_nan(name, dtypes[name]).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(
+            grouped.agg(
+                F.lit(name).alias("column"),
+                F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+                F.count("v").alias("distinct"),
+                F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _sketched_counts(df: DataFrame) -> DataFrame:
+    """Like value_counts in one pass, with the distinct values estimated."""
+    measures = []
+    for i, (name, dtype) in enumerate(df.dtypes):
+        value = null_if_nan(name, dtype)
+        measures += [F.approx_count_distinct(value).alias(f"d{i}"), F.count_if(value.isNull()).alias(f"z{i}")]
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *measures)
     entries = [
-        F.struct(F.lit(name).alias("column"), *[F.col(f"{p}{i}").alias(m) for m, p in measures.items()])
+        F.struct(F.lit(name).alias("column"), F.col(f"d{i}").alias("distinct"), F.col(f"z{i}").alias("nulls"))
         for i, name in enumerate(df.columns)
     ]
     return row.select("rows", F.inline(F.array(*entries)))
@@ -54,20 +84,13 @@ def _melt(row: DataFrame, df: DataFrame, measures: dict[str, str]) -> DataFrame:
 def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Per column: rows, distinct values, null share and why the column is unusable (or null).
 
-    One aggregation over all columns. NaN counts as null; nulls are no distinct value. Exact
-    distinct counts shuffle the distinct values of every column; approximate=True keeps a sketch.
+    NaN counts as null; nulls are no distinct value. approximate=True estimates the distinct
+    values in a single pass.
     """
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    measures = []
-    for i, (name, dtype) in enumerate(df.dtypes):
-        value = null_if_nan(name, dtype)
-        measures += [count(value).alias(f"d{i}"), F.count_if(value.isNull()).alias(f"z{i}")]
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *measures)
-    melted = _melt(row, df, {"distinct": "d", "nulls": "z"})
+    counts = _sketched_counts(df) if approximate else value_counts(df, df.columns)
     reason = _reason(F.col("distinct"), F.col("nulls"), F.col("rows"), F.col("column"))
-    return melted.select(
-        "column", "rows", "distinct", (F.col("nulls") / F.col("rows")).alias("null_share"), reason.alias("drop_reason")
-    )
+    share = F.try_divide(F.col("nulls"), F.col("rows"))
+    return counts.select("column", "rows", "distinct", share.alias("null_share"), reason.alias("drop_reason"))
 
 
 def drop_reasons(df: DataFrame) -> dict[str, str | None]:
@@ -94,13 +117,10 @@ def drop_reasons(df: DataFrame) -> dict[str, str | None]:
         spread = seen[f"r{i}"] if f"r{i}" in seen else None
         narrow = dtype == "boolean" or (spread is not None and spread + 1 <= limit)
         if seen[f"c{i}"] > limit and not narrow:
-            open_columns.append((name, dtype))
+            open_columns.append(name)
     distinct = {}
     if open_columns:
-        counted = df.agg(
-            *[F.count_distinct(null_if_nan(name, dtype)).alias(f"d{i}") for i, (name, dtype) in enumerate(open_columns)]
-        ).first()
-        distinct = {name: counted[f"d{i}"] for i, (name, _) in enumerate(open_columns)}
+        distinct = {r["column"]: r["distinct"] for r in value_counts(df, open_columns).collect()}
     reasons: dict[str, str | None] = {}
     for i, name in enumerate(df.columns):
         if distinct.get(name, 0) > limit:
