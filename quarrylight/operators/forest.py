@@ -7,13 +7,14 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylight.functions.numbers import exceeds
 from quarrylight.operators import metrics, sampling
 from quarrylight.operators.preprocess import Preprocessing, fit_preprocessing, preprocessing_stages
 from quarrylight.operators.profile import select_features
-from quarrylight.session import materialize, spread
+from quarrylight.session import materialize, null_safe_join, small_side, spread
 
 # Forest settings.
 CLASSIFIER_TREES, CLASSIFIER_DEPTH = 50, 15
@@ -23,18 +24,17 @@ CLASSES = ["Normal", "Attack"]
 HELPERS = ("_num_", "_cat_", "_code_", "_hot_")
 
 
-def class_weights(df: DataFrame, target: str) -> dict:
-    """n / (k * rows of the class)"""
-    counts = {r[target]: r["rows"] for r in sampling.class_counts(df, target).collect()}
-    return {c: sum(counts.values()) / (len(counts) * n) for c, n in counts.items()}
+def class_weights(df: DataFrame, target: str) -> DataFrame:
+    """(target, weight): n / (k * rows of the class) for k classes in n rows."""
+    counts = sampling.class_counts(df, target)
+    every = W.partitionBy()
+    weight = F.sum("rows").over(every) / (F.count(F.lit(1)).over(every) * F.col("rows"))
+    return counts.select(target, weight.alias("weight"))
 
 
 def with_class_weight(df: DataFrame, target: str, output: str = "weight") -> DataFrame:
-    weights = class_weights(df, target)
-    column = F.lit(None).cast("double")
-    for value, weight in weights.items():
-        column = F.when(F.col(target) == F.lit(value), F.lit(weight)).otherwise(column)
-    return df.withColumn(output, column)
+    weights = small_side(class_weights(df, target).withColumnRenamed("weight", output))
+    return null_safe_join(df, weights, [target])
 
 
 def fit_classifier(
@@ -68,12 +68,19 @@ def without_helpers(df: DataFrame) -> DataFrame:
 
 
 def score(
-    df: DataFrame, model: PipelineModel, version: str = "forest-1", classes: list[str] | None = None, keep: list[str] | None = None
+    df: DataFrame, model: PipelineModel, version: str = "forest-1", classes: list[str] | None = None,
+    keep: list[str] | None = None, width: int | None = None,
 ) -> DataFrame:
-    """Prediction records: probability of class 1, strict 0.5 threshold, class name, constants."""
+    """Prediction records: probability of class 1, strict 0.5 threshold, class name, constants.
+
+    `width` is the number of features the caller expects; another one is an error, found once
+    from the schema and not row by row.
+    """
     classes = classes or CLASSES
     scored = model.transform(df)
     used = scored.schema["features"].metadata["ml_attr"]["num_attrs"]
+    if width is not None and used != width:
+        raise ValueError(f"{used} features instead of {width}")
     probability = vector_to_array("probability")[1]
     out = scored.withColumn("_p", probability)
     keep = df.columns if keep is None else keep

@@ -42,10 +42,13 @@ def class_shares(df: DataFrame, target: str) -> DataFrame:
 
 def class_extremes(df: DataFrame, target: str) -> DataFrame:
     """Smallest and largest class and their sizes; ties go to the lower class value."""
-    counts = class_counts(df.where(F.col(target).isNotNull()), target)
-    by_size = F.struct("rows", F.col(target))
-    smallest = F.min(by_size)
-    return counts.agg(
+    return extremes_of(class_counts(df, target), target)
+
+
+def extremes_of(counts: DataFrame, target: str) -> DataFrame:
+    known = counts.where(F.col(target).isNotNull())
+    smallest = F.min(F.struct("rows", F.col(target)))
+    return known.agg(
         F.count(F.lit(1)).alias("classes"),
         F.sum("rows").alias("total"),
         smallest[target].alias("minority_class"),
@@ -147,10 +150,11 @@ def balance(
     rows, that class stays whole and the largest class is cut to majority_ratio times its size;
     classes in between drop out. Otherwise a proportional sample of exactly sample_rows is taken.
     """
-    size = class_extremes(df, target).first()
-    total = df.count()
+    counts = materialize(class_counts(df, target))
+    total = counts.agg(F.sum("rows")).first()[0] or 0
     if total <= sample_rows:
         return df
+    size = extremes_of(counts, target).first()
     if size["minority_rows"] < small_class_rows:
         minority = df.where(F.col(target) == F.lit(size["minority_class"]))
         majority = df.where(F.col(target) == F.lit(size["majority_class"]))
@@ -160,6 +164,6 @@ def balance(
         )
         marked = mark_sample(majority, keys, quotas, target, "_take", size["majority_rows"], seed, edge_rows)
         return minority.unionByName(marked.where("_take").drop("_take"))
-    quotas = proportional_quotas(materialize(class_counts(df, target)), target, total, sample_rows)
+    quotas = proportional_quotas(counts, target, total, sample_rows)
     marked = mark_sample(df, keys, quotas, target, "_take", total, seed, edge_rows)
     return marked.where("_take").drop("_take")

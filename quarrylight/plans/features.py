@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarrylight.operators import preprocess
 from quarrylight.operators.preprocess import Preprocessing
 from quarrylight.plans.sampling import LINE_KEY
-from quarrylight.session import new_folder
+from quarrylight.session import new_folder, small_side
 from quarrylight.sources import params as files
 from quarrylight.sources.tables import read_table
 
@@ -133,10 +133,20 @@ def metadata_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def standardize_tall(spark: SparkSession, sf: str) -> DataFrame:
+    """Standardisation of the tall form by parameter lookup: (line, feature, value)."""
+    lines = read_table(spark, sf, "lineitem").select(*LINE_KEY, *NUMERIC)
+    params = small_side(preprocess.fit_numeric(lines, NUMERIC))
+    tall = lines.unpivot(LINE_KEY, NUMERIC, "feature", "value").join(params, "feature")
+    scaled = (F.coalesce("value", "median") - F.col("mean")) / F.col("scale")
+    return tall.select(*LINE_KEY, "feature", F.round(scaled, 4).alias("value"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        fit_numeric_params, fit_categories, encoded_feature_names, impute_median, impute_missing, standardize, one_hot,
+        fit_numeric_params, fit_categories, encoded_feature_names, impute_median, impute_missing, standardize, standardize_tall,
+        one_hot,
         one_hot_tall, feature_vector, place_by_name, tidy_params, params_roundtrip, metadata_roundtrip,
     )
 }
@@ -184,6 +194,10 @@ SQL = {
         + ", ".join(f"round(({c} - a_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END, 4) AS {c}" for c in NUMERIC)
         + " FROM f, s"
     ),
+    "standardize_tall": " UNION ALL ".join(
+        f"SELECT {_KEYS}, '{c}' AS feature, round(({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT stddev_pop({c}) FROM lineitem), 4) AS value FROM lineitem"
+        for c in NUMERIC
+    ),
     "one_hot": "SELECT c_custkey, "
     + ", ".join(f"CAST(c_mktsegment = '{v}' AS DOUBLE) AS \"c_mktsegment_{v}\"" for v in SEGMENTS)
     + " FROM customer",

@@ -10,7 +10,7 @@ from quarrylight.operators.requests import payload
 from quarrylight.plans.requests import event_requests
 from quarrylight.plans.sampling import LINE_KEY
 from quarrylight.session import new_folder
-from quarrylight.sources.tables import read_table
+from quarrylight.sources.tables import read_records, read_table, write_records
 from quarrylight.streaming import scoring
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -111,17 +111,34 @@ def forest_expr(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def prediction_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of the frozen forest written as JSON lines and read back."""
+    folder = new_folder(spark, "records")
+    records = forest_expr(spark, sf).withColumns(
+        {"model_version": F.lit("frozen-1"), "features_used": F.lit(4)}
+    )
+    write_records(records, folder)
+    return read_records(spark, folder, records.schema)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         train_classifier, train_regressor, class_weights, score_batch, stream_score, stream_rejects, stream_health,
-        forest_expr,
+        forest_expr, prediction_records,
     )
 }
 
 
 _KEYS = ", ".join(LINE_KEY)
 
+_FOREST = f"""
+        WITH p AS (SELECT {_KEYS}, ((CASE WHEN l_quantity <= 24 THEN CASE WHEN l_discount <= 0.04 THEN 0.1 ELSE 0.05 END
+                          ELSE CASE WHEN l_discount <= 0.06 THEN 0.9 ELSE 0.7 END END)
+              + (CASE WHEN l_extendedprice <= 50000 THEN 0.3 ELSE CASE WHEN l_tax <= 0.02 THEN 0.8 ELSE 0.6 END END)
+              + (CASE WHEN l_quantity <= 30 THEN CASE WHEN l_extendedprice <= 20000 THEN 0.2 ELSE 0.4 END ELSE 0.95 END)) / 3.0 AS p
+            FROM lineitem)"""
+
 SQL = {
     "class_weights": f"""
         WITH l AS (SELECT {_KEYS}, CAST(l_quantity * (1 - l_discount) > 24 AS INTEGER) AS "Label" FROM lineitem),
@@ -136,11 +153,9 @@ SQL = {
         FROM e WHERE k <= 2 GROUP BY k""",
     "stream_health": """
         SELECT event_type, count(*) AS requests_processed, round(avg(value), 6) AS avg_time FROM events GROUP BY 1""",
+    "prediction_records": f"""
+        {_FOREST} SELECT {_KEYS}, round(CAST(p AS DOUBLE), 9) AS prediction, p > 0.5 AS is_attack,
+        'frozen-1' AS model_version, 4 AS features_used FROM p""",
     "forest_expr": f"""
-        WITH p AS (SELECT {_KEYS}, ((CASE WHEN l_quantity <= 24 THEN CASE WHEN l_discount <= 0.04 THEN 0.1 ELSE 0.05 END
-                          ELSE CASE WHEN l_discount <= 0.06 THEN 0.9 ELSE 0.7 END END)
-              + (CASE WHEN l_extendedprice <= 50000 THEN 0.3 ELSE CASE WHEN l_tax <= 0.02 THEN 0.8 ELSE 0.6 END END)
-              + (CASE WHEN l_quantity <= 30 THEN CASE WHEN l_extendedprice <= 20000 THEN 0.2 ELSE 0.4 END ELSE 0.95 END)) / 3.0 AS p
-            FROM lineitem)
-        SELECT {_KEYS}, round(CAST(p AS DOUBLE), 9) AS prediction, p > 0.5 AS is_attack FROM p""",
+        {_FOREST} SELECT {_KEYS}, round(CAST(p AS DOUBLE), 9) AS prediction, p > 0.5 AS is_attack FROM p""",
 }

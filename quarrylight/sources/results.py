@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions.numbers import error_percent, error_percent_truncated, leading_number
-from quarrylight.schemas import BENCH_V2, SAMPLES_V2, text_schema
+from quarrylight.schemas import BENCH_V1, BENCH_V2, SAMPLES_V2, text_schema
 
 
 # A result file or folder of files, and the service named in it.
@@ -41,6 +41,21 @@ def read_newest_results(
     return rows.withColumn("service", F.regexp_extract(F.col("_metadata.file_path"), run_pattern, 2))
 
 
+# Names of the first result layout and what the second one calls them.
+FIRST_LAYOUT = {
+    "avg_latency_ms": "latency_avg_ms",
+    "p95_latency_ms": "latency_p95_ms",
+    "p99_latency_ms": "latency_p99_ms",
+    "ram_mb": "mem_mb",
+}
+
+
+def read_first_layout(spark: SparkSession, path: str) -> DataFrame:
+    """Result files of the first layout under the column names of the second."""
+    rows = spark.read.schema(text_schema(BENCH_V1)).option("header", True).csv(path)
+    return rows.withColumnsRenamed(FIRST_LAYOUT)
+
+
 def read_samples(spark: SparkSession, path: str, header: str = SAMPLES_V2) -> DataFrame:
     """Resource samples as numbers; `timestamp` stays text."""
     table = spark.read.schema(text_schema(header)).option("header", True).csv(path)

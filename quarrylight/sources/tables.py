@@ -23,3 +23,12 @@ def append_csv(df: DataFrame, path: str) -> None:
 def write_summary(df: DataFrame, path: str, form: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
     writer.option("header", True).csv(path) if form == "csv" else writer.format(form).save(path)
+
+
+def write_records(df: DataFrame, path: str) -> None:
+    """Prediction records as JSON lines."""
+    df.write.mode("overwrite").json(path)
+
+
+def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).json(path)

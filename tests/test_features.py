@@ -139,6 +139,9 @@ def test_classifier(spark, learnable):
     one = forest.score(frame, model, keep=["id"]).orderBy("id").collect()
     assert one == forest.score(frame, forest.load_model(path), keep=["id"]).orderBy("id").collect()
     assert one[0]["features_used"] == 4 and {r["class_name"] for r in one} == {"Normal", "Attack"}
+    assert forest.score(frame, model, width=4).count() == 600
+    with pytest.raises(ValueError):
+        forest.score(frame, model, width=116)
     assert all(r["is_attack"] == (r["prediction"] > 0.5) for r in one)
 
 
@@ -157,6 +160,6 @@ def test_regressor_and_frozen_trees(spark, learnable):
 
 
 def test_class_weights(spark, learnable):
-    weights = forest.class_weights(learnable, "Label")
+    weights = {r["Label"]: r["weight"] for r in forest.class_weights(learnable, "Label").collect()}
     ones = learnable.where("Label = 1").count()
     assert weights[1] == pytest.approx(600 / (2 * ones)) and weights[0] == pytest.approx(600 / (2 * (600 - ones)))

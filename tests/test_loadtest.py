@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylight.operators import compare, metrics, resources
-from quarrylight.schemas import BENCH_V2, FLOW, HOUSE, text_schema
+from quarrylight.schemas import BENCH_V1, BENCH_V2, FLOW, HOUSE, text_schema
 from quarrylight.sources import results, tables
 
 # Published load-test figures of two services: concurrency, rps, avg, p50, p95, p99, CPU, memory.
@@ -67,6 +67,23 @@ def test_empty_newest_run_gives_no_row(spark, tmp_path):
     assert compare.overall_speedup(rows, "Fast", "Slow").first()["speedup"] == 0.0
 
 
+def test_first_layout(spark, tmp_path):
+    """The first service pair was measured in another layout, without p50 and timestamps."""
+    (tmp_path / "slow.csv").write_text(
+        BENCH_V1 + "\n1,13.4612,0.07,0.09,0.12,0.00,31.67,3180\n10,77.2807,0.13,0.15,0.19,0.00,72.22,3181\n50,74.5410,0.66,0.70,0.76,0.00,73.12,3192\n"
+    )
+    (tmp_path / "fast.csv").write_text(
+        BENCH_V1 + "\n1,984.14,0.00,0.00,0.00,0.00,16.60,2729\n10,3791.77,0.00,0.01,0.01,0.00,13.36,2711\n50,4079.19,0.01,0.03,0.04,0.00,14.50,2705\n"
+    )
+    slow, fast = (compare.clean_benchmark(results.read_first_layout(spark, str(tmp_path / f"{n}.csv"))) for n in ("slow", "fast"))
+    found = {int(r["concurrency"]): round(r["speedup"], 1) for r in compare.speedup_by_level(slow, fast).collect()}
+    assert found == {1: 73.1, 10: 49.1, 50: 54.7}
+    best = compare.service_summary(compare.combine({"slow": slow, "fast": fast})).collect()
+    assert {(r["service"], r["max_rps"], r["best_concurrency"], r["mem_mb"]) for r in best} == {
+        ("slow", "77.3", "10", "3181"), ("fast", "4079.2", "50", "2705"),
+    }
+
+
 def test_no_files(spark, tmp_path):
     (tmp_path / "other.csv").write_text("a\n")
     with pytest.raises(FileNotFoundError):
@@ -149,6 +166,12 @@ def test_append_and_summary_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 1
 
 
+def test_records(spark, tmp_path):
+    rows = spark.createDataFrame([(0.75, True, "f", 4)], "prediction double, is_attack boolean, model_version string, features_used int")
+    tables.write_records(rows, str(tmp_path / "r"))
+    assert tables.read_records(spark, str(tmp_path / "r"), rows.schema).collect() == rows.collect()
+
+
 def test_schemas():
     assert len(HOUSE) == 9 and len(FLOW) == 45 and len(text_schema(BENCH_V2)) == 12
 
