@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions.times import epoch_seconds
 from quarrylight.operators import compare, loadlog, metrics, resources
-from quarrylight.session import new_folder
+from quarrylight.session import evaluate_once, new_folder
 from quarrylight.sources import results
 from quarrylight.sources.tables import append_csv, read_csv, read_table
 
@@ -116,8 +116,7 @@ def overall_speedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def efficiency(spark: SparkSession, sf: str) -> DataFrame:
-    out = compare.with_efficiency(_bench(spark, sf)).select("service", "concurrency", "user_id", "efficiency")
-    return _rounded(out, ["efficiency"])
+    return compare.with_efficiency(_bench(spark, sf)).select("service", "concurrency", "user_id", "efficiency")
 
 
 def latency_long(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,7 +193,8 @@ def _reports(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(" secs\n  99% in "), number("l_quantity"), F.lit(" secs\n"),
         F.when(F.col("l_linestatus") == "O", F.concat(F.lit("  Success:\t"), (F.col("l_partkey") % 1000).cast("string"), F.lit("\n"))).otherwise(""),
     )
-    return lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", report.alias("value"))
+    built = evaluate_once(lines, {"value": report})
+    return built.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "value")
 
 
 def report_text_parse(spark: SparkSession, sf: str) -> DataFrame:
@@ -348,7 +348,7 @@ SQL = {
     "overall_speedup": f"""
         WITH {_BENCH}, m AS (SELECT max(rps) FILTER (service = 'click') AS x, max(rps) FILTER (service = 'view') AS y FROM b)
         SELECT round(x, 6) AS base_rps, round(y, 6) AS other_rps, round(CASE WHEN x > 0 THEN y / x ELSE 0 END, 6) AS speedup FROM m""",
-    "efficiency": f"WITH {_BENCH} SELECT service, concurrency, user_id, round(rps / (cpu_percent + 1), 6) AS efficiency FROM b",
+    "efficiency": f"WITH {_BENCH} SELECT service, concurrency, user_id, rps / (cpu_percent + 1) AS efficiency FROM b",
     "latency_long": f"""
         WITH {_BENCH} SELECT service, concurrency, user_id, 'avg' AS metric, latency_avg_ms AS latency FROM b
         UNION ALL SELECT service, concurrency, user_id, 'p50', latency_p50_ms FROM b

@@ -24,6 +24,7 @@ def build_session(app: str = "quarrylight", master: str | None = None, **conf: s
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Request JSON may repeat a name; the last value wins, as in most JSON readers.
         "spark.sql.variant.allowDuplicateKeys": "true",
     } | {key.replace("__", "."): value for key, value in conf.items()}
@@ -56,7 +57,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for an input of fewer file splits than cores; larger inputs stay as they are."""
+    """Use all cores for a small materialised table; one with enough partitions stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions.numbers import error_percent, error_percent_truncated, leading_number
 from quarrylight.schemas import BENCH_V1, BENCH_V2, SAMPLES_V2, text_schema
+from quarrylight.session import evaluate_once
 
 
 # A result file or folder of files, and the service named in it.
@@ -62,17 +63,17 @@ def read_samples(spark: SparkSession, path: str, header: str = SAMPLES_V2) -> Da
     return table.withColumns({c: F.col(c).try_cast("double") for c in table.columns if c != "timestamp"})
 
 
-# The marker of each figure in a report, its field in that line, and its decimals.
+# The text before each figure in a report, and the figure's decimals.
 REPORT_FIELDS = {
-    "rps": ("Requests/sec", 1, 2),
-    "latency_avg": ("Average:", 1, 2),
-    "latency_p50": ("50% in", 2, 2),
-    "latency_p75": ("75% in", 2, 2),
-    "latency_p90": ("90% in", 2, 2),
-    "latency_p95": ("95% in", 2, 2),
-    "latency_p99": ("99% in", 2, 2),
-    "total_requests": ("Total:", 1, None),
-    "success_requests": ("Success:", 1, None),
+    "rps": ("Requests/sec", 2),
+    "latency_avg": ("Average:", 2),
+    "latency_p50": ("50% in", 2),
+    "latency_p75": ("75% in", 2),
+    "latency_p90": ("90% in", 2),
+    "latency_p95": ("95% in", 2),
+    "latency_p99": ("99% in", 2),
+    "total_requests": ("Total:", None),
+    "success_requests": ("Success:", None),
 }
 
 
@@ -81,23 +82,26 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
 
 
-def report_field(lines: Column, marker: str, place: int) -> Column:
-    """A blank-separated field of the first line holding the marker; null if there is none."""
-    line = F.get(F.filter(lines, lambda text: text.contains(marker)), F.lit(0))
-    return F.get(F.split(F.trim(F.translate(line, "\t\r", "  ")), " +"), F.lit(place))
+def report_field(text: Column, marker: str) -> Column:
+    """The word after the first occurrence of the marker; null if there is none in its line.
+
+    The marker is found as plain text, so no pattern has to run over the whole report.
+    """
+    after = F.split_part(text, F.lit(marker), F.lit(2))
+    return F.nullif(F.regexp_extract(after, r"^\S*[ \t]+(\S+)", 1), F.lit(""))
 
 
 def parse_reports(df: DataFrame, value: str = "value") -> DataFrame:
     """Figures of a load tool's text report as columns, with the error percentages they imply."""
+    found = evaluate_once(df, {f"_{name}": report_field(F.col(value), marker) for name, (marker, _) in REPORT_FIELDS.items()})
     columns: dict[str, Column] = {}
-    split = df.withColumn("_lines", F.split(value, "\n"))
-    for name, (marker, place, decimals) in REPORT_FIELDS.items():
-        found = report_field(F.col("_lines"), marker, place)
+    for name, (_, decimals) in REPORT_FIELDS.items():
+        word = F.coalesce(F.col(f"_{name}"), F.lit(""))
         if decimals is None:
-            columns[name] = F.replace(found, F.lit(","), F.lit("")).try_cast("double")
+            columns[name] = F.replace(word, F.lit(","), F.lit("")).try_cast("double")
         else:
-            columns[name] = leading_number(F.coalesce(found, F.lit("")), decimals)
-    out = split.withColumns(columns).drop("_lines")
+            columns[name] = leading_number(word, decimals)
+    out = found.withColumns(columns).drop(*[f"_{name}" for name in REPORT_FIELDS])
     total, good = F.col("total_requests"), F.col("success_requests")
     return out.withColumns(
         {"error_rate": error_percent(good, total), "error_rate_cut": error_percent_truncated(good, total)}
