@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import decontam, langid, packing, secrets, simhash
+from quarrylight.llm import decontam, langid, packing, secret_scan, simhash
 from quarrylight.llm.common import crc_of_id, land
 from quarrylight.sources.tables import read_table
 
@@ -31,7 +31,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    return secrets.redact(docs)
+    return secret_scan.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

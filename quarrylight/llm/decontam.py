@@ -239,6 +239,17 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame
     return found if found is not None else spark.createDataFrame([], schema)
 
 
+def _leaks(shared):
+    @F.pandas_udf("boolean")
+    def leaks(texts: pd.Series) -> pd.Series:
+        hit = np.zeros(len(texts), bool)
+        for start, block in _in_blocks([None if t is None else t for t in texts.tolist()]):
+            for found in occurrences(shared.value, block):
+                hit[start + found[0]] = True
+        return pd.Series(hit)
+    return leaks
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of `docs` in which no item occurs; columns are those of `docs`.
 
@@ -248,14 +259,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
     ship(spark)
     for items in blocks(benchmark, rate):
         shared = spark.sparkContext.broadcast(items)  # bounded by ITEMS
-
-        @F.pandas_udf("boolean")
-        def leaks(texts: pd.Series, shared=shared) -> pd.Series:
-            hit = np.zeros(len(texts), bool)
-            for start, block in _in_blocks([None if t is None else t for t in texts.tolist()]):
-                for found in occurrences(shared.value, block):
-                    hit[start + found[0]] = True
-            return pd.Series(hit)
-
-        docs = docs.filter(~leaks(F.col("text").cast("string")))
+        docs = docs.filter(~_leaks(shared)(F.col("text").cast("string")))
     return docs

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import dac, decontam, langid, packing, secrets, simhash
+from quarrylight.llm import dac, decontam, langid, packing, secret_scan, simhash
 from quarrylight.llm.common import crc_of_id
 from quarrylight.session import new_folder
 from quarrylight.sources.tables import read_table
@@ -22,12 +22,12 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    found = secrets.scan(read_table(spark, folder, "documents").select("doc_id", "text"))
+    found = secret_scan.scan(read_table(spark, folder, "documents").select("doc_id", "text"))
     number = lambda kind: F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long")
     return found.select(
         "doc_id", number("assign").alias("n_assign"), number("access").alias("n_access"), number("hex").alias("n_hex"),
-        F.sha2(secrets.joined(F.col("base_spans")), 256).alias("base_sha256"),
-        secrets.joined(secrets.every()).alias("spans"),
+        F.sha2(secret_scan.joined(F.col("base_spans")), 256).alias("base_sha256"),
+        secret_scan.joined(secret_scan.every()).alias("spans"),
     )
 
 
