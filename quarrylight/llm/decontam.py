@@ -28,7 +28,7 @@ from quarrylight.llm.common import ship
 Q = 8
 RATE = 0.08
 #: Bytes of benchmark text in a block, and of documents looked at together.
-ITEMS, BLOCK = 4_000_000, 4_000_000
+ITEMS, BLOCK = 4_000_000, 1_000_000
 SIEVE = 22
 
 

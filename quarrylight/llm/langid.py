@@ -28,7 +28,7 @@ ROWS, CHARS, LANGUAGES, LETTERS = 400, 40_000, 64, 120
 UNDETERMINED = "und"
 STRIP = 256
 #: Characters parsed at once.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 GAP, STRANGE = 0, 1
 
 

@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import dac, decontam, langid, packing, secret_scan, simhash
+from quarrylight.llm import covertree, dac, decontam, langid, packing, passages, secret_scan, simhash, templates, toxicity
 from quarrylight.llm.common import crc_of_id
 from quarrylight.session import new_folder
 from quarrylight.sources.tables import read_table
 
 
+def op4_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.remove_repeated(read_table(spark, folder, "documents"))
+
+
 def byte_level() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
@@ -21,6 +25,14 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op1_html(spark: SparkSession, folder: str) -> DataFrame:
+    return templates.extract(read_table(spark, folder, "pages"))
+
+
+def op2_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return covertree.near_duplicates(read_table(spark, folder, "embeddings"), threshold=0.95)
+
+
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scan.scan(read_table(spark, folder, "documents").select("doc_id", "text"))
     number = lambda kind: F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long")
@@ -31,6 +43,17 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    held_out = (crc_of_id() % 5) == 0
+    labelled = docs.filter(~held_out).join(read_table(spark, folder, "labels").select("doc_id", "toxic"), "doc_id")
+    model = toxicity.fit(labelled, docs)
+    return toxicity.rate(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.transform("passages", lambda x: F.struct(x["begin"], x["end"])).alias("passages"),
+    )
+
+
 def op7_binary(spark: SparkSession, folder: str) -> DataFrame:
     """The files are written in the shared folder and read back; ids are checked by their crc32."""
     place = new_folder(spark, "ids")
@@ -58,8 +81,12 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html": op1_html,
+    "op2_embeddings": op2_embeddings,
     "op3_secrets": op3_secrets,
+    "op4_passages": op4_passages,
     "op5_simhash": op5_simhash,
+    "op6_toxicity": op6_toxicity,
     "op7_binary": op7_binary,
     "op8_language": op8_language,
     "op9_packing": op9_packing,

@@ -18,11 +18,11 @@ from tokenizers import Tokenizer, pre_tokenizers
 #: The pattern of byte-level tokenizers of this family (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a worker's memory before it is emptied.
-REMEMBERED = 900_000
+REMEMBERED = 650_000
 #: Marks that often end a word; the pattern cuts before them.
 ENDS = (".", ",")
 #: Characters handled at once.
-BLOCK = 4_000_000
+BLOCK = 3_000_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -107,8 +107,10 @@ class Encoder:
             found[i] = b"".join(map(known, parts))
         for i, ids in zip(odd, self._wholly([texts[i] for i in odd]), strict=True):
             found[i] = ids
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) > REMEMBERED:  # what words make up is soon put together again
+            self.known = {x: ids for x, ids in self.known.items() if x.isalpha()}
+        if len(self.known) > REMEMBERED * 3 // 4:
+            self.known = {}
         return found
 
     def _wholly(self, texts: list[str]) -> list[bytes]:
