@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 _WORD = r"[+-]?([iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])"
 DOT_NUMBER = rf"^({_WORD}|[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?)$"
 PREFIX_NUMBER = rf"^\s*({_WORD}|[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)"
+PREFIX_HEX = r"^\s*([+-]?)0[xX]([0-9a-fA-F]{1,15})"
 CSV_NUMBER = rf"^({_WORD}|[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)$"
 
 FLOAT_MAX = 3.4028234663852886e38
@@ -25,10 +26,19 @@ def parse_dot(text: Column) -> Column:
     return F.coalesce(F.when(dotted.rlike(DOT_NUMBER), _to_double(dotted)), F.lit(0.0))
 
 
+def whole_number(text: Column) -> Column:
+    """The text, less outer blanks, as a number of the dotted grammar; else null."""
+    bare = F.trim(F.translate(text, "\t\n\r", "   "))
+    return F.when(bare.rlike(DOT_NUMBER), _to_double(bare))
+
+
 def parse_prefix(text: Column) -> Column:
     """Commas and blanks are removed and the longest leading number counts, as a float, else 0."""
-    leading = F.regexp_extract(F.translate(text, ", ", ""), PREFIX_NUMBER, 1)
-    number = _to_double(leading)
+    kept = F.translate(text, ", ", "")
+    leading = F.regexp_extract(kept, PREFIX_NUMBER, 1)
+    digits = F.regexp_extract(kept, PREFIX_HEX, 2)
+    hexadecimal = F.conv(digits, 16, 10).cast("double") * F.when(F.regexp_extract(kept, PREFIX_HEX, 1) == "-", -1.0).otherwise(1.0)
+    number = F.when(digits != "", hexadecimal).otherwise(_to_double(leading))
     in_range = (F.abs(number) <= F.lit(FLOAT_MAX)) | leading.rlike("[iInN]")
     return F.when(in_range, number).otherwise(F.lit(0.0)).cast("float")
 
@@ -75,7 +85,7 @@ def leading_number(text: Column, decimals: int) -> Column:
     """Drop everything but digits and points, read the leading number, round; 0 if none."""
     kept = F.regexp_replace(text, r"[^0-9.]", "")
     number = F.nullif(F.regexp_extract(kept, r"^(\d+\.?\d*|\.\d+)", 1), F.lit("")).try_cast("double")
-    return F.round(F.coalesce(number, F.lit(0.0)), decimals)
+    return rounded(F.coalesce(number, F.lit(0.0)), decimals)
 
 
 def logistic_if_outside(value: Column) -> Column:
@@ -100,8 +110,48 @@ def exceeds(probability: Column, threshold: float = 0.5) -> Column:
     return probability > F.lit(threshold)
 
 
+def _scaled(value: Column, decimals: int) -> Column:
+    """|value| * 10^decimals as a whole double: the exact binary value rounded, ties to even.
+
+    The product is taken with its rounding error (both factors split in halves), which decides
+    whether the exact value lies below, on or above the middle. The exact power has no error.
+    """
+    size, power = F.abs(value), float(10**decimals)
+    high = 134217729.0 * size - (134217729.0 * size - size)
+    low = size - high
+    power_high = 134217729.0 * power - (134217729.0 * power - power)
+    power_low = power - power_high
+    product = size * power
+    error = ((high * power_high - product) + high * power_low + low * power_high) + low * power_low
+    whole = F.floor(product).cast("double")
+    beyond = (product - whole) - 0.5
+    up = (beyond > 0) | ((beyond == 0) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    return whole + F.when(up, 1.0).otherwise(0.0)
+
+
+def _bind(value: Column, expression) -> Column:
+    """expression of a value that is computed once."""
+    return F.get(F.transform(F.array(value.cast("double")), expression), F.lit(0))
+
+
+def rounded(value: Column, decimals: int) -> Column:
+    """The exact binary value rounded to so many decimals, ties to even; beyond 2^52 units nothing is left to round."""
+    def expression(x: Column) -> Column:
+        near = _scaled(x, decimals) / float(10**decimals)
+        return F.when(F.abs(x) * float(10**decimals) < 2.0**52, F.signum(x) * near).otherwise(x)
+    return _bind(value, expression)
+
+
 def fixed_text(value: Column, decimals: int) -> Column:
-    return F.format_string(f"%.{decimals}f", value.cast("double"))
+    """Fixed-point text of the exact binary value, ties to even: 2.675 is 2.67, 0.125 is 0.12."""
+    def expression(x: Column) -> Column:
+        units = _scaled(x, decimals).cast("bigint")
+        power = F.lit(10**decimals).cast("bigint")
+        whole = F.call_function("div", units, power).cast("string")
+        tail = F.concat(F.lit("."), F.lpad((units % power).cast("string"), decimals, "0")) if decimals else F.lit("")
+        text = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), whole, tail)
+        return F.when(F.abs(x) * float(10**decimals) < 2.0**52, text).otherwise(F.format_string(f"%.{decimals}f", x))
+    return _bind(value, expression)
 
 
 def _shortest(value: Column) -> Column:

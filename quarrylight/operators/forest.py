@@ -104,15 +104,21 @@ def train_and_evaluate(
     df: DataFrame, keys: list[str], target: str, features: tuple[list[str], list[str]] | None = None,
     order: list[str] | None = None, trees: int = CLASSIFIER_TREES, depth: int = CLASSIFIER_DEPTH, **balancing,
 ) -> tuple[PipelineModel, Preprocessing, DataFrame]:
-    """Select features, balance, split, fit and report. Returns (model, parameters, report)."""
+    """Select features, split, bound the train part, fit and report. Returns (model, parameters, report).
+
+    The report covers the whole test part; only the rows to fit on are bounded (sample_rows). All
+    classes stay in proportion unless small_class_rows asks for the rule that drops classes.
+    """
+    balancing = {"small_class_rows": 0} | balancing
     if features is None:
         _, numeric, categorical = select_features(df, target, order)
         numeric, categorical = ([c for c in part if c not in keys] for part in (numeric, categorical))
     else:
         numeric, categorical = features
     chosen = df.select(*dict.fromkeys([*keys, *numeric, *categorical, target]))
-    sampled = materialize(sampling.stratified_split(sampling.balance(chosen, keys, target, **balancing), keys, target))
-    train, test = spread(sampled.where("split = 'train'")), sampled.where("split = 'test'")
+    marked = materialize(sampling.stratified_split(chosen, keys, target))
+    train = spread(materialize(sampling.balance(marked.where("split = 'train'"), keys, target, **balancing)))
+    test = marked.where("split = 'test'")
     params = fit_preprocessing(train, numeric, categorical)
     model = fit_classifier(train, params, target, trees, depth)
     scored = materialize(model.transform(test).select(F.col(target).cast("int").alias("label"), F.col("prediction").cast("int").alias("guess")))

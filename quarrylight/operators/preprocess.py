@@ -37,8 +37,8 @@ class Preprocessing:
 
 
 def present_number(name: str) -> Column:
-    """The column as a double, NaN as null."""
-    value = F.col(f"`{name}`").cast("double")
+    """The column as a double; NaN and text that is no number are null."""
+    value = F.col(f"`{name}`").try_cast("double")
     return F.when(~F.isnan(value), value)
 
 
@@ -193,7 +193,7 @@ def preprocessing_stages(params: Preprocessing, output: str = "features", scale:
     """
     exprs = ["*"]
     for i, name in enumerate(params.numeric):
-        column = f"CAST({_quoted(name)} AS DOUBLE)"
+        column = f"TRY_CAST({_quoted(name)} AS DOUBLE)"
         value = f"COALESCE(NANVL({column}, NULL), {float(params.medians[name])!r}D)"
         if scale:
             value = f"({value} - ({params.means[name]!r}D)) / {params.scales[name]!r}D"

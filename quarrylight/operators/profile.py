@@ -157,15 +157,18 @@ def column_kinds(df: DataFrame, columns: list[str], order: list[str], probe_rows
 
 
 def select_features(
-    df: DataFrame, target: str | None = None, order: list[str] | None = None
+    df: DataFrame, target: str | None = None, order: list[str] | None = None, probe_rows: int | None = None
 ) -> tuple[str, list[str], list[str]]:
-    """(target, numeric features, categorical features) in table order."""
+    """(target, numeric features, categorical features) in table order.
+
+    Text is typed by the whole column unless probe_rows asks for the first rows in the given order.
+    """
     target = target or resolve_target(df)
     reasons = drop_reasons(df)
     usable = [c for c in df.columns if reasons[c] is None and c != target]
     if not usable:
         return target, [], []
-    kinds = {r["column"]: r["kind"] for r in column_kinds(df, usable, order or [df.columns[0]]).collect()}
+    kinds = {r["column"]: r["kind"] for r in column_kinds(df, usable, order or [df.columns[0]], probe_rows).collect()}
     return (
         target,
         [c for c in usable if kinds[c] == "numeric"],

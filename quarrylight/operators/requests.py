@@ -14,7 +14,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.functions.numbers import fixed_text, parse_dot, parse_prefix, shortest_text
+from quarrylight.functions.numbers import fixed_text, parse_dot, parse_prefix, shortest_text, whole_number
 from quarrylight.operators.preprocess import MISSING, Preprocessing, standardise
 from quarrylight.session import evaluate_once
 
@@ -86,6 +86,13 @@ def category_of(kind: Column, text: Column, mode: str) -> Column:
     )
 
 
+def _unsearchable(body: Column) -> Column:
+    """Bodies in which looking for `features` fails, or finds it where it can't be read: scalars and some text."""
+    kind = F.schema_of_variant(body)
+    named = F.try_variant_get(body, "$", "string").contains("features")
+    return F.coalesce(_is_number(kind) | kind.isin("BOOLEAN", "VOID") | ((kind == "STRING") & named), F.lit(False))
+
+
 def check_named(df: DataFrame, value: str, mode: str = "consistent") -> DataFrame:
     """Add `body` (variant), `status` and `error` (null if the request is well formed)."""
     _check_mode(mode)
@@ -96,8 +103,9 @@ def check_named(df: DataFrame, value: str, mode: str = "consistent") -> DataFram
         F.when(F.col("body").isNull(), NOT_JSON).when(features.isNull(), NO_FEATURES).when(~is_object, NOT_OBJECT)
     )
     # Only the 'prefix' service calls a features value of the wrong type a client error.
-    client = [NO_FEATURES, NOT_OBJECT] if mode == "prefix" else [NO_FEATURES]
-    status = F.when(error.isNull(), 200).when(error.isin(client), 400).otherwise(500)
+    client = error.isin(NO_FEATURES, NOT_OBJECT) if mode == "prefix" else (error == NO_FEATURES)
+    client = client & ~_unsearchable(F.col("body")) if mode == "dot" else client
+    status = F.when(error.isNull(), 200).when(client, 400).otherwise(500)
     return parsed.withColumns({"error": error, "status": status})
 
 
@@ -166,7 +174,7 @@ def parse_positional(df: DataFrame, value: str, width: int = 8, mode: str = "pre
         out = F.when(_is_number(kind), F.try_variant_get(item, "$", "double")).when(kind == "BOOLEAN", flag)
         if mode != "prefix":
             text = F.try_variant_get(item, "$", "string")
-            out = out.when(kind == "STRING", text.try_cast("double"))
+            out = out.when(kind == "STRING", whole_number(text))
             out = out.when(kind == "VOID", F.lit(float("nan")))
         return out.cast("float")
 
@@ -179,7 +187,7 @@ def parse_positional(df: DataFrame, value: str, width: int = 8, mode: str = "pre
         .when(F.col("_no_array") | bad, NOT_NUMERIC)
         .when(F.size("features") != width, WRONG_WIDTH)
     )
-    client = F.lit(True) if mode == "prefix" else error.isin(NO_FEATURES, WRONG_WIDTH)
+    client = F.lit(True) if mode == "prefix" else error.isin(NO_FEATURES, WRONG_WIDTH) & ~_unsearchable(F.col("body"))
     status = F.when(error.isNull(), 200).when(client, 400).otherwise(500)
     return out.withColumns({"error": error, "status": status}).drop("body", "_absent", "_no_array")
 

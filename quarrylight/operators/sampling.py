@@ -24,7 +24,9 @@ EDGE_ROWS = 1_000_000
 
 
 def _key_text(keys: list[str]) -> Column:
-    return F.concat_ws("-", *[F.col(f"`{k}`").cast("string") for k in keys])
+    """Key parts with their lengths, so that different keys, null parts included, have different texts."""
+    parts = [F.col(f"`{k}`").cast("string") for k in keys]
+    return F.concat(*[F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("~")) for p in parts])
 
 
 def row_hash(keys: list[str], seed: int = SEED) -> Column:

@@ -129,8 +129,8 @@ def service_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def summary_text(spark: SparkSession, sf: str) -> DataFrame:
-    """The parts of the shown summary whose text is free of rounding ties."""
-    return compare.service_summary(_bench(spark, sf)).select("service", "max_rps", "best_concurrency")
+    """The whole summary as shown."""
+    return compare.service_summary(_bench(spark, sf))
 
 
 def load_levels(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,7 +189,8 @@ def _reports(spark: SparkSession, sf: str) -> DataFrame:
     report = F.concat(
         F.lit("\nSummary:\n  Total:\t"), thousands, F.lit("\n  Average:\t"), number("l_quantity"),
         F.lit("ms\n  Requests/sec:\t"), F.format_number(F.col("l_extendedprice").cast("decimal(12,2)"), 2),
-        F.lit("\n\nLatency distribution:\n  50% in "), number("l_discount"), F.lit(" secs\n  95% in "), number("l_tax"),
+        F.lit("\n\nLatency distribution:\n  50% in "), number("l_discount"), F.lit(" secs\n  75% in "),
+        number("l_tax"), F.lit(" secs\n  90% in "), number("l_discount"), F.lit(" secs\n  95% in "), number("l_tax"),
         F.lit(" secs\n  99% in "), number("l_quantity"), F.lit(" secs\n"),
         F.when(F.col("l_linestatus") == "O", F.concat(F.lit("  Success:\t"), (F.col("l_partkey") % 1000).cast("string"), F.lit("\n"))).otherwise(""),
     )
@@ -198,7 +199,7 @@ def _reports(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def report_text_parse(spark: SparkSession, sf: str) -> DataFrame:
-    out = results.parse_reports(_reports(spark, sf)).drop("latency_p75", "latency_p90")
+    out = results.parse_reports(_reports(spark, sf))
     return _rounded(out, ["error_rate"])
 
 
@@ -362,7 +363,10 @@ SQL = {
         FROM b JOIN o USING (service) WHERE concurrency = best_concurrency GROUP BY service, max_rps, best_concurrency""",
     "summary_text": f"""
         WITH {_BENCH}, {_BEST} SELECT service, printf('%.1f', CAST(max_rps AS DOUBLE)) AS max_rps,
-        CAST(best_concurrency AS VARCHAR) AS best_concurrency FROM o""",
+        CAST(best_concurrency AS VARCHAR) AS best_concurrency, printf('%.2f', CAST(avg(latency_avg_ms) AS DOUBLE)) AS latency_avg_ms,
+        printf('%.2f', CAST(avg(latency_p99_ms) AS DOUBLE)) AS latency_p99_ms, printf('%.1f', CAST(avg(cpu_percent) AS DOUBLE)) AS cpu_percent,
+        printf('%.0f', CAST(avg(mem_mb) AS DOUBLE)) AS mem_mb, printf('%.2f', CAST(avg(error_rate) AS DOUBLE)) AS error_rate
+        FROM b JOIN o USING (service) WHERE concurrency = best_concurrency GROUP BY service, max_rps, best_concurrency""",
     "load_levels": f"WITH {_BENCH} SELECT DISTINCT concurrency FROM b ORDER BY 1",
     "cpu_deltas": _cpu_sql("(u + s + i + w)"),
     "cpu_deltas_with_interrupts": _cpu_sql("(u + s + i + w + k + 1)"),
@@ -375,7 +379,7 @@ SQL = {
     "report_text_parse": """
         WITH r AS (SELECT *, 1000.0 + l_partkey % 1000 AS total, CASE WHEN l_linestatus = 'O' THEN CAST(l_partkey % 1000 AS DOUBLE) END AS good FROM lineitem)
         SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS rps, l_quantity AS latency_avg,
-               l_discount AS latency_p50, l_tax AS latency_p95, l_quantity AS latency_p99, CAST(total AS DOUBLE) AS total_requests,
+               l_discount AS latency_p50, l_tax AS latency_p75, l_discount AS latency_p90, l_tax AS latency_p95, l_quantity AS latency_p99, CAST(total AS DOUBLE) AS total_requests,
                good AS success_requests, round(CASE WHEN good IS NULL THEN 0 ELSE (1.0 - good / total) * 100 END, 6) AS error_rate,
                CASE WHEN good IS NULL THEN 0.0 ELSE 100 - floor(good * 100 / total) END AS error_rate_cut FROM r""",
     "report_files": """

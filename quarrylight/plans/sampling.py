@@ -38,9 +38,17 @@ def balance_dropping_middle(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def split_null_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """A key whose parts may be null: (1, null) and (null, 1) are different rows."""
+    rows = read_table(spark, sf, "orders").selectExpr(
+        "CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS even", "CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey - 1 END AS odd"
+    )
+    return sampling.random_split(rows, ["even", "odd"])
+
+
 QUERIES = {
     f.__name__: f
-    for f in (split_random, split_stratified, balance_stratified, balance_undersample, balance_dropping_middle)
+    for f in (split_null_keys, split_random, split_stratified, balance_stratified, balance_undersample, balance_dropping_middle)
 }
 
 
@@ -68,25 +76,35 @@ def _balance_sql(table: str, columns: str, target: str, key: str, rows: int, sma
             ELSE place <= (SELECT quota FROM q WHERE q.k = r.{target}) END"""
 
 
-_LINE = " || '-' || ".join(f"CAST({c} AS VARCHAR)" for c in LINE_KEY)
+def _key(*columns: str) -> str:
+    """The text of a key: each part with its length, `~` for a null part."""
+    part = "coalesce(length(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '~')"
+    return " || ".join(part.format(c) for c in columns)
+
+
+_LINE = _key(*LINE_KEY)
 
 SQL = {
-    "split_random": """
-        SELECT o_orderkey, o_orderstatus, CASE WHEN row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':42'), o_orderkey)
+    "split_null_keys": f"""
+        WITH o AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS even, CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey - 1 END AS odd FROM orders)
+        SELECT even, odd, CASE WHEN row_number() OVER (ORDER BY md5({_key("even", "odd")} || ':42'), {_key("even", "odd")})
+               <= ceil(0.2 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM o""",
+    "split_random": f"""
+        SELECT o_orderkey, o_orderstatus, CASE WHEN row_number() OVER (ORDER BY md5({_key("o_orderkey")} || ':42'), o_orderkey)
                <= ceil(0.2 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM orders""",
     "split_stratified": f"""
         WITH {_quotas("orders", "o_orderstatus", "ceil(0.2 * sum(n))")},
         r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus
-                     ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':42'), o_orderkey) AS place FROM orders)
+                     ORDER BY md5({_key("o_orderkey")} || ':42'), o_orderkey) AS place FROM orders)
         SELECT o_orderkey, o_orderstatus, CASE WHEN place <= quota THEN 'test' ELSE 'train' END AS split
         FROM r JOIN q ON q.k = r.o_orderstatus""",
     "balance_stratified": _balance_sql(
         "lineitem", ", ".join([*LINE_KEY, "l_returnflag"]), "l_returnflag", _LINE, 50_000, 1000, 20
     ),
     "balance_undersample": _balance_sql(
-        "labels", "doc_id, quality, toxic", "quality", "CAST(doc_id AS VARCHAR)", 50, 1000, 3
+        "labels", "doc_id, quality, toxic", "quality", _key("doc_id"), 50, 1000, 3
     ),
     "balance_dropping_middle": _balance_sql(
-        "orders", "o_orderkey, o_orderstatus", "o_orderstatus", "CAST(o_orderkey AS VARCHAR)", 1000, 1_000_000, 1
+        "orders", "o_orderkey, o_orderstatus", "o_orderstatus", _key("o_orderkey"), 1000, 1_000_000, 1
     ),
 }

@@ -11,13 +11,14 @@ from quarrylight.session import evaluate_once
 
 
 # A result file or folder of files, and the service named in it.
-RUN_PATTERN = r"^(.*/([a-z]+)_benchmark_[^/]*)"
+RUN_PATTERN = r"^(.*/([^/]+?)_benchmark_[^/]*)"
 
 
 def newest_files(spark: SparkSession, folder: str, run_pattern: str = RUN_PATTERN) -> DataFrame:
     """(service, path, modified): the most recently changed run of each service.
 
     Only lists the files. A run without rows can be the newest one; it then gives no result rows.
+    Files without the marker in their name are no results.
     """
     files = spark.read.format("binaryFile").options(pathGlobFilter="*.csv", recursiveFileLookup=True).load(folder)
     runs = files.select(

@@ -163,3 +163,9 @@ def test_class_weights(spark, learnable):
     weights = {r["Label"]: r["weight"] for r in forest.class_weights(learnable, "Label").collect()}
     ones = learnable.where("Label = 1").count()
     assert weights[1] == pytest.approx(600 / (2 * ones)) and weights[0] == pytest.approx(600 / (2 * (600 - ones)))
+
+
+def test_whole_column_decides_the_kind(spark):
+    rows = spark.range(400).selectExpr("id % 7 as a", "CASE WHEN id = 250 THEN 'x' ELSE string(id % 5) END as t", "int(id % 2) as Label")
+    assert profile.select_features(rows, "Label") == ("Label", ["a"], ["t"])
+    assert profile.select_features(rows, "Label", ["a"], probe_rows=10)[1] == ["a", "t"]

@@ -80,3 +80,21 @@ def test_times(spark):
         times.seconds_between(F.col("a"), F.col("b")).alias("s"), times.epoch_micros(F.col("a")).alias("m")
     ).first()
     assert row["s"] == 7199.5 and row["m"] == 1711848600500000
+
+
+@pytest.mark.parametrize(
+    "value, decimals",
+    [(2.675, 2), (0.125, 2), (0.25, 1), (0.0078125, 6), (0.045, 2), (1.005, 2), (-0.001, 2), (2.5, 0), (3.5, 0), (1e15, 2),
+     (123456.785, 2), (0.5, 0), (99.995, 2), (1e-9, 6)],
+)
+def test_fixed_text_rounds_the_exact_binary_value(spark, value, decimals):
+    row = spark.range(1).select(
+        numbers.fixed_text(F.lit(value), decimals).alias("text"), numbers.rounded(F.lit(value), decimals).alias("number")
+    ).first()
+    assert row["text"] == f"{value:.{decimals}f}"
+    assert row["number"] == round(value, decimals)
+
+
+def test_hexadecimal_prefix(spark):
+    row = spark.range(1).select(numbers.parse_prefix(F.lit("0x1A")).alias("a"), numbers.parse_prefix(F.lit("-0Xff z")).alias("b")).first()
+    assert (row["a"], row["b"]) == (26.0, -255.0)

@@ -188,3 +188,8 @@ def test_r2_of_constant_target(spark):
     rows = spark.createDataFrame([(1.0, 1.0), (1.0, 1.0)], "y double, p double")
     assert metrics.regression_metrics(rows, "y", "p").first()["r2"] == 1.0
     assert metrics.regression_metrics(rows.withColumn("p", F.lit(2.0)), "y", "p").first()["r2"] == 0.0
+
+
+def test_service_names_with_digits(spark, tmp_path):
+    (tmp_path / "go-1_B_benchmark_1.csv").write_text("concurrency\n1\n")
+    assert [r["service"] for r in results.newest_files(spark, str(tmp_path)).collect()] == ["go-1_B"]

@@ -134,3 +134,10 @@ def test_payload_keeps_names_and_drops_nulls(spark):
     rows = spark.createDataFrame([(2, 1.5, None), (1, None, "a")], "i int, x double, c string")
     assert json.loads(rq.sample_payload(rows, ["i"], ["x"], ["c"]).first()[0]) == {"features": {"c": "a"}}
     assert rq.payload(rows, ["x"], ["c"]).where(F.col("i") == 2).first()["payload"] == '{"features":{"x":1.5}}'
+
+
+def test_positional_dot_reads_whole_numbers_and_rejects_scalars(spark):
+    bodies = ['{"features": ["1d"]}', '{"features": [" 1_0.5 "]}', "5", '"features"', '"other"', "true", "[1]"]
+    rows = spark.createDataFrame([(b,) for b in bodies], "value string")
+    found = {r["value"]: r["status"] for r in rq.parse_positional(rows, "value", 1, "dot").collect()}
+    assert [found[b] for b in bodies] == [500, 200, 500, 500, 400, 500, 400]
