@@ -46,8 +46,8 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
     held_out = (crc_of_id() % 5) == 0
-    labelled = docs.filter(~held_out).join(read_table(spark, folder, "labels").select("doc_id", "toxic"), "doc_id")
-    model = toxicity.fit(labelled, docs)
+    labels = read_table(spark, folder, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.filter(~held_out), labels.filter(~held_out), docs)
     return toxicity.rate(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
         F.transform("passages", lambda x: F.struct(x["begin"], x["end"])).alias("passages"),

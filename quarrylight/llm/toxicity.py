@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 from quarrylight.llm.common import land, ship
 
 #: Bounds of the labelled sample (rows of each class) and of the kept features.
-ROWS, FEATURES = 12_000, 50_000
+ROWS, FEATURES = 6_000, 50_000
 #: Least toxic texts of a feature, least standard errors, weight of the prior (in texts) and its flat part.
 SEEN, ERRORS, PRIOR, FLAT = 4, 3.2, 10.0, 0.5
 #: Entries of the counts that are no features: texts and words.
 TEXTS, WORDS = "", "*"
 STEMS = (5, 4)
 LONGEST = 64
+#: Words whose score a worker remembers.
+REMEMBERED = 300_000
 EULER = 0.5772156649015329
 words_of = re.compile(r"[^\W\d_]+").findall
 
@@ -52,17 +54,16 @@ class Model:
     log_k: float = 0.0
     slope: float = 0.0
     base: float = -1.0
+    memory: dict[str, float] = field(default_factory=dict, repr=False, compare=False)
 
     def word_scores(self, words: list[str]) -> list[tuple[int, float]]:
         """(position, score) of the words that have a kept feature."""
-        found, known, memory = [], self.scores, {}
-        for at, word in enumerate(words):
-            score = memory.get(word)
-            if score is None:
-                score = memory[word] = next((known[x] for x in features(word) if x in known), 0.0)
-            if score:
-                found.append((at, score))
-        return found
+        memory, known = self.memory, self.scores
+        if len(memory) > REMEMBERED:
+            memory.clear()
+        for word in set(words).difference(memory):
+            memory[word] = next((known[x] for x in features(word) if x in known), 0.0)
+        return [(at, score) for at, score in enumerate(map(memory.__getitem__, words)) if score]
 
     def passages(self, text: str) -> tuple[list[tuple[int, int, float, float]], int]:
         """Significant passages (first word, end, score, evidence) of a text, and its number of words."""
@@ -150,25 +151,31 @@ def _background(wanted):
     return run
 
 
-def fit(labelled: DataFrame, corpus: DataFrame, rows: int = ROWS) -> Model:
-    """Learn from (text, toxic) rows, at most `rows` of each class, and from the words of all of `corpus`.
+def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, rows: int = ROWS) -> Model:
+    """Learn from the texts of `docs` (doc_id, text) that `labels` (doc_id, toxic) marks 0 or 1, at most
+    `rows` of each class, drawn by a hash of their ids, and from the words of all of `corpus` (text).
 
-    Rows with a null text or label are not learned from. Without toxic rows nothing is toxic.
+    Rows with a null id, text or label are not learned from. Without both classes nothing is toxic.
     """
-    spark = labelled.sparkSession
+    spark = docs.sparkSession
     ship(spark)
-    usable = labelled.filter("text is not null and toxic in (0, 1)").select(F.col("toxic").cast("int").alias("toxic"), "text")
-    usable = land(usable.dropDuplicates(["toxic", "text"]), "labelled")
-    totals = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    marked = labels.filter("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    totals = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     if 1 not in totals or 0 not in totals:
         return Model()
     drawn = None
     for toxic, n in totals.items():
-        part = usable.filter(
-            (F.col("toxic") == toxic) & (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < min(1.0, 0.95 * rows / n) * (1 << 30))
+        part = marked.filter(
+            (F.col("toxic") == toxic) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1.0, 0.95 * rows / n) * (1 << 30))
         ).limit(rows)
         drawn = part if drawn is None else drawn.unionAll(part)
-    drawn = land(drawn, "drawn")
+    texts = docs.filter("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    drawn = land(
+        texts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["toxic", "text"]).select("toxic", "text"),  # bounded by rows
+        "drawn",
+    )
+    if drawn.select("toxic").distinct().count() < 2:
+        return Model()
 
     counts = drawn.mapInArrow(_count, "feature string, toxic long, clean long").groupBy("feature").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
