@@ -1,70 +1,66 @@
 """Row numbers, running totals and previous-row values over an order no single task can hold.
 
 A window without partition keys, or with a hot key, moves its whole partition to one task. Here
-the order is cut into buckets at sketched quantiles; windows run inside the buckets and a small
-table carries totals or last rows from bucket to bucket.
+the table is cut into ranges of the whole order, ties included; windows run inside the ranges and
+a small table, one row for each range, carries totals or last rows across.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarrylight.functions.times import epoch_micros
-from quarrylight.operators.percentiles import SKETCH_ROWS
-from quarrylight.session import null_safe_join, small_side
+from quarrylight.session import materialize, small_side
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 10_000
+# Ranges whose totals are carried together: carrying takes two levels, so no task sees all ranges' rows.
+CARRY_GROUP = 10_000
 
 
-def _order_number(df: DataFrame, name: str) -> Column:
-    column, dtype = F.col(f"`{name}`"), dict(df.dtypes)[name]
-    if dtype == "date":
-        column, dtype = column.cast("timestamp_ntz"), "timestamp_ntz"
-    return (epoch_micros(column, dtype) if dtype.startswith("timestamp") else column).cast("double")
+def _tie_break(df: DataFrame) -> Column:
+    """A hash of the row, so that rows with equal order values have an order and can be cut apart."""
+    plain = [name for name, dtype in df.dtypes if "map<" not in dtype and dtype != "variant"]
+    return F.xxhash64(*[F.col(f"`{name}`") for name in plain])
 
 
-def _quantile_cuts(df: DataFrame, column: str, buckets: int, rows: int) -> list[float]:
-    """Cuts into about equal buckets; a sample will do, and keeps the merged sketches small."""
-    shares = F.expr("array(" + ", ".join(f"{i / buckets!r}D" for i in range(1, buckets)) + ")")
-    sample = df if rows <= SKETCH_ROWS else df.sample(SKETCH_ROWS / rows, seed=1)
-    row = sample.agg(F.percentile_approx(column, shares, min(10 * buckets, 100_000)).alias("q")).first()
-    return list(row["q"] or [])
+def order_buckets(df: DataFrame, order: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, int]:
+    """The table with `_tie` and `_bucket`, and the number of buckets.
 
+    Buckets are ranges of (order, `_tie`) as Spark sorts them: any type of column, missing values
+    first. Only rows alike in every column cannot be cut apart.
+    """
+    tied = df.withColumn("_tie", _tie_break(df))
+    buckets = max(1, math.ceil(df.count() / rows_per_bucket))
+    if buckets == 1:
+        return tied.withColumn("_bucket", F.lit(0)), 1
+    ranged = tied.repartitionByRange(buckets, *order, "_tie").withColumn("_bucket", F.spark_partition_id())
+    return materialize(ranged), buckets
 
-def _bucketize(df: DataFrame, column: str, cuts: list[float], output: str) -> DataFrame:
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
-    return Bucketizer(splits=splits, inputCol=column, outputCol=output, handleInvalid="keep").transform(df)
 
+def _plus(value: Column, carried: Column) -> Column:
+    """The sum of what is there; null if neither is."""
+    zero = F.lit(0)
+    return F.when(value.isNotNull() | carried.isNotNull(), F.coalesce(value, zero) + F.coalesce(carried, zero))
 
-def order_buckets(df: DataFrame, order: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Add `_major` and `_minor`, whose order agrees with the given (number or time, tie-break) order.
 
-    An order value frequent enough to fill buckets on its own gets a bucket of its own, which the
-    tie-break column then cuts further.
-    """
-    total = df.count()
-    buckets = max(1, min(MAX_BUCKETS, math.ceil(total / rows_per_bucket)))
-    if buckets == 1:
-        return df.withColumns({"_major": F.lit(0.0), "_minor": F.lit(0.0)})
-    first = df.withColumn("_o", _order_number(df, order[0]))
-    cuts = _quantile_cuts(first, "_o", buckets, total)
-    hot = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
-    above = [math.nextafter(value, math.inf) for value in hot]
-    out = _bucketize(first, "_o", cuts + above, "_major")
-    if hot and len(order) > 1:
-        out = out.withColumn("_t", _order_number(df, order[1]))
-        ties = out.where(F.col("_o").isin(hot))
-        out = _bucketize(out, "_t", _quantile_cuts(ties, "_t", buckets, total), "_minor").drop("_t")
-        out = out.withColumn("_minor", F.when(F.col("_o").isin(hot), F.col("_minor")).otherwise(0.0))
-    else:
-        out = out.withColumn("_minor", F.lit(0.0))
-    return out.drop("_o")
+def _totals_before(bucketed: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """(_bucket, _c_0, _c_1, ...): rows and sums of all earlier buckets."""
+    totals = materialize(
+        bucketed.groupBy("_bucket").agg(
+            F.count(F.lit(1)).alias("_s_0"), *[F.sum(c).alias(f"_s_{i}") for i, c in enumerate(sums.values(), 1)]
+        ).withColumn("_group", F.floor(F.col("_bucket") / CARRY_GROUP))
+    )
+    places = range(len(sums) + 1)
+    groups = totals.groupBy("_group").agg(*[F.sum(f"_s_{i}").alias(f"_t_{i}") for i in places])
+    earlier = W.orderBy("_group").rowsBetween(W.unboundedPreceding, -1)
+    groups = groups.select("_group", *[F.sum(f"_t_{i}").over(earlier).alias(f"_g_{i}") for i in places])
+    before = W.partitionBy("_group").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    return totals.join(groups, "_group").select(
+        "_bucket", *[_plus(F.sum(f"_s_{i}").over(before), F.col(f"_g_{i}")).alias(f"_c_{i}") for i in places]
+    )
 
 
 def running_totals(
@@ -74,28 +70,23 @@ def running_totals(
     sums: dict[str, str] | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Global row number and running sums of columns over the given order."""
+    """Global row number and running sums of columns over the given order.
+
+    Missing order values come first. A running sum is null until the column's first value.
+    """
     sums = sums or {}
-    bucketed = order_buckets(df, order, rows_per_bucket)
-    # At most MAX_BUCKETS rows per level: the window without keys runs over this small table only.
-    totals = bucketed.groupBy("_major", "_minor").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(column).alias(f"_s_{name}") for name, column in sums.items()]
-    )
-    before = W.orderBy("_major", "_minor").rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select(
-        "_major",
-        "_minor",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_c_n"),
-        *[F.coalesce(F.sum(f"_s_{name}").over(before), F.lit(0)).alias(f"_c_{name}") for name in sums],
-    )
-    inside = W.partitionBy("_major", "_minor").orderBy(*order)
+    out, buckets = order_buckets(df, order, rows_per_bucket)
+    inside = W.partitionBy("_bucket").orderBy(*order, "_tie")
     to_here = inside.rowsBetween(W.unboundedPreceding, 0)
-    out = null_safe_join(bucketed, small_side(carried), ["_major", "_minor"])
-    added = {name: F.sum(column).over(to_here) + F.col(f"_c_{name}") for name, column in sums.items()}
+    found = {name: F.sum(column).over(to_here) for name, column in sums.items()}
     if number:
-        added[number] = F.row_number().over(inside) + F.col("_c_n")
-    helpers = ["_major", "_minor", "_c_n", *[f"_c_{name}" for name in sums]]
-    return out.withColumns(added).drop(*helpers)
+        found[number] = F.row_number().over(inside).cast("bigint")
+    if buckets > 1:
+        carried = small_side(_totals_before(out, sums))
+        place = {name: i for i, name in enumerate(sums, 1)} | ({number: 0} if number else {})
+        out = out.join(carried, "_bucket")
+        found = {name: _plus(value, F.col(f"_c_{place[name]}")) for name, value in found.items()}
+    return out.withColumns(found).drop("_tie", "_bucket", *[f"_c_{i}" for i in range(len(sums) + 1)])
 
 
 def previous_values(
@@ -105,21 +96,24 @@ def previous_values(
     columns: dict[str, str],
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """`columns` maps new names to columns whose value in the previous row of the run is wanted."""
-    bucketed = order_buckets(df, order, rows_per_bucket)
-    cell = [*run, "_major", "_minor"]
-    last = F.max_by(F.struct(*[F.col(c).alias(n) for n, c in columns.items()]), F.struct(*order))
-    tails = bucketed.groupBy(*cell).agg(last.alias("_tail"))
-    # One row per run and bucket, so a run's window holds at most MAX_BUCKETS rows.
-    carried = tails.select(
-        *cell, F.lag("_tail").over(W.partitionBy(*run).orderBy("_major", "_minor")).alias("_carry")
-    )
-    inside = W.partitionBy(*cell).orderBy(*order)
-    out = bucketed.withColumns(
-        {"_row": F.row_number().over(inside), "_prev": F.lag(F.struct(*[F.col(c).alias(n) for n, c in columns.items()])).over(inside)}
-    )
-    out = null_safe_join(out, carried, cell, "left")
-    value = F.when(F.col("_row") == 1, F.col("_carry")).otherwise(F.col("_prev"))
-    return out.withColumns({name: value[name] for name in columns}).drop(
-        "_major", "_minor", "_row", "_prev", "_carry"
-    )
+    """`columns` maps new names to columns whose value in the previous row of the run is wanted.
+
+    Buckets are ranges of (run, order), so a run lies in one bucket or in neighbours, and only the
+    first row of a bucket can have its predecessor elsewhere: in the last row of the one before.
+    """
+    out, buckets = order_buckets(df, [*run, *order], rows_per_bucket)
+    values = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
+    inside = W.partitionBy("_bucket", *run).orderBy(*order, "_tie")
+    out = out.withColumn("_prev", F.lag(values).over(inside))
+    value = F.col("_prev")
+    if buckets > 1:
+        of_run = F.struct(*[F.col(c).alias(f"r{i}") for i, c in enumerate(run)])
+        tails = out.groupBy("_bucket").agg(
+            F.max_by(F.struct(of_run.alias("run"), values.alias("values")), F.struct(*run, *order, "_tie")).alias("_tail")
+        )
+        # One row for each bucket.
+        carried = tails.select("_bucket", F.lag("_tail").over(W.orderBy("_bucket")).alias("_carry"))
+        out = out.join(small_side(carried), "_bucket")
+        first = (F.row_number().over(inside) == 1) & F.col("_carry.run").eqNullSafe(of_run)
+        out = out.withColumn("_prev", F.when(first, F.col("_carry.values")).otherwise(value))
+    return out.withColumns({name: F.col("_prev")[name] for name in columns}).drop("_tie", "_bucket", "_prev", "_carry")

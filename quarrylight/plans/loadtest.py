@@ -9,7 +9,7 @@ from quarrylight.functions.times import epoch_seconds
 from quarrylight.operators import compare, loadlog, metrics, resources
 from quarrylight.session import evaluate_once, new_folder
 from quarrylight.sources import results
-from quarrylight.sources.tables import append_csv, read_csv, read_table
+from quarrylight.sources.tables import append_csv, read_csv, read_table, write_summary
 
 LEVEL = ["event_type", "concurrency"]
 
@@ -226,6 +226,34 @@ def benchmark_append(spark: SparkSession, sf: str) -> DataFrame:
     return read_csv(spark, folder).select("service", F.col("concurrency").cast("bigint").alias("concurrency"), "rps")
 
 
+def samples_from_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Resource samples written as CSV, one folder for each run, read back and averaged.
+
+    Blank figures are missing and stay out of the means.
+    """
+    folder = new_folder(spark, "samples")
+    header = results.SAMPLES_V2.split(",")
+    log = _log(spark, sf)
+    figures = [c for c in header if c != "timestamp"]
+    wanted = {c: F.when(F.col("k") % 5 > 0, F.col("k") + i).cast("string") for i, c in enumerate(figures)}
+    samples = log.select(F.col("event_type").alias("run"), F.col("ts").cast("string").alias("timestamp"),
+                         *[v.alias(c) for c, v in wanted.items()])
+    samples.select("run", *header).write.partitionBy("run").option("header", True).csv(folder)
+    read = results.read_samples(spark, folder).withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), "/run=([^/]+)/", 1))
+    return read.groupBy("run").agg(F.count(F.lit(1)).alias("samples"), *[F.round(F.avg(c), 6).alias(c) for c in figures])
+
+
+def summary_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The shown summary written as CSV and as Parquet and read back; both hold the same rows."""
+    shown = compare.service_summary(_bench(spark, sf))
+    names, folder = shown.columns, new_folder(spark, "summary")
+    write_summary(shown, f"{folder}/csv", "csv")
+    write_summary(shown, f"{folder}/parquet")
+    text = spark.read.option("header", True).csv(f"{folder}/csv").withColumn("form", F.lit("csv"))
+    table = spark.read.parquet(f"{folder}/parquet").withColumn("form", F.lit("parquet"))
+    return text.unionByName(table).select("form", *[F.col(c).cast("string").alias(c) for c in names])
+
+
 def newest_file(spark: SparkSession, sf: str) -> DataFrame:
     """Two generations of result files per service; the newer ones are found, read and cleaned."""
     folder = new_folder(spark, "generations")
@@ -272,7 +300,7 @@ QUERIES = {
         load_summary, request_sequence, running_health, health, clean_benchmark, best_level, speedup_by_level,
         overall_speedup, efficiency, latency_long, service_summary, summary_text, load_levels, cpu_deltas,
         cpu_deltas_with_interrupts, resource_usage, process_usage, report_text_parse, report_files, benchmark_append,
-        newest_file, binary_report, class_report_many, accuracy, regression_metrics,
+        samples_from_files, summary_roundtrip, newest_file, binary_report, class_report_many, accuracy, regression_metrics,
     )
 }
 
@@ -309,6 +337,13 @@ def _report_sql(table: str, label: str, guess: str) -> str:
                      THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1, support FROM x)"""
 
 
+_SHOWN = f"""
+        WITH {_BENCH}, {_BEST} SELECT service, printf('%.1f', CAST(max_rps AS DOUBLE)) AS max_rps,
+        CAST(best_concurrency AS VARCHAR) AS best_concurrency, printf('%.2f', CAST(avg(latency_avg_ms) AS DOUBLE)) AS latency_avg_ms,
+        printf('%.2f', CAST(avg(latency_p99_ms) AS DOUBLE)) AS latency_p99_ms, printf('%.1f', CAST(avg(cpu_percent) AS DOUBLE)) AS cpu_percent,
+        printf('%.0f', CAST(avg(mem_mb) AS DOUBLE)) AS mem_mb, printf('%.2f', CAST(avg(error_rate) AS DOUBLE)) AS error_rate
+        FROM b JOIN o USING (service) WHERE concurrency = best_concurrency GROUP BY service, max_rps, best_concurrency"""
+
 SQL = {
     "load_summary": f"""
         WITH {_LOG}, s AS (SELECT event_type, concurrency, min(ts) AS start FROM g GROUP BY 1, 2),
@@ -361,12 +396,8 @@ SQL = {
                round(avg(latency_p99_ms), 4) AS latency_p99_ms, round(avg(cpu_percent), 4) AS cpu_percent,
                round(avg(mem_mb), 4) AS mem_mb, round(avg(error_rate), 4) AS error_rate
         FROM b JOIN o USING (service) WHERE concurrency = best_concurrency GROUP BY service, max_rps, best_concurrency""",
-    "summary_text": f"""
-        WITH {_BENCH}, {_BEST} SELECT service, printf('%.1f', CAST(max_rps AS DOUBLE)) AS max_rps,
-        CAST(best_concurrency AS VARCHAR) AS best_concurrency, printf('%.2f', CAST(avg(latency_avg_ms) AS DOUBLE)) AS latency_avg_ms,
-        printf('%.2f', CAST(avg(latency_p99_ms) AS DOUBLE)) AS latency_p99_ms, printf('%.1f', CAST(avg(cpu_percent) AS DOUBLE)) AS cpu_percent,
-        printf('%.0f', CAST(avg(mem_mb) AS DOUBLE)) AS mem_mb, printf('%.2f', CAST(avg(error_rate) AS DOUBLE)) AS error_rate
-        FROM b JOIN o USING (service) WHERE concurrency = best_concurrency GROUP BY service, max_rps, best_concurrency""",
+    "summary_text": _SHOWN,
+    "summary_roundtrip": f"SELECT * FROM (SELECT unnest(['csv', 'parquet']) AS form), ({_SHOWN})",
     "load_levels": f"WITH {_BENCH} SELECT DISTINCT concurrency FROM b ORDER BY 1",
     "cpu_deltas": _cpu_sql("(u + s + i + w)"),
     "cpu_deltas_with_interrupts": _cpu_sql("(u + s + i + w + k + 1)"),
@@ -385,6 +416,9 @@ SQL = {
     "report_files": """
         SELECT event_type AS service, CAST(count(*) AS DOUBLE) AS rps, CAST(max(event_id) AS DOUBLE) AS total_requests,
                CAST(0 AS DOUBLE) AS error_rate FROM events GROUP BY 1""",
+    "samples_from_files": f"""
+        WITH {_LOG} SELECT event_type AS run, count(*) AS samples, round(avg(CASE WHEN k % 5 > 0 THEN k END), 6) AS cpu_percent,
+        round(avg(CASE WHEN k % 5 > 0 THEN k + 1 END), 6) AS mem_mb FROM g GROUP BY 1""",
     "benchmark_append": f"WITH {_BENCH} SELECT service, concurrency, round(max(rps), 3) AS rps FROM b GROUP BY 1, 2",
     "newest_file": f"""
         WITH {_BENCH} SELECT service, count(*) AS "rows", round(max(rps), 6) AS max_rps FROM b WHERE concurrency > 0 GROUP BY 1""",

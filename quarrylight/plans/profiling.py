@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylight.operators import profile, sampling
@@ -113,6 +114,29 @@ def whole_column_types(spark: SparkSession, sf: str) -> DataFrame:
     return profile.column_kinds(texts, texts.columns, ["o_orderkey"], probe_rows=None)
 
 
+def select_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Usable features of the orders as text, typed by whole columns.
+
+    `late` is a number but for the dearest orders, `blank` is empty text now and then, `gaps` is
+    mostly missing, `date` is denied by name and the key has too many different values.
+    """
+    orders = read_table(spark, sf, "orders")
+    digit = F.regexp_extract("o_orderpriority", r"^(\d)", 1)
+    table = orders.select(
+        F.col("o_orderkey").cast("string").alias("o_orderkey"),
+        digit.alias("level"),
+        F.when(F.col("o_totalprice") == F.max("o_totalprice").over(W.partitionBy("o_orderstatus")), "x").otherwise(digit).alias("late"),
+        F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(digit).alias("blank"),
+        F.when(F.col("o_orderkey") % 2 == 0, digit).alias("gaps"),
+        digit.alias("date"),
+        "o_orderpriority",
+        F.col("o_orderstatus").alias("Label"),
+    )
+    target, numeric, categorical = profile.select_features(table)
+    chosen = [(c, "numeric") for c in numeric] + [(c, "categorical") for c in categorical] + [(target, "target")]
+    return spark.createDataFrame(chosen, "column string, kind string")
+
+
 def class_counts(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.class_counts(read_table(spark, sf, "lineitem"), "l_returnflag")
 
@@ -130,7 +154,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         profile_columns, profile_with_nulls, drop_reasons, table_shape, target_and_features, feature_types,
-        whole_column_types, class_counts, class_shares, class_extremes,
+        whole_column_types, select_features, class_counts, class_shares, class_extremes,
     )
 }
 
@@ -139,7 +163,26 @@ _LOG_COLUMNS = {
     for c in ("event_id", "Timestamp", "user_id", "Attack", "amount", "peer", "ratio")
 }
 
+_ORDERS = """(SELECT o_orderkey, regexp_extract(o_orderpriority, '^(\\d)', 1) AS level,
+    CASE WHEN o_totalprice = max(o_totalprice) OVER (PARTITION BY o_orderstatus) THEN 'x' ELSE level END AS late,
+    CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE level END AS blank, CASE WHEN o_orderkey % 2 = 0 THEN level END AS gaps,
+    o_orderpriority FROM orders)"""
+
+
+def _select_sql(column: str) -> str:
+    """Empty text parses as a missing number, so it leaves a column numeric."""
+    return (
+        f"SELECT '{column}' AS \"column\", CASE WHEN bool_and(regexp_matches(nullif(trim(CAST({column} AS VARCHAR)), ''), '{_NUMBER}')) "
+        f"THEN 'numeric' ELSE 'categorical' END AS kind FROM {_ORDERS} "
+        f"HAVING count(DISTINCT {column}) <= 0.5 * count(*) AND count(*) - count({column}) <= 0.3 * count(*)"
+    )
+
+
 SQL = {
+    "select_features": " UNION ALL ".join(
+        [_select_sql(c) for c in ("o_orderkey", "level", "late", "blank", "gaps", "o_orderpriority")]
+        + ["SELECT 'Label', 'target'"]
+    ),
     "profile_columns": _profile_sql("lineitem", {c: c for c in LINEITEM}),
     "profile_with_nulls": _profile_sql(LOG_SQL, _LOG_COLUMNS),
     "drop_reasons": f'SELECT "column", drop_reason FROM ({_profile_sql(LOG_SQL, _LOG_COLUMNS)})',

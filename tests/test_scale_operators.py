@@ -78,9 +78,35 @@ def test_running_totals(spark, timed, rows_per_bucket):
     assert key(found) == key(wanted)
 
 
-def test_hot_moment_is_cut(spark, timed):
-    sizes = ordering.order_buckets(timed, ["ts", "id"], 50).groupBy("_major", "_minor").count()
-    assert sizes.agg(F.max("count")).first()[0] < 150
+@pytest.mark.parametrize("order", [["ts", "id"], ["ts"], ["none"]])
+def test_hot_moment_is_cut(timed, order):
+    cut, buckets = ordering.order_buckets(timed.withColumn("none", F.lit(None).cast("date")), order, 50)
+    sizes = cut.groupBy("_bucket").count().agg(F.count("count").alias("cells"), F.max("count").alias("largest")).first()
+    assert buckets == 30 and sizes["cells"] <= 30 and sizes["largest"] < 150
+
+
+def test_many_hot_moments_make_no_more_cells(spark):
+    hot = spark.range(20_000).select("id", (F.col("id") % 100).alias("at"), F.col("id").cast("string").alias("key"))
+    cut, _ = ordering.order_buckets(hot, ["at", "key"], 50)
+    assert cut.select("_bucket").distinct().count() <= 400
+
+
+@pytest.mark.parametrize("rows_per_bucket", [40, 1_000_000])
+def test_order_of_text_and_missing_values(spark, rows_per_bucket):
+    """Text as tie-break, a third of the order values missing, sums whose first values are missing."""
+    rows = spark.range(600).select(
+        F.when(F.col("id") % 3 > 0, (F.col("id") % 5)).alias("at"), F.concat(F.lit("k"), F.col("id")).alias("key"),
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("v"), F.when(F.col("id") % 2 == 0, F.col("id") % 4).alias("run"),
+    )
+    found = ordering.running_totals(rows, ["at", "key"], "no", {"total": "v"}, rows_per_bucket)
+    found = ordering.previous_values(found, ["run"], ["at", "key"], {"before": "key"}, rows_per_bucket)
+    window = W.orderBy("at", "key")
+    wanted = rows.withColumns({
+        "no": F.row_number().over(window), "total": F.sum("v").over(window.rowsBetween(W.unboundedPreceding, 0)),
+        "before": F.lag("key").over(W.partitionBy("run").orderBy("at", "key")),
+    })
+    key = lambda df: sorted(((r["key"], r["no"], r["total"], r["before"]) for r in df.collect()), key=lambda x: x[1])
+    assert key(found) == key(wanted)
 
 
 @pytest.mark.parametrize("rows_per_bucket", [50, 1_000_000])
