@@ -31,6 +31,8 @@ from quarrylight.session import small_side
 WINDOW, PHRASE = 50, 16
 #: Bytes of text hashed at once and documents of a shard (both may be exceeded by one document).
 BLOCK, SHARD = 1_000_000, 3_000_000
+#: Occurrences of a window that go to one task; a window with more is dealt over several.
+HOT = 20_000
 #: Odd multipliers of the rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 LAST = (1 << 63) - 1
@@ -250,9 +252,12 @@ def _numbered(docs: DataFrame) -> DataFrame:
     )
 
 
-def repeated(docs: DataFrame) -> dict[str, DataFrame]:
+def repeated(docs: DataFrame, hot: int = HOT) -> dict[str, DataFrame]:
     """The tables of the search: `profile` (doc_id, id, n_words, sha), `copies` (sha, first) and `covered`
-    (id, sha, start): the starts of covered windows of documents that are no copies of another."""
+    (id, sha, start): the starts of covered windows of documents that are no copies of another.
+
+    A window that occurs more than `hot` times is dealt over several tasks, each with its smallest document.
+    """
     ship(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = land(
@@ -281,12 +286,20 @@ def repeated(docs: DataFrame) -> dict[str, DataFrame]:
         ), "windows",
     )
     each = windows.select("id", "sha", F.inline(F.arrays_zip("start", "one", "two")))
-    first = each.groupBy("one", "two").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    covered = each.join(first.drop("last"), ["one", "two"]).filter("first < id").select("id", "sha", "start")
+    first = land(
+        each.groupBy("one", "two").agg(
+            F.min("id").alias("first"), F.max("id").alias("last"), F.ceil(F.count(F.lit(1)) / hot).alias("parts")
+        ).filter("first < last").drop("last"), "first",
+    )
+    often = small_side(first.filter("parts > 1").select("one", "two", "parts"))
+    part = F.pmod(F.xxhash64("id", "start"), F.coalesce("parts", F.lit(1)))
+    dealt = each.join(often, ["one", "two"], "left").withColumn("part", part).drop("parts")
+    every = first.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    covered = dealt.join(every, ["one", "two", "part"]).filter("first < id").select("id", "sha", "start")
     return {"profile": profile, "copies": copies, "candidates": some, "covered": covered}
 
 
-def remove_repeated(docs: DataFrame) -> DataFrame:
+def remove_repeated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """One row per row of `docs`: (doc_id, n_words, n_removed, kept_sha256).
 
     Words are runs of anything but ASCII white space. A word goes if a window of WINDOW words that
@@ -294,7 +307,7 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     empty texts have no words. Rows of one doc_id don't cover each other. A null doc_id counts as
     larger than all others. Other columns are not read. An empty table gives an empty result.
     """
-    found = repeated(docs)
+    found = repeated(docs, hot)
     cut = found["covered"].groupBy("id", "sha").agg(F.array_distinct(F.collect_list("start")).alias("starts"))
     cut = land(
         found["candidates"].join(cut, "id").select("id", "text", "starts", "sha").mapInArrow(

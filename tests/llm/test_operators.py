@@ -172,6 +172,23 @@ def test_repeated_passages(spark, docs, texts, empty):
     assert passages.remove_repeated(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 7, passages.HOT])
+def test_hot_windows_are_dealt_over_tasks(spark, hot):
+    """One repeated word fills most windows of most documents; the result doesn't depend on the dealing."""
+    texts = [(i, f"{prose(i, 20 + i)} {'same ' * (60 + 9 * i)} {prose(100 + i % 3, 70)}") for i in range(8)] + [(9, "same " * 49)]
+    first, want = {}, {}
+    for i, text in texts:
+        words, gone = text.split(), set()
+        for k in range(len(words) - 49):
+            if first.setdefault(tuple(words[k:k + 50]), i) < i:
+                gone.update(range(k, k + 50))
+        kept = " ".join(w for k, w in enumerate(words) if k not in gone)
+        want[i] = (len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    rows = passages.remove_repeated(table, hot).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows} == want and len(rows) == len(want)
+
+
 def test_secrets(spark, docs, texts, empty):
     rows = {r["doc_id"]: r for r in secret_scan.scan(docs).select("doc_id", "base_spans", "entropy_spans").collect()}
     text = dict(texts)[10]
