@@ -30,7 +30,7 @@ from quarrylight.session import small_side
 
 WINDOW, PHRASE = 50, 16
 #: Bytes of text hashed at once and documents of a shard (both may be exceeded by one document).
-BLOCK, SHARD = 1_000_000, 3_000_000
+BLOCK, SHARD = 500_000, 1_000_000
 #: Occurrences of a window that go to one task; a window with more is dealt over several.
 HOT = 20_000
 #: Odd multipliers of the rolling hashes.
@@ -197,12 +197,12 @@ def _windows(batches):
                     continue
                 at = np.array([x for x, _ in found], np.int64)
                 name = np.array([x for _, x in found], np.uint64)
-                span = WINDOW - PHRASE + 1
-                start = (at[:, None] - np.arange(span)).ravel()
-                name = np.repeat(name, span)
-                good = (start >= 0) & (start < len(windows))
-                start, name = start[good], name[good]
-                start = np.unique(start[windows[start] == name])
+                hit = np.zeros(len(windows), bool)
+                for back in range(WINDOW - PHRASE + 1):  # windows that draw the phrase found at this place
+                    good = (at >= back) & (at - back < len(windows))
+                    start = at[good] - back
+                    hit[start[windows[start] == name[good]]] = True
+                start = np.flatnonzero(hit)
                 if not len(start):
                     continue
                 rows[0].append(ids[block[k]])
