@@ -7,7 +7,6 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylight.functions.numbers import exceeds
@@ -26,9 +25,9 @@ HELPERS = ("_num_", "_cat_", "_code_", "_hot_")
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:
     """(target, weight): n / (k * rows of the class) for k classes in n rows."""
-    counts = sampling.class_counts(df, target)
-    every = W.partitionBy()
-    weight = F.sum("rows").over(every) / (F.count(F.lit(1)).over(every) * F.col("rows"))
+    counts = materialize(sampling.class_counts(df, target))
+    size = counts.agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("classes")).first()
+    weight = F.lit(size["rows"]) / (F.lit(size["classes"]) * F.col("rows"))
     return counts.select(target, weight.alias("weight"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quarrylight.operators.ordering import running_totals
 from quarrylight.session import materialize, null_safe_join, small_side
 
 SEED = 42
@@ -38,8 +39,9 @@ def class_counts(df: DataFrame, target: str) -> DataFrame:
 
 
 def class_shares(df: DataFrame, target: str) -> DataFrame:
-    counts = class_counts(df, target)
-    return counts.withColumn("share", F.col("rows") / F.sum("rows").over(W.partitionBy()))
+    counts = materialize(class_counts(df, target))
+    total = counts.agg(F.sum("rows")).first()[0]
+    return counts.withColumn("share", F.col("rows") / F.lit(total))
 
 
 def class_extremes(df: DataFrame, target: str) -> DataFrame:
@@ -70,11 +72,10 @@ def proportional_quotas(counts: DataFrame, target: str, total: int, wanted: int)
     exact = F.col("rows").cast("decimal(20,0)") * F.lit(kept).cast("decimal(18,0)")
     base = F.call_function("div", exact, F.lit(total).cast("decimal(20,0)")).cast("bigint")
     parts = counts.withColumns({"_base": base, "_rest": F.pmod(exact, F.lit(total).cast("decimal(20,0)"))})
-    every = W.partitionBy()
-    missing = F.lit(kept) - F.sum("_base").over(every)
-    place = F.row_number().over(W.orderBy(F.col("_rest").desc(), F.col(target).asc()))
-    kept_rows = F.col("_base") + F.when(place <= missing, 1).otherwise(0)
-    return parts.withColumn("quota", F.col("rows") - kept_rows).select(target, "rows", "quota")
+    missing = kept - (parts.agg(F.sum("_base")).first()[0] or 0)
+    ranked = running_totals(parts.withColumn("_less", -F.col("_rest")), ["_less", target], "_place")
+    kept_rows = F.col("_base") + F.when(F.col("_place") <= missing, 1).otherwise(0)
+    return ranked.withColumn("quota", F.col("rows") - kept_rows).select(target, "rows", "quota")
 
 
 def _cut_rows(df: DataFrame, keys: list[str], strata: list[str], quotas: DataFrame, total: int, seed: int, edge_rows: int) -> DataFrame:

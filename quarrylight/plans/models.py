@@ -38,10 +38,8 @@ def train_classifier(spark: SparkSession, sf: str) -> DataFrame:
     lines = _lines(spark, sf).drop("total")
     _, _, report = forest.train_and_evaluate(lines, LINE_KEY, "Label", order=LINE_KEY)
     classes = F.col("class").isin("0", "1")
-    majority = report.where(classes).agg((F.max("support") / F.sum("support")).alias("majority"))
-    return report.join(F.broadcast(majority)).select(  # one row
-        "class", "support", (F.col("f1") > F.col("majority")).alias("beats_majority")
-    )
+    majority = report.where(classes).agg(F.max("support") / F.sum("support")).first()[0]
+    return report.select("class", "support", (F.col("f1") > majority).alias("beats_majority"))
 
 
 def train_regressor(spark: SparkSession, sf: str) -> DataFrame:
