@@ -5,14 +5,16 @@ the sample's substrings. A text is parsed against each automaton: follow the lon
 phrase, begin again. The fewer phrases, each worth log2(sample length) bits, the more alike text and
 sample; the language that needs the fewest normalised phrases wins.
 
-The automata are dense tables, and a block of texts, cut into strips, is followed through a table
-strip-parallel with numpy, one column of characters at a time. Whole texts are parsed.
+Each automaton has symbols of its own for all letters of its sample; a letter the sample lacks costs a
+phrase in that language only. Automata of small alphabets are dense tables, those of large ones (a
+script of thousands of letters) rows laid over one another. A block of texts, cut into strips, is
+followed through a table strip-parallel with numpy, one column of characters at a time. Whole texts
+are parsed.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +25,10 @@ from pyspark.sql.window import Window
 
 from quarrylight.llm.common import ship
 
-#: Bounds of the training sample: rows and characters for each language, languages, and letters.
-ROWS, CHARS, LANGUAGES, LETTERS = 400, 40_000, 64, 120
+#: Bounds of the training sample: rows and characters for each language, and languages.
+ROWS, CHARS, LANGUAGES = 400, 40_000, 64
+#: Tables with up to so many symbols are dense; the others give the same phrases in less memory.
+DENSE = 64
 UNDETERMINED = "und"
 STRIP = 256
 #: Characters parsed at once.
@@ -32,19 +36,109 @@ BLOCK = 1_000_000
 GAP, STRANGE = 0, 1
 
 
+@dataclass
+class Dense:
+    """A row of `width` entries per state.
+
+    An entry is the next state's row offset; where the match ends it is the complement of the state
+    after the symbol alone. The last symbol fills strips up and changes nothing.
+    """
+
+    table: np.ndarray
+
+    @staticmethod
+    def of(edges: list[dict[str, int]], symbol: dict[str, int], width: int) -> Dense:
+        start = np.zeros(width, np.int64)
+        for c, to in edges[0].items():
+            start[symbol[c]] = to * width
+        table = np.tile(~start, (len(edges), 1))
+        for state, out in enumerate(edges):
+            for c, to in out.items():
+                table[state, symbol[c]] = to * width
+            table[state, width - 1] = state * width
+        return Dense(table.astype(np.int32).ravel())
+
+    def misses(self, grid: np.ndarray) -> np.ndarray:
+        state = np.zeros(grid.shape[1], np.int32)
+        missed = np.zeros(grid.shape[1], np.int32)
+        for row in grid:
+            entry = self.table[state + row]
+            sign = entry >> 31  # -1 where a match ends
+            missed -= sign
+            state = entry ^ sign
+        return missed
+
+
+@dataclass
+class Sparse:
+    """The rows of all states laid over one another: the place base + symbol is a state's if it is the owner."""
+
+    base: np.ndarray
+    owner: np.ndarray
+    to: np.ndarray
+    start: np.ndarray
+
+    @staticmethod
+    def of(edges: list[dict[str, int]], symbol: dict[str, int], width: int) -> Sparse:
+        base, taken, low, free = [0] * len(edges), bytearray(), 0, width
+        for state in sorted(range(len(edges)), key=lambda x: -len(edges[x])):
+            used = [symbol[c] for c in edges[state]]
+            if len(used) > 1:
+                while any(low + x < len(taken) and taken[low + x] for x in used):
+                    low += 1
+                base[state] = low
+            elif used:
+                while free < len(taken) and taken[free]:
+                    free += 1
+                base[state] = free - used[0]
+            top = base[state] + width
+            if top > len(taken):
+                taken.extend(bytes(top))
+            for x in used:
+                taken[base[state] + x] = 1
+        owner, to = np.full(len(taken), -1, np.int32), np.zeros(len(taken), np.int32)
+        start = np.zeros(width, np.int32)
+        for state, out in enumerate(edges):
+            for c, following in out.items():
+                owner[base[state] + symbol[c]], to[base[state] + symbol[c]] = state, following
+        for c, following in edges[0].items():
+            start[symbol[c]] = following
+        return Sparse(np.array(base, np.int32), owner, to, start)
+
+    def misses(self, grid: np.ndarray) -> np.ndarray:
+        state = np.zeros(grid.shape[1], np.int32)
+        missed = np.zeros(grid.shape[1], np.int32)
+        fill = len(self.start) - 1
+        for row in grid:
+            at = self.base[state] + row
+            ended = self.owner[at] != state
+            missed += ended & (row != fill)
+            state = np.where(ended, self.start[row], self.to[at])
+        return missed
+
+
 @dataclass
 class Model:
-    """Symbols of code points and, for each language, the automaton's table.
+    """Symbols of code points over all languages; for each language its own symbols, automaton and figures.
 
-    A table has one row of `width` entries per state. An entry is the next state's row offset; where
-    the match ends it is the complement of the state after the symbol alone.
+    `alphabets` turn the common symbols into a language's own. `usual` is what text of the language
+    takes, in bits per symbol, where the automaton has not seen it.
     """
 
     languages: list[str]
     symbols: np.ndarray
-    width: int
-    tables: list[np.ndarray]
+    alphabets: list[np.ndarray]
+    tables: list[Dense | Sparse]
     bits: list[float]
+    usual: list[float]
+
+    def limit(self, k: int, max_rate: float) -> float:
+        """Bits per symbol up to which a text counts as the language's.
+
+        A language whose own text takes more than usual (thousands of letters) has a limit of its own,
+        below what text takes that shares no letter with the sample.
+        """
+        return max(max_rate, min(1.25 * self.usual[k], 0.75 * self.bits[k]))
 
 
 def normalise(text: str) -> str:
@@ -94,56 +188,70 @@ def phrases(text: str, edges: list[dict[str, int]]) -> int:
 
 
 def sample(docs: DataFrame, rows: int = ROWS, chars: int = CHARS, languages: int = LANGUAGES) -> dict[str, str]:
-    """Normalised training text per language: whole texts, in the order of a hash of them, as far as the bounds go.
+    """Normalised training text per language: texts in the order of a hash of them, as far as the bounds go.
 
-    `docs` has (text, lang). Languages beyond the most frequent `languages` are not learned.
+    `docs` has (text, lang). Equal texts of a language count once. Of a text longer than a quarter of
+    the characters a piece is taken, at a place its hash gives; the last text is cut at the bound.
+    Languages beyond the most frequent `languages` are not learned.
     """
-    usable = docs.filter("text is not null and lang is not null and length(text) > 0")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    usable = docs.select("lang", F.col("text").cast("string").alias("text")).filter(
+        "text is not null and lang is not null and length(text) > 0"
+    ).withColumn("hash", F.xxhash64("text"))
+    counts = usable.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("count"), F.approx_count_distinct("hash").alias("texts")
+    ).orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not counts:
         return {}
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 4.0 * rows / r["count"])))])
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    drawn = usable.select("lang", "text", place.alias("place")).filter(
+    share = F.create_map(*[
+        x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 4.0 * rows / max(r["texts"], 1))))
+    ])
+    most = max(chars // 4, 1)
+    begin = F.pmod(F.xxhash64("hash"), F.greatest(F.length("text") - most, F.lit(0)) + 1).cast("int") + 1
+    place = F.pmod(F.col("hash"), F.lit(1 << 30))
+    drawn = usable.withColumn("place", place).filter(
         F.col("place") < F.element_at(share, F.col("lang")) * (1 << 30)
-    ).filter(F.length("text") <= chars // 4).dropDuplicates(["lang", "place"])
-    ordered = Window.partitionBy("lang").orderBy("place", "text")
+    ).select("lang", "hash", "place", F.substr("text", begin, F.lit(most)).alias("text")).dropDuplicates(["lang", "hash"])
+    ordered = Window.partitionBy("lang").orderBy("place", "hash")
     kept = drawn.select(
-        "lang", "text", "place", F.row_number().over(ordered).alias("row"),
-        F.sum(F.length("text")).over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("chars"),
-    ).filter((F.col("row") <= rows) & (F.col("chars") <= chars))
+        "lang", "text", "place", "hash", F.row_number().over(ordered).alias("row"),
+        (F.sum(F.length("text")).over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.length("text")).alias("before"),
+    ).filter((F.col("row") <= rows) & (F.col("before") < chars))
+    kept = kept.withColumn("text", F.substr("text", F.lit(1), (F.lit(chars) - F.col("before")).cast("int")))
     found: dict[str, list[str]] = {}
-    for r in kept.orderBy("lang", "place", "text").collect():
+    for r in kept.orderBy("lang", "place", "hash").collect():
         found.setdefault(r["lang"], []).append(normalise(r["text"]))
     return {lang: f" {' '.join(texts)} " for lang, texts in found.items() if "".join(texts)}
 
 
-def build(texts: dict[str, str], letters: int = LETTERS) -> Model:
+def _usual(text: str) -> float:
+    """Bits per symbol of the text's second half in an automaton of its first: the median of its pieces."""
+    known, rest = text[: len(text) // 2], text[len(text) // 2:]
+    edges, size = suffix_automaton(known), 500
+    pieces = [rest[i:i + size] for i in range(0, max(len(rest) - size // 2, 1), size)]
+    return float(np.median([phrases(x, edges) / max(len(x), 1) for x in pieces])) * math.log2(len(known) + 1)
+
+
+def build(texts: dict[str, str]) -> Model:
     """The model of normalised training texts."""
-    often = [c for c, _ in Counter("".join(texts.values()).replace(" ", "")).most_common(letters)]
-    symbol = {c: i + 2 for i, c in enumerate(often)} | {" ": GAP}
-    symbols = np.fromiter((chr(i).isalpha() for i in range(0x110000)), np.uint8, 0x110000)  # STRANGE or GAP
-    for c, i in symbol.items():
-        for form in {c, c.upper()}:
-            if len(form) == 1 and c != " ":
-                symbols[ord(form)] = i
-    width = len(often) + 3  # the last symbol fills strips up
-    tables, bits = [], []
+    letters = sorted(set().union(*texts.values()) - {" "})
+    symbol = {c: i + 2 for i, c in enumerate(letters)}
+    symbols = np.fromiter(
+        (symbol.get(c.lower(), STRANGE) if c.isalpha() else GAP for c in map(chr, range(0x110000))), np.int32, 0x110000
+    )
+    alphabets, tables, bits, usual = [], [], [], []
     for lang in sorted(texts):
-        edges = suffix_automaton("".join(c if c in symbol else "\0" for c in texts[lang]))
-        start = np.zeros(width, np.int64)
-        for c, to in edges[0].items():
-            if c in symbol:
-                start[symbol[c]] = to * width
-        table = np.tile(~start, (len(edges), 1))
-        for state, out in enumerate(edges):
-            for c, to in out.items():
-                if c in symbol:
-                    table[state, symbol[c]] = to * width
-            table[state, width - 1] = state * width
-        tables.append(table.astype(np.int32).ravel())
+        own = {c: i + 2 for i, c in enumerate(sorted(set(texts[lang]) - {" "}))}
+        width = len(own) + 3  # the last symbol fills strips up
+        alphabet = np.full(len(letters) + 3, STRANGE, np.int32)
+        alphabet[GAP], alphabet[-1] = GAP, width - 1
+        for c, i in own.items():
+            alphabet[symbol[c]] = i
+        alphabets.append(alphabet)
+        kind = Dense if width <= DENSE else Sparse
+        tables.append(kind.of(suffix_automaton(texts[lang]), own | {" ": GAP}, width))
         bits.append(math.log2(len(texts[lang]) + 1))
-    return Model(sorted(texts), symbols, width, tables, bits)
+        usual.append(_usual(texts[lang]))
+    return Model(sorted(texts), symbols, alphabets, tables, bits, usual)
 
 
 def fit(docs: DataFrame, **bounds) -> Model:
@@ -163,20 +271,13 @@ def parse(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     strips = -(-n // STRIP)
     first = np.cumsum(strips) - strips
     within = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)
-    grid = np.full((STRIP, int(strips.sum())), model.width - 1, np.uint8)
+    fill = len(model.alphabets[0]) - 1
+    grid = np.full((STRIP, int(strips.sum())), fill, np.int32)
     grid[within % STRIP, first[owner] + within // STRIP] = codes
     of = np.repeat(np.arange(len(texts)), strips)
     counts = np.zeros((len(texts), len(model.languages)))
-    grid = grid.astype(np.int32)
-    for k, table in enumerate(model.tables):
-        state = np.zeros(grid.shape[1], np.int32)
-        missed = np.zeros(grid.shape[1], np.int32)
-        for row in grid:
-            entry = table[state + row]
-            sign = entry >> 31  # -1 where a match ends
-            missed -= sign
-            state = entry ^ sign
-        counts[:, k] = np.bincount(of, weights=missed, minlength=len(texts))
+    for k, (alphabet, table) in enumerate(zip(model.alphabets, model.tables, strict=True)):
+        counts[:, k] = np.bincount(of, weights=table.misses(alphabet[grid]), minlength=len(texts))
     return n, counts
 
 
@@ -201,12 +302,17 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.n
 def recognised(docs: DataFrame, model: Model, max_rate: float = 7.0) -> DataFrame:
     """The rows of `docs` whose text has a letter and parses like some learned language.
 
-    Text of a known language takes 1 to 5 bits per symbol, random letters 9 or more. Columns are
-    those of `docs`; null and empty texts go; repeated rows share their fate. A model without
-    languages rejects all.
+    Text of a known alphabetic language takes 1 to 5 bits per symbol, random letters 9 or more; text
+    in a script of thousands of letters takes more by nature and is held against its language's own
+    limit. Columns are those of `docs`; null and empty texts go; repeated rows share their fate. A
+    model without languages rejects all.
     """
     told = identify(docs, model, "__lang", "__score", "__rate")
-    return told.filter((F.col("__lang") != UNDETERMINED) & (F.col("__rate") <= max_rate)).select(*docs.columns)
+    limit = F.lit(max_rate)
+    for k, name in enumerate(model.languages):
+        if model.limit(k, max_rate) > max_rate:
+            limit = F.when(F.col("__lang") == name, model.limit(k, max_rate)).otherwise(limit)
+    return told.filter((F.col("__lang") != UNDETERMINED) & (F.col("__rate") <= limit)).select(*docs.columns)
 
 
 def identify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score",
@@ -219,7 +325,7 @@ def identify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str
     """
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by LANGUAGES, CHARS and LETTERS
+    shared = spark.sparkContext.broadcast(model)  # bounded by LANGUAGES and CHARS
 
     @F.pandas_udf("lang string, score double, rate double")
     def guess(texts: pd.Series) -> pd.DataFrame:

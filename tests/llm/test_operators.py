@@ -229,6 +229,56 @@ def test_language(spark, docs, empty):
     assert langid.recognised(docs, model).columns == docs.columns
 
 
+def invented(seed, first, letters, n_words, spaced=False):
+    """A text of words from a vocabulary that only depends on `first`, over so many letters from `first` on."""
+    names, draw = random.Random(first), random.Random(seed)
+    words = ["".join(chr(first + names.randrange(letters)) for _ in range(2 + names.randrange(2))) for _ in range(900)]
+    return (" " if spaced else "").join(words[int(900 * draw.random() ** 2)] for _ in range(n_words)) + "."
+
+
+def test_languages_of_large_scripts(spark):
+    scripts = {"hani": (0x4E00, 3000), "hans": (0x5A00, 3000), "hang": (0xAC00, 2000), "cyrl": (0x0430, 32), "latn": (0x61, 26)}
+    rows = [
+        (f"{name}{i}", invented(i, first, size, 150, size < 100), name)
+        for name, (first, size) in scripts.items() for i in range(60)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    late = F.regexp_extract("doc_id", r"(\d+)$", 1).cast("int") >= 40
+    model = langid.fit(docs.filter(~late))
+    told = langid.identify(docs.filter(late).drop("lang"), model).collect()
+    assert {r["doc_id"][:4] == r["lang_pred"] for r in told} == {True} and len(told) == 100
+    draw = random.Random(7)
+    noise = [("noise" + str(i), "".join(chr(0x4E00 + draw.randrange(3000)) for _ in range(300))) for i in range(5)]
+    noise += [("strange" + str(i), invented(i, 0x0561, 38, 100, True)) for i in range(5)]
+    mixed = docs.filter(late).select("doc_id", "text").union(spark.createDataFrame(noise, "doc_id string, text string"))
+    kept = {r["doc_id"] for r in langid.recognised(mixed, model).collect()}
+    assert kept == {r["doc_id"] for r in told}
+
+
+def test_parse_in_large_and_small_tables():
+    train = {"many": langid.normalise(invented(1, 0x4E00, 400, 800)), "few": langid.normalise(invented(2, 0x61, 26, 800, True))}
+    train = {k: f" {v} " for k, v in train.items()}
+    model = langid.build(train)
+    assert [type(t).__name__ for t in model.tables] == ["Dense", "Sparse"]
+    sample = [invented(3, 0x4E00, 400, 30), invented(4, 0x61, 26, 15, True), "\u4e00\u4e01 \u0431\u0432 ab", invented(5, 0x4E80, 400, 40)]
+    sample = [langid.normalise(x) for x in sample]
+    assert max(map(len, sample)) < langid.STRIP
+    _, counts = langid.parse(model, sample)
+    for i, text in enumerate(sample):
+        for k, lang in enumerate(model.languages):
+            assert counts[i][k] == langid.phrases(text, langid.suffix_automaton(train[lang]))
+
+
+def test_training_text_of_long_and_of_copied_documents(spark):
+    rows = [("long", invented(i, 0x61, 26, 9000, True)) for i in range(3)]
+    rows += [("copied", "the same again")] * 4000 + [("copied", f"another text {chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(30)]
+    found = langid.sample(spark.createDataFrame(rows, "lang string, text string"), rows=10, chars=9000)
+    assert 4000 < len(found["long"]) <= 9002
+    assert sum("another" in x for x in found["copied"].split()) >= 9
+    one = langid.sample(spark.createDataFrame(rows[:1], "lang string, text string"), chars=2000)
+    assert 400 < len(one["long"]) <= 502 and one["long"].strip() in langid.normalise(rows[0][1])
+
+
 def test_decontamination(spark, docs, empty):
     item = "The quick brown fox jumps over the lazy dog while seven wizards quietly watch the moon."
     near = item.replace("quick", "quikc").replace("moon", "mon")
