@@ -195,11 +195,10 @@ def _blocks(root: Node, hashes: dict[int, int], template: set[int], only_content
                 line.append(node)
         elif node.never:
             continue
-        elif hashes[id(node)] in template and node.tag not in ("#root", "html", "body", *CONTENT) and not (
+        elif node.tag in BLOCKS and hashes[id(node)] in template and node.tag not in ("html", "body", *CONTENT) and not (
             content and node.tag in PROSE
         ):
-            if node.tag in BLOCKS:
-                end_line()
+            end_line()
         else:
             within = content or node.tag in CONTENT
             block = node.tag in BLOCKS

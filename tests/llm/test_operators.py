@@ -365,6 +365,20 @@ def test_html(spark):
     assert templates.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def texts_of(spark, rows, **bounds):
+    pages = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "page_id long, url string, html string")
+    return [r["text"] for r in sorted(templates.extract(pages, **bounds).collect())]
+
+
+def test_html_keeps_inline_elements(spark):
+    press = "Press <b>Enter</b> to go on, says <a href='/w{0}'>Wikipedia</a> in {0} <code>lines</code>."
+    bodies = [f"<article><p>{press}</p></article>", f"<div>{press}</div>", f"<p><em>Well:</em> {press}</p>"]
+    for k, body in enumerate(bodies):
+        found = texts_of(spark, [("http://a.b/", f"<body><div>Site</div>{body.format(i)}</body>") for i in range(8)])
+        said = ["", "", "Well: "][k] + "Press Enter to go on, says Wikipedia in {} lines."
+        assert found == [said.format(i) for i in range(8)]
+
+
 def test_pipeline_keeps_clean_documents(spark, sf):
     import corpus_pipeline
 
