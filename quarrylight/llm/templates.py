@@ -1,14 +1,16 @@
 """Main text of web pages by site template removal.
 
-Every element subtree of a page is hashed over its tags, classes and text. Spark counts on how many
-different pages of a host each subtree occurs (equal pages count once), and subtrees that recur on a
-large share of the host's pages are its template: they are deleted with all they hold. What is left
-of the page's content, block by block, is its text.
+Every block element's subtree of a page is hashed over its tags, classes and text. Spark counts on how
+many different pages of a host each occurs (equal pages count once), and subtrees that recur on a
+large share of the host's pages, or on very many, are its template: they are deleted with all they
+hold, inside article and main elements and outside. What is left of the page's content, block by
+block, is its text. Inline elements are never deleted by count, so a sentence keeps its words.
 
 Prose blocks inside an article or main element are the page's own words even if another page quotes
-them, so recurrence deletes only other elements there. Elements whose tag, role or class says what they
-are (navigation, header, footer, aside, form, advert, notice, reader comments) go without a count,
-since a host may have too few pages for one.
+them, so there they must recur on nearly all pages. Elements whose tag, role or class says what they
+are (navigation, header, footer, aside, form, advert, notice, reader comments) go without a count.
+On a host with too few pages for a count, an article or main element that holds most of a page's text
+stands for all of it.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from quarrylight.session import small_side
 
 #: A subtree is template if it occurs on at least so many different pages of its host and such a share of them.
 PAGES, SHARE = 4, 0.3
+#: Prose inside an article or main element takes this share; other blocks than prose do with so many pages.
+NEARLY, MANY = 0.9, 1000
 
 # Elements by what they are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,6 +60,10 @@ piece = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 attribute = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 
+#: Stands for the page itself among its subtrees; as part of a template it says that the host is counted.
+WHOLE = 0
+
+
 class Node:
     __slots__ = ("kids", "never", "tag", "words")
 
@@ -140,10 +148,10 @@ def clean(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
-def subtree_hashes(root: Node) -> tuple[dict[int, int], set[int]]:
-    """(hash of each element by id(), hashes of those that hold text) of a page, bottom up without recursion."""
+def subtree_hashes(root: Node) -> tuple[dict[int, int], dict[int, bool]]:
+    """(hash of each element by id(), whether it is prose by hash of the blocks that hold text), without recursion."""
     hashes: dict[int, int] = {}
-    lively: set[int] = set()
+    lively: dict[int, bool] = {}
     order, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -162,80 +170,91 @@ def subtree_hashes(root: Node) -> tuple[dict[int, int], set[int]]:
                     digest.update(b"\x1e" + text.encode("utf-8", "replace"))
                     some = True
         hashes[id(node)], full[id(node)] = digest.intdigest(), some
-        if some:
-            lively.add(hashes[id(node)])
+        if some and node.tag in BLOCKS:
+            lively[hashes[id(node)]] = node.tag in PROSE
     return hashes, lively
 
 
-def main_text(root: Node, hashes: dict[int, int], template: set[int]) -> str:
+def main_text(
+    root: Node, hashes: dict[int, int], template: set[int], everywhere: set[int] = frozenset(), counted: bool = False
+) -> str:
     """The blocks of a page outside its template, one line each.
 
-    Where a page has articles or a main element with any text, what lies outside them is not content.
+    `everywhere` is the part of the template that recurs on nearly all pages. Where the host has too
+    few pages to be `counted`, articles or main elements with most of the text stand for the page.
     """
-    inside = _blocks(root, hashes, template, True)
-    return "\n".join(inside or _blocks(root, hashes, template, False))
+    lines = _blocks(root, hashes, template, everywhere)
+    inside = [text for text, content in lines if content]
+    if not counted and 2 * sum(map(len, inside)) >= sum(len(text) for text, _ in lines):
+        return "\n".join(inside)
+    return "\n".join(text for text, _ in lines)
 
 
-def _blocks(root: Node, hashes: dict[int, int], template: set[int], only_content: bool) -> list[str]:
+def _blocks(root: Node, hashes: dict[int, int], template: set[int], everywhere: set[int]) -> list[tuple[str, bool]]:
+    """(text, whether it is inside an article or main element) of each block."""
     lines, line = [], []
 
-    def end_line():
+    def end_line(content):
         text = clean("".join(line))
         line.clear()
         if text:
-            lines.append(text)
+            lines.append((text, content))
 
     todo: list = [(root, False)]
     while todo:
         node, content = todo.pop()
         if node is None:
-            end_line()
+            end_line(content)
         elif isinstance(node, str):
-            if content or not only_content:
-                line.append(node)
+            line.append(node)
         elif node.never:
             continue
         elif node.tag in BLOCKS and hashes[id(node)] in template and node.tag not in ("html", "body", *CONTENT) and not (
-            content and node.tag in PROSE
+            content and node.tag in PROSE and hashes[id(node)] not in everywhere
         ):
-            end_line()
+            end_line(content)
         else:
             within = content or node.tag in CONTENT
-            block = node.tag in BLOCKS
             if node.tag == "br":
                 line.append(" ")
-            if block:
-                end_line()
-                todo.append((None, False))
+            if node.tag in BLOCKS:
+                end_line(content)
+                todo.append((None, within))
             todo.extend((kid, within) for kid in reversed(node.kids))
-    end_line()
+    end_line(False)
     return lines
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _profile(batches):
-    """Per page: the text's hash and the hashes of its subtrees with text."""
+    """Per page: the text's hash and the hashes of its blocks with text, those of prose apart."""
     for batch in batches:
-        bodies, trees = [], []
-        for source in batch.column(1).to_pylist():
+        bodies, trees, prose = [], [], []
+        for source in batch.column(2).to_pylist():
             root = parse(source or "")
             hashes, lively = subtree_hashes(root)
-            bodies.append(hashes[id(root)])
-            trees.append(sorted(lively - {hashes[id(root)]}))
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
+            bodies.append(_signed(hashes[id(root)]))
+            trees.append([_signed(x) for x in sorted(lively) if not lively[x]])
+            prose.append([_signed(x) for x in sorted(lively) if lively[x]])
         yield pa.record_batch(
-            [batch.column(0), pa.array([signed(x) for x in bodies], pa.int64()),
-             pa.array([[signed(y) for y in x] for x in trees], pa.list_(pa.int64()))],
-            ["host", "body", "trees"],
+            [batch.column(0), batch.column(1), pa.array(bodies, pa.int64()),
+             pa.array(trees, pa.list_(pa.int64())), pa.array(prose, pa.list_(pa.int64()))],
+            ["host", "key", "body", "trees", "prose"],
         )
 
 
 def _extract(batches):
     for batch in batches:
         texts, sizes = [], []
-        for source, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True):
+        columns = [batch.column(x).to_pylist() for x in ("html", "template", "everywhere")]
+        for source, *found in zip(*columns, strict=True):
             root = parse(source or "")
             hashes, _ = subtree_hashes(root)
-            texts.append(main_text(root, hashes, {x & ((1 << 64) - 1) for x in template or ()}))
+            template, everywhere = ({x & ((1 << 64) - 1) for x in part or ()} for part in found)
+            texts.append(main_text(root, hashes, template, everywhere, WHOLE in template))
             sizes.append(len(texts[-1]))
         yield pa.record_batch(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())],
@@ -248,26 +267,44 @@ def host_of(column: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.col(column).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
-    """(host, template): the hashes of each host's recurring subtrees.
+def profiles(pages: DataFrame) -> DataFrame:
+    """(host, key, body, trees, prose) of the different pages of each host; `key` is page_key()."""
+    ship(pages.sparkSession)
+    return land(pages.select(host_of().alias("host"), page_key().alias("key"), F.col("html").cast("string").alias("html")).mapInArrow(
+        _profile, "host string, key long, body long, trees array<long>, prose array<long>"
+    ).dropDuplicates(["host", "key"]), "profiles")
+
+
+def page_key():
+    return F.xxhash64(F.col("html").cast("string"))
 
-    Equal pages of a host count once, so a page that was copied often makes no template.
+
+def _each_tree(known: DataFrame) -> DataFrame:
+    marked = lambda part, prose: F.transform(part, lambda x: F.struct(x.alias("tree"), F.lit(prose).alias("prose")))
+    whole = F.array(F.lit(WHOLE).cast("long"))
+    return known.select("host", "key", F.inline(F.concat(marked(whole, False), marked("trees", False), marked("prose", True))))
+
+
+def templates(known: DataFrame, least: int = PAGES, share: float = SHARE, nearly: float = NEARLY, many: int = MANY) -> DataFrame:
+    """(host, tree, everywhere): the recurring subtrees of each host with enough pages, and WHOLE.
+
+    `known` has the profiles of the pages. Pages alike in all but attributes count once, so a page
+    that was copied often makes no template.
     """
-    ship(pages.sparkSession)
-    profiles = pages.select(host_of().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(
-        _profile, "host string, body long, trees array<long>"
-    ).dropDuplicates(["host", "body"])
-    each = profiles.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "trees")).alias("tree"))
-    counts = land(each.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("pages")).filter(
-        F.col("tree").isNull() | (F.col("pages") >= least)
-    ), "subtrees")
-    hosts = counts.filter("tree is null").select("host", F.col("pages").alias("all"))
-    return counts.filter("tree is not null").join(hosts, "host").filter(F.col("pages") >= share * F.col("all")).groupBy(
-        "host"
-    ).agg(F.collect_list("tree").alias("template"))
-
-
-def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
+    each = _each_tree(known.dropDuplicates(["host", "body"]))
+    counts = land(
+        each.groupBy("host", "tree", "prose").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= least), "subtrees"
+    )
+    hosts = small_side(counts.filter(F.col("tree") == WHOLE).select("host", F.col("pages").alias("all")))
+    recurs = (F.col("pages") >= share * F.col("all")) | (~F.col("prose") & (F.col("pages") >= many))
+    return counts.join(hosts, "host").filter(recurs).select(
+        "host", "tree", (F.col("pages") >= nearly * F.col("all")).alias("everywhere")
+    )
+
+
+def extract(
+    pages: DataFrame, least: int = PAGES, share: float = SHARE, nearly: float = NEARLY, many: int = MANY
+) -> DataFrame:
     """One row per page: (page_id, url, text, n_chars) from (page_id, url, html).
 
     Character references are decoded, white space within a block is one space, blocks are joined by
@@ -275,11 +312,14 @@ def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataF
     template. Pages without a host count as one host. Repeated rows give repeated rows. Other
     columns are not read. An empty table gives an empty result.
     """
-    ship(pages.sparkSession)
-    # At most 1 / share of a page's subtrees recur that often, so a host's list is as short as a page.
-    known = small_side(templates(pages, least, share))
+    known = profiles(pages)
+    recurring = small_side(templates(known, least, share, nearly, many))
+    # A page gets the part of its host's template that it holds: a host's may be long, a page's is not.
+    held = small_side(_each_tree(known).drop("prose").join(recurring, ["host", "tree"]).groupBy("host", "key").agg(
+        F.collect_list("tree").alias("template"), F.collect_list(F.when(F.col("everywhere"), F.col("tree"))).alias("everywhere")
+    ))
     plain = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     kind = plain.schema["page_id"].dataType.simpleString()
-    return plain.withColumn("host", host_of()).join(known, "host", "left").select(
-        "page_id", "url", "html", "template"
+    return plain.withColumns({"host": host_of(), "key": page_key()}).join(held, ["host", "key"], "left").select(
+        "page_id", "url", "html", "template", "everywhere"
     ).mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")

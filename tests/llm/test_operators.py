@@ -379,6 +379,26 @@ def test_html_keeps_inline_elements(spark):
         assert found == [said.format(i) for i in range(8)]
 
 
+def test_html_counts_inside_and_outside_content(spark):
+    notice = "<p>We use the best of data.</p>"
+    rows = [("http://a.b/", f"<main>{notice}<h1>Title {i}</h1><p>Story {i}</p></main><div>Top bar</div>") for i in range(10)]
+    assert texts_of(spark, rows) == [f"Title {i}\nStory {i}" for i in range(10)]
+    quoted = [("http://a.b/", f"<main>{notice if i < 5 else ''}<p>Story {i}</p></main>") for i in range(10)]
+    assert texts_of(spark, quoted)[:6:5] == ["We use the best of data.\nStory 0", "Story 5"]
+    teaser = "<div>Site</div><div class='story'>Long story {0}, told {0} times over.</div><article>Next {0}</article>"
+    for n in (6, 1):  # with a count and without
+        found = texts_of(spark, [("http://a.b/", teaser.format(i)) for i in range(n)])
+        assert all(f"Long story {i}, told {i} times over.\nNext {i}" in x for i, x in enumerate(found))
+        assert not any("Site" in x for x in found) or n == 1
+
+
+def test_html_section_template_of_a_large_host(spark):
+    section = lambda i: "<div>Sports desk</div>" if i < 12 else ""
+    rows = [("http://a.b/", f"<body>{section(i)}<p>Story {i}</p></body>") for i in range(60)]
+    assert texts_of(spark, rows, many=12) == [f"Story {i}" for i in range(60)]
+    assert texts_of(spark, rows, many=13)[0] == "Sports desk\nStory 0"
+
+
 def test_pipeline_keeps_clean_documents(spark, sf):
     import corpus_pipeline
 
