@@ -19,6 +19,8 @@ from quarrylight.session import materialize, null_safe_join, small_side, spread
 CLASSIFIER_TREES, CLASSIFIER_DEPTH = 50, 15
 REGRESSOR_TREES, REGRESSOR_DEPTH = 100, 10
 SEED = 42
+# Bins per continuous feature, MLlib's own default: more find finer thresholds and take as much more memory.
+BINS = 32
 CLASSES = ["Normal", "Attack"]
 HELPERS = ("_num_", "_cat_", "_code_", "_hot_")
 
@@ -37,7 +39,8 @@ def with_class_weight(df: DataFrame, target: str, output: str = "weight") -> Dat
 
 
 def fit_classifier(
-    train: DataFrame, params: Preprocessing, target: str, trees: int = CLASSIFIER_TREES, depth: int = CLASSIFIER_DEPTH
+    train: DataFrame, params: Preprocessing, target: str, trees: int = CLASSIFIER_TREES, depth: int = CLASSIFIER_DEPTH,
+    bins: int = BINS,
 ) -> PipelineModel:
     """Preprocessing and a forest with balanced class weights, fitted as one pipeline.
 
@@ -45,18 +48,19 @@ def fit_classifier(
     """
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="_label", weightCol="weight", numTrees=trees, maxDepth=depth,
-        seed=SEED, maxMemoryInMB=1024,
+        seed=SEED, maxMemoryInMB=1024, maxBins=bins,
     )
     labelled = with_class_weight(train, target).withColumn("_label", F.col(target).cast("double"))
     return Pipeline(stages=[*preprocessing_stages(params), forest]).fit(labelled)
 
 
 def fit_regressor(
-    train: DataFrame, params: Preprocessing, target: str, trees: int = REGRESSOR_TREES, depth: int = REGRESSOR_DEPTH
+    train: DataFrame, params: Preprocessing, target: str, trees: int = REGRESSOR_TREES, depth: int = REGRESSOR_DEPTH,
+    bins: int = BINS,
 ) -> PipelineModel:
     forest = RandomForestRegressor(
         featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, seed=SEED,
-        featureSubsetStrategy="all", maxMemoryInMB=1024,
+        featureSubsetStrategy="all", maxMemoryInMB=1024, maxBins=bins,
     )
     return Pipeline(stages=[*preprocessing_stages(params), forest]).fit(train)
 
@@ -101,7 +105,8 @@ def score_value(df: DataFrame, model: PipelineModel, name: str = "forest", keep:
 
 def train_and_evaluate(
     df: DataFrame, keys: list[str], target: str, features: tuple[list[str], list[str]] | None = None,
-    order: list[str] | None = None, trees: int = CLASSIFIER_TREES, depth: int = CLASSIFIER_DEPTH, **balancing,
+    order: list[str] | None = None, trees: int = CLASSIFIER_TREES, depth: int = CLASSIFIER_DEPTH, bins: int = BINS,
+    **balancing,
 ) -> tuple[PipelineModel, Preprocessing, DataFrame]:
     """Select features, split, bound the train part, fit and report. Returns (model, parameters, report).
 
@@ -118,21 +123,22 @@ def train_and_evaluate(
     marked = materialize(sampling.stratified_split(chosen, keys, target))
     train = spread(materialize(sampling.balance(marked.where("split = 'train'"), keys, target, **balancing)))
     test = marked.where("split = 'test'")
-    params = fit_preprocessing(train, numeric, categorical)
-    model = fit_classifier(train, params, target, trees, depth)
+    params = fit_preprocessing(train, numeric, categorical, wide=True)
+    model = fit_classifier(train, params, target, trees, depth, bins)
     scored = materialize(model.transform(test).select(F.col(target).cast("int").alias("label"), F.col("prediction").cast("int").alias("guess")))
     return model, params, metrics.classification_report(scored, "label", "guess")
 
 
 def train_and_evaluate_value(
-    df: DataFrame, keys: list[str], target: str, numeric: list[str], trees: int = REGRESSOR_TREES, depth: int = REGRESSOR_DEPTH
+    df: DataFrame, keys: list[str], target: str, numeric: list[str], trees: int = REGRESSOR_TREES, depth: int = REGRESSOR_DEPTH,
+    bins: int = BINS,
 ) -> tuple[PipelineModel, Preprocessing, DataFrame]:
     """Random split, regression forest, error metrics on the test part."""
     chosen = df.select(*dict.fromkeys([*keys, *numeric, target]))
     sampled = materialize(sampling.random_split(chosen, keys))
     train, test = spread(sampled.where("split = 'train'")), sampled.where("split = 'test'")
     params = fit_preprocessing(train, numeric, [])
-    model = fit_regressor(train, params, target, trees, depth)
+    model = fit_regressor(train, params, target, trees, depth, bins)
     report = metrics.regression_metrics(model.transform(test), target, "prediction")
     return model, params, report
 

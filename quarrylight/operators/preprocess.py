@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,13 +16,17 @@ from quarrylight.session import materialize, null_safe_join, small_side
 
 MISSING = "Missing"
 MIN_SCALE = 1e-8
-# Categories up to this count are folded into the encoder; beyond it use one_hot_long.
+# Categories up to this count are listed in the parameters; beyond it they stay in a table (wide=True).
 DRIVER_CATEGORIES = 100_000
 
 
 @dataclass
 class Preprocessing:
-    """Fitted parameters: a few numbers per numeric feature and the categories per text feature."""
+    """Fitted parameters: a few numbers per numeric feature and the categories per text feature.
+
+    Too many categories for a list are rows of `index`, as of category_index, and `widths` has their
+    number per feature; `categories` is empty then.
+    """
 
     numeric: list[str]
     categorical: list[str] = field(default_factory=list)
@@ -29,10 +34,17 @@ class Preprocessing:
     means: dict[str, float] = field(default_factory=dict)
     scales: dict[str, float] = field(default_factory=dict)
     categories: dict[str, list[str]] = field(default_factory=dict)
+    index: DataFrame | None = field(default=None, repr=False, compare=False)
+    widths: dict[str, int] = field(default_factory=dict)
+
+    def listed(self) -> dict[str, list[str]]:
+        if self.index is not None:
+            raise ValueError("the categories are too many for a list; use the index, encoded_names and one_hot_long")
+        return self.categories
 
     @property
     def feature_names(self) -> list[str]:
-        encoded = [f"{c}_{v}" for c in self.categorical for v in self.categories.get(c, [])]
+        encoded = [f"{c}_{v}" for c in self.categorical for v in self.listed().get(c, [])]
         return [*self.numeric, *encoded]
 
 
@@ -77,7 +89,11 @@ def category_index(df: DataFrame, columns: list[str]) -> DataFrame:
     The sorted categories stay range-partitioned; dense positions come from the checkpointed
     partitions' sizes, so no task or driver holds a whole list.
     """
-    ordered = materialize(distinct_categories(df, columns).orderBy("feature", "category"))
+    return _positions(distinct_categories(df, columns))
+
+
+def _positions(found: DataFrame) -> DataFrame:
+    ordered = materialize(found.orderBy("feature", "category"))
     parts = ordered.withColumns(
         {"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}
     )
@@ -110,7 +126,8 @@ def one_hot_long(df: DataFrame, keys: list[str], columns: list[str], index: Data
     )
 
 
-def fit_preprocessing(df: DataFrame, numeric: list[str], categorical: list[str]) -> Preprocessing:
+def fit_preprocessing(df: DataFrame, numeric: list[str], categorical: list[str], wide: bool = False) -> Preprocessing:
+    """Fitted parameters. More than DRIVER_CATEGORIES categories are an error unless `wide`, which keeps them in a table."""
     params = Preprocessing(list(numeric), list(categorical))
     if numeric:
         for row in fit_numeric(df, numeric).collect():
@@ -119,20 +136,72 @@ def fit_preprocessing(df: DataFrame, numeric: list[str], categorical: list[str])
             params.scales[row["feature"]] = row["scale"]
     if categorical:
         found = materialize(distinct_categories(df, categorical))
-        if found.count() > DRIVER_CATEGORIES:
-            raise ValueError("too many categories for a feature vector; encode them with one_hot_long")
-        for row in found.orderBy("feature", "category").collect():
-            params.categories.setdefault(row["feature"], []).append(row["category"])
+        if found.count() <= DRIVER_CATEGORIES:
+            for row in found.orderBy("feature", "category").collect():
+                params.categories.setdefault(row["feature"], []).append(row["category"])
+        elif wide:
+            params.index = materialize(_positions(found))
+            params.widths = {r["feature"]: r["count"] for r in found.groupBy("feature").count().collect()}
+        else:
+            raise ValueError("too many categories for a list; fit with wide=True or encode them with one_hot_long")
     return params
 
 
+class CategoryCodes(Transformer, MLReadable, MLWritable):
+    """Codes `_code_i` of the texts `_cat_i` by join with an index; an unknown category has its feature's width as code."""
+
+    def __init__(self, columns: list[str] | None = None, widths: dict[str, int] | None = None, index: DataFrame | None = None):
+        super().__init__()
+        self.columns, self.widths, self.index = columns or [], widths or {}, index
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        out = dataset
+        for i, name in enumerate(self.columns):
+            width = self.widths.get(name, 0)
+            known = small_side(self.index.where(F.col("feature") == name).select(
+                F.col("category").alias(f"_cat_{i}"), F.col("position").cast("double").alias("_position")
+            ))
+            code = F.coalesce("_position", F.lit(float(width)))
+            about = {"ml_attr": {"type": "nominal", "name": f"_code_{i}", "num_vals": width + 1}}
+            kept = [F.col(_quoted(c)) for c in out.columns]
+            out = out.join(known, f"_cat_{i}", "left").select(*kept, code.alias(f"_code_{i}", metadata=about))
+        return out
+
+    def write(self) -> MLWriter:
+        return _CodesWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _CodesReader()
+
+
+class _CodesWriter(MLWriter):
+    def __init__(self, instance: CategoryCodes):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        codes = self.instance
+        about = {"columns": codes.columns, "widths": codes.widths}
+        DefaultParamsWriter.saveMetadata(codes, path, self.sparkSession, extraMetadata=about)
+        codes.index.write.parquet(f"{path}/index")
+
+
+class _CodesReader(MLReader):
+    def load(self, path: str) -> CategoryCodes:
+        about = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        codes = CategoryCodes(about["columns"], about["widths"], self.sparkSession.read.parquet(f"{path}/index"))
+        codes._resetUid(about["uid"])
+        return codes
+
+
 def tidy_params(df: DataFrame, params: Preprocessing) -> DataFrame:
     """One row per feature: (feature, pos, kind, median, mean, scale, categories)."""
     rows = [
         (n, i, "numeric", params.medians.get(n), params.means.get(n), params.scales.get(n), None)
         for i, n in enumerate(params.numeric)
     ] + [
-        (c, len(params.numeric) + i, "categorical", None, None, None, params.categories.get(c, []))
+        (c, len(params.numeric) + i, "categorical", None, None, None, params.listed().get(c, []))
         for i, c in enumerate(params.categorical)
     ]
     schema = "feature string, pos int, kind string, median double, mean double, scale double, categories array<string>"
@@ -170,7 +239,7 @@ def one_hot_columns(params: Preprocessing) -> list[Column]:
     return [
         F.when(filled_category(c) == F.lit(v), 1.0).otherwise(0.0).alias(f"{c}_{v}")
         for c in params.categorical
-        for v in params.categories.get(c, [])
+        for v in params.listed().get(c, [])
     ]
 
 
@@ -207,7 +276,7 @@ def preprocessing_stages(params: Preprocessing, output: str = "features", scale:
         codes = [f"_code_{i}" for i in range(len(params.categorical))]
         slots = [f"_hot_{i}" for i in range(len(params.categorical))]
         # One indexer per column: label lists of different lengths must not share an array.
-        stages += [
+        stages += [CategoryCodes(params.categorical, params.widths, params.index)] if params.index is not None else [
             StringIndexerModel.from_labels(params.categories.get(c, []), inputCol=t, outputCol=o, handleInvalid="keep")
             for c, t, o in zip(params.categorical, texts, codes)
         ]

@@ -25,7 +25,7 @@ def write_params(spark: SparkSession, params: Preprocessing, path: str) -> None:
             "numerical_medians": params.medians,
             "numerical_means": params.means,
             "numerical_scales": params.scales,
-            "categorical_categories": params.categories,
+            "categorical_categories": params.listed(),
         },
         path,
     )

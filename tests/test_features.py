@@ -88,6 +88,32 @@ def test_too_many_categories_need_the_tall_form(spark, monkeypatch):
     assert tall.count() == 10 and tall.where("known").count() == 9
 
 
+def test_many_categories_train_and_score(spark, monkeypatch):
+    rows = spark.range(400).select(
+        "id", (F.col("id") % 7).cast("double").alias("x"), F.concat(F.lit("v"), F.col("id") % 20).alias("c"),
+        F.when(F.col("id") % 9 > 0, F.concat(F.lit("w"), F.col("id") % 3)).alias("d"), (F.col("id") % 20 < 6).cast("int").alias("Label"),
+    )
+    other = rows.where("id < 60").unionByName(rows.where("id < 3").withColumns({"c": F.lit("new"), "d": F.lit("new")}))
+    listed = preprocess.fit_preprocessing(rows, ["x"], ["c", "d"])
+    plain = forest.fit_classifier(rows, listed, "Label", trees=5, depth=6)
+    monkeypatch.setattr(preprocess, "DRIVER_CATEGORIES", 5)
+    params = preprocess.fit_preprocessing(rows, ["x"], ["c", "d"], wide=True)
+    assert params.categories == {} and params.widths == {"c": 20, "d": 4} and params.medians == listed.medians
+    vectors = lambda p: sorted((r["id"], str(r["c"]), r["features"]) for r in preprocess.apply_preprocessing(other, p).collect())
+    assert [(i, c, v.toArray().tolist()) for i, c, v in vectors(params)] == [(i, c, v.toArray().tolist()) for i, c, v in vectors(listed)]
+    model = forest.fit_classifier(rows, params, "Label", trees=5, depth=6)
+    path = new_folder(spark, "wide")
+    forest.save_model(model, path)
+    records = lambda m: sorted(map(str, forest.score(other, m, keep=["id", "c"], width=25).collect()))
+    assert records(model) == records(forest.load_model(path)) and len(records(model)) == 63
+    assert all(r["is_attack"] == r["Label"] for r in forest.score(rows, model).collect())
+    assert len(records(plain)) == 63
+    with pytest.raises(ValueError):
+        params.feature_names
+    _, found, report = forest.train_and_evaluate(rows, ["id"], "Label", features=(["x"], ["c", "d"]), trees=5, depth=6, bins=16)
+    assert found.widths["c"] == 20 and report.where("class = 'accuracy'").first()["f1"] > 0.9
+
+
 def test_params_file_ignores_junk(spark):
     path = new_folder(spark, "junk")
     text = json.dumps(
