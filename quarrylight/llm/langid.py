@@ -58,11 +58,11 @@ class Dense:
             table[state, width - 1] = state * width
         return Dense(table.astype(np.int32).ravel())
 
-    def misses(self, grid: np.ndarray) -> np.ndarray:
+    def misses(self, grid: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
         state = np.zeros(grid.shape[1], np.int32)
         missed = np.zeros(grid.shape[1], np.int32)
         for row in grid:
-            entry = self.table[state + row]
+            entry = self.table[state + alphabet[row]]
             sign = entry >> 31  # -1 where a match ends
             missed -= sign
             state = entry ^ sign
@@ -105,11 +105,12 @@ class Sparse:
             start[symbol[c]] = following
         return Sparse(np.array(base, np.int32), owner, to, start)
 
-    def misses(self, grid: np.ndarray) -> np.ndarray:
+    def misses(self, grid: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
         state = np.zeros(grid.shape[1], np.int32)
         missed = np.zeros(grid.shape[1], np.int32)
         fill = len(self.start) - 1
         for row in grid:
+            row = alphabet[row]
             at = self.base[state] + row
             ended = self.owner[at] != state
             missed += ended & (row != fill)
@@ -236,7 +237,8 @@ def build(texts: dict[str, str]) -> Model:
     letters = sorted(set().union(*texts.values()) - {" "})
     symbol = {c: i + 2 for i, c in enumerate(letters)}
     symbols = np.fromiter(
-        (symbol.get(c.lower(), STRANGE) if c.isalpha() else GAP for c in map(chr, range(0x110000))), np.int32, 0x110000
+        (symbol.get(c.lower(), STRANGE) if c.isalpha() else GAP for c in map(chr, range(0x110000))),
+        np.min_scalar_type(len(letters) + 2), 0x110000,
     )
     alphabets, tables, bits, usual = [], [], [], []
     for lang in sorted(texts):
@@ -272,12 +274,12 @@ def parse(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     first = np.cumsum(strips) - strips
     within = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)
     fill = len(model.alphabets[0]) - 1
-    grid = np.full((STRIP, int(strips.sum())), fill, np.int32)
+    grid = np.full((STRIP, int(strips.sum())), fill, model.symbols.dtype)
     grid[within % STRIP, first[owner] + within // STRIP] = codes
     of = np.repeat(np.arange(len(texts)), strips)
     counts = np.zeros((len(texts), len(model.languages)))
     for k, (alphabet, table) in enumerate(zip(model.alphabets, model.tables, strict=True)):
-        counts[:, k] = np.bincount(of, weights=table.misses(alphabet[grid]), minlength=len(texts))
+        counts[:, k] = np.bincount(of, weights=table.misses(grid, alphabet), minlength=len(texts))
     return n, counts
 
 
