@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import covertree, dac, decontam, langid, packing, passages, secret_scan, simhash, templates, toxicity
+from quarrylight.llm import (
+    collocations, covertree, dac, decontam, langid, negatives, packing, passages, secret_scan, simhash, templates,
+    token_counts, toxicity,
+)
 from quarrylight.llm.common import crc_of_id
 from quarrylight.session import new_folder
 from quarrylight.sources.tables import read_table
@@ -80,6 +83,25 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.find(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
+def op11_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read_table(spark, folder, "embeddings").select(
+        "vec_id", "embedding",
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+    )
+    return negatives.mine(rows, (F.col("vec_id") % 50) == 0, positives=5, wanted=3, scale=256, window=(50, 95))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(read_table(spark, folder, "documents"), least=30, top=2000)
+
+
+def op13_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """The cache starts empty, in a new folder, so that every distinct text is encoded."""
+    cache = new_folder(spark, "token-counts")
+    docs = read_table(spark, folder, "documents")
+    return token_counts.count(docs, public_tokenizers.path("word_bpe_49k.json"), cache, limit=2048)
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_embeddings": op2_embeddings,
@@ -91,5 +113,76 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_packing": op9_packing,
     "op10_decontaminate": op10_decontaminate,
+    "op11_negatives": op11_negatives,
+    "op12_collocations": op12_collocations,
+    "op13_tokens": op13_tokens,
 }
-SQL: dict[str, str] = {}
+
+NEGATIVES_SQL = """
+WITH rows_ AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+    list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM rows_ a JOIN rows_ b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+), found AS (
+  SELECT p.*, s.other AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other)::INT AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+    AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 3
+"""
+
+COLLOCATIONS_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), split AS (
+  SELECT lang, row_number() OVER () AS p, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w
+  FROM pieces
+), words AS (
+  SELECT lang, p, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM split
+), runs AS (
+  SELECT lang, w1, w1 || ' ' || lead(w1, 1) OVER o AS w2, w1 || ' ' || lead(w1, 1) OVER o || ' ' || lead(w1, 2) OVER o AS w3,
+    w1 || ' ' || lead(w1, 1) OVER o || ' ' || lead(w1, 2) OVER o || ' ' || lead(w1, 3) OVER o AS w4
+  FROM words WINDOW o AS (PARTITION BY p ORDER BY i)
+), grams AS (
+  SELECT lang, 1 AS size, w1 AS phrase, count(*) AS f FROM runs GROUP BY ALL
+  UNION ALL SELECT lang, 2, w2, count(*) FROM runs WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w3, count(*) FROM runs WHERE w3 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 4, w4, count(*) FROM runs WHERE w4 IS NOT NULL GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f) AS n FROM grams WHERE size = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS parts FROM grams WHERE size > 1 AND f >= 30
+), cuts AS (
+  SELECT lang, size, phrase, a, k, array_to_string(parts[1:k], ' ') AS head, array_to_string(parts[k + 1:], ' ') AS rest
+  FROM candidates, range(1, 4) AS t(k) WHERE k < size
+), scored AS (
+  SELECT c.*, h.f AS l, r.f AS r, (2000000::HUGEINT * a) // (h.f::HUGEINT + r.f) AS score
+  FROM cuts c JOIN grams h ON h.lang = c.lang AND h.phrase = c.head AND h.size = c.k
+  JOIN grams r ON r.lang = c.lang AND r.phrase = c.rest AND r.size = c.size - c.k
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, array_to_string(parts[b:b + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM candidates, range(2, 4) AS t(m), range(1, 4) AS u(b) WHERE m < size AND b + m - 1 <= size GROUP BY ALL
+), kept AS (
+  SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase)
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+SQL: dict[str, str] = {"op11_negatives": NEGATIVES_SQL, "op12_collocations": COLLOCATIONS_SQL}
