@@ -1,28 +1,27 @@
 """Phrases whose words keep company, counted over a prefix-free parse of the texts.
 
-Each piece of a text is cut into chunks at triggers: three words in a row whose hash is 0 modulo a
-parameter. A chunk runs from one trigger (or the start of the piece) through the whole next one (or
-the end of the piece), so neighbours share exactly the three words of a trigger and the same text is
-cut alike wherever it stands. The distinct chunks with their frequencies are the dictionary; phrases
-are counted inside distinct chunks, weighted by frequency. Every phrase of up to four words lies in a
-chunk, and one that starts within the last three words of a chunk is left to the next chunk unless
-the piece ends there, so overlaps count once.
-
-A phrase can only be frequent if the phrases in it are. Words are counted first, then pairs of
-frequent words, then longer phrases all of whose pairs are frequent. What is frequent reaches the
-tasks as a bitmap of hashes of fixed size: a collision costs a count that is dropped afterwards, never
-a phrase.
+A text is a sequence of words and marks, a mark where a piece ends. It is cut into chunks at triggers:
+three neighbours in it whose hash is 0 modulo a parameter. A chunk runs from one trigger (or the start of
+the text) through the whole next one (or the end), so neighbours share exactly the three of a trigger
+and the same text is cut alike wherever it stands. The distinct chunks with their frequencies are the
+dictionary; phrases are counted inside distinct chunks, weighted by frequency. Every phrase of up to four
+words lies in a chunk, and one that starts within the last three places of a chunk is left to the next
+chunk unless the text ends there, so overlaps count once.
+
+A phrase can only be frequent if the phrases in it are. Hashes of words are counted first, then hashes of
+pairs of frequent words, and only phrases all of whose pairs may be frequent are counted themselves. What
+is frequent reaches the tasks as a bitmap of hashes of fixed size: a collision costs a count that is
+dropped afterwards, never a phrase.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,135 +29,160 @@ from pyspark.sql import functions as F
 from quarrylight.llm.common import land, ship
 from quarrylight.session import small_side
 
-#: Words that neighbouring chunks share; phrases have at most one more.
+#: Places that neighbouring chunks share; phrases have at most one word more.
 OVERLAP = 3
-LONGEST = OVERLAP + 1
-#: A chunk is also cut after so many words, where no trigger comes.
+#: A chunk is also cut after so many places, where no trigger comes.
 LONG_CHUNK = 4096
-#: Bytes of text parsed or counted together in a task.
+#: Bytes of text handled together in a task.
 TOGETHER = 6_000_000
+#: Parts that the candidates of a language are ranked in before they meet.
+SALTS = 16
 
-CAPITALS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t", b"abcdefghijklmnopqrstuvwxyz ")
-PIECE_ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]+")
-END = b"\n"
-
-
-def _blocks(texts: Iterable[bytes | None]) -> Iterator[bytes]:
-    """Texts joined to blocks; a long text is cut behind the end of a piece."""
-    block, size = [], 0
-    for text in texts:
-        at, text = 0, text or b""
-        while at < len(text):
-            far = PIECE_ENDS.search(text, at + TOGETHER) if len(text) - at > TOGETHER else None
-            end = far.end() if far else len(text)
-            block.append(text[at:end])
-            size += end - at
-            at = end
-            if size >= TOGETHER:
-                yield END.join(block)
-                block, size = [], 0
-    yield END.join(block)
-
-
-def parse(raw: bytes, modulus: int) -> Counter:
-    """The chunks of a text: (words joined by spaces, whether the piece ends there) with their number."""
-    words = [w for w in PIECE_ENDS.sub(b" \n ", raw.translate(CAPITALS)).split(b" ") if w]
-    words.append(END)
-    index: dict[bytes, int] = {}
-    codes = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
-    mixed = np.fromiter((crc32(w) for w in index), np.uint64, len(index))[codes]
+#: Runs of what ends a piece become one mark; the mark is no word, as it ends pieces itself.
+PIECE_ENDS = r"[.,;:!?\n\x0B\f\r]+"
+MARK = "."
+
+
+def _slices(sizes: np.ndarray) -> Iterator[slice]:
+    """Neighbouring rows of about TOGETHER bytes; a longer row is alone."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // TOGETHER)) + 1
+    edges = [0, *cuts.tolist(), len(sizes)]
+    return (slice(a, b) for a, b in zip(edges, edges[1:]) if b > a)
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    return pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _hashes(lang: str, words: pa.Array) -> np.ndarray:
+    salt = lang.encode() + b"\0"
+    return np.fromiter((crc32(salt + w) for w in words.cast(pa.binary()).to_pylist()), np.int64, len(words))
+
+
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return first * np.int64(-0x61C8864680B583EB) + second * np.int64(0x165667B19E3779F9)
+
+
+class Words:
+    """Lists of words and marks as one array of codes, with the list each place belongs to."""
+
+    def __init__(self, lang: str, lists: pa.ListArray):
+        flat = lists.flatten()
+        filled = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(lists)), sizes)[filled]
+        coded = flat.filter(pa.array(filled)).dictionary_encode()
+        self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.names, self.hashes = coded.dictionary, _hashes(lang, coded.dictionary)
+        self.owner, self.ends = owner, np.cumsum(np.bincount(owner, minlength=len(lists)))
+        mark = pc.index(self.names, MARK).as_py()
+        self.is_mark = self.codes == mark if mark >= 0 else np.zeros(len(self.codes), bool)
+
+
+def split_texts(texts: pa.Array) -> pa.ListArray:
+    """Words and marks of each text: A-Z lower-cased, no other change to a word."""
+    marked = pc.replace_substring_regex(pc.ascii_lower(texts), PIECE_ENDS, f" {MARK} ")
+    return pc.ascii_split_whitespace(marked)
+
+
+def parse(lang: str, texts: pa.Array, modulus: int) -> tuple[pa.Table, Words]:
+    """The chunks of some texts with their number (chunk, last, n), and the words they were cut from."""
+    words = Words(lang, split_texts(texts))
+    mixed = words.hashes[words.codes].astype(np.uint64)
     mixed[:-2] += np.uint64(0x9E3779B1) * mixed[1:-1] + np.uint64(0x85EBCA77) * mixed[2:]
-    triggers = np.flatnonzero((mixed >> np.uint64(7)) % np.uint64(modulus) == 0)
-    ends = np.flatnonzero(codes == index[END])
-    begins = np.append(0, ends[:-1] + 1)
-    first = np.searchsorted(triggers, begins + 1).tolist()
-    stop = np.searchsorted(triggers, ends - OVERLAP).tolist()
-    triggers = triggers.tolist()
-    found: Counter = Counter()
-    for begin, end, a, b in zip(begins.tolist(), ends.tolist(), first, stop, strict=True):
-        start = begin
-        for cut in triggers[a:b]:
-            while cut - start > LONG_CHUNK:
-                found[b" ".join(words[start:start + LONG_CHUNK + OVERLAP]), False] += 1
-                start += LONG_CHUNK
-            found[b" ".join(words[start:cut + OVERLAP]), False] += 1
-            start = cut
-        while end - OVERLAP - start > LONG_CHUNK:
-            found[b" ".join(words[start:start + LONG_CHUNK + OVERLAP]), False] += 1
-            start += LONG_CHUNK
-        if end > begin:
-            found[b" ".join(words[start:end]), True] += 1
-    return found
+    size = len(mixed)
+    end = words.ends[words.owner]
+    begin = end - np.bincount(words.owner, minlength=len(words.ends))[words.owner]
+    places = np.arange(size)
+    starts = places == begin
+    inner = (places > begin) & (places < end - OVERLAP)
+    starts |= inner & ((mixed >> np.uint64(7)) % np.uint64(modulus) == 0)
+    since = places - np.maximum.accumulate(np.where(starts, places, 0))
+    starts |= inner & (since % LONG_CHUNK == 0)
+    start = np.flatnonzero(starts)
+    following = np.append(start[1:], size)
+    last = following >= end[start]
+    stop = np.where(last, end[start], following + OVERLAP)
+    lengths = stop - start
+    offsets = np.append(0, np.cumsum(lengths))
+    taken = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], lengths)
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words.names.take(pa.array(words.codes[taken])))
+    chunks = pa.table({"chunk": pc.binary_join(lists, " "), "last": pa.array(last)})
+    return chunks.group_by(["chunk", "last"]).aggregate([([], "count_all")]).rename_columns(["chunk", "last", "n"]), words
+
+
+PARSED = "lang string, chunk string, last boolean, word long, n long"
 
 
 def _parse_batches(modulus: int):
     def run(batches):
         for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), object)
-            texts = batch.column(1).cast(pa.binary())
-            for lang in sorted(set(langs.tolist())):
-                rows = np.flatnonzero(langs == lang).tolist()
-                for raw in _blocks(texts[i].as_py() for i in rows):
-                    found = parse(raw, modulus)
-                    yield pa.record_batch(
-                        [pa.array([lang] * len(found), pa.string()),
-                         pa.array([x for x, _ in found], pa.binary()).cast(pa.string()),
-                         pa.array([x for _, x in found], pa.bool_()), pa.array(found.values(), pa.int64())],
-                        ["lang", "chunk", "last", "n"],
-                    )
+            for lang in pc.unique(batch.column(0)).to_pylist():
+                texts = batch.column(1).filter(pc.equal(batch.column(0), lang))
+                for rows in _slices(_bytes(texts)):
+                    chunks, words = parse(lang, texts[rows], modulus)
+                    counts = np.bincount(words.codes, minlength=len(words.names))
+                    counts[words.codes[words.is_mark][:1]] = 0  # a mark is no word
+                    for table in (
+                        chunks.append_column("word", pa.nulls(len(chunks), pa.int64())),
+                        pa.table({
+                            "chunk": pa.nulls(len(counts), pa.string()), "last": pa.nulls(len(counts), pa.bool_()),
+                            "n": pa.array(counts, pa.int64()), "word": pa.array(words.hashes),
+                        }),
+                    ):
+                        named = table.append_column("lang", pa.array([lang] * len(table), pa.string()))
+                        yield from named.select(["lang", "chunk", "last", "word", "n"]).to_batches()
     return run
 
 
-def dictionary(docs: DataFrame, modulus: int = 16) -> DataFrame:
-    """The distinct chunks of each language: lang, chunk (words joined by spaces), last, n."""
+def parsed(docs: DataFrame, modulus: int = 32) -> DataFrame:
+    """Chunks (lang, chunk, last, n) and, with `word` instead of a chunk, hashes of words (lang, word, n)."""
     ship(docs.sparkSession)
     plain = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")
     ).filter("text is not null")
-    parsed = plain.mapInArrow(_parse_batches(modulus), "lang string, chunk string, last boolean, n long")
-    return parsed.groupBy("lang", "chunk", "last").agg(F.sum("n").alias("n"))
-
-
-class Block:
-    """Chunks of one language as arrays over their words, a mark between chunks."""
-
-    def __init__(self, lang: str, texts: list[bytes], last: list[bool], n: list[int]):
-        words = b" \n ".join(texts).split(b" ")
-        index: dict[bytes, int] = {}
-        self.codes = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
-        self.words = list(index)
-        places = np.arange(len(words))
-        ends = np.append(np.flatnonzero(self.codes == index.get(END, -1)), len(words))
-        chunk = np.searchsorted(ends, places, "right")
-        self.room = ends[chunk] - places  # words from here to the end of the chunk
-        self.room[ends[:-1]] = 0
-        self.own = (np.array(last, bool)[chunk] & (self.room > 0)) | (self.room > OVERLAP)
-        self.weight = np.array(n, np.int64)[chunk]
-        salt = lang.encode() + b"\0"
-        self.hashes = np.fromiter((crc32(salt + w) for w in self.words), np.int64, len(self.words))
-
-    def count(self, level: int, marks: np.ndarray | None) -> Iterator[tuple[bytes, int]]:
-        if level == 1:
-            at, total, _ = self._sums(np.flatnonzero(self.own), self.codes[self.own])
-            yield from self._named(at, total, 1)
-            return
-        if level == 2:
-            often = marked(marks, self.hashes)[self.codes]
-            at = np.flatnonzero(self.own[:-1] & (self.room[:-1] > 1) & often[:-1] & often[1:])
-            first, total, _ = self._sums(at, self.codes[at] * len(self.words) + self.codes[at + 1])
-            yield from self._named(first, total, 2)
-            return
+    rows = plain.mapInArrow(_parse_batches(modulus), PARSED)
+    return rows.groupBy("lang", "chunk", "last", "word").agg(F.sum("n").alias("n"))
+
+
+class Chunks(Words):
+    """Distinct chunks of one language, ready for counting."""
+
+    def __init__(self, lang: str, rows: pa.Table):
+        chunk = rows.column("chunk").combine_chunks()
+        super().__init__(lang, pc.split_pattern(chunk, " "))
+        places = np.arange(len(self.codes))
+        stops = np.minimum.accumulate(np.where(self.is_mark, places, len(places))[::-1])[::-1]
+        end = self.ends[self.owner]
+        self.room = np.minimum(stops, end) - places  # words from here to the next mark or the end of the chunk
+        last = rows.column("last").to_numpy()[self.owner]
+        self.own = (self.room > 0) & (last | (end - places > OVERLAP))
+        self.weight = rows.column("n").to_numpy()[self.owner]
+
+    def pairs(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the pairs of words that may be frequent, and how often each comes."""
+        often = marked(marks, self.hashes)[self.codes]
+        at = np.flatnonzero(self.own[:-1] & (self.room[:-1] > 1) & often[:-1] & often[1:])
+        first, total, _ = self._sums(at, self.codes[at] * len(self.names) + self.codes[at + 1])
+        return pair_hash(self.hashes[self.codes[first]], self.hashes[self.codes[first + 1]]), total
+
+    def phrases(self, words: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """Phrases of one to four words that may be frequent, with how often they come."""
+        often = marked(words, self.hashes)[self.codes]
+        at = np.flatnonzero(self.own & often)
+        first, total, _ = self._sums(at, self.codes[at])
+        yield self._named(first, 1), total
         hashes = self.hashes[self.codes]
         pair = np.zeros(len(hashes) + 2, bool)
-        pair[:len(hashes) - 1] = (self.room[:-1] > 1) & marked(marks, hashes[:-1] * 31 + hashes[1:])
-        at = np.flatnonzero(self.own & (self.room > 2) & pair[:-2] & pair[1:-1])
-        _, _, number = self._sums(at, self.codes[at] * len(self.words) + self.codes[at + 1])
-        first, total, number = self._sums(at, number * len(self.words) + self.codes[at + 2])
-        yield from self._named(first, total, 3)
-        more = (self.room[at] > 3) & pair[at + 2]
-        at, number = at[more], number[more]
-        first, total, _ = self._sums(at, number * len(self.words) + self.codes[at + 3])
-        yield from self._named(first, total, 4)
+        pair[:max(0, len(hashes) - 1)] = (self.room[:-1] > 1) & often[:-1] & often[1:] & marked(pairs, pair_hash(hashes[:-1], hashes[1:]))
+        at = np.flatnonzero(self.own & pair[:-2])
+        number = self.codes[at]
+        for size in (2, 3, 4):
+            if size > 2:
+                more = (self.room[at] >= size) & pair[at + size - 2]
+                at, number = at[more], number[more]
+            first, total, number = self._sums(at, number * len(self.names) + self.codes[at + size - 1])
+            yield self._named(first, size), total
 
     def _sums(self, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A place and the summed weight of each different key, and the number of the key at each place."""
@@ -167,82 +191,78 @@ class Block:
         np.add.at(total, number, self.weight[at])
         return at[first], total, number
 
-    def _named(self, at: np.ndarray, total: np.ndarray, size: int) -> Iterator[tuple[bytes, int]]:
-        names = [[self.words[c] for c in self.codes[at + i].tolist()] for i in range(size)]
-        return zip(map(b" ".join, zip(*names, strict=True)), total.tolist(), strict=True)
+    def _named(self, at: np.ndarray, size: int) -> pa.Array:
+        parts = [self.names.take(pa.array(self.codes[at + i])) for i in range(size)]
+        return pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
 
 
 def marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bit = hashes % (64 * len(marks))
+    bit = hashes & (64 * len(marks) - 1)
     return (marks[bit >> 6] >> (bit & 63)) & 1 == 1
 
 
-def _count_batches(level: int, marks: Broadcast | None):
-    def counted(held):
-        bitmap = marks.value if marks else None
-        for lang, columns in held.items():
-            rows = list(Block(lang, *columns).count(level, bitmap))
-            for lo in range(0, len(rows), 50_000):
-                part = rows[lo:lo + 50_000]
-                yield pa.record_batch(
-                    [pa.array([lang] * len(part), pa.string()),
-                     pa.array([x for x, _ in part], pa.binary()).cast(pa.string()), pa.array([n for _, n in part], pa.int64())],
-                    ["lang", "phrase", "f"],
-                )
+def _chunk_blocks(batches) -> Iterator[tuple[str, Chunks]]:
+    """The chunks of some batches by language, about TOGETHER bytes at once."""
+    held, size = [], 0
 
-    def run(batches):
-        held, size = defaultdict(lambda: ([], [], [])), 0
-        for batch in batches:
-            rows = zip(
-                batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(),
-                batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True,
-            )
-            for lang, *row in rows:
-                for column, value in zip(held[lang], row, strict=True):
-                    column.append(value)
-                size += len(row[0])
-                if size >= TOGETHER:
-                    yield from counted(held)
-                    held, size = defaultdict(lambda: ([], [], [])), 0
-        yield from counted(held)
-    return run
+    def blocks():
+        table = pa.Table.from_batches(held)
+        for lang in pc.unique(table.column("lang")).to_pylist():
+            yield lang, Chunks(lang, table.filter(pc.equal(table.column("lang"), lang)))
 
+    for batch in batches:
+        for rows in _slices(_bytes(batch.column(1))):
+            part = batch.slice(rows.start, rows.stop - rows.start)
+            held.append(part)
+            size += int(_bytes(part.column(1)).sum())
+            if size >= TOGETHER:
+                yield from blocks()
+                held, size = [], 0
+    if held:
+        yield from blocks()
 
-def _tally(chunks: DataFrame, level: int, marks: Broadcast | None = None) -> DataFrame:
-    rows = chunks.select("lang", "chunk", "last", "n").mapInArrow(
-        _count_batches(level, marks), "lang string, phrase string, f long"
-    )
-    return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+def _pair_batches(words: Broadcast):
+    def run(batches):
+        for _, chunks in _chunk_blocks(batches):
+            pair, n = chunks.pairs(words.value)
+            yield pa.record_batch([pa.array(pair), pa.array(n)], ["pair", "n"])
+    return run
 
 
-def _hash(word: Column) -> Column:
-    return F.crc32(F.concat("lang", F.lit("\0"), word).cast("binary"))
+def _phrase_batches(words: Broadcast, pairs: Broadcast):
+    def run(batches):
+        for lang, chunks in _chunk_blocks(batches):
+            for size, (phrase, f) in enumerate(chunks.phrases(words.value, pairs.value), 1):
+                columns = [pa.array([lang] * len(f), pa.string()), phrase, pa.array(np.full(len(f), size), pa.int32()), pa.array(f)]
+                yield pa.record_batch(columns, ["lang", "phrase", "size", "f"])
+    return run
 
 
-def _marks(frequent: DataFrame, hashed: Column, bits: int) -> Broadcast:
-    """The bitmap of the hashes of a table's phrases: 2 ** bits bits, however many phrases there are."""
-    bit = hashed % F.lit(1 << bits)
-    found = frequent.select(
-        F.shiftright(bit, 6).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("word")
+def _marks(hashes: DataFrame, bits: int) -> Broadcast:
+    """The bitmap of a column of hashes: 2 ** bits bits, however many hashes there are."""
+    bit = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))
+    found = hashes.select(
+        F.shiftright(bit, 6).alias("slot"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("word"),
     ).groupBy("slot").agg(F.bit_or("word").alias("word")).toArrow()
     marks = np.zeros(1 << (bits - 6), np.int64)
     marks[found["slot"].to_numpy()] = found["word"].to_numpy()
-    return frequent.sparkSession.sparkContext.broadcast(marks)
+    return hashes.sparkSession.sparkContext.broadcast(marks)
 
 
-def frequencies(docs: DataFrame, least: int = 30, modulus: int = 16, bits: int = 24) -> tuple[DataFrame, DataFrame]:
+def frequencies(docs: DataFrame, least: int = 30, modulus: int = 32, bits: int = 24) -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to 4 words found at least `least` times (lang, phrase, size, f), and words per language (lang, n)."""
-    chunks = land(dictionary(docs, modulus), "chunks", "zstd")
-    words = land(_tally(chunks, 1), "words", "zstd")
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    singles = words.filter(F.col("f") >= least)
-    pairs = _tally(chunks, 2, _marks(singles, _hash(F.col("phrase")), bits)).filter(F.col("f") >= least)
-    pairs = land(pairs, "pairs")
-    word = lambda k: _hash(F.split("phrase", " ")[k])
-    longer = _tally(chunks, 3, _marks(pairs, word(0) * 31 + word(1), bits)).filter(F.col("f") >= least)
-    longer = land(longer, "longer")
-    every = singles.unionAll(pairs).unionAll(longer)
-    return every.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "f"), totals
+    rows = land(parsed(docs, modulus), "parsed", "zstd")
+    hashed = rows.filter("word is not null")
+    totals = hashed.groupBy("lang").agg(F.sum("n").alias("n")).filter("n > 0")
+    words = _marks(hashed.filter(F.col("n") >= least).select(F.col("word").alias("hash")), bits)
+    chunks = rows.filter("chunk is not null").select("lang", "chunk", "last", "n")
+    pairs = chunks.mapInArrow(_pair_batches(words), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = _marks(pairs.filter(F.col("n") >= least).select(F.col("pair").alias("hash")), bits)
+    counted = chunks.mapInArrow(_phrase_batches(words, pairs), "lang string, phrase string, size int, f long")
+    every = counted.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    return every, totals
 
 
 def _part(begin: Column, length: Column) -> Column:
@@ -250,7 +270,7 @@ def _part(begin: Column, length: Column) -> Column:
 
 
 def mine(
-    docs: DataFrame, least: int = 30, top: int = 2000, modulus: int = 16, bits: int = 24,
+    docs: DataFrame, least: int = 30, top: int = 2000, modulus: int = 32, bits: int = 24,
 ) -> DataFrame:
     """The collocations of each language: lang, rank, phrase, a, l, r, n, score.
 
@@ -290,10 +310,12 @@ def mine(
     kept = best.join(inner, ["lang", "phrase"], "left").filter(
         F.col("within").isNull() | (wide("within") * 100 < wide("a") * 80)
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    first = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn(
-        "rank", F.row_number().over(order)
-    ).filter(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    found = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).alias("salt"))
+    # Ranked in parts first, so that the task of a language sees at most SALTS * top rows.
+    part = Window.partitionBy("lang", "salt").orderBy(*order)
+    best = found.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= top)
+    first = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     return first.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )

@@ -7,8 +7,11 @@ hold, inside article and main elements and outside. What is left of the page's c
 block, is its text. Inline elements are never deleted by count, so a sentence keeps its words.
 
 Prose blocks inside an article or main element are the page's own words even if another page quotes
-them, so there they must recur on nearly all pages. Elements whose tag, role or class says what they
-are (navigation, header, footer, aside, form, advert, notice, reader comments) go without a count.
+them, so there they must recur on nearly all pages. A class or id word that names furniture (ad,
+sidebar, comments) is a hint: the element's shell, its tag and such words without the text, is counted
+as well, on the host and over all hosts, and takes a lower share, since adverts and comments differ
+from page to page. Elements whose tag, role or attributes say that they are no text (navigation, page
+header and footer, aside, form, hidden) go without a count; the header of an article stays.
 On a host with too few pages for a count, an article or main element that holds most of a page's text
 stands for all of it.
 """
@@ -30,6 +33,8 @@ from quarrylight.session import small_side
 PAGES, SHARE = 4, 0.3
 #: Prose inside an article or main element takes this share; other blocks than prose do with so many pages.
 NEARLY, MANY = 0.9, 1000
+#: A shell with a telling word goes from such a share of a host's pages, or of all pages.
+HINTED = 0.05
 
 # Elements by what they are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,8 +61,11 @@ SIBLINGS = {
 }
 SCOPES = frozenset("ul ol dl table html body article main section div nav aside footer header form".split())
 
-piece = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-attribute = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: A quote opens a value only behind an equals sign; elsewhere it is a character like others.
+piece = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*)(?:>|\Z)""", re.S
+)
+attribute = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 
 
 #: Stands for the page itself among its subtrees; as part of a template it says that the host is counted.
@@ -65,10 +73,14 @@ WHOLE = 0
 
 
 class Node:
-    __slots__ = ("kids", "never", "tag", "words")
+    __slots__ = ("hints", "kids", "never", "tag", "words")
+
+    def __init__(self, tag: str, words: str = "", never: bool = False, hints: frozenset[str] = frozenset()):
+        self.tag, self.words, self.never, self.hints, self.kids = tag, words, never, hints, []
 
-    def __init__(self, tag: str, words: str = "", never: bool = False):
-        self.tag, self.words, self.never, self.kids = tag, words, never, []
+    def shell(self) -> int:
+        """The hash of the tag and its telling words; 0 without any."""
+        return xxhash.xxh3_64_intdigest(" ".join([self.tag, *sorted(self.hints)])) if self.hints else 0
 
 
 def parse(source: str) -> Node:
@@ -135,13 +147,12 @@ def _element(tag: str, rest: str) -> Node:
         name, value = name.lower(), "".join(values).lower()
         if name in ("class", "id"):
             words.append(value)
-            never = never or (tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", value)))
-            never = never or (tag == "article" and not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", value)) and "comment" in value)
         elif name == "role":
             never = never or value in ROLES
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             never = True
-    return Node(tag, " ".join(words), never or bool(re.search(r"\bhidden\b(?!\s*=)", rest)))
+    tokens = MARKS.intersection(" ".join(words).split()) if tag not in ("html", "body", *CONTENT) else ()
+    return Node(tag, " ".join(words), never, frozenset(tokens))
 
 
 def clean(text: str) -> str:
@@ -175,22 +186,35 @@ def subtree_hashes(root: Node) -> tuple[dict[int, int], dict[int, bool]]:
     return hashes, lively
 
 
+def shells(root: Node) -> set[int]:
+    """The shells of a page's elements with telling words."""
+    found, todo = set(), [root]
+    while todo:
+        node = todo.pop()
+        found.add(node.shell())
+        todo.extend(x for x in node.kids if isinstance(x, Node))
+    return found - {0}
+
+
 def main_text(
-    root: Node, hashes: dict[int, int], template: set[int], everywhere: set[int] = frozenset(), counted: bool = False
+    root: Node, hashes: dict[int, int], template: set[int], everywhere: set[int] = frozenset(), counted: bool = False,
+    gone: set[int] = frozenset(),
 ) -> str:
     """The blocks of a page outside its template, one line each.
 
-    `everywhere` is the part of the template that recurs on nearly all pages. Where the host has too
+    `everywhere` is the part of the template that recurs on nearly all pages, `gone` the shells that recur. Where the host has too
     few pages to be `counted`, articles or main elements with most of the text stand for the page.
     """
-    lines = _blocks(root, hashes, template, everywhere)
+    lines = _blocks(root, hashes, template, everywhere, gone)
     inside = [text for text, content in lines if content]
     if not counted and 2 * sum(map(len, inside)) >= sum(len(text) for text, _ in lines):
         return "\n".join(inside)
     return "\n".join(text for text, _ in lines)
 
 
-def _blocks(root: Node, hashes: dict[int, int], template: set[int], everywhere: set[int]) -> list[tuple[str, bool]]:
+def _blocks(
+    root: Node, hashes: dict[int, int], template: set[int], everywhere: set[int], gone: set[int]
+) -> list[tuple[str, bool]]:
     """(text, whether it is inside an article or main element) of each block."""
     lines, line = [], []
 
@@ -200,15 +224,18 @@ def _blocks(root: Node, hashes: dict[int, int], template: set[int], everywhere:
         if text:
             lines.append((text, content))
 
-    todo: list = [(root, False)]
+    todo: list = [(root, False, False)]
     while todo:
-        node, content = todo.pop()
+        node, content, prose = todo.pop()
         if node is None:
             end_line(content)
         elif isinstance(node, str):
             line.append(node)
-        elif node.never:
+        elif node.never and not (content and node.tag == "header"):
             continue
+        elif node.hints and not prose and not (content and node.tag in PROSE) and node.shell() in gone:
+            if node.tag in BLOCKS:
+                end_line(content)
         elif node.tag in BLOCKS and hashes[id(node)] in template and node.tag not in ("html", "body", *CONTENT) and not (
             content and node.tag in PROSE and hashes[id(node)] not in everywhere
         ):
@@ -219,8 +246,9 @@ def _blocks(root: Node, hashes: dict[int, int], template: set[int], everywhere:
                 line.append(" ")
             if node.tag in BLOCKS:
                 end_line(content)
-                todo.append((None, within))
-            todo.extend((kid, within) for kid in reversed(node.kids))
+                todo.append((None, within, False))
+            inner = prose or node.tag in PROSE - {"li", "td", "th", "dd"}
+            todo.extend((kid, within, inner) for kid in reversed(node.kids))
     end_line(False)
     return lines
 
@@ -230,31 +258,32 @@ def _signed(x: int) -> int:
 
 
 def _profile(batches):
-    """Per page: the text's hash and the hashes of its blocks with text, those of prose apart."""
+    """Per page: the text's hash, the hashes of its blocks with text, those of prose apart, and its shells."""
     for batch in batches:
-        bodies, trees, prose = [], [], []
+        bodies, trees, prose, hinted = [], [], [], []
         for source in batch.column(2).to_pylist():
             root = parse(source or "")
             hashes, lively = subtree_hashes(root)
             bodies.append(_signed(hashes[id(root)]))
             trees.append([_signed(x) for x in sorted(lively) if not lively[x]])
             prose.append([_signed(x) for x in sorted(lively) if lively[x]])
+            hinted.append([_signed(x) for x in sorted(shells(root))])
         yield pa.record_batch(
             [batch.column(0), batch.column(1), pa.array(bodies, pa.int64()),
-             pa.array(trees, pa.list_(pa.int64())), pa.array(prose, pa.list_(pa.int64()))],
-            ["host", "key", "body", "trees", "prose"],
+             *(pa.array(x, pa.list_(pa.int64())) for x in (trees, prose, hinted))],
+            ["host", "key", "body", "trees", "prose", "shells"],
         )
 
 
 def _extract(batches):
     for batch in batches:
         texts, sizes = [], []
-        columns = [batch.column(x).to_pylist() for x in ("html", "template", "everywhere")]
+        columns = [batch.column(x).to_pylist() for x in ("html", "template", "everywhere", "gone")]
         for source, *found in zip(*columns, strict=True):
             root = parse(source or "")
             hashes, _ = subtree_hashes(root)
-            template, everywhere = ({x & ((1 << 64) - 1) for x in part or ()} for part in found)
-            texts.append(main_text(root, hashes, template, everywhere, WHOLE in template))
+            template, everywhere, gone = ({x & ((1 << 64) - 1) for x in part or ()} for part in found)
+            texts.append(main_text(root, hashes, template, everywhere, WHOLE in template, gone))
             sizes.append(len(texts[-1]))
         yield pa.record_batch(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())],
@@ -268,10 +297,10 @@ def host_of(column: str = "url"):
 
 
 def profiles(pages: DataFrame) -> DataFrame:
-    """(host, key, body, trees, prose) of the different pages of each host; `key` is page_key()."""
+    """(host, key, body, trees, prose, shells) of the different pages of each host; `key` is page_key()."""
     ship(pages.sparkSession)
     return land(pages.select(host_of().alias("host"), page_key().alias("key"), F.col("html").cast("string").alias("html")).mapInArrow(
-        _profile, "host string, key long, body long, trees array<long>, prose array<long>"
+        _profile, "host string, key long, body long, trees array<long>, prose array<long>, shells array<long>"
     ).dropDuplicates(["host", "key"]), "profiles")
 
 
@@ -279,31 +308,49 @@ def page_key():
     return F.xxhash64(F.col("html").cast("string"))
 
 
+#: What a counted hash is of: a block, a block of prose, or the shell of an element with telling words.
+BLOCK_KIND, PROSE_KIND, SHELL_KIND = 0, 1, 2
+
+
 def _each_tree(known: DataFrame) -> DataFrame:
-    marked = lambda part, prose: F.transform(part, lambda x: F.struct(x.alias("tree"), F.lit(prose).alias("prose")))
+    """(host, key, tree, kind), a row for each counted hash of each page."""
+    marked = lambda part, kind: F.transform(part, lambda x: F.struct(x.alias("tree"), F.lit(kind).alias("kind")))
     whole = F.array(F.lit(WHOLE).cast("long"))
-    return known.select("host", "key", F.inline(F.concat(marked(whole, False), marked("trees", False), marked("prose", True))))
+    return known.select("host", "key", F.inline(F.concat(
+        marked(whole, BLOCK_KIND), marked("trees", BLOCK_KIND), marked("prose", PROSE_KIND), marked("shells", SHELL_KIND)
+    )))
 
 
-def templates(known: DataFrame, least: int = PAGES, share: float = SHARE, nearly: float = NEARLY, many: int = MANY) -> DataFrame:
-    """(host, tree, everywhere): the recurring subtrees of each host with enough pages, and WHOLE.
+def templates(
+    known: DataFrame, least: int = PAGES, share: float = SHARE, nearly: float = NEARLY, many: int = MANY, hinted: float = HINTED
+) -> tuple[DataFrame, DataFrame]:
+    """(host, tree, kind, everywhere), the recurring hashes of each host with enough pages, and WHOLE; (tree), the shells
+    that recur over all hosts.
 
     `known` has the profiles of the pages. Pages alike in all but attributes count once, so a page
     that was copied often makes no template.
     """
     each = _each_tree(known.dropDuplicates(["host", "body"]))
-    counts = land(
-        each.groupBy("host", "tree", "prose").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= least), "subtrees"
+    counted = each.groupBy("host", "tree", "kind").agg(F.count(F.lit(1)).alias("pages"))
+    counts = land(counted.filter((F.col("pages") >= least) | (F.col("kind") == SHELL_KIND) | (F.col("tree") == WHOLE)), "subtrees")
+    sizes = counts.filter(F.col("tree") == WHOLE).select("host", F.col("pages").alias("all"))
+    hosts = small_side(sizes.filter(F.col("all") >= least))
+    shell, pages = F.col("kind") == SHELL_KIND, F.col("pages")
+    recurs = (pages >= share * F.col("all")) | ((F.col("kind") == BLOCK_KIND) & (pages >= many)) | (
+        shell & (pages >= 2) & (pages >= hinted * F.col("all"))
+    )
+    on_host = counts.filter(shell | (pages >= least)).join(hosts, "host").filter(recurs).select(
+        "host", "tree", "kind", (pages >= nearly * F.col("all")).alias("everywhere")
     )
-    hosts = small_side(counts.filter(F.col("tree") == WHOLE).select("host", F.col("pages").alias("all")))
-    recurs = (F.col("pages") >= share * F.col("all")) | (~F.col("prose") & (F.col("pages") >= many))
-    return counts.join(hosts, "host").filter(recurs).select(
-        "host", "tree", (F.col("pages") >= nearly * F.col("all")).alias("everywhere")
+    total = sizes.agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
+    over_all = counts.filter(shell).groupBy("tree").agg(F.sum("pages").alias("pages")).filter(
+        (pages >= least) & ((pages >= hinted * total) | (pages >= many))
     )
+    return on_host, over_all.select("tree")
 
 
 def extract(
-    pages: DataFrame, least: int = PAGES, share: float = SHARE, nearly: float = NEARLY, many: int = MANY
+    pages: DataFrame, least: int = PAGES, share: float = SHARE, nearly: float = NEARLY, many: int = MANY, hinted: float = HINTED
 ) -> DataFrame:
     """One row per page: (page_id, url, text, n_chars) from (page_id, url, html).
 
@@ -313,13 +360,19 @@ def extract(
     columns are not read. An empty table gives an empty result.
     """
     known = profiles(pages)
-    recurring = small_side(templates(known, least, share, nearly, many))
+    on_host, over_all = templates(known, least, share, nearly, many, hinted)
+    each, shell = _each_tree(known), F.col("kind") == SHELL_KIND
+    found = each.join(small_side(on_host), ["host", "tree", "kind"]).unionByName(
+        each.filter(shell).join(small_side(over_all), "tree").withColumn("everywhere", F.lit(False))
+    )
     # A page gets the part of its host's template that it holds: a host's may be long, a page's is not.
-    held = small_side(_each_tree(known).drop("prose").join(recurring, ["host", "tree"]).groupBy("host", "key").agg(
-        F.collect_list("tree").alias("template"), F.collect_list(F.when(F.col("everywhere"), F.col("tree"))).alias("everywhere")
+    held = small_side(found.groupBy("host", "key").agg(
+        F.collect_list(F.when(~shell, F.col("tree"))).alias("template"),
+        F.collect_list(F.when(~shell & F.col("everywhere"), F.col("tree"))).alias("everywhere"),
+        F.collect_set(F.when(shell, F.col("tree"))).alias("gone"),
     ))
     plain = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     kind = plain.schema["page_id"].dataType.simpleString()
     return plain.withColumns({"host": host_of(), "key": page_key()}).join(held, ["host", "key"], "left").select(
-        "page_id", "url", "html", "template", "everywhere"
+        "page_id", "url", "html", "template", "everywhere", "gone"
     ).mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
