@@ -5,16 +5,18 @@ left at the ends. That changes no count, as the tokenizers counted here drop whi
 cut words. A tokenizer's digest covers its file, the library's version and the normalisation, so a
 change of any starts counts of its own. The cache is a Parquet table (digest, n_tokens, tokenizer),
 partitioned by tokenizer. Counting joins the documents' digests to it, encodes one text for each
-digest that has none, and appends those counts.
+digest that has none, and appends those counts. No token spans white space, so a text's count is the sum
+over its words, and a worker remembers those of words.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Iterator
+import json
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +28,16 @@ CACHE = "digest binary, n_tokens long, tokenizer string"
 #: ASCII white space; what else counts as white space stays as it is in a digest.
 SPACES = r"[\x20\x09-\x0D]+"
 NORMALISATION = "ascii spaces, 1"
-#: Longer texts are encoded in parts, cut between a space and an ASCII letter.
-PART = 1_000_000
-CUT = re.compile(r" (?=[A-Za-z])")
+#: Words a worker remembers before it forgets them all, and the longest it remembers.
+REMEMBERED, LONGEST = 1_000_000, 100
+#: Bytes of text counted together.
+TOGETHER = 6_000_000
 
-_tokenizers: dict[str, tokenizers.Tokenizer] = {}
+#: Fixed value: the pieces of the tokenizers whose words are encoded together; and marks that often end a word.
+LETTER_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+MARKS = ".,"
+
+_counters: dict[str, Counter] = {}
 
 
 def version(path: str) -> str:
@@ -39,7 +46,8 @@ def version(path: str) -> str:
         content = file.read()
     known = tokenizers.Tokenizer.from_str(content.decode())
     probe = ["a b", "a  b", " a b ", "a\tb", "a\n\x0b\x0c\rb", "a\n 1", "( \n)", "<| a |> \n's"]
-    if any(_size(known, x) != _size(known, " ".join(x.split())) for x in probe):
+    size = lambda x: len(known.encode_batch_fast([x], add_special_tokens=False)[0].ids)
+    if any(size(x) != sum(map(size, x.split())) for x in probe):
         raise ValueError("this tokenizer does not drop white space")
     return hashlib.sha256(b"\0".join([content, tokenizers.__version__.encode(), NORMALISATION.encode()])).hexdigest()
 
@@ -57,26 +65,80 @@ def cached(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame:
     return rows.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
 
-def _size(known: tokenizers.Tokenizer, text: str) -> int:
-    return len(known.encode_batch_fast([text], add_special_tokens=False)[0].ids)
-
-
-def _parts(text: str) -> Iterator[str]:
-    at = 0
-    while len(text) - at > PART and (cut := CUT.search(text, at + PART)):
-        yield text[at:cut.end()]
-        at = cut.end()
-    yield text[at:]
+class Counter:
+    """Counts tokens of texts, each word encoded once; it only remembers, so losing it costs time alone."""
+
+    def __init__(self, path: str):
+        self.known: dict[bytes, int] = {}
+        self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            about = json.load(file)
+        # Where runs of letters are pieces whose last token has a mark, many of them are encoded in one call.
+        cuts = [x.get("pattern", {}).get("Regex") for x in about["pre_tokenizer"].get("pretokenizers", [])]
+        self.end = about["model"].get("end_of_word_suffix") if LETTER_PIECES in cuts else None
+        if self.end:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(self.end)]] = True
+
+    def _sizes(self, words: list[str]) -> list[int]:
+        return [len(x.ids) for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[int]:
+        """The sizes of words that are one piece each."""
+        found: list[int] = []
+        for lo in range(0, len(words), 500):
+            part = words[lo:lo + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            found += np.diff(stops, prepend=0).tolist() if len(stops) == len(part) else self._sizes(part)
+        return found
+
+    def _learn(self, words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        kind = [0] * len(texts)
+        if self.end:  # 1: a run of letters, 2: one with a mark behind it
+            kind = [1 if t.isalpha() else 2 if t[-1:] in MARKS and t[:-1].isalpha() else 0 for t in texts]
+            kind = [k if k and t.lower().rstrip(MARKS).isalpha() else 0 for k, t in zip(kind, texts, strict=True)]
+        runs = sorted({t if k == 1 else t[:-1] for k, t in zip(kind, texts, strict=True) if k})
+        size = dict(zip(runs, self._letters(runs), strict=True)) if runs else {}
+        mark = dict(zip(MARKS, self._sizes(list(MARKS)), strict=True))
+        odd = iter(self._sizes([t for k, t in zip(kind, texts, strict=True) if not k]))
+        for k, w, t in zip(kind, words, texts, strict=True):
+            self.known[w] = size[t] if k == 1 else size[t[:-1]] + mark[t[-1]] if k else next(odd)
+
+    def words(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        new = [w for w in words if w not in self.known]
+        self._learn(new)
+        found = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        for w in new:
+            if len(w) > LONGEST:
+                del self.known[w]
+        return found
+
+    def texts(self, texts: pa.Array) -> np.ndarray:
+        """The number of tokens of each normalised text."""
+        lists = pc.split_pattern(texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        each = self.words(coded.dictionary.cast(pa.binary()).to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        upto = np.append(0, np.cumsum(each))
+        stops = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        return upto[stops] - upto[np.append(0, stops[:-1])]
 
 
 def _encode(path: str):
     def run(batches):
-        if path not in _tokenizers:
-            _tokenizers[path] = tokenizers.Tokenizer.from_file(path)
-        known = _tokenizers[path]
+        if path not in _counters:
+            _counters[path] = Counter(path)
         for batch in batches:
-            counts = [sum(_size(known, part) for part in _parts(text)) for text in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+            edges = [0, *(np.flatnonzero(np.diff(sizes // TOGETHER)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                if b > a:
+                    counts = _counters[path].texts(batch.column(1).slice(a, b - a))
+                    yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
     return run
 
 

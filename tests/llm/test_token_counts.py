@@ -4,6 +4,7 @@ import random
 import re
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -74,14 +75,15 @@ def test_empty_table(spark, texts):
     assert token_counts.count(docs, PATH, cache).columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
 
 
-def test_long_texts_in_parts(monkeypatch, texts):
-    monkeypatch.setattr(token_counts, "PART", 7)
+def test_words_are_remembered_and_forgotten(monkeypatch, texts):
     known = Tokenizer.from_file(PATH)
-    for _, text in texts:
-        text = " ".join((text or "").split(" "))
-        parts = list(token_counts._parts(text))
-        assert "".join(parts) == text
-        assert sum(token_counts._size(known, x) for x in parts) == token_counts._size(known, text)
+    plain = pa.array([re.sub(r"[\x20\x09-\x0D]+", " ", t or "").strip(" ") for _, t in texts])
+    for remembered, longest in ((10 ** 6, 100), (20, 3)):
+        monkeypatch.setattr(token_counts, "REMEMBERED", remembered)
+        monkeypatch.setattr(token_counts, "LONGEST", longest)
+        counter = token_counts.Counter(PATH)
+        for part in (plain, plain.slice(3, 40), plain.slice(0, 0)):
+            assert counter.texts(part).tolist() == [len(known.encode(t, add_special_tokens=False).ids) for t in part.to_pylist()]
 
 
 def test_other_kinds_of_tokenizer_are_refused():
