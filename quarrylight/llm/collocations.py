@@ -35,6 +35,10 @@ OVERLAP = 3
 LONG_CHUNK = 4096
 #: Bytes of text handled together in a task.
 TOGETHER = 6_000_000
+#: Counts a task holds before equal ones are added up, and before they leave it.
+HELD, FULL = 1_000_000, 3_000_000
+#: Bits of a pair's hash.
+PAIR_BITS = 40
 #: Parts that the candidates of a language are ranked in before they meet.
 SALTS = 16
 
@@ -60,7 +64,33 @@ def _hashes(lang: str, words: pa.Array) -> np.ndarray:
 
 
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return first * np.int64(-0x61C8864680B583EB) + second * np.int64(0x165667B19E3779F9)
+    mixed = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+    return (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+
+class Tally:
+    """Adds up the counts (column n) of equal keys over the blocks of a task."""
+
+    def __init__(self, keys: list[str]):
+        self.keys, self.held, self.added = keys, [], 0
+
+    def add(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        self.held.append(table)
+        self.added += len(table)
+        if self.added > HELD:
+            self._merge()
+            if self.added > FULL:
+                yield from self.rest()
+
+    def _merge(self) -> None:
+        summed = pa.concat_tables(self.held).group_by(self.keys).aggregate([("n", "sum")])
+        self.held, self.added = [summed.rename_columns([*self.keys, "n"])], len(summed)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self._merge()
+            yield from self.held[0].to_batches()
+        self.held, self.added = [], 0
 
 
 class Words:
@@ -111,27 +141,30 @@ def parse(lang: str, texts: pa.Array, modulus: int) -> tuple[pa.Table, Words]:
     return chunks.group_by(["chunk", "last"]).aggregate([([], "count_all")]).rename_columns(["chunk", "last", "n"]), words
 
 
-PARSED = "lang string, chunk string, last boolean, word long, n long"
+PARSED = "lang string, word long, chunk string, last boolean, n long"
 
 
 def _parse_batches(modulus: int):
     def run(batches):
+        words = Tally(["lang", "word"])
+
+        def word_rows(found):
+            for part in found:
+                empty = [pa.nulls(len(part), pa.string()), pa.nulls(len(part), pa.bool_())]
+                yield pa.record_batch([*part.columns[:2], *empty, part.columns[2]], ["lang", "word", "chunk", "last", "n"])
+
         for batch in batches:
             for lang in pc.unique(batch.column(0)).to_pylist():
                 texts = batch.column(1).filter(pc.equal(batch.column(0), lang))
                 for rows in _slices(_bytes(texts)):
-                    chunks, words = parse(lang, texts[rows], modulus)
-                    counts = np.bincount(words.codes, minlength=len(words.names))
-                    counts[words.codes[words.is_mark][:1]] = 0  # a mark is no word
-                    for table in (
-                        chunks.append_column("word", pa.nulls(len(chunks), pa.int64())),
-                        pa.table({
-                            "chunk": pa.nulls(len(counts), pa.string()), "last": pa.nulls(len(counts), pa.bool_()),
-                            "n": pa.array(counts, pa.int64()), "word": pa.array(words.hashes),
-                        }),
-                    ):
-                        named = table.append_column("lang", pa.array([lang] * len(table), pa.string()))
-                        yield from named.select(["lang", "chunk", "last", "word", "n"]).to_batches()
+                    chunks, found = parse(lang, texts[rows], modulus)
+                    counts = np.bincount(found.codes, minlength=len(found.names))
+                    counts[found.codes[found.is_mark][:1]] = 0  # a mark is no word
+                    names = lambda table, lang=lang: pa.array([lang] * len(table), pa.string())
+                    yield from word_rows(words.add(pa.table({"lang": names(counts), "word": found.hashes, "n": counts})))
+                    chunks = chunks.append_column("lang", names(chunks)).append_column("word", pa.nulls(len(chunks), pa.int64()))
+                    yield from chunks.select(["lang", "word", "chunk", "last", "n"]).to_batches()
+        yield from word_rows(words.rest())
     return run
 
 
@@ -142,7 +175,7 @@ def parsed(docs: DataFrame, modulus: int = 32) -> DataFrame:
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")
     ).filter("text is not null")
     rows = plain.mapInArrow(_parse_batches(modulus), PARSED)
-    return rows.groupBy("lang", "chunk", "last", "word").agg(F.sum("n").alias("n"))
+    return rows.groupBy("lang", "word", "chunk", "last").agg(F.sum("n").alias("n"))
 
 
 class Chunks(Words):
@@ -224,18 +257,23 @@ def _chunk_blocks(batches) -> Iterator[tuple[str, Chunks]]:
 
 def _pair_batches(words: Broadcast):
     def run(batches):
+        tally = Tally(["pair"])
         for _, chunks in _chunk_blocks(batches):
             pair, n = chunks.pairs(words.value)
-            yield pa.record_batch([pa.array(pair), pa.array(n)], ["pair", "n"])
+            yield from tally.add(pa.table({"pair": pair, "n": n}))
+        yield from tally.rest()
     return run
 
 
 def _phrase_batches(words: Broadcast, pairs: Broadcast):
     def run(batches):
+        tally = Tally(["lang", "phrase", "size"])
         for lang, chunks in _chunk_blocks(batches):
-            for size, (phrase, f) in enumerate(chunks.phrases(words.value, pairs.value), 1):
-                columns = [pa.array([lang] * len(f), pa.string()), phrase, pa.array(np.full(len(f), size), pa.int32()), pa.array(f)]
-                yield pa.record_batch(columns, ["lang", "phrase", "size", "f"])
+            for size, (phrase, n) in enumerate(chunks.phrases(words.value, pairs.value), 1):
+                yield from tally.add(pa.table({
+                    "lang": pa.array([lang] * len(n), pa.string()), "phrase": phrase, "size": pa.array(np.full(len(n), size), pa.int32()), "n": n,
+                }))
+        yield from tally.rest()
     return run
 
 
@@ -260,8 +298,8 @@ def frequencies(docs: DataFrame, least: int = 30, modulus: int = 32, bits: int =
     chunks = rows.filter("chunk is not null").select("lang", "chunk", "last", "n")
     pairs = chunks.mapInArrow(_pair_batches(words), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     pairs = _marks(pairs.filter(F.col("n") >= least).select(F.col("pair").alias("hash")), bits)
-    counted = chunks.mapInArrow(_phrase_batches(words, pairs), "lang string, phrase string, size int, f long")
-    every = counted.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    counted = chunks.mapInArrow(_phrase_batches(words, pairs), "lang string, phrase string, size int, n long")
+    every = counted.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     return every, totals
 
 
