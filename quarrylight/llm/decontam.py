@@ -4,7 +4,12 @@ An item of m bytes that occurs in a document with at most k edits (bytes inserte
 replaced) keeps at least m + 1 - q (k + 1) of its q-grams, and their diagonals (position in the
 document less position in the item) lie within k + 1 neighbouring ones. So the q-grams a document
 shares with an item are counted in bands of 2 (k + 1) diagonals that overlap by half; a band below
-that bound cannot hold the item. Bands that reach it are verified by banded alignment.
+that bound cannot hold the item. Bands that reach it are verified by alignment over the diagonals of
+the band and the budget on both sides of it.
+
+A long item also leaks by a long part: its halves and the half in the middle are looked for in the same
+way, each with its own budget. A q-gram that an item repeats, as a row of dashes does, is counted
+by how many of its places fall into each band, not place by place.
 
 Texts are compared in lower case with each run of white space as one space, as UTF-8. The benchmark
 is the query set: it is taken in blocks of bounded size, and each block meets every document where
@@ -30,6 +35,10 @@ RATE = 0.08
 #: Bytes of benchmark text in a block, and of documents looked at together.
 ITEMS, BLOCK = 4_000_000, 1_000_000
 SIEVE = 22
+#: Halves of items are looked for from so many bytes on.
+PART = 100
+#: Places of a q-gram in one item from which on they are counted by band, and entries handled at once.
+HEAVY, AT_ONCE = 16, 4_000_000
 
 
 def normalise(text: str | None) -> bytes:
@@ -55,72 +64,172 @@ def _slot(values: np.ndarray) -> np.ndarray:
     return (values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SIEVE)
 
 
+@dataclass
+class Postings:
+    """For each q-gram (by number) a run of entries."""
+
+    first: np.ndarray
+    owner: np.ndarray
+    place: np.ndarray
+
+    @classmethod
+    def of(cls, gram: np.ndarray, owner: np.ndarray, place: np.ndarray, grams: int) -> Postings:
+        order = np.argsort(gram, kind="stable")
+        return cls(np.searchsorted(gram[order], np.arange(grams + 1)), owner[order], place[order])
+
+    def sizes(self, gram: np.ndarray) -> np.ndarray:
+        return self.first[gram + 1] - self.first[gram]
+
+    def entries(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the given q-grams, which entry), for all entries of all of them."""
+        sizes = self.sizes(gram)
+        stops = np.cumsum(sizes)
+        return np.repeat(np.arange(len(gram)), sizes), np.repeat(self.first[gram] - stops + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
 @dataclass
 class Items:
-    """A block of benchmark items and the sorted postings of their q-grams."""
+    """A block of benchmark texts (items and parts of them) and the postings of their q-grams.
+
+    `light` lists places. In `heavy`, an entry is a q-gram that its text repeats; `table[base + b]` with the
+    remainder b of a document's diagonal says into which bands those places fall: a run of (band, count).
+    """
 
     names: list
+    part: np.ndarray
     texts: list[bytes]
     edits: np.ndarray
     least: np.ndarray
     sieve: np.ndarray
     values: np.ndarray
-    first: np.ndarray
-    owner: np.ndarray
-    place: np.ndarray
+    light: Postings
+    heavy: Postings
+    table: np.ndarray
+    bands: np.ndarray
+    counts: np.ndarray
+
+
+def parts(text: bytes) -> list[bytes]:
+    """The halves of a long text and the half in its middle."""
+    half = len(text) // 2
+    return [text[at:at + half] for at in (0, half // 2, len(text) - half)] if half >= PART else []
 
 
 def compile_items(names: list, texts: list[bytes], rate: float = RATE) -> Items:
+    whole = [(i, False, t) for i, t in enumerate(texts)] + [(i, True, p) for i, t in enumerate(texts) for p in parts(t)]
+    texts = [t for _, _, t in whole]
     edits = np.array([budget(len(t), rate) for t in texts], np.int64)
     sizes = np.array([len(t) for t in texts], np.int64)
     all_grams = [grams(t) for t in texts]
     owner = np.repeat(np.arange(len(texts)), [len(g) for g in all_grams])
     place = np.concatenate([np.arange(len(g)) for g in all_grams] or [np.zeros(0, np.int64)])
-    flat = np.concatenate(all_grams or [np.zeros(0, "<u8")])
-    order = np.argsort(flat, kind="stable")
-    values, first = np.unique(flat[order], return_index=True)
+    values, gram = np.unique(np.concatenate(all_grams or [np.zeros(0, "<u8")]), return_inverse=True)
     sieve = np.zeros(1 << SIEVE, bool)
     sieve[_slot(values)] = True
+
+    _, group, number = np.unique(gram * np.int64(len(texts)) + owner, return_inverse=True, return_counts=True)
+    often = number[group] > HEAVY
+    light = Postings.of(gram[~often], owner[~often], place[~often], len(values))
+    runs, bands, counts, heads, bases, at = [], [], [], [], [], 0
+    order = np.flatnonzero(often)[np.argsort(group[often], kind="stable")]
+    for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []:
+        width = int(edits[owner[rows[0]]]) + 1
+        bases.append(len(runs))
+        heads.append(rows[0])
+        for remainder in range(width):
+            band, n = np.unique((remainder - place[rows]) // width, return_counts=True)
+            runs.append(at)
+            bands.append(band)
+            counts.append(n)
+            at += len(band)
+    heads = np.array(heads, np.int64)
+    heavy = Postings.of(gram[heads], owner[heads], np.array(bases, np.int64), len(values))
+    joined = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     return Items(
-        names, texts, edits, sizes + 1 - Q * (edits + 1), sieve, values,
-        np.append(first, len(flat)), owner[order], place[order],
+        [names[i] for i, _, _ in whole], np.array([p for _, p, _ in whole], bool), texts, edits, sizes + 1 - Q * (edits + 1),
+        sieve, values, light, heavy, np.array([*runs, at], np.int64), joined(bands), joined(counts),
     )
 
 
-def align(item: bytes, region: bytes, edits: int) -> tuple[int, int, int] | None:
+def align(item: bytes, region: bytes, edits: int, diagonals: int | None = None) -> tuple[int, int, int] | None:
     """(edits, begin, end) of the best occurrence of item in region within the budget, else None.
 
-    Free ends in the region, unit costs, rows along the item. `begin` follows the cheapest path; of
-    equal ends the first counts.
+    It may begin at any of the first `diagonals` bytes of the region (by default all) and stays on those
+    diagonals; only they are computed, row by row along the item. Unit costs; `begin` follows the cheapest
+    path; of equal ends the first counts.
     """
     at = region.find(item)
     if at >= 0:
         return 0, at, at + len(item)
     if not edits or not item:
         return None
-    text = np.frombuffer(region, np.uint8)
-    columns = np.arange(len(text) + 1)
-    cost, origin = np.zeros(len(text) + 1, np.int64), columns.copy()
-    for byte in item:
-        step = cost[:-1] + (text != byte)
-        down = cost + 1
-        best, start = down.copy(), origin.copy()
-        take = step < best[1:]
-        best[1:][take] = step[take]
-        start[1:][take] = origin[:-1][take]
-        # insertions along the row: a running minimum of cost less column
-        level = best - columns
+    band = len(region) + 1 if diagonals is None else max(1, diagonals)
+    text = np.full(len(item) + band, -1, np.int64)
+    held = np.frombuffer(region, np.uint8)[:len(text)]
+    text[:len(held)] = held
+    places = np.arange(band)
+    cost, origin = np.zeros(band, np.int64), places.copy()
+    for row, byte in enumerate(item):
+        best = cost + (text[row:row + band] != byte)
+        start = origin.copy()
+        skip = cost[1:] + 1 < best[:-1]  # the byte of the item is missing in the text
+        best[:-1][skip] = cost[1:][skip] + 1
+        start[:-1][skip] = origin[1:][skip]
+        # more bytes of the text along the row: a running minimum of cost less place
+        level = best - places
         low = np.minimum.accumulate(level)
-        source = np.maximum.accumulate(np.where(level == low, columns, 0))
-        cost, origin = low + columns, start[source]
+        source = np.maximum.accumulate(np.where(level == low, places, 0))
+        cost, origin = low + places, start[source]
         if cost.min() > edits:
             return None
     end = int(cost.argmin())
-    return (int(cost[end]), int(origin[end]), end) if cost[end] <= edits else None
+    if cost[end] > edits:
+        return None
+    return int(cost[end]), min(int(origin[end]), len(region)), min(len(item) + end, len(region))
+
+
+def _shared(items: Items, raw: bytes, begins: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(owner, document, band, n): q-grams that a document shares with a text in each stripe of diagonals."""
+    found = grams(raw)
+    at = np.flatnonzero(items.sieve[_slot(found)])
+    slot = np.minimum(np.searchsorted(items.values, found[at]), len(items.values) - 1)
+    known = items.values[slot] == found[at]
+    at, slot = at[known], slot[known]
+    longest = max(map(len, items.texts))
+    work = np.cumsum(items.light.sizes(slot) + items.heavy.sizes(slot) * (2 + int(1 / RATE)))
+    stripes = [np.zeros((4, 0), np.int64)]
+    for rows in np.split(np.arange(len(at)), np.flatnonzero(np.diff(work // AT_ONCE)) + 1):
+        which, entry = items.light.entries(slot[rows])
+        owner, shifted = items.light.owner[entry], at[rows][which] + longest
+        stripes.append(_summed(owner, at[rows][which], (shifted - items.light.place[entry]) // (items.edits[owner] + 1), np.ones(len(owner), np.int64), begins))
+        which, entry = items.heavy.entries(slot[rows])
+        owner, shifted = items.heavy.owner[entry], at[rows][which] + longest
+        width = items.edits[owner] + 1
+        run = items.heavy.place[entry] + shifted % width
+        sizes = items.table[run + 1] - items.table[run]
+        flat = np.repeat(items.table[run] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        again = np.repeat(np.arange(len(owner)), sizes)
+        stripes.append(_summed(owner[again], at[rows][which][again], (shifted // width)[again] + items.bands[flat], items.counts[flat], begins))
+    owner, inside, band, n = np.concatenate(stripes, axis=1)
+    return tuple(_merged(owner, inside, band, n))
+
+
+def _summed(owner, at, band, n, begins) -> np.ndarray:
+    return _merged(owner, np.searchsorted(begins, at, "right") - 1, band, n)
+
+
+def _merged(owner: np.ndarray, inside: np.ndarray, band: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The counts of equal (owner, document, band) added up, in that order."""
+    order = np.lexsort((band, inside, owner))
+    rows = np.stack([owner[order], inside[order], band[order]])
+    if not len(order):
+        return np.zeros((4, 0), np.int64)
+    first = np.flatnonzero(np.append(True, (np.diff(rows, axis=1) != 0).any(0)))
+    return np.vstack([rows[:, first], np.add.reduceat(n[order], first)])
 
 
 def occurrences(items: Items, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, item, edits, begin, end): the best occurrence of each item in each document."""
+    """(document, text of items, edits, begin, end): the best occurrence of each item or part in each document."""
     for i, item in enumerate(items.texts):
         if 0 < len(item) < Q:  # too short for a q-gram: exact occurrences between spaces
             for d, text in enumerate(texts):
@@ -129,47 +238,25 @@ def occurrences(items: Items, texts: list[bytes]) -> Iterator[tuple[int, int, in
                     yield d, i, 0, at, at + len(item)
     if not len(items.values):
         return
-    raw = b"\0".join(texts)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     begins = np.cumsum(sizes + 1) - sizes - 1
-    found = grams(raw)
-    at = np.flatnonzero(items.sieve[_slot(found)])
-    value = found[at]
-    slot = np.searchsorted(items.values, value)
-    known = items.values[np.minimum(slot, len(items.values) - 1)] == value
-    at, slot = at[known], slot[known]
-    repeats = items.first[slot + 1] - items.first[slot]
-    flat = np.repeat(items.first[slot] - np.cumsum(repeats) + repeats, repeats) + np.arange(int(repeats.sum()))
-    at, owner, place = np.repeat(at, repeats), items.owner[flat], items.place[flat]
-    inside = np.searchsorted(begins, at, "right") - 1
-    width = items.edits[owner] + 1
-    longest = max(map(len, items.texts), default=0)
-    diagonal = at - place + longest  # never negative
-    band = diagonal // width
-    wide = np.int64(len(raw) + 2 * longest + 2)
-    # A band is the pair of stripes (b, b + 1); each q-gram counts in two bands, of its own document only.
-    pair = owner * np.int64(len(texts)) + inside
-    order = np.lexsort((band, pair))
-    pair, band, diagonal, owner, inside = pair[order], band[order], diagonal[order], owner[order], inside[order]
-    key = pair * wide + band if len(pair) == 0 or int(pair.max()) < 2**62 // int(wide) else None
-    if key is None:
-        raise ValueError("a block is too large for its keys")
-    stripes, first, n = np.unique(key, return_index=True, return_counts=True)
-    if not len(stripes):
+    owner, inside, band, n = _shared(items, b"\0".join(texts), begins)
+    if not len(owner):
         return
-    after = np.append(stripes[1:] == stripes[:-1] + 1, False)
+    longest = max(map(len, items.texts))
+    # A band is the pair of stripes (b, b + 1); each q-gram counts in two bands, of its own document only.
+    after = np.append((owner[1:] == owner[:-1]) & (inside[1:] == inside[:-1]) & (band[1:] == band[:-1] + 1), False)
     both = n + np.where(after, np.append(n[1:], 0), 0)
-    good = both >= np.maximum(items.least[owner[first]], 1)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for s in np.flatnonzero(good).tolist():
-        i, d = int(owner[first[s]]), int(inside[first[s]])
+    for s in np.flatnonzero(both >= np.maximum(items.least[owner], 1)).tolist():
+        i, d = int(owner[s]), int(inside[s])
         edits = int(items.edits[i])
         known_best = best.get((d, i))
         if known_best and known_best[0] == 0:
             continue
-        low = int(band[first[s]]) * (edits + 1) - longest - int(begins[d])
-        begin, end = max(0, low - edits), min(int(sizes[d]), low + 2 * (edits + 1) + len(items.texts[i]) + edits)
-        hit = align(items.texts[i], texts[d][begin:end], edits)
+        low = int(band[s]) * (edits + 1) - longest - int(begins[d])
+        begin, last = max(0, low - edits), low + 2 * (edits + 1) + edits
+        hit = align(items.texts[i], texts[d][begin:max(begin, last) + len(items.texts[i])], edits, last - begin + 1)
         if hit:
             hit = hit[0], hit[1] + begin, hit[2] + begin
             if known_best is None or hit < known_best:
@@ -178,6 +265,20 @@ def occurrences(items: Items, texts: list[bytes]) -> Iterator[tuple[int, int, in
         yield d, i, *hit
 
 
+def leaks(items: Items, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
+    """occurrences, of an item's parts only where the whole item is not found, and then only the best one."""
+    count = int((~items.part).sum())
+    found: dict[tuple[int, int], tuple] = {}
+    at = np.cumsum([0, *(len(parts(t)) for t in items.texts[:count])])
+    for d, i, *hit in occurrences(items, texts):
+        owner = i if i < count else int(np.searchsorted(at, i - count, "right")) - 1
+        rank = (i >= count, *hit)
+        if (d, owner) not in found or rank < found[d, owner][0]:
+            found[d, owner] = rank, i
+    for (d, _), (rank, i) in sorted(found.items()):
+        yield d, i, *rank[1:]
+
+
 def blocks(benchmark: DataFrame, rate: float = RATE, limit: int = ITEMS) -> Iterator[Items]:
     """The benchmark in blocks of bounded size; null and blank items never occur."""
     names, texts, size = [], [], 0
@@ -208,9 +309,10 @@ def _in_blocks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """(doc_id, item_id, edits, begin, end): each item's best occurrence in each document that has it.
+    """(doc_id, item_id, edits, begin, end, partial): each item's best occurrence in each document that has it.
 
-    begin and end are byte positions in the normalised text. Documents without an item give no
+    begin and end are byte positions in the normalised text; `partial` says that only a half of the item was
+    found, which items of 2 * PART bytes or more are looked through for. Documents without an item give no
     row; neither do null and empty texts, or null and blank items. Repeated rows and repeated items
     give repeated rows. Other columns are not read. Empty tables give an empty result.
     """
@@ -218,7 +320,7 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame
     ship(spark)
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kinds = plain.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
-    schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, edits int, begin int, end int"
+    schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, edits int, begin int, end int, partial boolean"
     item_kind = to_arrow_type(kinds[1])
     found = None
     for items in blocks(benchmark, rate):
@@ -227,31 +329,32 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame
         def run(batches, shared=shared):
             for batch in batches:
                 for start, block in _in_blocks(batch.column(1).to_pylist()):
-                    hits = list(occurrences(shared.value, block))
+                    hits = list(leaks(shared.value, block))
                     yield pa.record_batch(
                         [batch.column(0).take(pa.array([start + h[0] for h in hits], pa.int64())),
                          pa.array([shared.value.names[h[1]] for h in hits], item_kind),
-                         *(pa.array([h[c] for h in hits], pa.int32()) for c in (2, 3, 4))],
-                        ["doc_id", "item_id", "edits", "begin", "end"],
+                         *(pa.array([h[c] for h in hits], pa.int32()) for c in (2, 3, 4)),
+                         pa.array([bool(shared.value.part[h[1]]) for h in hits], pa.bool_())],
+                        ["doc_id", "item_id", "edits", "begin", "end", "partial"],
                     )
         part = plain.mapInArrow(run, schema)
         found = part if found is None else found.unionAll(part)
     return found if found is not None else spark.createDataFrame([], schema)
 
 
-def _leaks(shared):
+def _leaking(shared):
     @F.pandas_udf("boolean")
-    def leaks(texts: pd.Series) -> pd.Series:
+    def leaking(texts: pd.Series) -> pd.Series:
         hit = np.zeros(len(texts), bool)
         for start, block in _in_blocks([None if t is None else t for t in texts.tolist()]):
             for found in occurrences(shared.value, block):
                 hit[start + found[0]] = True
         return pd.Series(hit)
-    return leaks
+    return leaking
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of `docs` in which no item occurs; columns are those of `docs`.
+    """The rows of `docs` in which no item, and no half of a long one, occurs; columns are those of `docs`.
 
     Null and empty texts stay. Repeated rows share their fate.
     """
@@ -259,5 +362,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
     ship(spark)
     for items in blocks(benchmark, rate):
         shared = spark.sparkContext.broadcast(items)  # bounded by ITEMS
-        docs = docs.filter(~_leaks(shared)(F.col("text").cast("string")))
+        docs = docs.filter(~_leaking(shared)(F.col("text").cast("string")))
     return docs
