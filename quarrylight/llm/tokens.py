@@ -2,7 +2,8 @@
 
 A byte-level tokenizer cuts a text before merging, and a space followed by a non-space always starts
 a new piece. So texts are cut there, and the library encodes each word only the first time a worker
-process meets it. Texts with other white space around a space go to the library whole.
+process meets it. Texts with other white space around a space go to the library whole, and so do texts
+that hold the string of an added token, which the library's default encodes as that token.
 """
 
 from __future__ import annotations
@@ -44,7 +45,6 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         cutter = self.whole.pre_tokenizer
         self.by_word = (
             isinstance(cutter, pre_tokenizers.ByteLevel) and self.whole.normalizer is None
@@ -64,7 +64,8 @@ class Encoder:
         for token, i in vocabulary.items():
             self.width[i] = len(token)
         self.cut = regex.compile(PIECES).findall
-        self.uneven = re.compile(r" (?=\s|\Z)").search
+        added = sorted(x.content for x in self.whole.get_added_tokens_decoder().values())
+        self.uneven = re.compile("|".join([r" (?=\s|\Z)", *map(re.escape, added)])).search
 
     def encode(self, texts: list[str]):
         """The ids of each text as little-endian unsigned 32-bit integers, in order."""
