@@ -8,8 +8,9 @@ sample; the language that needs the fewest normalised phrases wins.
 Each automaton has symbols of its own for all letters of its sample; a letter the sample lacks costs a
 phrase in that language only. Automata of small alphabets are dense tables, those of large ones (a
 script of thousands of letters) rows laid over one another. A block of texts, cut into strips, is
-followed through a table strip-parallel with numpy, one column of characters at a time. Whole texts
-are parsed.
+followed through a table strip-parallel with numpy, one column of characters at a time. A strip then
+starts anew from the state in which the one before it ended, until it meets the states that it went
+through already, so whole texts are parsed as in one go.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from pyspark.sql.window import Window
 
 from quarrylight.llm.common import ship
 
-#: Bounds of the training sample: rows and characters for each language, and languages.
-ROWS, CHARS, LANGUAGES = 400, 40_000, 64
+#: Bounds of the training sample: rows and characters for each language, and characters of all languages, which
+#: share them evenly where they are too many for CHARS each. No language is left out.
+ROWS, CHARS, TOTAL = 400, 40_000, 2_560_000
 #: Tables with up to so many symbols are dense; the others give the same phrases in less memory.
 DENSE = 64
 UNDETERMINED = "und"
@@ -58,15 +60,11 @@ class Dense:
             table[state, width - 1] = state * width
         return Dense(table.astype(np.int32).ravel())
 
-    def misses(self, grid: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
-        state = np.zeros(grid.shape[1], np.int32)
-        missed = np.zeros(grid.shape[1], np.int32)
-        for row in grid:
-            entry = self.table[state + alphabet[row]]
-            sign = entry >> 31  # -1 where a match ends
-            missed -= sign
-            state = entry ^ sign
-        return missed
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one symbol each, and where a match ended."""
+        entry = self.table[state + symbols]
+        sign = entry >> 31  # -1 where a match ends
+        return entry ^ sign, sign != 0
 
 
 @dataclass
@@ -105,17 +103,35 @@ class Sparse:
             start[symbol[c]] = following
         return Sparse(np.array(base, np.int32), owner, to, start)
 
-    def misses(self, grid: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
-        state = np.zeros(grid.shape[1], np.int32)
-        missed = np.zeros(grid.shape[1], np.int32)
-        fill = len(self.start) - 1
-        for row in grid:
-            row = alphabet[row]
-            at = self.base[state] + row
-            ended = self.owner[at] != state
-            missed += ended & (row != fill)
-            state = np.where(ended, self.start[row], self.to[at])
-        return missed
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one symbol each, and where a match ended."""
+        at = self.base[state] + symbols
+        fills = symbols == len(self.start) - 1
+        ended = (self.owner[at] != state) & ~fills
+        return np.where(fills, state, np.where(ended, self.start[symbols], self.to[at])), ended
+
+
+def misses(table: Dense | Sparse, grid: np.ndarray, alphabet: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Ended matches in each strip (column); `first` marks the first strip of each text, the others go on."""
+    states, ends = np.empty(grid.shape, np.int32), np.empty(grid.shape, bool)
+    state = np.zeros(grid.shape[1], np.int32)
+    for r, row in enumerate(grid):
+        state, ends[r] = table.step(state, alphabet[row])
+        states[r] = state
+    again = np.flatnonzero(~first)
+    while len(again):
+        strips, state = again, states[-1, again - 1]
+        for r, row in enumerate(grid):
+            state, ends[r, strips] = table.step(state, alphabet[row[strips]])
+            differs = state != states[r, strips]
+            strips, state = strips[differs], state[differs]
+            if not len(strips):
+                break
+            states[r, strips] = state
+        after = strips + 1  # strips that now end elsewhere: the next ones begin there
+        again = after[after < len(first)]
+        again = again[~first[again]]
+    return ends.sum(0)
 
 
 @dataclass
@@ -188,21 +204,22 @@ def phrases(text: str, edges: list[dict[str, int]]) -> int:
     return count
 
 
-def sample(docs: DataFrame, rows: int = ROWS, chars: int = CHARS, languages: int = LANGUAGES) -> dict[str, str]:
+def sample(docs: DataFrame, rows: int = ROWS, chars: int = CHARS, total: int = TOTAL) -> dict[str, str]:
     """Normalised training text per language: texts in the order of a hash of them, as far as the bounds go.
 
     `docs` has (text, lang). Equal texts of a language count once. Of a text longer than a quarter of
-    the characters a piece is taken, at a place its hash gives; the last text is cut at the bound.
-    Languages beyond the most frequent `languages` are not learned.
+    the characters a piece is taken, at a place its hash gives; the last text is cut at the bound. All
+    languages are learned; more than `total` / `chars` of them get a smaller, equal part of `total` each.
     """
     usable = docs.select("lang", F.col("text").cast("string").alias("text")).filter(
         "text is not null and lang is not null and length(text) > 0"
     ).withColumn("hash", F.xxhash64("text"))
     counts = usable.groupBy("lang").agg(
         F.count(F.lit(1)).alias("count"), F.approx_count_distinct("hash").alias("texts")
-    ).orderBy(F.desc("count"), "lang").limit(languages).collect()
+    ).collect()  # one row for each language
     if not counts:
         return {}
+    chars = max(1, min(chars, total // len(counts)))
     share = F.create_map(*[
         x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 4.0 * rows / max(r["texts"], 1))))
     ])
@@ -272,6 +289,8 @@ def parse(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n = np.bincount(owner, minlength=len(texts))
     strips = -(-n // STRIP)
     first = np.cumsum(strips) - strips
+    begins = np.zeros(int(strips.sum()), bool)
+    begins[first[strips > 0]] = True
     within = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)
     fill = len(model.alphabets[0]) - 1
     grid = np.full((STRIP, int(strips.sum())), fill, model.symbols.dtype)
@@ -279,7 +298,7 @@ def parse(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     of = np.repeat(np.arange(len(texts)), strips)
     counts = np.zeros((len(texts), len(model.languages)))
     for k, (alphabet, table) in enumerate(zip(model.alphabets, model.tables, strict=True)):
-        counts[:, k] = np.bincount(of, weights=table.misses(grid, alphabet), minlength=len(texts))
+        counts[:, k] = np.bincount(of, weights=misses(table, grid, alphabet, begins), minlength=len(texts))
     return n, counts
 
 
@@ -327,7 +346,7 @@ def identify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str
     """
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by LANGUAGES and CHARS
+    shared = spark.sparkContext.broadcast(model)  # bounded by TOTAL
 
     @F.pandas_udf("lang string, score double, rate double")
     def guess(texts: pd.Series) -> pd.DataFrame:

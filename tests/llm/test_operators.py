@@ -100,10 +100,9 @@ def test_links_of_large_and_small_buckets_agree(spark, bucket):
 def test_tokens_equal_the_library():
     known, draw = tokens.Encoder(PATH), random.Random(1)
     letters = list(" \n\tab'st.,1é😀 ſ²_")
-    cases = ["", " ", "a  b", "a b ", " x", "<|endoftext|>", prose(1, 300)]
+    cases = ["", " ", "a  b", "a b ", " x", "<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>y z", "<|endoftext |>", prose(1, 300)]
     cases += ["".join(draw.choice(letters) for _ in range(draw.randrange(25))) for _ in range(2000)]
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
     for text, ids in zip(cases, known.encode(cases), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
@@ -262,13 +261,27 @@ def test_parse_in_large_and_small_tables():
     assert [type(t).__name__ for t in model.tables] == ["Dense", "Sparse"]
     sample = [invented(3, 0x4E00, 400, 30), invented(4, 0x61, 26, 15, True), "\u4e00\u4e01 \u0431\u0432 ab", invented(5, 0x4E80, 400, 40)]
     sample = [langid.normalise(x) for x in sample]
-    assert max(map(len, sample)) < langid.STRIP
+    sample += [langid.normalise(invented(6, 0x61, 26, 3000, True)), langid.normalise(invented(7, 0x4E00, 400, 4000)), ((train["few"].strip() + " ") * 4).strip(), "a" * 3000]
+    assert sum(map(len, sample)) > 20_000 and max(map(len, sample)) > 20 * langid.STRIP
+    sample = [x for text in sample for x in (text, text[:langid.STRIP], text[:2 * langid.STRIP + 1])]
     _, counts = langid.parse(model, sample)
     for i, text in enumerate(sample):
         for k, lang in enumerate(model.languages):
             assert counts[i][k] == langid.phrases(text, langid.suffix_automaton(train[lang]))
 
 
+def test_every_language_is_learned(spark):
+    """Seventy languages, each of letters of its own, within the bound on all characters."""
+    rows = [(100 * k + i, invented(100 * k + i, 0x4E00 + 40 * k, 30, 40, True), f"l{k}") for k in range(70) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.sample(docs, total=21_000)
+    assert len(found) == 70 and max(map(len, found.values())) <= 302
+    model = langid.fit(docs.filter("doc_id % 100 > 0"))
+    told = langid.identify(docs.filter("doc_id % 100 = 0"), model)
+    assert all(r["lang"] == r["lang_pred"] for r in told.collect())
+    assert langid.recognised(docs, model).count() == 210
+
+
 def test_training_text_of_long_and_of_copied_documents(spark):
     rows = [("long", invented(i, 0x61, 26, 9000, True)) for i in range(3)]
     rows += [("copied", "the same again")] * 4000 + [("copied", f"another text {chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(30)]
