@@ -6,9 +6,10 @@ Looking for it in three steps:
 1. Confirm. From every window of WINDOW words the phrase of PHRASE words with the smallest hash is
    drawn. Equal windows draw equal phrases, so a repeated window has a phrase that occurs in two
    different texts. Phrases that do are confirmed; a window draws about 2 in WINDOW - PHRASE + 2.
-2. Compile and stream. Documents with confirmed phrases are streamed in shards; a shard's
-   Aho-Corasick automaton holds the confirmed phrases of its documents and locates every occurrence
-   of each, word by word.
+2. Compile and stream. Confirmed phrases are dealt to shards by the first document that holds them, so
+   passages of one source stay together. Each shard's phrases are compiled to an Aho-Corasick
+   automaton, and every document that holds one of them is streamed through it, which locates every
+   occurrence word by word. A shard with many documents takes them in blocks.
 3. Cover. The windows around located phrases are hashed (128 bits) and each hash gets the smallest
    document that has it; windows with a smaller document are covered.
 
@@ -29,8 +30,10 @@ from quarrylight.llm.common import land, ship
 from quarrylight.session import small_side
 
 WINDOW, PHRASE = 50, 16
-#: Bytes of text hashed at once and documents of a shard (both may be exceeded by one document).
-BLOCK, SHARD = 500_000, 1_000_000
+#: Bytes of text hashed at once, and of documents that meet a shard's automaton in one task (one document may exceed them).
+BLOCK, STREAM = 500_000, 2_000_000
+#: Confirmed phrases of a shard, about.
+SHARD = 10_000
 #: Occurrences of a window that go to one task; a window with more is dealt over several.
 HOT = 20_000
 #: Odd multipliers of the rolling hashes.
@@ -150,11 +153,8 @@ def _letter(i: int) -> str:
     return chr(i if i < 0xD800 else i + 0x800)
 
 
-def locate(texts: list[list[bytes]], phrases: dict[int, tuple[bytes, ...]]) -> list[list[tuple[int, int]]]:
-    """(position, phrase) of every occurrence of the phrases in each text, by one automaton.
-
-    Words become letters: each word of a phrase its own, all other words one that no phrase has.
-    """
+def compile_phrases(phrases: dict[int, tuple[bytes, ...]]) -> tuple[ahocorasick.Automaton, dict[bytes, str]]:
+    """The automaton of some phrases, and the letter of each of their words; other words have one that no phrase has."""
     letters: dict[bytes, str] = {}
     for phrase in phrases.values():
         for word in phrase:
@@ -163,60 +163,79 @@ def locate(texts: list[list[bytes]], phrases: dict[int, tuple[bytes, ...]]) -> l
     automaton = ahocorasick.Automaton()
     for name, phrase in phrases.items():
         automaton.add_word(_spell(phrase, letters), (name, len(phrase)))
+    if len(automaton):
+        automaton.make_automaton()
+    return automaton, letters
+
+
+def locate(words: list[bytes], automaton: ahocorasick.Automaton, letters: dict[bytes, str]) -> list[tuple[int, int]]:
+    """(position, phrase) of every occurrence of the automaton's phrases in a text."""
     if not len(automaton):
-        return [[] for _ in texts]
-    automaton.make_automaton()
-    return [
-        [(end + 1 - size, name) for end, (name, size) in automaton.iter(_spell(text, letters))] for text in texts
-    ]
+        return []
+    return [(end + 1 - size, name) for end, (name, size) in automaton.iter(_spell(words, letters))]
 
 
-def _windows(batches):
-    """Windows around confirmed phrases: id, sha, and for each its start and 128-bit hash."""
+def _spelled(batches):
+    """The words of the confirmed phrases of the documents that are the first to hold them."""
     for batch in batches:
-        ids, confirmed = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        texts = [b"" if t is None else t for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        for block in _blocks(texts, SHARD):
+        texts = [b"" if t is None else t for t in batch.column(0).cast(pa.binary()).to_pylist()]
+        for block in _blocks(texts, BLOCK):
             part = [texts[i] for i in block]
-            split = [t.split() for t in part]
             counts, words = word_hashes(part, BASES[0])
-            _, other = word_hashes(part, BASES[2])
-            stops = np.cumsum(counts)
-            known, profiles = {}, []
-            for k, i in enumerate(block):
-                own = slice(int(stops[k] - counts[k]), int(stops[k]))
-                hashes, chosen, windows = drawn(words[own])
-                profiles.append((own, windows))
-                wanted = np.isin(hashes[chosen].view(np.int64), np.array(confirmed[i], np.int64))
-                for at in chosen[wanted].tolist():
-                    known.setdefault(int(hashes[at]), tuple(split[k][at:at + PHRASE]))
-            rows = [[], [], [], [], []]
-            for k, found in enumerate(locate(split, known)):
-                own, windows = profiles[k]
-                if not found or not len(windows):
-                    continue
-                at = np.array([x for x, _ in found], np.int64)
-                name = np.array([x for _, x in found], np.uint64)
-                hit = np.zeros(len(windows), bool)
-                for back in range(WINDOW - PHRASE + 1):  # windows that draw the phrase found at this place
-                    good = (at >= back) & (at - back < len(windows))
-                    start = at[good] - back
-                    hit[start[windows[start] == name[good]]] = True
-                start = np.flatnonzero(hit)
-                if not len(start):
-                    continue
-                rows[0].append(ids[block[k]])
-                rows[1].append(_digest(split[k]))
-                rows[2].append(pa.array(start, pa.int32()))
-                rows[3].append(pa.array(_runs(words[own], start, start + WINDOW, BASES[1]).view(np.int64)))
-                rows[4].append(pa.array(_runs(other[own], start, start + WINDOW, BASES[3]).view(np.int64)))
+            found: list[list] = [[], [], []]
+            for i, text, end, n in zip(block, part, np.cumsum(counts).tolist(), counts.tolist(), strict=True):
+                wanted = {x["phrase"]: x["shard"] for x in batch.column(1)[i].as_py()}
+                hashes, chosen, _ = drawn(words[end - n:end])
+                split, signed = text.split(), hashes.view(np.int64)
+                for at in chosen[np.isin(signed[chosen], np.array(list(wanted), np.int64))].tolist():
+                    shard = wanted.pop(int(signed[at]), None)
+                    if shard is not None:
+                        for column, value in zip(found, (int(signed[at]), shard, b" ".join(split[at:at + PHRASE])), strict=True):
+                            column.append(value)
             yield pa.record_batch(
-                [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), _lists(rows[2], pa.int32()),
-                 _lists(rows[3], pa.int64()), _lists(rows[4], pa.int64())],
-                ["id", "sha", "start", "one", "two"],
+                [pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.binary()).cast(pa.string())],
+                ["phrase", "shard", "words"],
             )
 
 
+WINDOWS = "id long, sha string, start array<int>, one array<long>, two array<long>"
+
+
+def _stream(phrases: pa.Table, docs: pa.Table) -> pa.Table:
+    """The windows around the phrases that a shard's automaton locates: id, sha, starts and 128-bit hashes."""
+    known = {i: tuple(w.split(b" ")) for i, w in enumerate(phrases.column("words").cast(pa.binary()).to_pylist())}
+    ids, texts = docs.column("id").to_pylist(), docs.column("text").cast(pa.binary()).to_pylist()
+    rows: list[list] = [[], [], [], [], []]
+    automaton, letters = compile_phrases(known)
+    for block in _blocks(texts, BLOCK) if known else ():
+        part = [texts[i] for i in block]
+        split = [t.split() for t in part]
+        counts, words = word_hashes(part, BASES[0])
+        _, other = word_hashes(part, BASES[2])
+        stops = np.cumsum(counts)
+        for k, i in enumerate(block):
+            number = int(counts[k]) - WINDOW + 1
+            found = locate(split[k], automaton, letters) if number > 0 else []
+            if not found:
+                continue
+            near = np.zeros(len(split[k]) + 2, np.int32)
+            at = np.array([x for x, _ in found], np.int64)
+            np.add.at(near, np.maximum(at - (WINDOW - PHRASE), 0), 1)
+            np.add.at(near, at + 1, -1)
+            start = np.flatnonzero(np.cumsum(near)[:number] > 0)
+            own = slice(int(stops[k] - counts[k]), int(stops[k]))
+            rows[0].append(ids[i])
+            rows[1].append(_digest(split[k]))
+            rows[2].append(pa.array(start, pa.int32()))
+            rows[3].append(pa.array(_runs(words[own], start, start + WINDOW, BASES[1]).view(np.int64)))
+            rows[4].append(pa.array(_runs(other[own], start, start + WINDOW, BASES[3]).view(np.int64)))
+    return pa.table(
+        [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), _lists(rows[2], pa.int32()),
+         _lists(rows[3], pa.int64()), _lists(rows[4], pa.int64())],
+        names=["id", "sha", "start", "one", "two"],
+    )
+
+
 def _lists(arrays: list[pa.Array], kind: pa.DataType) -> pa.Array:
     stops = np.cumsum([0, *map(len, arrays)])
     return pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.concat_arrays(arrays) if arrays else pa.array([], kind))
@@ -267,24 +286,33 @@ def repeated(docs: DataFrame, hot: int = HOT) -> dict[str, DataFrame]:
     )
     copies = land(profile.groupBy("sha").agg(F.min("id").alias("first")), "copies")
     phrases = profile.select("id", "mark", F.explode("phrases").alias("phrase"))
-    confirmed = phrases.groupBy("phrase").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).filter(
-        "low <> high"
-    ).select("phrase")
+    confirmed = land(phrases.groupBy("phrase").agg(
+        F.min("mark").alias("low"), F.max("mark").alias("high"), F.min("id").alias("home")
+    ).filter("low <> high").select("phrase", "home"), "confirmed")
+    shards = max(1, -(-confirmed.count() // SHARD))
+    shard = F.pmod(F.xxhash64("home"), F.lit(shards)).alias("shard")
     firsts = profile.select("id", "sha", "mark").join(
         copies, (profile["sha"] == copies["sha"]) & (profile["id"] == copies["first"])
     ).select("id", "mark").distinct()
-    found = land(
-        phrases.join(confirmed, "phrase").groupBy("id", "mark").agg(F.collect_set("phrase").alias("phrases"))
-        .join(firsts, ["id", "mark"]).select("id", "phrases"),
-        "found",
-    )
-    by_id = found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("phrases"))).alias("phrases"))
-    some = land(_numbered(docs).join(small_side(found.select("id").distinct()), "id"), "candidates")
-    windows = land(
-        some.join(by_id, "id").select("id", "text", "phrases").mapInArrow(
-            _windows, "id long, sha string, start array<int>, one array<long>, two array<long>"
-        ), "windows",
+    # Which documents hold phrases of which shard: a row for each pair, however many phrases.
+    held = land(
+        phrases.join(confirmed.select("phrase", shard), "phrase").select("id", "mark", "shard").distinct()
+        .join(firsts, ["id", "mark"]).select("id", "shard").distinct(),
+        "held",
     )
+    some = land(_numbered(docs).join(small_side(held.select("id").distinct()), "id"), "candidates")
+    homes = confirmed.groupBy(F.col("home").alias("id")).agg(F.collect_list(F.struct("phrase", shard)).alias("wanted"))
+    spelled = some.join(homes, "id").select("text", "wanted").mapInArrow(_spelled, "phrase long, shard long, words string")
+    spelled = land(spelled.dropDuplicates(["phrase"]), "spelled")
+    # A shard's documents in blocks of about STREAM bytes, each with the shard's phrases.
+    streamed = some.join(held, "id").withColumn("bytes", F.octet_length("text"))
+    blocks = small_side(streamed.groupBy("shard").agg(F.ceil(F.sum("bytes") / STREAM).alias("blocks")))
+    block = F.pmod(F.xxhash64("id", "text"), F.greatest("blocks", F.lit(1))).alias("block")
+    dealt = streamed.join(blocks, "shard").select("id", "text", "shard", block)
+    every = spelled.join(blocks, "shard").select("words", "shard", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.greatest("blocks", F.lit(1)) - 1)
+    ).alias("block"))
+    windows = land(every.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInArrow(_stream, WINDOWS), "windows")
     each = windows.select("id", "sha", F.inline(F.arrays_zip("start", "one", "two")))
     first = land(
         each.groupBy("one", "two").agg(
