@@ -39,6 +39,8 @@ TOGETHER = 6_000_000
 HELD, FULL = 1_000_000, 3_000_000
 #: Bits of a pair's hash.
 PAIR_BITS = 40
+#: Partitions of the dictionary that a task counts: what is frequent comes in all of them, and is sent once.
+GATHERED = 4
 #: Parts that the candidates of a language are ranked in before they meet.
 SALTS = 16
 
@@ -168,7 +170,7 @@ def _parse_batches(modulus: int):
     return run
 
 
-def parsed(docs: DataFrame, modulus: int = 32) -> DataFrame:
+def parsed(docs: DataFrame, modulus: int = 64) -> DataFrame:
     """Chunks (lang, chunk, last, n) and, with `word` instead of a chunk, hashes of words (lang, word, n)."""
     ship(docs.sparkSession)
     plain = docs.select(
@@ -289,13 +291,14 @@ def _marks(hashes: DataFrame, bits: int) -> Broadcast:
     return hashes.sparkSession.sparkContext.broadcast(marks)
 
 
-def frequencies(docs: DataFrame, least: int = 30, modulus: int = 32, bits: int = 24) -> tuple[DataFrame, DataFrame]:
+def frequencies(docs: DataFrame, least: int = 30, modulus: int = 64, bits: int = 24) -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to 4 words found at least `least` times (lang, phrase, size, f), and words per language (lang, n)."""
     rows = land(parsed(docs, modulus), "parsed", "zstd")
     hashed = rows.filter("word is not null")
     totals = hashed.groupBy("lang").agg(F.sum("n").alias("n")).filter("n > 0")
     words = _marks(hashed.filter(F.col("n") >= least).select(F.col("word").alias("hash")), bits)
     chunks = rows.filter("chunk is not null").select("lang", "chunk", "last", "n")
+    chunks = chunks.coalesce(max(1, -(-chunks.rdd.getNumPartitions() // GATHERED)))
     pairs = chunks.mapInArrow(_pair_batches(words), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     pairs = _marks(pairs.filter(F.col("n") >= least).select(F.col("pair").alias("hash")), bits)
     counted = chunks.mapInArrow(_phrase_batches(words, pairs), "lang string, phrase string, size int, n long")
@@ -308,7 +311,7 @@ def _part(begin: Column, length: Column) -> Column:
 
 
 def mine(
-    docs: DataFrame, least: int = 30, top: int = 2000, modulus: int = 32, bits: int = 24,
+    docs: DataFrame, least: int = 30, top: int = 2000, modulus: int = 64, bits: int = 24,
 ) -> DataFrame:
     """The collocations of each language: lang, rank, phrase, a, l, r, n, score.
 
