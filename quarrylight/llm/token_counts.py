@@ -29,9 +29,9 @@ CACHE = "digest binary, n_tokens long, tokenizer string"
 SPACES = r"[\x20\x09-\x0D]+"
 NORMALISATION = "ascii spaces, 1"
 #: Words a worker remembers before it forgets them all, and the longest it remembers.
-REMEMBERED, LONGEST = 1_000_000, 100
-#: Bytes of text counted together.
-TOGETHER = 6_000_000
+REMEMBERED, LONGEST = 400_000, 100
+#: Bytes of text counted together, and words given to the library at once.
+TOGETHER, AT_ONCE = 2_000_000, 1000
 
 #: Fixed value: the pieces of the tokenizers whose words are encoded together; and marks that often end a word.
 LETTER_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -82,7 +82,8 @@ class Counter:
             self.ends[[i for token, i in vocabulary.items() if token.endswith(self.end)]] = True
 
     def _sizes(self, words: list[str]) -> list[int]:
-        return [len(x.ids) for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        parts = (words[at:at + AT_ONCE] for at in range(0, len(words), AT_ONCE))
+        return [len(x.ids) for part in parts for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
     def _letters(self, words: list[str]) -> list[int]:
         """The sizes of words that are one piece each."""
