@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 _WORD = r"[+-]?([iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])"
 DOT_NUMBER = rf"^({_WORD}|[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?)$"
 PREFIX_NUMBER = rf"^\s*({_WORD}|[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)"
-PREFIX_HEX = r"^\s*([+-]?)0[xX]([0-9a-fA-F]{1,15})"
+PREFIX_HEX = r"^\s*([+-]?)0[xX](?=\.?[0-9a-fA-F])([0-9a-fA-F]*)\.?([0-9a-fA-F]*)(?:[pP]([+-]?\d+))?"
 CSV_NUMBER = rf"^({_WORD}|[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)$"
 
 FLOAT_MAX = 3.4028234663852886e38
+# Hexadecimal digits that a double holds exactly.
+HEX_DIGITS = 13
 
 
 def _to_double(text: Column) -> Column:
@@ -32,13 +34,31 @@ def whole_number(text: Column) -> Column:
     return F.when(bare.rlike(DOT_NUMBER), _to_double(bare))
 
 
+def _hexadecimal(text: Column) -> Column:
+    """The hexadecimal number at the start of a text, fraction and binary exponent included.
+
+    The first digits that a double holds exactly are read; any digit behind them only sets the last
+    bit, so that rounding to a float sees on which side of the middle the number lies.
+    """
+    part = lambda i: F.regexp_extract(text, PREFIX_HEX, i)
+    digits = F.ltrim(F.concat(part(2), part(3)), F.lit("0"))
+    head, rest = F.substring(digits, 1, HEX_DIGITS), F.substring(digits, HEX_DIGITS + 1, 2**31 - 1)
+    whole = F.coalesce(F.conv(F.nullif(head, F.lit("")), 16, 10).cast("double"), F.lit(0.0))
+    whole = whole + F.when(rest.rlike("[1-9a-fA-F]") & (whole % 2 == 0), 1.0).otherwise(0.0)
+    far = F.when(part(4).startswith("-"), -100_000).otherwise(100_000)
+    power = F.when(part(4) == "", 0).otherwise(F.coalesce(part(4).try_cast("int"), far).cast("bigint"))
+    shift = power + 4 * (F.length(rest) - F.length(part(3)))
+    size = F.when(whole == 0, 0.0).otherwise(whole * F.pow(F.lit(2.0), shift.cast("double")))
+    return F.when(part(1) == "-", -size).otherwise(size)
+
+
 def parse_prefix(text: Column) -> Column:
     """Commas and blanks are removed and the longest leading number counts, as a float, else 0."""
     kept = F.translate(text, ", ", "")
     leading = F.regexp_extract(kept, PREFIX_NUMBER, 1)
-    digits = F.regexp_extract(kept, PREFIX_HEX, 2)
-    hexadecimal = F.conv(digits, 16, 10).cast("double") * F.when(F.regexp_extract(kept, PREFIX_HEX, 1) == "-", -1.0).otherwise(1.0)
-    number = F.when(digits != "", hexadecimal).otherwise(_to_double(leading))
+    # Rare, and long as an expression: bound in a lambda it stays out of the generated code.
+    hexadecimal = F.get(F.transform(F.array(kept), _hexadecimal), F.lit(0))
+    number = F.when(kept.rlike(PREFIX_HEX), hexadecimal).otherwise(_to_double(leading))
     in_range = (F.abs(number) <= F.lit(FLOAT_MAX)) | leading.rlike("[iInN]")
     return F.when(in_range, number).otherwise(F.lit(0.0)).cast("float")
 
@@ -50,6 +70,12 @@ def to_numeric(value: Column) -> Column:
     return F.nullif(number, F.lit(float("nan")))
 
 
+def as_number(value: Column) -> Column:
+    """A double: numbers as they are, text as `to_numeric` reads it (blank text is missing); NaN is null."""
+    plain = value.try_cast("double")
+    return F.when(F.typeof(value) == "string", to_numeric(value)).otherwise(F.when(~F.isnan(plain), plain))
+
+
 def looks_numeric(value: Column) -> Column:
     """True if a numeric parse of the value would not fail; nulls and empty text are fine."""
     text = F.trim(value.cast("string"))
@@ -83,9 +109,15 @@ def error_percent_truncated(success: Column, total: Column) -> Column:
 
 def leading_number(text: Column, decimals: int) -> Column:
     """Drop everything but digits and points, read the leading number, round; 0 if none."""
+    return rounded(leading_digits(text), decimals)
+
+
+def leading_digits(text: Column) -> Column:
+    """leading_number without rounding. Text of digits with a point at most is read as it stands."""
+    plain = F.when(F.translate(text, "0123456789.", "") == "", text.try_cast("double"))
     kept = F.regexp_replace(text, r"[^0-9.]", "")
-    number = F.nullif(F.regexp_extract(kept, r"^(\d+\.?\d*|\.\d+)", 1), F.lit("")).try_cast("double")
-    return rounded(F.coalesce(number, F.lit(0.0)), decimals)
+    odd = F.nullif(F.regexp_extract(kept, r"^(\d+\.?\d*|\.\d+)", 1), F.lit("")).try_cast("double")
+    return F.coalesce(plain, odd, F.lit(0.0))
 
 
 def logistic_if_outside(value: Column) -> Column:
@@ -134,12 +166,15 @@ def _bind(value: Column, expression) -> Column:
     return F.get(F.transform(F.array(value.cast("double")), expression), F.lit(0))
 
 
+def rounded_column(x: Column, decimals: int) -> Column:
+    """`rounded` for a column that is there already: without a binding it stays in generated code."""
+    near = _scaled(x, decimals) / float(10**decimals)
+    return F.when(F.abs(x) * float(10**decimals) < 2.0**52, F.signum(x) * near).otherwise(x)
+
+
 def rounded(value: Column, decimals: int) -> Column:
     """The exact binary value rounded to so many decimals, ties to even; beyond 2^52 units nothing is left to round."""
-    def expression(x: Column) -> Column:
-        near = _scaled(x, decimals) / float(10**decimals)
-        return F.when(F.abs(x) * float(10**decimals) < 2.0**52, F.signum(x) * near).otherwise(x)
-    return _bind(value, expression)
+    return _bind(value, lambda x: rounded_column(x, decimals))
 
 
 def fixed_text(value: Column, decimals: int) -> Column:

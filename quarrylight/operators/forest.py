@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,9 @@ REGRESSOR_TREES, REGRESSOR_DEPTH = 100, 10
 SEED = 42
 # Bins per continuous feature, MLlib's own default: more find finer thresholds and take as much more memory.
 BINS = 32
+# Names shown for the class numbers 0 and 1.
 CLASSES = ["Normal", "Attack"]
+LABEL = "_label"
 HELPERS = ("_num_", "_cat_", "_code_", "_hot_")
 
 
@@ -42,16 +45,33 @@ def fit_classifier(
     train: DataFrame, params: Preprocessing, target: str, trees: int = CLASSIFIER_TREES, depth: int = CLASSIFIER_DEPTH,
     bins: int = BINS,
 ) -> PipelineModel:
-    """Preprocessing and a forest with balanced class weights, fitted as one pipeline.
+    """A label index, preprocessing and a forest with balanced class weights, fitted as one pipeline.
 
-    `target` holds class numbers 0, 1, ...
+    `target` holds the classes, of any type and number; they are numbered in their own order, so 0 and 1
+    stay 0 and 1, and their names go with the pipeline. Rows without a class are left out.
     """
     forest = RandomForestClassifier(
-        featuresCol="features", labelCol="_label", weightCol="weight", numTrees=trees, maxDepth=depth,
+        featuresCol="features", labelCol=LABEL, weightCol="weight", numTrees=trees, maxDepth=depth,
         seed=SEED, maxMemoryInMB=1024, maxBins=bins,
     )
-    labelled = with_class_weight(train, target).withColumn("_label", F.col(target).cast("double"))
-    return Pipeline(stages=[*preprocessing_stages(params), forest]).fit(labelled)
+    named = train.where(F.col(target).isNotNull()).withColumn("_class", F.col(target).cast("string"))
+    labels = StringIndexerModel.from_labels(ordered_classes(named, target), inputCol="_class", outputCol=LABEL)
+    return Pipeline(stages=[labels, *preprocessing_stages(params), forest]).fit(with_class_weight(named, target))
+
+
+def ordered_classes(df: DataFrame, target: str) -> list[str]:
+    """The classes as text, in the order of their own type."""
+    return [r["name"] for r in df.groupBy(target).agg(F.first(F.col(target).cast("string")).alias("name")).orderBy(target).collect()]
+
+
+def class_names(model: PipelineModel) -> list[str]:
+    """The classes of a fitted pipeline, at the place of their number; none for a regressor."""
+    return next((list(s.labels) for s in model.stages if isinstance(s, StringIndexerModel) and s.getOutputCol() == LABEL), [])
+
+
+def predicted_class(model: PipelineModel) -> Column:
+    """The name of the class that the pipeline's `prediction` numbers."""
+    return F.get(F.array(*[F.lit(c) for c in class_names(model)]), F.col("prediction").cast("int"))
 
 
 def fit_regressor(
@@ -70,31 +90,43 @@ def without_helpers(df: DataFrame) -> DataFrame:
     return df.drop(*drop)
 
 
+def record(
+    df: DataFrame, probability: Column, classes: list[str], version: str, used: int, keep: list[str]
+) -> DataFrame:
+    """Prediction records from class probabilities.
+
+    Two classes: the probability of the second, strict 0.5 threshold, class name. More classes: the
+    largest probability and its class, the first among equals.
+    """
+    bound = df.withColumn("_p", probability)
+    if len(classes) == 2:
+        shown = CLASSES if classes == ["0", "1"] else classes
+        p = F.get("_p", F.lit(1))
+        found = [p.alias("prediction"), exceeds(p).alias("is_attack"), F.when(exceeds(p), shown[1]).otherwise(shown[0]).alias("class_name")]
+    else:
+        p = F.array_max("_p")
+        name = F.get(F.array(*[F.lit(c) for c in classes]), (F.array_position("_p", p) - 1).cast("int"))
+        found = [p.alias("prediction"), name.alias("class_name")]
+    return bound.select(
+        *[F.col(f"`{c}`") for c in keep], *found, F.lit(version).alias("model_version"), F.lit(used).cast("int").alias("features_used")
+    )
+
+
 def score(
     df: DataFrame, model: PipelineModel, version: str = "forest-1", classes: list[str] | None = None,
     keep: list[str] | None = None, width: int | None = None,
 ) -> DataFrame:
-    """Prediction records: probability of class 1, strict 0.5 threshold, class name, constants.
+    """Prediction records (see `record`) of a fitted pipeline; `classes` replaces the names it was fitted with.
 
     `width` is the number of features the caller expects; another one is an error, found once
     from the schema and not row by row.
     """
-    classes = classes or CLASSES
     scored = model.transform(df)
     used = scored.schema["features"].metadata["ml_attr"]["num_attrs"]
     if width is not None and used != width:
         raise ValueError(f"{used} features instead of {width}")
-    probability = vector_to_array("probability")[1]
-    out = scored.withColumn("_p", probability)
     keep = df.columns if keep is None else keep
-    return out.select(
-        *[F.col(f"`{c}`") for c in keep],
-        F.col("_p").alias("prediction"),
-        exceeds(F.col("_p")).alias("is_attack"),
-        F.when(exceeds(F.col("_p")), classes[1]).otherwise(classes[0]).alias("class_name"),
-        F.lit(version).alias("model_version"),
-        F.lit(used).cast("int").alias("features_used"),
-    )
+    return record(scored, vector_to_array("probability"), classes or class_names(model) or CLASSES, version, used, keep)
 
 
 def score_value(df: DataFrame, model: PipelineModel, name: str = "forest", keep: list[str] | None = None) -> DataFrame:
@@ -123,9 +155,10 @@ def train_and_evaluate(
     marked = materialize(sampling.stratified_split(chosen, keys, target))
     train = spread(materialize(sampling.balance(marked.where("split = 'train'"), keys, target, **balancing)))
     test = marked.where("split = 'test'")
-    params = fit_preprocessing(train, numeric, categorical, wide=True)
+    params = fit_preprocessing(train, numeric, categorical)
     model = fit_classifier(train, params, target, trees, depth, bins)
-    scored = materialize(model.transform(test).select(F.col(target).cast("int").alias("label"), F.col("prediction").cast("int").alias("guess")))
+    known = test.where(F.col(target).isNotNull())
+    scored = materialize(model.transform(known).select(F.col(target).cast("string").alias("label"), predicted_class(model).alias("guess")))
     return model, params, metrics.classification_report(scored, "label", "guess")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quarrylight.functions.numbers import as_number
 from quarrylight.session import materialize, null_safe_join, small_side
 
 GRID = 1000
@@ -24,9 +25,9 @@ SKETCH_ROWS = 10_000_000
 
 def _long_form(df: DataFrame, values: list[str], by: list[str]) -> DataFrame:
     ids = [F.col(f"`{k}`") for k in by]
-    typed = df.select(*ids, *[F.col(f"`{c}`").cast("double").alias(c) for c in values])
+    typed = df.select(*ids, *[as_number(F.col(f"`{c}`")).alias(c) for c in values])
     long = typed.unpivot([F.col(f"`{k}`") for k in by], [F.col(f"`{c}`") for c in values], "feature", "v")
-    return long.where(F.col("v").isNotNull() & ~F.isnan("v"))
+    return long.where(F.col("v").isNotNull())
 
 
 def _ranges(long: DataFrame, group: list[str], probs: list[float], settle: int) -> DataFrame:
@@ -146,7 +147,7 @@ def exact_percentiles(
     settle: int = 1_000_000,
     sketch_rows: int = SKETCH_ROWS,
 ) -> DataFrame:
-    """Exact, linearly interpolated percentiles of numeric columns, nulls and NaN skipped.
+    """Exact, linearly interpolated percentiles of numbers or numeric text; nulls, NaN and other text are skipped.
 
     Returns one row per group and column: (*by, feature, n, percentiles array in the order of
     probs). `settle` is the number of rows a bracket may hold in the end; groups up to that size
@@ -156,16 +157,49 @@ def exact_percentiles(
     group = [*by, "feature"]
     order = sorted(range(len(probs)), key=lambda i: probs[i])
     sorted_probs = [probs[i] for i in order]
-    count = len(probs)
 
     long = _long_form(df, values, by)
     brackets = materialize(_ranges(long, group, sorted_probs, settle))
+    return _settle(long, brackets, group, order, sorted_probs, accuracy, settle, sketch_rows)
+
+
+def bracketed_percentiles(
+    df: DataFrame, value: str, probs: list[float], by: list[str], known: DataFrame, accuracy: int = 10_000,
+    settle: int = 1_000_000, sketch_rows: int = SKETCH_ROWS,
+) -> DataFrame:
+    """exact_percentiles of one column where `known` (*by, lo0, hi0, lo1, ...) says about where they lie.
+
+    Brackets of a merged sketch save the pass that looks for them. One that misses its rank is moved.
+    """
+    group = [*by, "feature"]
+    order = sorted(range(len(probs)), key=lambda i: probs[i])
+    sorted_probs = [probs[i] for i in order]
+    long = _long_form(df, [value], by)
+    ranges = _ranges(long, group, sorted_probs, settle)
+    named = known.select(*[F.col(f"`{k}`") for k in by], F.struct(*[c for c in known.columns if c not in by]).alias("_known"))
+    joined = null_safe_join(ranges, named, by, "left")
+    changes = {}
+    for i, place in enumerate(order):
+        inside = lambda c: F.greatest(F.least(c, F.col("highest")), F.col("lowest"))
+        for side in ("lo", "hi"):
+            found = F.when(~F.col(f"ok{i}"), inside(F.col(f"_known.{side}{place}")))
+            changes[f"{side}{i}"] = F.coalesce(found, F.col(f"{side}{i}"))
+    brackets = materialize(joined.withColumns(changes).select(ranges.columns))
+    return _settle(long, brackets, group, order, sorted_probs, accuracy, settle, sketch_rows, sketched=True)
+
+
+def _settle(
+    long: DataFrame, brackets: DataFrame, group: list[str], order: list[int], sorted_probs: list[float], accuracy: int,
+    settle: int, sketch_rows: int, sketched: bool = False,
+) -> DataFrame:
+    """Move and narrow the brackets until each holds few rows, then rank those."""
+    count = len(order)
     all_settled = F.min(F.least(*[F.col(f"ok{i}") for i in range(count)], F.lit(True)))
 
     def settled() -> bool:
         return brackets.agg(all_settled).first()[0] is not False
 
-    if not settled():
+    if not sketched and not settled():
         brackets = materialize(_sketch(long, brackets, group, sorted_probs, accuracy, sketch_rows))
     # A round divides the rows inside by 100 or so: a trillion rows take three, the last one a check.
     seed = 2

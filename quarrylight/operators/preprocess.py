@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quarrylight.functions.numbers import CSV_NUMBER, as_number
 from quarrylight.operators.percentiles import exact_medians
 from quarrylight.session import materialize, null_safe_join, small_side
 
@@ -50,8 +51,7 @@ class Preprocessing:
 
 def present_number(name: str) -> Column:
     """The column as a double; NaN and text that is no number are null."""
-    value = F.col(f"`{name}`").try_cast("double")
-    return F.when(~F.isnan(value), value)
+    return as_number(F.col(_quoted(name)))
 
 
 def fit_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -127,23 +127,25 @@ def one_hot_long(df: DataFrame, keys: list[str], columns: list[str], index: Data
 
 
 def fit_preprocessing(df: DataFrame, numeric: list[str], categorical: list[str], wide: bool = False) -> Preprocessing:
-    """Fitted parameters. More than DRIVER_CATEGORIES categories are an error unless `wide`, which keeps them in a table."""
+    """Fitted parameters; more than DRIVER_CATEGORIES categories stay in a table, as they do if `wide` asks for it.
+
+    A numeric feature without any number is filled with 0 and scaled by 1.
+    """
     params = Preprocessing(list(numeric), list(categorical))
     if numeric:
         for row in fit_numeric(df, numeric).collect():
-            params.medians[row["feature"]] = row["median"]
-            params.means[row["feature"]] = row["mean"]
-            params.scales[row["feature"]] = row["scale"]
+            known = row["median"] is not None
+            params.medians[row["feature"]] = row["median"] if known else 0.0
+            params.means[row["feature"]] = row["mean"] if known else 0.0
+            params.scales[row["feature"]] = row["scale"] if known else 1.0
     if categorical:
         found = materialize(distinct_categories(df, categorical))
-        if found.count() <= DRIVER_CATEGORIES:
+        if not wide and found.count() <= DRIVER_CATEGORIES:
             for row in found.orderBy("feature", "category").collect():
                 params.categories.setdefault(row["feature"], []).append(row["category"])
-        elif wide:
+        else:
             params.index = materialize(_positions(found))
             params.widths = {r["feature"]: r["count"] for r in found.groupBy("feature").count().collect()}
-        else:
-            raise ValueError("too many categories for a list; fit with wide=True or encode them with one_hot_long")
     return params
 
 
@@ -195,17 +197,32 @@ class _CodesReader(MLReader):
         return codes
 
 
+def index_of(spark, params: Preprocessing) -> DataFrame:
+    """(feature, position, category) of the parameters, whether they are listed or in a table."""
+    if params.index is not None:
+        return params.index.select("feature", F.col("position").cast("long").alias("position"), "category")
+    rows = [(c, i, v) for c in params.categorical for i, v in enumerate(params.categories.get(c, []))]
+    return spark.createDataFrame(rows, "feature string, position long, category string")
+
+
+def listed_by_spark(spark, params: Preprocessing) -> DataFrame:
+    """(feature, categories): the sorted categories of each feature as one array, collected by Spark."""
+    entry = F.struct("position", "category")
+    listed = index_of(spark, params).groupBy("feature").agg(F.array_sort(F.collect_list(entry)).alias("_c"))
+    return listed.select("feature", F.col("_c.category").alias("categories"))
+
+
 def tidy_params(df: DataFrame, params: Preprocessing) -> DataFrame:
     """One row per feature: (feature, pos, kind, median, mean, scale, categories)."""
+    spark = df.sparkSession
     rows = [
-        (n, i, "numeric", params.medians.get(n), params.means.get(n), params.scales.get(n), None)
+        (n, i, "numeric", params.medians.get(n), params.means.get(n), params.scales.get(n))
         for i, n in enumerate(params.numeric)
-    ] + [
-        (c, len(params.numeric) + i, "categorical", None, None, None, params.listed().get(c, []))
-        for i, c in enumerate(params.categorical)
-    ]
-    schema = "feature string, pos int, kind string, median double, mean double, scale double, categories array<string>"
-    return df.sparkSession.createDataFrame(rows, schema)
+    ] + [(c, len(params.numeric) + i, "categorical", None, None, None) for i, c in enumerate(params.categorical)]
+    schema = "feature string, pos int, kind string, median double, mean double, scale double"
+    named = spark.createDataFrame(rows, schema).join(listed_by_spark(spark, params), "feature", "left")
+    empty = F.when(F.col("kind") == "categorical", F.array().cast("array<string>"))
+    return named.withColumn("categories", F.coalesce("categories", empty))
 
 
 def standardise(value: Column, mean: float | None, scale: float | None, skip_tiny: bool = False) -> Column:
@@ -262,7 +279,11 @@ def preprocessing_stages(params: Preprocessing, output: str = "features", scale:
     """
     exprs = ["*"]
     for i, name in enumerate(params.numeric):
-        column = f"TRY_CAST({_quoted(name)} AS DOUBLE)"
+        text = f"TRIM(CAST({_quoted(name)} AS STRING))"
+        column = (
+            f"IF(TYPEOF({_quoted(name)}) = 'string', IF({text} RLIKE r'{CSV_NUMBER}',"
+            f" TRY_CAST(REGEXP_REPLACE({text}, r'_|^[+-](?=[nN])', '') AS DOUBLE), NULL), TRY_CAST({_quoted(name)} AS DOUBLE))"
+        )
         value = f"COALESCE(NANVL({column}, NULL), {float(params.medians[name])!r}D)"
         if scale:
             value = f"({value} - ({params.means[name]!r}D)) / {params.scales[name]!r}D"

@@ -1,8 +1,9 @@
 """Deterministic random, stratified and balanced samples with exact sizes.
 
 Rows are ordered by the md5 of key and seed, so a result depends neither on partitioning nor on
-input order. The row at the wanted rank is found from a histogram of md5 prefixes; each row is then
-kept or dropped by comparing it with that cut row, without sorting or shuffling the table.
+input order. The scan that counts the classes counts md5 prefixes, so it already tells in which prefix
+the row at any wanted rank lies. A sample is then one more scan; a split compares each row with the
+exact cut row, without sorting or shuffling the table.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ TEST_SHARE = 0.2
 SAMPLE_ROWS = 50_000
 SMALL_CLASS_ROWS = 1000
 MAJORITY_RATIO = 20
+# md5 digits counted while the classes are counted: a task sends at most 16 ** 4 counts for each class.
+PREFIX_DIGITS = 4
+# Rows of one class and prefix that one task ranks; beyond that longer prefixes are counted first.
 EDGE_ROWS = 1_000_000
 
 
@@ -78,62 +82,101 @@ def proportional_quotas(counts: DataFrame, target: str, total: int, wanted: int)
     return ranked.withColumn("quota", F.col("rows") - kept_rows).select(target, "rows", "quota")
 
 
-def _cut_rows(df: DataFrame, keys: list[str], strata: list[str], quotas: DataFrame, total: int, seed: int, edge_rows: int) -> DataFrame:
-    """Per stratum the (md5, key) of the last row inside the quota."""
-    digits = max(1, min(6, math.ceil(math.log(max(total / edge_rows, 1), 16))))
-    hashed = df.select(*strata, row_hash(keys, seed).alias("_h"), _key_text(keys).alias("_k"))
-    hashed = hashed.withColumn("_p", F.substring("_h", 1, digits))
-    # At most 16^digits rows per stratum.
-    cells = hashed.groupBy(*strata, "_p").agg(F.count(F.lit(1)).alias("_n"))
+def prefix_counts(df: DataFrame, keys: list[str], strata: list[str], seed: int = SEED, digits: int = PREFIX_DIGITS) -> DataFrame:
+    """(*strata, _p, _n): rows by the first md5 digits, at most 16 ** digits for each stratum.
+
+    One scan gives the size of every class and, whatever number is wanted of it, the prefix in which
+    its last wanted row lies: the counts are kept while counting, as a bottom-k of any k.
+    """
+    hashed = df.select(*strata, F.substring(row_hash(keys, seed), 1, digits).alias("_p"))
+    return hashed.groupBy(*strata, "_p").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _edges(cells: DataFrame, strata: list[str], quotas: DataFrame) -> DataFrame:
+    """(*strata, _edge, _left): the prefix in which a quota ends and how many rows of it belong."""
     upto = F.sum("_n").over(W.partitionBy(*strata).orderBy("_p").rowsBetween(W.unboundedPreceding, 0))
-    cells = null_safe_join(cells.withColumn("_upto", upto), quotas, strata)
-    edge = cells.where((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
-    edge = edge.select(*strata, "_p", (F.col("quota") - (F.col("_upto") - F.col("_n"))).alias("_left"))
-    near = null_safe_join(hashed, small_side(edge), [*strata, "_p"])
+    known = null_safe_join(cells.withColumn("_upto", upto), quotas, strata)
+    edge = known.where((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
+    return edge.select(*strata, F.col("_p").alias("_edge"), (F.col("quota") - (F.col("_upto") - F.col("_n"))).alias("_left"))
+
+
+def _near(df: DataFrame, keys: list[str], strata: list[str], edges: DataFrame, seed: int) -> DataFrame:
+    """The rows up to the edge of their class, with _h, _k and whether they lie in the edge prefix itself."""
+    hashed = df.withColumns({"_h": row_hash(keys, seed), "_k": _key_text(keys)})
+    joined = null_safe_join(hashed, small_side(edges), strata)
+    prefix = F.substring("_h", 1, F.length("_edge"))
+    return joined.withColumn("_at_edge", prefix == F.col("_edge")).where(prefix <= F.col("_edge"))
+
+
+def _cuts(rows: DataFrame, strata: list[str], edge_rows: int) -> DataFrame:
+    """Per stratum the (md5, key) of the row in place _left of materialised rows from one prefix."""
+    narrow, digits = rows.select(*strata, "_h", "_k", "_left"), PREFIX_DIGITS
+    while digits < 32 and (narrow.groupBy(*strata).count().agg(F.max("count")).first()[0] or 0) > edge_rows:
+        digits += PREFIX_DIGITS
+        cells = narrow.groupBy(*strata, F.substring("_h", 1, digits).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+        edges = _edges(cells, strata, narrow.groupBy(*strata).agg(F.first("_left").alias("quota")))
+        joined = null_safe_join(narrow.drop("_left"), small_side(edges), strata)
+        narrow = materialize(joined.where(F.substring("_h", 1, digits) == F.col("_edge")).drop("_edge"))
     place = F.row_number().over(W.partitionBy(*strata).orderBy("_h", "_k"))
-    return near.withColumn("_place", place).where(F.col("_place") == F.col("_left")).select(
-        *strata, F.struct(F.col("_h"), F.col("_k")).alias("_cut")
-    )
+    last = narrow.withColumn("_place", place).where(F.col("_place") == F.col("_left"))
+    return last.select(*strata, F.struct(F.col("_h"), F.col("_k")).alias("_cut"))
 
 
 def mark_sample(
-    df: DataFrame,
-    keys: list[str],
-    quotas: DataFrame,
-    target: str,
-    output: str,
-    total: int,
-    seed: int = SEED,
+    df: DataFrame, keys: list[str], quotas: DataFrame, target: str, output: str, cells: DataFrame, seed: int = SEED,
     edge_rows: int = EDGE_ROWS,
 ) -> DataFrame:
     """Add a boolean column: the row is among its class's first `quota` rows by md5.
 
-    `keys` must identify a row. Classes without a quota row, or with quota 0, get false.
+    `keys` must identify a row, `cells` are the table's prefix_counts. Classes without a quota row, or
+    with quota 0, get false. Two scans: one for the rows in the edge prefixes, one to mark all rows.
     """
-    wanted = materialize(quotas.where("quota > 0").select(target, "quota"))
-    cuts = _cut_rows(df, keys, [target], small_side(wanted), total, seed, edge_rows)
+    edges = materialize(_edges(cells, [target], small_side(quotas.where("quota > 0").select(target, "quota"))))
+    narrow = df.select(*dict.fromkeys([target, *keys]))
+    at_edge = materialize(_near(narrow, keys, [target], edges, seed).where("_at_edge"))
+    cuts = _cuts(at_edge, [target], edge_rows)
     here = F.struct(row_hash(keys, seed).alias("_h"), _key_text(keys).alias("_k"))
     joined = null_safe_join(df, small_side(cuts), [target], "left")
     return joined.withColumn(output, F.coalesce(here <= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
+def take_sample(
+    df: DataFrame, keys: list[str], quotas: DataFrame, target: str, cells: DataFrame, seed: int = SEED, edge_rows: int = EDGE_ROWS,
+) -> DataFrame:
+    """The first `quota` rows of each class by md5, in one scan besides that of `cells`.
+
+    Rows before the edge prefix are taken as they come; only those in it are ranked.
+    """
+    edges = materialize(_edges(cells, [target], small_side(quotas.where("quota > 0").select(target, "quota"))))
+    near = materialize(_near(df, keys, [target], edges, seed))
+    cuts = small_side(_cuts(near.where("_at_edge"), [target], edge_rows))
+    within = null_safe_join(near, cuts, [target]).where(~F.col("_at_edge") | (F.struct("_h", "_k") <= F.col("_cut")))
+    return within.select(df.columns)
+
+
+def _sizes(cells: DataFrame, target: str) -> DataFrame:
+    return cells.groupBy(target).agg(F.sum("_n").alias("rows"))
+
+
 def random_split(df: DataFrame, keys: list[str], share: float = TEST_SHARE, seed: int = SEED, edge_rows: int = EDGE_ROWS) -> DataFrame:
     """Add `split`: the first ceil(share * n) rows by md5 are 'test', the others 'train'."""
-    total = df.count()
     whole = df.withColumn("_all", F.lit(0))
+    cells = materialize(prefix_counts(whole, keys, ["_all"], seed))
+    total = cells.agg(F.sum("_n")).first()[0] or 0
     quotas = whole.sparkSession.range(1).select(
         F.lit(0).alias("_all"), F.lit(math.ceil(share * total)).cast("bigint").alias("quota")
     )
-    marked = mark_sample(whole, keys, quotas, "_all", "_test", total, seed, edge_rows)
+    marked = mark_sample(whole, keys, quotas, "_all", "_test", cells, seed, edge_rows)
     return marked.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_all", "_test")
 
 
 def stratified_split(df: DataFrame, keys: list[str], target: str, share: float = TEST_SHARE, seed: int = SEED, edge_rows: int = EDGE_ROWS) -> DataFrame:
     """Like random_split, with every class represented in proportion."""
-    counts = materialize(class_counts(df, target))
+    cells = materialize(prefix_counts(df, keys, [target], seed))
+    counts = _sizes(cells, target)
     total = counts.agg(F.sum("rows")).first()[0] or 0
     quotas = proportional_quotas(counts, target, total, math.ceil(share * total))
-    marked = mark_sample(df, keys, quotas, target, "_test", total, seed, edge_rows)
+    marked = mark_sample(df, keys, quotas, target, "_test", cells, seed, edge_rows)
     return marked.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 
@@ -153,20 +196,19 @@ def balance(
     rows, that class stays whole and the largest class is cut to majority_ratio times its size;
     classes in between drop out. Otherwise a proportional sample of exactly sample_rows is taken.
     """
-    counts = materialize(class_counts(df, target))
+    cells = materialize(prefix_counts(df, keys, [target], seed))
+    counts = _sizes(cells, target)
     total = counts.agg(F.sum("rows")).first()[0] or 0
     if total <= sample_rows:
         return df
     size = extremes_of(counts, target).first()
     if size["minority_rows"] < small_class_rows:
-        minority = df.where(F.col(target) == F.lit(size["minority_class"]))
-        majority = df.where(F.col(target) == F.lit(size["majority_class"]))
+        # The smallest class whole and a part of the largest are quotas too; other classes have none.
         take = min(size["majority_rows"], majority_ratio * size["minority_rows"])
-        quotas = df.sparkSession.range(1).select(
-            F.lit(size["majority_class"]).alias(target), F.lit(take).cast("bigint").alias("quota")
+        wanted = F.when(F.col(target) == F.lit(size["majority_class"]), F.lit(take)).when(
+            F.col(target) == F.lit(size["minority_class"]), F.col("rows")
         )
-        marked = mark_sample(majority, keys, quotas, target, "_take", size["majority_rows"], seed, edge_rows)
-        return minority.unionByName(marked.where("_take").drop("_take"))
-    quotas = proportional_quotas(counts, target, total, sample_rows)
-    marked = mark_sample(df, keys, quotas, target, "_take", total, seed, edge_rows)
-    return marked.where("_take").drop("_take")
+        quotas = counts.where(F.col(target).isin(size["minority_class"], size["majority_class"])).select(target, wanted.cast("bigint").alias("quota"))
+    else:
+        quotas = proportional_quotas(counts, target, total, sample_rows)
+    return take_sample(df, keys, quotas, target, cells, seed, edge_rows)

@@ -66,13 +66,20 @@ def standardize(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(scaled.select(*LINE_KEY, *NUMERIC), {c: 4 for c in NUMERIC})
 
 
-# Categories known at fit time; customers of other segments encode to zeros.
+# The segments of the customers that the encodings are fitted on; customers of other segments encode to zeros.
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE"]
 
 
+def _fitted_customers(spark: SparkSession, sf: str) -> tuple[DataFrame, Preprocessing]:
+    """Customers with gaps in their balance, and what is fitted on those of three segments."""
+    customer = read_table(spark, sf, "customer").withColumn("c_acctbal", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")))
+    known = customer.where(F.col("c_mktsegment").isin(SEGMENTS))
+    return customer, preprocess.fit_preprocessing(known, ["c_acctbal", "c_nationkey"], ["c_mktsegment"])
+
+
 def one_hot(spark: SparkSession, sf: str) -> DataFrame:
-    params = Preprocessing([], ["c_mktsegment"], categories={"c_mktsegment": SEGMENTS})
-    return read_table(spark, sf, "customer").select("c_custkey", *preprocess.one_hot_columns(params))
+    customer, params = _fitted_customers(spark, sf)
+    return customer.select("c_custkey", *preprocess.one_hot_columns(params))
 
 
 def one_hot_tall(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,11 +92,7 @@ def one_hot_tall(spark: SparkSession, sf: str) -> DataFrame:
 
 def feature_vector(spark: SparkSession, sf: str) -> DataFrame:
     """Numeric block and one-hot block in one vector, shown slot by slot."""
-    customer = read_table(spark, sf, "customer")
-    params = Preprocessing(
-        ["c_acctbal", "c_nationkey"], ["c_mktsegment"],
-        medians={"c_acctbal": 0.0, "c_nationkey": 0.0}, categories={"c_mktsegment": SEGMENTS},
-    )
+    customer, params = _fitted_customers(spark, sf)
     vectors = preprocess.apply_preprocessing(customer, params).withColumn("v", vector_to_array("features"))
     return vectors.select("c_custkey", *[F.col("v")[i].alias(f"slot{i}") for i in range(len(params.feature_names))])
 
@@ -133,6 +136,32 @@ def metadata_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def fit_text_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers as text with blanks, units and Java's suffixes, and a column without any: fitted, imputed and vectorised."""
+    lines = read_table(spark, sf, "lineitem")
+    text = F.col("l_quantity").cast("int").cast("string")
+    odd = F.when(F.col("l_linenumber") == 1, "").when(F.col("l_linenumber") == 2, F.concat(text, F.lit("d"))).when(
+        F.col("l_linenumber") == 3, F.concat(F.lit(" "), text, F.lit(" "))
+    ).when(F.col("l_linenumber") == 4, F.concat(text, F.lit("e0"))).otherwise(text)
+    table = lines.select(*LINE_KEY, odd.alias("amount"), F.lit(None).cast("string").alias("nothing"))
+    params = preprocess.fit_preprocessing(table, ["amount", "nothing"], [])
+    vectors = preprocess.apply_preprocessing(table, params).withColumn("v", vector_to_array("features"))
+    return preprocess.impute_numeric(vectors, params).select(
+        *LINE_KEY, "amount", "nothing", F.col("v")[0].alias("slot0"), F.col("v")[1].alias("slot1"),
+        F.round(F.lit(params.means["amount"]), 4).alias("mean"),
+    )
+
+
+def params_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Parameters with a category for every order, as a partitioned table written and read back."""
+    folder = new_folder(spark, "params")
+    lines = read_table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("order"), "l_returnflag", "l_tax")
+    fitted = preprocess.fit_preprocessing(lines, ["l_tax"], ["order", "l_returnflag"], wide=True)
+    files.write_param_table(spark, fitted, folder)
+    known = files.read_param_table(spark, folder)
+    return preprocess.index_of(spark, known).withColumn("median", F.lit(known.medians["l_tax"]))
+
+
 def standardize_tall(spark: SparkSession, sf: str) -> DataFrame:
     """Standardisation of the tall form by parameter lookup: (line, feature, value)."""
     lines = read_table(spark, sf, "lineitem").select(*LINE_KEY, *NUMERIC)
@@ -147,7 +176,7 @@ QUERIES = {
     for f in (
         fit_numeric_params, fit_categories, encoded_feature_names, impute_median, impute_missing, standardize, standardize_tall,
         one_hot,
-        one_hot_tall, feature_vector, place_by_name, tidy_params, params_roundtrip, metadata_roundtrip,
+        one_hot_tall, fit_text_numbers, params_table, feature_vector, place_by_name, tidy_params, params_roundtrip, metadata_roundtrip,
     )
 }
 
@@ -208,9 +237,21 @@ SQL = {
               UNION ALL SELECT o_orderkey, 'o_orderpriority', o_orderpriority FROM orders)
         SELECT o_orderkey, t.feature, t.category, position, position IS NOT NULL AS known
         FROM t LEFT JOIN i ON i.feature = t.feature AND i.category = t.category""",
-    "feature_vector": "SELECT c_custkey, c_acctbal AS slot0, CAST(c_nationkey AS DOUBLE) AS slot1, "
+    "feature_vector": "WITH k AS (SELECT median(CASE WHEN c_acctbal > 0 THEN c_acctbal END) AS m FROM customer WHERE c_mktsegment IN "
+    f"{tuple(SEGMENTS)}) SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal ELSE m END AS slot0, "
+    "CAST(c_nationkey AS DOUBLE) AS slot1, "
     + ", ".join(f"CAST(c_mktsegment = '{v}' AS DOUBLE) AS slot{i + 2}" for i, v in enumerate(SEGMENTS))
-    + " FROM customer",
+    + " FROM customer, k",
+    "fit_text_numbers": f"""
+        WITH t AS (SELECT {_KEYS}, CASE WHEN l_linenumber > 2 THEN CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) END AS x FROM lineitem),
+        m AS (SELECT median(x) AS m FROM t), f AS (SELECT {_KEYS}, coalesce(x, m) AS x FROM t, m)
+        SELECT {_KEYS}, x AS amount, CAST(0 AS DOUBLE) AS nothing, x AS slot0, CAST(0 AS DOUBLE) AS slot1,
+               (SELECT round(avg(x), 4) FROM f) AS mean FROM f""",
+    "params_table": """
+        WITH c AS (SELECT DISTINCT 'order' AS feature, CAST(l_orderkey AS VARCHAR) AS category FROM lineitem
+                   UNION ALL SELECT DISTINCT 'l_returnflag', l_returnflag FROM lineitem)
+        SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY category) - 1 AS position, category,
+               (SELECT median(l_tax) FROM lineitem) AS median FROM c""",
     "place_by_name": (
         "SELECT s_suppkey, CAST(s_nationkey AS DOUBLE) AS slot0, CAST(0 AS DOUBLE) AS slot1, s_acctbal AS slot2 FROM supplier"
     ),

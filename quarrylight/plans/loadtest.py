@@ -9,7 +9,7 @@ from quarrylight.functions.times import epoch_seconds
 from quarrylight.operators import compare, loadlog, metrics, resources
 from quarrylight.session import evaluate_once, new_folder
 from quarrylight.sources import results
-from quarrylight.sources.tables import append_csv, read_csv, read_table, write_summary
+from quarrylight.sources.tables import append_csv, append_runs, read_csv, read_table, write_summary
 
 LEVEL = ["event_type", "concurrency"]
 
@@ -39,6 +39,60 @@ def load_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(loadlog.load_summary(log, LEVEL, "ts", "value", F.col("k") < 95), LOAD_FLOATS)
 
 
+RUN_GAP, RUN_WARM_UP = 1800, 600
+
+
+def load_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels that were run several times: half an hour without a request ends a run, and each warms up on its own."""
+    log = loadlog.without_warm_up(_log(spark, sf), ["event_type"], "ts", RUN_WARM_UP, gap=RUN_GAP)
+    out = loadlog.load_summary(log, ["event_type", "run"], "ts", "value", F.col("k") < 95, [0.5, 0.95])
+    return _rounded(out, ["seconds", "latency_avg", "latency_p50", "latency_p95", "rps", "error_rate"])
+
+
+def run_usage(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean CPU and memory of one sample log for every run of every level, joined by time."""
+    log = _log(spark, sf)
+    samples = log.where("user_id % 2 = 0").select("ts", F.col("k").alias("cpu_percent"), (F.col("event_id") + 9000).alias("mem_mb"))
+    runs = loadlog.runs(log.where("user_id % 2 = 1"), ["event_type"], "ts", RUN_GAP)
+    out = resources.usage_by_run(samples, runs, ["event_type"], bucket_seconds=RUN_GAP)
+    return out.select("event_type", "run", F.date_format("run_start", "yyyy-MM-dd HH:mm:ss").alias("run_start"), "cpu_percent", "mem_mb")
+
+
+def latency_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Latency sketches stored for every user, merged per type, and refined.
+
+    Whether the rank of each merged figure is within the stated error, and the exact figures.
+    """
+    log, folder = _log(spark, sf), new_folder(spark, "sketches")
+    loadlog.latency_sketches(log, ["event_type", "user_id"], "value").write.parquet(folder)
+    merged = loadlog.merge_latencies(spark.read.parquet(folder), ["event_type"])
+    wanted = [0.5, 0.95, 0.99]
+    near = loadlog.sketched_percentiles(merged, ["event_type"], wanted)
+    error = loadlog.rank_error()
+
+    def reached(p: float):
+        name = f"latency_p{round(p * 100)}"
+        below, upto = (F.avg((op).cast("int")) for op in (F.col("value") < F.col(name), F.col("value") <= F.col(name)))
+        return (below <= p + error) & (upto >= p - error)
+
+    checked = log.join(near.drop("n"), "event_type").groupBy("event_type").agg(
+        (reached(wanted[0]) & reached(wanted[1]) & reached(wanted[2])).alias("within")
+    )
+    exact = loadlog.refined_percentiles(log, merged, ["event_type"], "value", wanted)
+    return _rounded(exact.join(checked, "event_type"), [f"latency_p{round(p * 100)}" for p in wanted])
+
+
+def append_retried(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches of runs appended, the first one twice as by a job that was tried again; every row is there once."""
+    folder = new_folder(spark, "runs")
+    bench = _bench(spark, sf).select("service", "concurrency", "user_id", F.round("rps", 6).alias("rps"))
+    first = bench.where("service IN ('view', 'click')")
+    append_runs(first, folder, ["service"])
+    append_runs(bench.where("service NOT IN ('view', 'click')"), folder, ["service"])
+    append_runs(first, folder, ["service"])
+    return spark.read.schema(bench.schema).parquet(folder)
+
+
 def request_sequence(spark: SparkSession, sf: str) -> DataFrame:
     events = read_table(spark, sf, "events").select("event_id", "ts")
     out = loadlog.request_sequence(events, ["ts", "event_id"])
@@ -181,6 +235,15 @@ def process_usage(spark: SparkSession, sf: str) -> DataFrame:
     return resources.process_usage(samples, ["run"])
 
 
+def process_usage_blanks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with blank samples counted as 0."""
+    samples = _log(spark, sf).select(
+        F.col("event_type").alias("run"), F.when(F.col("k") > 30, F.col("k")).alias("cpu_percent"),
+        F.when(F.col("k") > 30, F.col("event_id")).alias("mem_mb"),
+    )
+    return resources.process_usage(samples, ["run"], blanks_as_zero=True)
+
+
 def _reports(spark: SparkSession, sf: str) -> DataFrame:
     """Every order line as the text report of one load run."""
     lines = read_table(spark, sf, "lineitem")
@@ -263,9 +326,10 @@ def newest_file(spark: SparkSession, sf: str) -> DataFrame:
     rows = bench.withColumns(absent).select("service", *[F.col(c).cast("string").alias(c) for c in header])
     for generation, factor in (("first", 2), ("second", 1)):
         table = rows.withColumn("rps", (F.col("rps").cast("double") * factor).cast("string"))
-        table.write.partitionBy("service").option("header", True).csv(f"{folder}/{generation}")
-    newest = results.read_newest_results(spark, folder, r"^(.*/service=([a-z]+))/")
-    cleaned = compare.clean_benchmark(newest, by=["service"])
+        named = table.withColumn("run", F.concat("service", F.lit(f"_benchmark_{generation}"))).drop("service")
+        named.write.partitionBy("run").option("header", True).csv(f"{folder}/{generation}")
+    newest = results.read_newest_results(spark, folder)  # the folders are named run=<service>_benchmark_<generation>
+    cleaned = compare.clean_benchmark(newest.withColumn("service", F.replace("service", F.lit("run="))), by=["service"])
     return cleaned.groupBy("service").agg(
         F.count(F.lit(1)).alias("rows"), F.round(F.max("rps"), 6).alias("max_rps")
     )
@@ -300,7 +364,7 @@ QUERIES = {
         load_summary, request_sequence, running_health, health, clean_benchmark, best_level, speedup_by_level,
         overall_speedup, efficiency, latency_long, service_summary, summary_text, load_levels, cpu_deltas,
         cpu_deltas_with_interrupts, resource_usage, process_usage, report_text_parse, report_files, benchmark_append,
-        samples_from_files, summary_roundtrip, newest_file, binary_report, class_report_many, accuracy, regression_metrics,
+        load_runs, run_usage, latency_sketch, append_retried, process_usage_blanks, samples_from_files, summary_roundtrip, newest_file, binary_report, class_report_many, accuracy, regression_metrics,
     )
 }
 
@@ -344,7 +408,38 @@ _SHOWN = f"""
         printf('%.0f', CAST(avg(mem_mb) AS DOUBLE)) AS mem_mb, printf('%.2f', CAST(avg(error_rate) AS DOUBLE)) AS error_rate
         FROM b JOIN o USING (service) WHERE concurrency = best_concurrency GROUP BY service, max_rps, best_concurrency"""
 
+_RUNS = f"""
+        n AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL {RUN_GAP} SECONDS OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new
+              FROM h WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+        r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS BIGINT) AS run FROM n),
+        s AS (SELECT event_type, run, min(ts) AS run_start, max(ts) AS run_end FROM r GROUP BY 1, 2)"""
+
 SQL = {
+    "load_runs": f"""
+        WITH {_LOG}, h AS (SELECT * FROM g), {_RUNS},
+        k AS (SELECT r.* FROM r JOIN s USING (event_type, run) WHERE ts >= run_start + INTERVAL {RUN_WARM_UP} SECONDS),
+        a AS (SELECT event_type, run, count(*) AS total_requests, count(*) FILTER (k < 95) AS success_requests,
+              (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS seconds, avg(value) AS latency_avg,
+              quantile_cont(value, [0.5, 0.95]) AS q FROM k GROUP BY 1, 2)
+        SELECT event_type, run, total_requests, success_requests, round(seconds, 6) AS seconds,
+               round(latency_avg, 6) AS latency_avg, round(q[1], 6) AS latency_p50, round(q[2], 6) AS latency_p95,
+               round(CASE WHEN seconds > 0 THEN total_requests / seconds ELSE 0 END, 6) AS rps,
+               round((1.0 - success_requests / total_requests) * 100, 6) AS error_rate,
+               CAST(100 - (success_requests * 100) // total_requests AS DOUBLE) AS error_rate_cut FROM a""",
+    "run_usage": f"""
+        WITH {_LOG}, h AS (SELECT * FROM g WHERE user_id % 2 = 1), {_RUNS},
+        p AS (SELECT ts, k AS cpu, event_id + 9000 AS mem FROM g WHERE user_id % 2 = 0)
+        SELECT event_type, run, strftime(run_start, '%Y-%m-%d %H:%M:%S') AS run_start,
+               coalesce(round(avg(cpu), 1), 0) AS cpu_percent, CAST(coalesce(round(avg(mem)), 0) AS BIGINT) AS mem_mb
+        FROM s LEFT JOIN p ON p.ts BETWEEN run_start AND run_end GROUP BY event_type, run, s.run_start""",
+    "latency_sketch": """
+        SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS latency_p50,
+               round(quantile_cont(value, 0.95), 6) AS latency_p95, round(quantile_cont(value, 0.99), 6) AS latency_p99, true AS within
+        FROM events GROUP BY 1""",
+    "append_retried": f"WITH {_BENCH} SELECT service, concurrency, user_id, round(rps, 6) AS rps FROM b",
+    "process_usage_blanks": f"""
+        WITH {_LOG} SELECT event_type AS run, round(avg(CASE WHEN k > 30 THEN k ELSE 0 END), 1) AS cpu_percent,
+        CAST(round(avg(CASE WHEN k > 30 THEN event_id ELSE 0 END)) AS BIGINT) AS mem_mb FROM g GROUP BY 1""",
     "load_summary": f"""
         WITH {_LOG}, s AS (SELECT event_type, concurrency, min(ts) AS start FROM g GROUP BY 1, 2),
         k AS (SELECT g.* FROM g JOIN s USING (event_type, concurrency) WHERE ts >= start + INTERVAL 5 SECONDS),

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.operators import forest
+from quarrylight.operators import flat_forest, forest
 from quarrylight.operators.requests import parse_named, payload, split_requests
 from quarrylight.plans.requests import event_requests
 from quarrylight.plans.sampling import LINE_KEY, _quotas
-from quarrylight.session import new_folder
+from quarrylight.session import new_folder, spread
 from quarrylight.sources.tables import read_records, read_table, write_records
 from quarrylight.streaming import scoring
 
@@ -54,10 +54,35 @@ def class_weights(spark: SparkSession, sf: str) -> DataFrame:
     return weighted.withColumn("weight", F.round("weight", 9))
 
 
+def train_text_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Classes given by name, three of them: discounted quantity up to 12, 24 and above.
+
+    The report shows the names; so do the records of the whole table, scored from the flat forest.
+    """
+    discounted = F.col("l_quantity") * (1 - F.col("l_discount"))
+    size = F.when(discounted > 24, "large").when(discounted > 12, "medium").otherwise("small")
+    lines = _lines(spark, sf).drop("total", "Label").withColumn("size", size)
+    model, _, report = forest.train_and_evaluate(
+        lines, LINE_KEY, "size", features=(NUMERIC, CATEGORICAL), trees=20, depth=10
+    )
+    records = flat_forest.score(lines, flat_forest.flatten(model, spark), keep=[*LINE_KEY, "size"])
+    right = records.groupBy(F.col("size").alias("class")).agg(
+        F.count(F.lit(1)).alias("scored"), (F.avg((F.col("class_name") == F.col("size")).cast("int")) > 0.8).alias("mostly_right")
+    )
+    per_class = report.join(right, "class")
+    return per_class.select("class", "support", (F.col("f1") > 0.8).alias("good_f1"), "scored", "mostly_right")
+
+
+_fitted: dict[tuple[str, str], tuple] = {}
+
+
 def _model(spark: SparkSession, sf: str):
-    lines = _lines(spark, sf).drop("total")
-    model, params, _ = forest.train_and_evaluate(lines, LINE_KEY, "Label", features=(NUMERIC, CATEGORICAL))
-    return model, params
+    """The classifier of a folder's order lines and its parameters, fitted once in a Spark application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _fitted:
+        lines = _lines(spark, sf).drop("total")
+        _fitted[key] = forest.train_and_evaluate(lines, LINE_KEY, "Label", features=(NUMERIC, CATEGORICAL))[:2]
+    return _fitted[key]
 
 
 #: A prediction record is consistent: a probability, the strict threshold and the class name it gives.
@@ -67,13 +92,19 @@ CONSISTENT = (
 )
 
 
+def _by_mllib(spark: SparkSession, sf: str, model) -> DataFrame:
+    """The lines' inputs and the fitted pipeline's probability as `fitted`, on all cores."""
+    inputs = [*LINE_KEY, *NUMERIC, *CATEGORICAL]
+    scored = forest.score(spread(_lines(spark, sf).select(*inputs)), model)
+    return scored.select(*inputs, F.col("prediction").alias("fitted"))
+
+
 def score_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Every line scored by the fitted pipeline and by the one saved and reloaded, and whether they agree."""
     path = new_folder(spark, "model")
     model, _ = _model(spark, sf)
     forest.save_model(model, path)
-    inputs = [*LINE_KEY, *NUMERIC, *CATEGORICAL]
-    fitted = forest.score(_lines(spark, sf), model, keep=inputs).select(*inputs, F.col("prediction").alias("fitted"))
+    fitted = _by_mllib(spark, sf, model)
     scored = forest.score(fitted, forest.load_model(path), keep=[*LINE_KEY, "fitted"])
     return scored.select(
         *LINE_KEY, "model_version", "features_used", F.expr(CONSISTENT).alias("consistent"),
@@ -122,6 +153,50 @@ def stream_health(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.newest_state(spark, f"{folder}/out").withColumn("avg_time", F.round("avg_time", 6))
 
 
+def forest_expr(spark: SparkSession, sf: str) -> DataFrame:
+    """The fitted forest as flat arrays, walked in generated code, saved and reloaded; each line against MLlib's probability."""
+    model, _ = _model(spark, sf)
+    folder = new_folder(spark, "flat")
+    flat_forest.save(flat_forest.flatten(model, spark), folder)
+    records = flat_forest.score(
+        _by_mllib(spark, sf, model), flat_forest.load(spark, folder), keep=[*LINE_KEY, "fitted"]
+    )
+    return records.select(
+        *LINE_KEY, "model_version", "features_used", F.expr(CONSISTENT).alias("consistent"),
+        (F.col("prediction") == F.col("fitted")).alias("same_as_mllib"),
+    )
+
+
+def prediction_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of the flat forest written as JSON lines and read back, with MLlib's probability beside."""
+    model, _ = _model(spark, sf)
+    folder = new_folder(spark, "records")
+    records = flat_forest.score(
+        _by_mllib(spark, sf, model), flat_forest.flatten(model, spark), version="flat-1", keep=[*LINE_KEY, "fitted"]
+    )
+    write_records(records, folder)
+    return read_records(spark, folder, records.schema).select(
+        *LINE_KEY, "model_version", "features_used", F.expr(CONSISTENT).alias("consistent"),
+        (F.col("prediction") == F.col("fitted")).alias("same_as_mllib"),
+    )
+
+
+def stream_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests that arrive in two parts with a restart between them; late ones count in their own hour. Merged to days."""
+    folder = new_folder(spark, "counters")
+    events = read_table(spark, sf, "events").select("event_id", "ts", "event_type", F.col("value").cast("decimal(18,2)").alias("value"))
+    by = ["event_type"]
+    for part in range(2):
+        events.where(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        scoring.start_counters(stream, "ts", "value", by, f"{folder}/out", f"{folder}/state", "1 hour", "60 days").awaitTermination()
+    days = scoring.merged_counters(scoring.current_counters(spark, f"{folder}/out", by), by, "1 day")
+    return days.select(
+        F.date_format("begins", "yyyy-MM-dd").alias("day"), "event_type", "requests", F.col("slowest").cast("double").alias("slowest"),
+        F.round(F.col("avg_time").cast("double"), 6).alias("avg_time"),
+    )
+
+
 # Three small trees: (column, threshold, at most, above).
 FROZEN = [
     ("l_quantity", 24.0, ("l_discount", 0.04, 0.1, 0.05), ("l_discount", 0.06, 0.9, 0.7)),
@@ -130,20 +205,13 @@ FROZEN = [
 ]
 
 
-def forest_expr(spark: SparkSession, sf: str) -> DataFrame:
-    """A frozen forest as one generated expression."""
-    lines = read_table(spark, sf, "lineitem")
-    probability = forest.forest_expression(FROZEN)
-    return lines.select(
-        *LINE_KEY, F.round(probability, 9).alias("prediction"), forest.exceeds(probability).alias("is_attack")
-    )
-
-
-def prediction_records(spark: SparkSession, sf: str) -> DataFrame:
-    """Records of the frozen forest written as JSON lines and read back."""
+def frozen_expr(spark: SparkSession, sf: str) -> DataFrame:
+    """A small forest given as nested conditions, written as records and read back: values that SQL can compute."""
     folder = new_folder(spark, "records")
-    records = forest_expr(spark, sf).withColumns(
-        {"model_version": F.lit("frozen-1"), "features_used": F.lit(4)}
+    probability = forest.forest_expression(FROZEN)
+    records = read_table(spark, sf, "lineitem").select(
+        *LINE_KEY, F.round(probability, 9).alias("prediction"), forest.exceeds(probability).alias("is_attack"),
+        F.lit("frozen-1").alias("model_version"), F.lit(4).alias("features_used"),
     )
     write_records(records, folder)
     return read_records(spark, folder, records.schema)
@@ -153,7 +221,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         train_classifier, train_regressor, class_weights, score_batch, stream_score, stream_rejects, stream_health,
-        forest_expr, prediction_records,
+        forest_expr, prediction_records, frozen_expr, train_text_labels, stream_counters,
     )
 }
 
@@ -168,6 +236,8 @@ _FOREST = f"""
             FROM lineitem)"""
 
 _LABEL = "CAST(l_quantity * (1 - l_discount) > 24 AS INTEGER)"
+_DISCOUNTED = "l_quantity * (1 - l_discount)"
+_SIZE = f"CASE WHEN {_DISCOUNTED} > 24 THEN 'large' WHEN {_DISCOUNTED} > 12 THEN 'medium' ELSE 'small' END"
 _WIDTH = f"(SELECT CAST({len(NUMERIC)} + count(DISTINCT l_returnflag) + count(DISTINCT l_linestatus) AS INTEGER) FROM lineitem)"
 
 SQL = {
@@ -196,9 +266,20 @@ SQL = {
         FROM e WHERE k <= 2 GROUP BY k""",
     "stream_health": """
         SELECT event_type, count(*) AS requests_processed, round(avg(value), 6) AS avg_time FROM events GROUP BY 1""",
+    "stream_counters": """
+        SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS requests, max(value) AS slowest,
+               round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*), 6) AS avg_time FROM events GROUP BY 1, 2""",
     "prediction_records": f"""
+        SELECT {_KEYS}, 'flat-1' AS model_version, {_WIDTH} AS features_used, true AS consistent,
+               true AS same_as_mllib FROM lineitem""",
+    "forest_expr": f"""
+        SELECT {_KEYS}, 'forest-1' AS model_version, {_WIDTH} AS features_used, true AS consistent,
+               true AS same_as_mllib FROM lineitem""",
+    "frozen_expr": f"""
         {_FOREST} SELECT {_KEYS}, round(CAST(p AS DOUBLE), 9) AS prediction, p > 0.5 AS is_attack,
         'frozen-1' AS model_version, 4 AS features_used FROM p""",
-    "forest_expr": f"""
-        {_FOREST} SELECT {_KEYS}, round(CAST(p AS DOUBLE), 9) AS prediction, p > 0.5 AS is_attack FROM p""",
+    "train_text_labels": f"""
+        WITH {_quotas("lineitem", _SIZE, "ceil(0.2 * sum(n))")}
+        SELECT k AS class, CAST(quota AS BIGINT) AS support, true AS good_f1, n AS scored, true AS mostly_right
+        FROM q JOIN c USING (k)""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylight.operators import profile, sampling
+from quarrylight.session import materialize, new_folder
 from quarrylight.sources.tables import read_table
 
 
@@ -21,6 +22,7 @@ def _profile_sql(table: str, columns: dict[str, str]) -> str:
     union = " UNION ALL ".join(parts)
     return (
         "SELECT *, CASE WHEN \"distinct\" > 0.5 * \"rows\" THEN 'distinct' WHEN null_share > 0.3 THEN 'nulls' "
+        # The limits and the denied names of the drop rules.
         "WHEN lower(\"column\") IN ('timestamp','date','time','src_ip','dst_ip','attack') THEN 'name' END AS drop_reason "
         f"FROM ({union})"
     )
@@ -70,6 +72,23 @@ def drop_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(list(reasons.items()), "column string, drop_reason string")
 
 
+def merged_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches stored for three batches and merged: counts, the verdict, and whether the estimate is within six standard errors."""
+    log, folder = _request_log(spark, sf), new_folder(spark, "sketches")
+    for batch in range(3):
+        profile.column_sketches(log.where(F.col("event_id") % 3 == batch)).write.mode("append").parquet(folder)
+    merged = materialize(profile.merge_sketches(spark.read.parquet(folder)))
+    reasons = profile.sketched_reasons(merged, log)
+    verdicts = spark.createDataFrame(list(reasons.items()), "column string, drop_reason string")
+    exact = profile.distinct_together(log, log.columns)
+    off = F.abs(F.col("distinct") - F.col("counted"))
+    joined = profile.sketched_counts(merged).join(exact.withColumnRenamed("distinct", "counted"), "column", "left").join(verdicts, "column")
+    return joined.fillna(0, ["counted"]).select(
+        "column", "rows", F.round(F.col("nulls") / F.col("rows"), 6).alias("null_share"), "drop_reason",
+        F.col("counted").alias("distinct"), (off <= F.ceil(F.col("counted") * profile.MARGIN)).alias("within"),
+    )
+
+
 def table_shape(spark: SparkSession, sf: str) -> DataFrame:
     return profile.table_shape(read_table(spark, sf, "lineitem"))
 
@@ -153,7 +172,7 @@ def class_extremes(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        profile_columns, profile_with_nulls, drop_reasons, table_shape, target_and_features, feature_types,
+        profile_columns, profile_with_nulls, drop_reasons, merged_sketches, table_shape, target_and_features, feature_types,
         whole_column_types, select_features, class_counts, class_shares, class_extremes,
     )
 }
@@ -186,6 +205,7 @@ SQL = {
     "profile_columns": _profile_sql("lineitem", {c: c for c in LINEITEM}),
     "profile_with_nulls": _profile_sql(LOG_SQL, _LOG_COLUMNS),
     "drop_reasons": f'SELECT "column", drop_reason FROM ({_profile_sql(LOG_SQL, _LOG_COLUMNS)})',
+    "merged_sketches": f'SELECT "column", "rows", null_share, drop_reason, "distinct", true AS within FROM ({_profile_sql(LOG_SQL, _LOG_COLUMNS)})',
     "table_shape": (
         f"SELECT count(*) AS \"rows\", {len(LINEITEM)} AS columns, '{','.join(LINEITEM)}' AS names FROM lineitem"
     ),

@@ -13,12 +13,24 @@ from quarrylight.sources.tables import read_table
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
+# k: a hexadecimal number as sent, and its value as a float.
+HEXADECIMALS = {
+    3: ("0x1.8p3", "12"),
+    4: ("0x1234567890abcdef12", "3.3581273580222965e+20"),
+    5: ("-0xFFp-4 ms", "-15.9375"),
+    6: (" 0X.8", "0.5"),
+    7: ("0x", "0"),
+    8: ("0x1000001000000000000001", "1.9342815419677076e+25"),
+}
+
+
 def event_requests(spark: SparkSession, sf: str) -> DataFrame:
     """(event_id, value): one request per event, whose value type depends on the event type.
 
     view: numbers; click: text with a decimal comma and a boolean; error: text with thousands
-    blanks and a unit; signup: nulls; purchase: the amount is absent. Events whose k is 0, 1 or 2
-    give a broken body, a body without features and features of the wrong type.
+    blanks and a unit, or a hexadecimal number where k is in HEXADECIMALS; signup: nulls; purchase:
+    the amount is absent. Events whose k is 0, 1 or 2 give a broken body, a body without features and
+    features of the wrong type.
     """
     events = read_table(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("int")
@@ -27,6 +39,9 @@ def event_requests(spark: SparkSession, sf: str) -> DataFrame:
     def body(amount_json, kind_json):
         return F.concat(F.lit('{"features":{"amount":'), amount_json, F.lit(',"kind":'), kind_json, F.lit("}}"))
 
+    failed = F.concat(F.lit('"1 '), amount, F.lit('ms"'))
+    for value, (written, _) in HEXADECIMALS.items():
+        failed = F.when(k == value, F.lit(f'"{written}"')).otherwise(failed)
     text = (
         F.when(k == 0, F.lit('{"features":'))
         .when(k == 1, F.lit('{"data":1}'))
@@ -36,7 +51,7 @@ def event_requests(spark: SparkSession, sf: str) -> DataFrame:
             F.col("event_type") == "click",
             body(F.concat(F.lit('"'), F.replace(amount, F.lit("."), F.lit(",")), F.lit('"')), F.lit("true")),
         )
-        .when(F.col("event_type") == "error", body(F.concat(F.lit('"1 '), amount, F.lit('ms"')), F.concat(k.cast("string"), F.lit(".0"))))
+        .when(F.col("event_type") == "error", body(failed, F.concat(k.cast("string"), F.lit(".0"))))
         .when(F.col("event_type") == "signup", body(F.lit("null"), F.lit("null")))
         .otherwise(F.concat(F.lit('{"features":{"kind":'), k.cast("string"), F.lit("}}")))
     )
@@ -105,6 +120,32 @@ def positional_request(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def positional_dot(spark: SparkSession, sf: str) -> DataFrame:
+    """Positional requests as the service reads them that also takes text and null.
+
+    Label 0 sends one value too few, 1 its first value as text, 2 a word, 3 null, 4 a broken body, 5 no features.
+    """
+    vectors = read_table(spark, sf, "embeddings")
+    label = F.col("label")
+    sent = F.to_json(F.struct(F.when(label == 0, F.slice("embedding", 1, F.size("embedding") - 1)).otherwise(F.col("embedding")).alias("features")))
+    changed = (
+        F.when(label == 1, F.regexp_replace(sent, r"\[([^,]+),", '[" $1 ",'))
+        .when(label == 2, F.regexp_replace(sent, r"\[[^,]+,", '["x",'))
+        .when(label == 3, F.regexp_replace(sent, r"\[[^,]+,", "[null,"))
+        .when(label == 4, F.substring(sent, F.lit(1), F.length(sent) - 1))
+        .when(label == 5, F.replace(sent, F.lit("features"), F.lit("data")))
+        .otherwise(sent)
+    )
+    parsed = rq.parse_positional(vectors.select("vec_id", changed.alias("value")), "value", width=64, mode="dot")
+    known = F.filter("features", lambda x: ~F.isnan(x))
+    total = F.aggregate(known, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    served = F.col("error").isNull()
+    return parsed.select(
+        "vec_id", "status", "error", F.when(served, F.round(total, 4)).alias("total"),
+        F.when(served, F.size("features") - F.size(known)).alias("missing"),
+    )
+
+
 def sample_payload(spark: SparkSession, sf: str) -> DataFrame:
     """The first line as a request, read back field by field."""
     lines = read_table(spark, sf, "lineitem")
@@ -135,7 +176,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         parse_features_dot, parse_features_prefix, parse_features_consistent, serve_scaled, reject_requests,
-        unfitted_values, positional_request, sample_payload, sigmoid_fallback,
+        unfitted_values, positional_request, positional_dot, sample_payload, sigmoid_fallback,
     )
 }
 
@@ -143,7 +184,8 @@ _E = """e AS (SELECT event_id, event_type AS t, CAST(value AS DECIMAL(12,2)) AS
 _FLOAT = "CAST(CAST({} AS FLOAT) AS DOUBLE)"
 _PREFIX_AMOUNT = (
     "CASE t WHEN 'view' THEN CAST(v AS FLOAT) WHEN 'click' THEN CAST(replace(CAST(v AS VARCHAR), '.', '') AS FLOAT) "
-    "WHEN 'error' THEN CAST('1' || CAST(v AS VARCHAR) AS FLOAT) WHEN 'signup' THEN 0 ELSE 25.5 END"
+    "WHEN 'error' THEN CASE k " + " ".join(f"WHEN {k} THEN CAST({value} AS FLOAT)" for k, (_, value) in HEXADECIMALS.items())
+    + " ELSE CAST('1' || CAST(v AS VARCHAR) AS FLOAT) END WHEN 'signup' THEN 0 ELSE 25.5 END"
 )
 SQL = {
     "parse_features_dot": f"""
@@ -175,6 +217,14 @@ SQL = {
                CASE WHEN label NOT IN (0, 1) AND len(embedding) = 64
                     THEN round(list_sum(CAST(embedding AS DOUBLE[])), 4) END AS total
         FROM embeddings""",
+    "positional_dot": f"""
+        WITH v AS (SELECT vec_id, label, len(embedding) = 64 AS fits, CASE WHEN label = 3 THEN list_sum(CAST(embedding[2:] AS DOUBLE[]))
+                   ELSE list_sum(CAST(embedding AS DOUBLE[])) END AS s FROM embeddings)
+        SELECT vec_id, CASE WHEN label IN (2, 4) THEN 500 WHEN label IN (0, 5) OR NOT fits THEN 400 ELSE 200 END AS status,
+               CASE WHEN label = 4 THEN '{rq.NOT_JSON}' WHEN label = 5 THEN '{rq.NO_FEATURES}' WHEN label = 2 THEN '{rq.NOT_NUMERIC}'
+                    WHEN label = 0 OR NOT fits THEN '{rq.WRONG_WIDTH}' END AS error,
+               CASE WHEN label NOT IN (0, 2, 4, 5) AND fits THEN round(s, 4) END AS total,
+               CASE WHEN label NOT IN (0, 2, 4, 5) AND fits THEN CAST(label = 3 AS INTEGER) END AS missing FROM v""",
     "sample_payload": f"SELECT l_quantity, l_tax, l_returnflag FROM lineitem ORDER BY {', '.join(LINE_ORDER)} LIMIT 1",
     "sigmoid_fallback": """
         WITH r AS (SELECT s_suppkey, s_nationkey % 2 = 0 AS single, s_acctbal / 1000 AS v FROM supplier),

@@ -34,10 +34,13 @@ def build_session(app: str = "quarrylight", master: str | None = None, **conf: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the cluster in spark.checkpoint.dir."""
+    """The folder every executor can reach, as named by the cluster in spark.checkpoint.dir.
+
+    Only where driver and executors are one process, as in tests, a temporary folder may stand in.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="quarrylight-")
         spark.conf.set("spark.checkpoint.dir", named)
@@ -47,7 +50,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A folder of its own below the application's, which is deleted when the driver ends."""
+    context = spark.sparkContext
+    own = f"{shared_dir(spark).rstrip('/')}/{context.applicationId}"
+    if getattr(context, "_quarrylight_folder", None) != own:
+        path = context._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        context._quarrylight_folder = own
+    return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.functions.numbers import error_percent, error_percent_truncated, leading_number
+from quarrylight.functions.numbers import error_percent, error_percent_truncated, leading_digits, rounded_column, to_numeric
 from quarrylight.schemas import BENCH_V1, BENCH_V2, SAMPLES_V2, text_schema
 from quarrylight.session import evaluate_once
 
@@ -61,7 +61,7 @@ def read_first_layout(spark: SparkSession, path: str) -> DataFrame:
 def read_samples(spark: SparkSession, path: str, header: str = SAMPLES_V2) -> DataFrame:
     """Resource samples as numbers; `timestamp` stays text."""
     table = spark.read.schema(text_schema(header)).option("header", True).csv(path)
-    return table.withColumns({c: F.col(c).try_cast("double") for c in table.columns if c != "timestamp"})
+    return table.withColumns({c: to_numeric(F.col(c)) for c in table.columns if c != "timestamp"})
 
 
 # The text before each figure in a report, and the figure's decimals.
@@ -89,20 +89,26 @@ def report_field(text: Column, marker: str) -> Column:
     The marker is found as plain text, so no pattern has to run over the whole report.
     """
     after = F.split_part(text, F.lit(marker), F.lit(2))
+    return _next_word(after)
+
+
+def _next_word(after: Column) -> Column:
     return F.nullif(F.regexp_extract(after, r"^\S*[ \t]+(\S+)", 1), F.lit(""))
 
 
 def parse_reports(df: DataFrame, value: str = "value") -> DataFrame:
-    """Figures of a load tool's text report as columns, with the error percentages they imply."""
-    found = evaluate_once(df, {f"_{name}": report_field(F.col(value), marker) for name, (marker, _) in REPORT_FIELDS.items()})
+    """Figures of a load tool's text report as columns, with the error percentages they imply.
+
+    Words are cut out, then read as numbers, then rounded, each step bound to a column of its own, so that
+    nothing is computed twice and the rounding runs in generated code.
+    """
+    words = evaluate_once(df, {f"_{name}": report_field(F.col(value), marker) for name, (marker, _) in REPORT_FIELDS.items()})
+    figures = {name: (F.coalesce(F.col(f"_{name}"), F.lit("")), decimals) for name, (_, decimals) in REPORT_FIELDS.items()}
+    read = evaluate_once(words, {f"_{name}": leading_digits(word) for name, (word, decimals) in figures.items() if decimals is not None})
     columns: dict[str, Column] = {}
-    for name, (_, decimals) in REPORT_FIELDS.items():
-        word = F.coalesce(F.col(f"_{name}"), F.lit(""))
-        if decimals is None:
-            columns[name] = F.replace(word, F.lit(","), F.lit("")).try_cast("double")
-        else:
-            columns[name] = leading_number(word, decimals)
-    out = found.withColumns(columns).drop(*[f"_{name}" for name in REPORT_FIELDS])
+    for name, (word, decimals) in figures.items():
+        columns[name] = to_numeric(F.replace(word, F.lit(","), F.lit(""))) if decimals is None else rounded_column(F.col(f"_{name}"), decimals)
+    out = read.withColumns(columns).drop(*[f"_{name}" for name in REPORT_FIELDS])
     total, good = F.col("total_requests"), F.col("success_requests")
     return out.withColumns(
         {"error_rate": error_percent(good, total), "error_rate_cut": error_percent_truncated(good, total)}

@@ -20,6 +20,15 @@ def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
 
+def append_runs(df: DataFrame, path: str, run: list[str], form: str = "parquet") -> None:
+    """Append rows to a table partitioned by run; a job that is run again replaces the rows of its own runs.
+
+    Only the partitions of the runs in `df` are written, at the commit of the job, so neither a retried task nor
+    a second try of the whole job leaves a row twice, and other runs stay as they are.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy(*run).format(form).save(path)
+
+
 def write_summary(df: DataFrame, path: str, form: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
     writer.option("header", True).csv(path) if form == "csv" else writer.format(form).save(path)

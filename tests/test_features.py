@@ -78,11 +78,11 @@ def test_category_positions_over_many_partitions(spark):
         assert {r["category"]: r["position"] for r in found if r["feature"] == name} == {v: i for i, v in enumerate(values)}
 
 
-def test_too_many_categories_need_the_tall_form(spark, monkeypatch):
+def test_too_many_categories_stay_in_a_table(spark, monkeypatch):
     monkeypatch.setattr(preprocess, "DRIVER_CATEGORIES", 5)
     rows = spark.range(10).select(F.col("id"), F.col("id").cast("string").alias("c"))
-    with pytest.raises(ValueError):
-        preprocess.fit_preprocessing(rows, [], ["c"])
+    params = preprocess.fit_preprocessing(rows, [], ["c"])
+    assert params.index.count() == 10 and params.widths == {"c": 10} and not params.categories
     index = preprocess.category_index(rows.where("id < 9"), ["c"])
     tall = preprocess.one_hot_long(rows, ["id"], ["c"], index)
     assert tall.count() == 10 and tall.where("known").count() == 9
@@ -114,6 +114,32 @@ def test_many_categories_train_and_score(spark, monkeypatch):
     assert found.widths["c"] == 20 and report.where("class = 'accuracy'").first()["f1"] > 0.9
 
 
+@pytest.mark.parametrize("limit", [100_000, 1_000_000])
+def test_many_categories_as_a_table_and_as_json(spark, monkeypatch, limit):
+    """200 000 categories go through the partitioned table and the JSON document derived from it."""
+    monkeypatch.setattr(preprocess, "DRIVER_CATEGORIES", limit)
+    n = 200_000
+    rows = spark.range(n).select(
+        F.col("id").cast("double").alias("x"), F.concat(F.lit("k/="), F.col("id").cast("string")).alias("key part"),
+        F.when(F.col("id") % 2 == 0, "a").alias("few"),
+    )
+    params = preprocess.fit_preprocessing(rows, ["x"], ["key part", "few"])
+    folder = new_folder(spark, "params")
+    files.write_param_table(spark, params, f"{folder}/table")
+    files.write_params(spark, params, f"{folder}/json")
+    files.write_metadata(spark, params, "y", ["0", "1"], "forest", f"{folder}/metadata")
+    ordered = lambda p: preprocess.index_of(spark, p).orderBy("feature", "position").agg(
+        F.count(F.lit(1)), F.sum(F.xxhash64("feature", "position", "category").cast("decimal(38,0)"))
+    ).first()
+    for known in (files.read_param_table(spark, f"{folder}/table"), files.read_params(spark, f"{folder}/json")):
+        assert (known.index is None) == (limit == 1_000_000) and ordered(known) == ordered(params)
+        assert (known.numeric, known.categorical, known.medians, known.scales) == (["x"], ["key part", "few"], params.medians, params.scales)
+    meta = files.read_metadata(spark, f"{folder}/metadata").select(F.size("feature_names"), F.get("feature_names", F.lit(1)), F.element_at("feature_names", -1), "input_shape")
+    assert tuple(meta.first()) == (n + 3, "key part_k/=0", "few_a", [1, n + 3])
+    tidy = preprocess.tidy_params(rows, params).select("feature", F.size("categories").alias("n")).collect()
+    assert {r["feature"]: r["n"] for r in tidy} == {"x": None, "key part": n, "few": 2}
+
+
 def test_params_file_ignores_junk(spark):
     path = new_folder(spark, "junk")
     text = json.dumps(
