@@ -34,9 +34,9 @@ OVERLAP = 3
 #: A chunk is also cut after so many places, where no trigger comes.
 LONG_CHUNK = 4096
 #: Bytes of text handled together in a task.
-TOGETHER = 6_000_000
+TOGETHER = 4_000_000
 #: Counts a task holds before equal ones are added up, and before they leave it.
-HELD, FULL = 1_000_000, 3_000_000
+HELD, FULL = 300_000, 1_000_000
 #: Bits of a pair's hash.
 PAIR_BITS = 40
 #: Partitions of the dictionary that a task counts: what is frequent comes in all of them, and is sent once.
