@@ -12,7 +12,7 @@ over its words, and a worker remembers those of words.
 from __future__ import annotations
 
 import hashlib
-import json
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ CACHE = "digest binary, n_tokens long, tokenizer string"
 SPACES = r"[\x20\x09-\x0D]+"
 NORMALISATION = "ascii spaces, 1"
 #: Words a worker remembers before it forgets them all, and the longest it remembers.
-REMEMBERED, LONGEST = 400_000, 100
+REMEMBERED, LONGEST = 200_000, 100
 #: Bytes of text counted together, and words given to the library at once.
 TOGETHER, AT_ONCE = 2_000_000, 1000
 
@@ -71,11 +71,9 @@ class Counter:
     def __init__(self, path: str):
         self.known: dict[bytes, int] = {}
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            about = json.load(file)
         # Where runs of letters are pieces whose last token has a mark, many of them are encoded in one call.
-        cuts = [x.get("pattern", {}).get("Regex") for x in about["pre_tokenizer"].get("pretokenizers", [])]
-        self.end = about["model"].get("end_of_word_suffix") if LETTER_PIECES in cuts else None
+        by_letters = LETTER_PIECES in str(self.tokenizer.pre_tokenizer)
+        self.end = getattr(self.tokenizer.model, "end_of_word_suffix", None) if by_letters else None
         if self.end:
             vocabulary = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -132,6 +130,7 @@ class Counter:
 def _encode(path: str):
     def run(batches):
         if path not in _counters:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and each thread would hold memory
             _counters[path] = Counter(path)
         for batch in batches:
             sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
