@@ -31,9 +31,9 @@ from quarrylight.session import small_side
 
 WINDOW, PHRASE = 50, 16
 #: Bytes of text hashed at once, and of documents that meet a shard's automaton in one task (one document may exceed them).
-BLOCK, STREAM = 500_000, 2_000_000
+BLOCK, STREAM = 500_000, 6_000_000
 #: Confirmed phrases of a shard, about.
-SHARD = 10_000
+SHARD = 20_000
 #: Occurrences of a window that go to one task; a window with more is dealt over several.
 HOT = 20_000
 #: Odd multipliers of the rolling hashes.
@@ -294,19 +294,18 @@ def repeated(docs: DataFrame, hot: int = HOT) -> dict[str, DataFrame]:
     firsts = profile.select("id", "sha", "mark").join(
         copies, (profile["sha"] == copies["sha"]) & (profile["id"] == copies["first"])
     ).select("id", "mark").distinct()
-    # Which documents hold phrases of which shard: a row for each pair, however many phrases.
-    held = land(
-        phrases.join(confirmed.select("phrase", shard), "phrase").select("id", "mark", "shard").distinct()
-        .join(firsts, ["id", "mark"]).select("id", "shard").distinct(),
-        "held",
+    # For each document the shards of its phrases, and the phrases that it is the first to hold.
+    held = phrases.join(confirmed.select("phrase", "home", shard), "phrase").groupBy("id", "mark").agg(
+        F.collect_set("shard").alias("shards"), F.collect_list(F.when(F.col("home") == F.col("id"), F.struct("phrase", "shard"))).alias("wanted")
+    ).join(firsts, ["id", "mark"]).groupBy("id").agg(
+        F.array_distinct(F.flatten(F.collect_list("shards"))).alias("shards"), F.flatten(F.collect_list("wanted")).alias("wanted")
     )
-    some = land(_numbered(docs).join(small_side(held.select("id").distinct()), "id"), "candidates")
-    homes = confirmed.groupBy(F.col("home").alias("id")).agg(F.collect_list(F.struct("phrase", shard)).alias("wanted"))
-    spelled = some.join(homes, "id").select("text", "wanted").mapInArrow(_spelled, "phrase long, shard long, words string")
+    some = land(_numbered(docs).join(land(held, "held"), "id"), "candidates")
+    spelled = some.filter(F.size("wanted") > 0).select("text", "wanted").mapInArrow(_spelled, "phrase long, shard long, words string")
     spelled = land(spelled.dropDuplicates(["phrase"]), "spelled")
     # A shard's documents in blocks of about STREAM bytes, each with the shard's phrases.
-    streamed = some.join(held, "id").withColumn("bytes", F.octet_length("text"))
-    blocks = small_side(streamed.groupBy("shard").agg(F.ceil(F.sum("bytes") / STREAM).alias("blocks")))
+    streamed = some.select("id", "text", F.explode("shards").alias("shard"))
+    blocks = small_side(streamed.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("text")) / STREAM).alias("blocks")))
     block = F.pmod(F.xxhash64("id", "text"), F.greatest("blocks", F.lit(1))).alias("block")
     dealt = streamed.join(blocks, "shard").select("id", "text", "shard", block)
     every = spelled.join(blocks, "shard").select("words", "shard", F.explode(
