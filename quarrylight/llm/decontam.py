@@ -39,6 +39,8 @@ SIEVE = 22
 PART = 100
 #: Places of a q-gram in one item from which on they are counted by band, and entries handled at once.
 HEAVY, AT_ONCE = 16, 4_000_000
+#: Pairs of texts and documents up to which shared q-grams are first counted as a whole.
+PAIRS = 20_000_000
 
 
 def normalise(text: str | None) -> bytes:
@@ -188,36 +190,55 @@ def align(item: bytes, region: bytes, edits: int, diagonals: int | None = None)
     return int(cost[end]), min(int(origin[end]), len(region)), min(len(item) + end, len(region))
 
 
+def _hits(items: Items, at: np.ndarray, slot: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(owner, place in the block, band, n): the shared q-grams of some places, in portions."""
+    longest = max(map(len, items.texts))
+    work = np.cumsum(items.light.sizes(slot) + items.heavy.sizes(slot) * (2 + int(1 / RATE)))
+    for rows in np.split(np.arange(len(at)), np.flatnonzero(np.diff(work // AT_ONCE)) + 1):
+        which, entry = items.light.entries(slot[rows])
+        owner, place = items.light.owner[entry], at[rows][which]
+        yield owner, place, (place + longest - items.light.place[entry]) // (items.edits[owner] + 1), None
+        which, entry = items.heavy.entries(slot[rows])
+        if len(entry):
+            owner, place = items.heavy.owner[entry], at[rows][which]
+            width = items.edits[owner] + 1
+            run = items.heavy.place[entry] + (place + longest) % width
+            sizes = items.table[run + 1] - items.table[run]
+            flat = np.repeat(items.table[run] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+            again = np.repeat(np.arange(len(owner)), sizes)
+            yield owner[again], place[again], ((place + longest) // width)[again] + items.bands[flat], items.counts[flat]
+
+
 def _shared(items: Items, raw: bytes, begins: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(owner, document, band, n): q-grams that a document shares with a text in each stripe of diagonals."""
+    """(owner, document, band, n): q-grams that a document shares with a text in each stripe of diagonals.
+
+    Documents that share fewer than a text needs, whatever the diagonals, are left out before stripes are counted.
+    """
     found = grams(raw)
     at = np.flatnonzero(items.sieve[_slot(found)])
     slot = np.minimum(np.searchsorted(items.values, found[at]), len(items.values) - 1)
     known = items.values[slot] == found[at]
     at, slot = at[known], slot[known]
-    longest = max(map(len, items.texts))
-    work = np.cumsum(items.light.sizes(slot) + items.heavy.sizes(slot) * (2 + int(1 / RATE)))
+    document = np.searchsorted(begins, at, "right") - 1
+    owners, documents = len(items.texts), len(begins)
+    enough = None
+    if owners * documents <= PAIRS and int((items.light.sizes(slot) + items.heavy.sizes(slot)).sum()) <= AT_ONCE:
+        which, entry = items.light.entries(slot)
+        total = np.bincount(items.light.owner[entry] * documents + document[which], minlength=owners * documents)
+        which, entry = items.heavy.entries(slot)
+        total[items.heavy.owner[entry] * documents + document[which]] += len(raw)  # repeated q-grams: always looked at
+        enough = total >= np.maximum(items.least, 1).repeat(documents)
     stripes = [np.zeros((4, 0), np.int64)]
-    for rows in np.split(np.arange(len(at)), np.flatnonzero(np.diff(work // AT_ONCE)) + 1):
-        which, entry = items.light.entries(slot[rows])
-        owner, shifted = items.light.owner[entry], at[rows][which] + longest
-        stripes.append(_summed(owner, at[rows][which], (shifted - items.light.place[entry]) // (items.edits[owner] + 1), np.ones(len(owner), np.int64), begins))
-        which, entry = items.heavy.entries(slot[rows])
-        owner, shifted = items.heavy.owner[entry], at[rows][which] + longest
-        width = items.edits[owner] + 1
-        run = items.heavy.place[entry] + shifted % width
-        sizes = items.table[run + 1] - items.table[run]
-        flat = np.repeat(items.table[run] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-        again = np.repeat(np.arange(len(owner)), sizes)
-        stripes.append(_summed(owner[again], at[rows][which][again], (shifted // width)[again] + items.bands[flat], items.counts[flat], begins))
+    for owner, place, band, n in _hits(items, at, slot):
+        inside = np.searchsorted(begins, place, "right") - 1
+        if enough is not None:
+            good = enough[owner * documents + inside]
+            owner, inside, band, n = owner[good], inside[good], band[good], None if n is None else n[good]
+        stripes.append(_merged(owner, inside, band, np.ones(len(owner), np.int64) if n is None else n))
     owner, inside, band, n = np.concatenate(stripes, axis=1)
     return tuple(_merged(owner, inside, band, n))
 
 
-def _summed(owner, at, band, n, begins) -> np.ndarray:
-    return _merged(owner, np.searchsorted(begins, at, "right") - 1, band, n)
-
-
 def _merged(owner: np.ndarray, inside: np.ndarray, band: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The counts of equal (owner, document, band) added up, in that order."""
     order = np.lexsort((band, inside, owner))

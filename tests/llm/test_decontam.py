@@ -34,8 +34,9 @@ def noisy(draw, text, edits):
 
 
 @pytest.mark.parametrize("letters", ["abcdefghij klmnop", "ab ", "-"])
-@pytest.mark.parametrize("heavy", [1, 16])
-def test_against_whole_tables(monkeypatch, letters, heavy):
+@pytest.mark.parametrize(("heavy", "pairs"), [(1, 20_000_000), (16, 20_000_000), (16, 0)])
+def test_against_whole_tables(monkeypatch, letters, heavy, pairs):
+    monkeypatch.setattr(decontam, "PAIRS", pairs)
     monkeypatch.setattr(decontam, "HEAVY", heavy)
     monkeypatch.setattr(decontam, "AT_ONCE", 500)
     monkeypatch.setattr(decontam, "PART", 40)
