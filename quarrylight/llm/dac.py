@@ -173,7 +173,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 def token_at(spark: SparkSession, folder: str, positions: DataFrame) -> DataFrame:
     """(position, id) for each `position` of all ids, by random access; positions beyond the end give no row.
 
-    Only the segments that hold a position are read further than their column of sizes.
+    Segments are found from their column of sizes; one scan of the codes' columns, joined with the segments
+    asked for, then gives their codes, of which only the asked ones are decoded.
     """
     ship(spark)
     segments = spark.read.parquet(f"{folder}/segments")

@@ -151,9 +151,10 @@ def _background(wanted):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, rows: int = ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, rows: int = ROWS, features: int = FEATURES) -> Model:
     """Learn from the texts of `docs` (doc_id, text) that `labels` (doc_id, toxic) marks 0 or 1, at most
-    `rows` of each class, drawn by a hash of their ids, and from the words of all of `corpus` (text).
+    `rows` of each class, drawn by a hash of their ids, and from the words of all of `corpus` (text). Of the words
+    and pairs that may tell, the `features` most frequent in toxic texts are weighed.
 
     Rows with a null id, text or label are not learned from. Without both classes nothing is toxic.
     """
@@ -167,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, rows: int = ROWS)
     for toxic, n in totals.items():
         part = marked.filter(
             (F.col("toxic") == toxic) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1.0, 0.95 * rows / n) * (1 << 30))
-        ).limit(rows)
+        ).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         drawn = part if drawn is None else drawn.unionAll(part)
     texts = docs.filter("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     drawn = land(
@@ -186,8 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, rows: int = ROWS)
     likely = counts.filter(
         ~F.col("feature").isin(TEXTS, WORDS) & (F.col("toxic") >= SEEN)
         & (F.col("toxic") * texts["clean"] > 3.0 * (F.col("clean") + FLAT) * texts["toxic"])
-    ).orderBy(F.desc("toxic"), "feature").limit(FEATURES)
-    seen = {r["feature"]: (r["toxic"], r["clean"]) for r in likely.collect()}  # bounded by FEATURES
+    ).orderBy(F.desc("toxic"), "feature").limit(features)
+    seen = {r["feature"]: (r["toxic"], r["clean"]) for r in likely.collect()}  # bounded by features
     wanted = spark.sparkContext.broadcast(frozenset(seen))
     corpus_counts = dict(
         tuple(r) for r in corpus.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -274,7 +275,7 @@ def rate(docs: DataFrame, model: Model, score: str = "score", passages: str = "p
     columns stay and none but `text` is read; columns of the two names are replaced.
     """
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FEATURES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the features of its fit
 
     @F.pandas_udf("score double, passages array<struct<begin:int,end:int,score:double,evidence:double>>")
     def judge(texts: pd.Series) -> pd.DataFrame:
