@@ -22,8 +22,8 @@ TEST_SHARE = 0.2
 SAMPLE_ROWS = 50_000
 SMALL_CLASS_ROWS = 1000
 MAJORITY_RATIO = 20
-# md5 digits counted while the classes are counted: a task sends at most 16 ** 4 counts for each class.
-PREFIX_DIGITS = 4
+# md5 digits counted while the classes are counted: a task sends at most 16 ** 3 counts for each class.
+PREFIX_DIGITS = 3
 # Rows of one class and prefix that one task ranks; beyond that longer prefixes are counted first.
 EDGE_ROWS = 1_000_000
 

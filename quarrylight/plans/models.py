@@ -76,7 +76,7 @@ def train_text_labels(spark: SparkSession, sf: str) -> DataFrame:
 _fitted: dict[tuple[str, str], tuple] = {}
 
 
-def _model(spark: SparkSession, sf: str):
+def fitted_classifier(spark: SparkSession, sf: str):
     """The classifier of a folder's order lines and its parameters, fitted once in a Spark application."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _fitted:
@@ -102,7 +102,7 @@ def _by_mllib(spark: SparkSession, sf: str, model) -> DataFrame:
 def score_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Every line scored by the fitted pipeline and by the one saved and reloaded, and whether they agree."""
     path = new_folder(spark, "model")
-    model, _ = _model(spark, sf)
+    model, _ = fitted_classifier(spark, sf)
     forest.save_model(model, path)
     fitted = _by_mllib(spark, sf, model)
     scored = forest.score(fitted, forest.load_model(path), keep=[*LINE_KEY, "fitted"])
@@ -114,7 +114,7 @@ def score_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_score(spark: SparkSession, sf: str) -> DataFrame:
     """Lines sent as JSON requests through files and scored as a stream, compared with a batch over the same files."""
-    model, params = _model(spark, sf)
+    model, params = fitted_classifier(spark, sf)
     sent, folder = new_folder(spark, "requests"), new_folder(spark, "scored")
     payload(_lines(spark, sf), NUMERIC, CATEGORICAL).select(F.col("payload").alias("value")).write.text(sent)
     query = scoring.start_scoring(
@@ -155,7 +155,7 @@ def stream_health(spark: SparkSession, sf: str) -> DataFrame:
 
 def forest_expr(spark: SparkSession, sf: str) -> DataFrame:
     """The fitted forest as flat arrays, walked in generated code, saved and reloaded; each line against MLlib's probability."""
-    model, _ = _model(spark, sf)
+    model, _ = fitted_classifier(spark, sf)
     folder = new_folder(spark, "flat")
     flat_forest.save(flat_forest.flatten(model, spark), folder)
     records = flat_forest.score(
@@ -169,7 +169,7 @@ def forest_expr(spark: SparkSession, sf: str) -> DataFrame:
 
 def prediction_records(spark: SparkSession, sf: str) -> DataFrame:
     """Records of the flat forest written as JSON lines and read back, with MLlib's probability beside."""
-    model, _ = _model(spark, sf)
+    model, _ = fitted_classifier(spark, sf)
     folder = new_folder(spark, "records")
     records = flat_forest.score(
         _by_mllib(spark, sf, model), flat_forest.flatten(model, spark), version="flat-1", keep=[*LINE_KEY, "fitted"]
