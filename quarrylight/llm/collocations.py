@@ -34,13 +34,13 @@ OVERLAP = 3
 #: A chunk is also cut after so many places, where no trigger comes.
 LONG_CHUNK = 4096
 #: Bytes of text handled together in a task.
-TOGETHER = 4_000_000
+TOGETHER = 3_000_000
 #: Counts a task holds before equal ones are added up, and before they leave it.
 HELD, FULL = 300_000, 1_000_000
 #: Bits of a pair's hash.
 PAIR_BITS = 40
 #: Partitions of the dictionary that a task counts: what is frequent comes in all of them, and is sent once.
-GATHERED = 4
+GATHERED = 2
 #: Parts that the candidates of a language are ranked in before they meet.
 SALTS = 16
 
@@ -85,8 +85,9 @@ class Tally:
                 yield from self.rest()
 
     def _merge(self) -> None:
-        summed = pa.concat_tables(self.held).group_by(self.keys).aggregate([("n", "sum")])
+        summed = pa.concat_tables(self.held).group_by(self.keys, use_threads=False).aggregate([("n", "sum")])
         self.held, self.added = [summed.rename_columns([*self.keys, "n"])], len(summed)
+        pa.default_memory_pool().release_unused()
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         if self.held:
@@ -140,7 +141,7 @@ def parse(lang: str, texts: pa.Array, modulus: int) -> tuple[pa.Table, Words]:
     taken = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], lengths)
     lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words.names.take(pa.array(words.codes[taken])))
     chunks = pa.table({"chunk": pc.binary_join(lists, " "), "last": pa.array(last)})
-    return chunks.group_by(["chunk", "last"]).aggregate([([], "count_all")]).rename_columns(["chunk", "last", "n"]), words
+    return chunks.group_by(["chunk", "last"], use_threads=False).aggregate([([], "count_all")]).rename_columns(["chunk", "last", "n"]), words
 
 
 PARSED = "lang string, word long, chunk string, last boolean, n long"
