@@ -16,6 +16,7 @@ dropped afterwards, never a phrase.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -49,6 +50,20 @@ PIECE_ENDS = r"[.,;:!?\n\x0B\f\r]+"
 MARK = "."
 
 
+def cut_long(texts: pa.Array) -> pa.Array:
+    """The texts, long ones cut behind the end of a piece; no phrase crosses one."""
+    if not len(texts) or _bytes(texts).max() <= TOGETHER:
+        return texts
+    found = []
+    for text in texts.to_pylist():
+        at = 0
+        while len(text) - at > TOGETHER and (end := re.compile(PIECE_ENDS).search(text, at + TOGETHER)):
+            found.append(text[at:end.end()])
+            at = end.end()
+        found.append(text[at:])
+    return pa.array(found, pa.string())
+
+
 def _slices(sizes: np.ndarray) -> Iterator[slice]:
     """Neighbouring rows of about TOGETHER bytes; a longer row is alone."""
     cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // TOGETHER)) + 1
@@ -158,7 +173,7 @@ def _parse_batches(modulus: int):
 
         for batch in batches:
             for lang in pc.unique(batch.column(0)).to_pylist():
-                texts = batch.column(1).filter(pc.equal(batch.column(0), lang))
+                texts = cut_long(batch.column(1).filter(pc.equal(batch.column(0), lang)))
                 for rows in _slices(_bytes(texts)):
                     chunks, found = parse(lang, texts[rows], modulus)
                     counts = np.bincount(found.codes, minlength=len(found.names))

@@ -95,7 +95,9 @@ def test_counts_over_chunks(rows, monkeypatch):
 
 def test_small_blocks(spark, rows, monkeypatch):
     monkeypatch.setattr(collocations, "TOGETHER", 50)
-    texts = pa.array([t for _, t, _ in rows if t][:30])
+    whole = pa.array([t for _, t, _ in rows if t][:30])
+    texts = collocations.cut_long(whole)
+    assert len(texts) > 2 * len(whole) and "".join(texts.to_pylist()) == "".join(whole.to_pylist())
     assert len(list(collocations._slices(collocations._bytes(texts)))) > 10
     chunks, _ = collocations.parse("en", texts, 4)
     table = chunks.append_column("lang", pa.array(["en"] * len(chunks))).select(["lang", "chunk", "last", "n"])
@@ -104,6 +106,7 @@ def test_small_blocks(spark, rows, monkeypatch):
         for phrases, f in block.phrases(everything, everything):
             counted.update(dict(zip(phrases.to_pylist(), f.tolist(), strict=True)))
     want = Counter()
+    table = collocations.parse("en", whole, 4)[0]
     for phrases, f in collocations.Chunks("en", table).phrases(everything, everything):
         want.update(dict(zip(phrases.to_pylist(), f.tolist(), strict=True)))
     assert counted == want
