@@ -7,7 +7,8 @@ from quarrylight.operators import compare, metrics, resources
 from quarrylight.schemas import BENCH_V1, BENCH_V2, FLOW, HOUSE, text_schema
 from quarrylight.sources import results, tables
 
-# Published load-test figures of two services: concurrency, rps, avg, p50, p95, p99, CPU, memory.
+# Published load-test figures of two services, needed for the published speedups. Columns:
+# concurrency, rps, latency_avg_ms, latency_p50_ms, latency_p95_ms, latency_p99_ms, cpu_percent, mem_mb.
 SLOW = """1,19.17,0.05,0.05,0.07,0.08,73.6,160
 5,22.64,0.22,0.22,0.27,0.30,89.2,163
 10,22.06,0.45,0.45,0.56,0.61,95.1,166
@@ -70,6 +71,7 @@ def test_empty_newest_run_gives_no_row(spark, tmp_path):
 def test_first_layout(spark, tmp_path):
     """The first service pair was measured in another layout, without p50 and timestamps."""
     (tmp_path / "slow.csv").write_text(
+        # Published rows of the first layout.
         BENCH_V1 + "\n1,13.4612,0.07,0.09,0.12,0.00,31.67,3180\n10,77.2807,0.13,0.15,0.19,0.00,72.22,3181\n50,74.5410,0.66,0.70,0.76,0.00,73.12,3192\n"
     )
     (tmp_path / "fast.csv").write_text(
