@@ -127,9 +127,9 @@ class Nets:
         self.at, self.radii, self.below = [], [], []
         here, spread, radius = np.arange(len(points)), np.zeros(len(points)), finest
         while radius <= coarsest and len(here) > 1:
-            # A level that would hardly thin the points out only costs; at the finest, few copies suffice.
+            # A level that would hardly thin the points out costs more, in bounds for each pair, than it saves.
             probe = self.rough[here[:: max(1, len(here) // 256)]] @ self.rough[here].T >= 1 - radius * radius / 2
-            if (np.count_nonzero(probe, axis=1) > 1).mean() >= (0.5 if self.at else 0.01):
+            if (np.count_nonzero(probe, axis=1) > 1).mean() >= (0.5 if self.at else 0.25):
                 own, radii = _local(points[here], spread, radius)
                 kept = np.unique(own)
                 order = np.argsort(own, kind="stable")
