@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quarrylight.llm.common import ship
+from quarrylight.llm.common import give_back, ship
 
 Q = 8
 RATE = 0.08
@@ -370,6 +370,7 @@ def _leaking(shared):
         for start, block in _in_blocks([None if t is None else t for t in texts.tolist()]):
             for found in occurrences(shared.value, block):
                 hit[start + found[0]] = True
+        give_back()
         return pd.Series(hit)
     return leaking
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrylight.llm.common import ship
+from quarrylight.llm.common import give_back, ship
 
 #: Bounds of the training sample: rows and characters for each language, and characters of all languages, which
 #: share them evenly where they are too many for CHARS each. No language is left out.
@@ -358,6 +358,7 @@ def identify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str
                 parts.append(predict(known, block))
                 block, size = [], 0
         parts.append(predict(known, block) if block else ([], np.zeros(0), np.zeros(0)))
+        give_back()
         return pd.DataFrame({
             "lang": [x for p in parts for x in p[0]],
             "score": np.concatenate([p[1] for p in parts]), "rate": np.concatenate([p[2] for p in parts]),
