@@ -64,8 +64,8 @@ class Encoder:
         for token, i in vocabulary.items():
             self.width[i] = len(token)
         self.cut = regex.compile(PIECES).findall
-        added = sorted(x.content for x in self.whole.get_added_tokens_decoder().values())
-        self.uneven = re.compile("|".join([r" (?=\s|\Z)", *map(re.escape, added)])).search
+        self.uneven = re.compile(r" (?=\s|\Z)").search
+        self.added = [x.content for x in self.whole.get_added_tokens_decoder().values()]
 
     def encode(self, texts: list[str]):
         """The ids of each text as little-endian unsigned 32-bit integers, in order."""
@@ -96,7 +96,7 @@ class Encoder:
         found: list[bytes | None] = [None] * len(texts)
         cut, odd = [], []
         for i, text in enumerate(texts):
-            if self.uneven(text):
+            if self.uneven(text) or any(x in text for x in self.added):
                 odd.append(i)
             else:
                 parts = text.split(" ")
