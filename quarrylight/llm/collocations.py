@@ -35,9 +35,7 @@ OVERLAP = 3
 #: A chunk is also cut after so many places, where no trigger comes.
 LONG_CHUNK = 4096
 #: Bytes of text handled together in a task.
-TOGETHER = 3_000_000
-#: Counts a task holds before equal ones are added up, and before they leave it.
-HELD, FULL = 300_000, 1_000_000
+TOGETHER = 6_000_000
 #: Bits of a pair's hash.
 PAIR_BITS = 40
 #: Partitions of the dictionary that a task counts: what is frequent comes in all of them, and is sent once.
@@ -85,32 +83,6 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
 
-class Tally:
-    """Adds up the counts (column n) of equal keys over the blocks of a task."""
-
-    def __init__(self, keys: list[str]):
-        self.keys, self.held, self.added = keys, [], 0
-
-    def add(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        self.held.append(table)
-        self.added += len(table)
-        if self.added > HELD:
-            self._merge()
-            if self.added > FULL:
-                yield from self.rest()
-
-    def _merge(self) -> None:
-        summed = pa.concat_tables(self.held).group_by(self.keys, use_threads=False).aggregate([("n", "sum")])
-        self.held, self.added = [summed.rename_columns([*self.keys, "n"])], len(summed)
-        pa.default_memory_pool().release_unused()
-
-    def rest(self) -> Iterator[pa.RecordBatch]:
-        if self.held:
-            self._merge()
-            yield from self.held[0].to_batches()
-        self.held, self.added = [], 0
-
-
 class Words:
     """Lists of words and marks as one array of codes, with the list each place belongs to."""
 
@@ -164,13 +136,6 @@ PARSED = "lang string, word long, chunk string, last boolean, n long"
 
 def _parse_batches(modulus: int):
     def run(batches):
-        words = Tally(["lang", "word"])
-
-        def word_rows(found):
-            for part in found:
-                empty = [pa.nulls(len(part), pa.string()), pa.nulls(len(part), pa.bool_())]
-                yield pa.record_batch([*part.columns[:2], *empty, part.columns[2]], ["lang", "word", "chunk", "last", "n"])
-
         for batch in batches:
             for lang in pc.unique(batch.column(0)).to_pylist():
                 texts = cut_long(batch.column(1).filter(pc.equal(batch.column(0), lang)))
@@ -179,10 +144,12 @@ def _parse_batches(modulus: int):
                     counts = np.bincount(found.codes, minlength=len(found.names))
                     counts[found.codes[found.is_mark][:1]] = 0  # a mark is no word
                     names = lambda table, lang=lang: pa.array([lang] * len(table), pa.string())
-                    yield from word_rows(words.add(pa.table({"lang": names(counts), "word": found.hashes, "n": counts})))
+                    empty = [pa.nulls(len(counts), pa.string()), pa.nulls(len(counts), pa.bool_())]
+                    yield pa.record_batch(
+                        [names(counts), pa.array(found.hashes), *empty, pa.array(counts, pa.int64())], ["lang", "word", "chunk", "last", "n"]
+                    )
                     chunks = chunks.append_column("lang", names(chunks)).append_column("word", pa.nulls(len(chunks), pa.int64()))
                     yield from chunks.select(["lang", "word", "chunk", "last", "n"]).to_batches()
-        yield from word_rows(words.rest())
     return run
 
 
@@ -275,23 +242,18 @@ def _chunk_blocks(batches) -> Iterator[tuple[str, Chunks]]:
 
 def _pair_batches(words: Broadcast):
     def run(batches):
-        tally = Tally(["pair"])
         for _, chunks in _chunk_blocks(batches):
             pair, n = chunks.pairs(words.value)
-            yield from tally.add(pa.table({"pair": pair, "n": n}))
-        yield from tally.rest()
+            yield pa.record_batch([pa.array(pair), pa.array(n)], ["pair", "n"])
     return run
 
 
 def _phrase_batches(words: Broadcast, pairs: Broadcast):
     def run(batches):
-        tally = Tally(["lang", "phrase", "size"])
         for lang, chunks in _chunk_blocks(batches):
             for size, (phrase, n) in enumerate(chunks.phrases(words.value, pairs.value), 1):
-                yield from tally.add(pa.table({
-                    "lang": pa.array([lang] * len(n), pa.string()), "phrase": phrase, "size": pa.array(np.full(len(n), size), pa.int32()), "n": n,
-                }))
-        yield from tally.rest()
+                columns = [pa.array([lang] * len(n), pa.string()), phrase, pa.array(np.full(len(n), size), pa.int32()), pa.array(n)]
+                yield pa.record_batch(columns, ["lang", "phrase", "size", "n"])
     return run
 
 

@@ -112,22 +112,6 @@ def test_small_blocks(spark, rows, monkeypatch):
     assert counted == want
 
 
-def test_tally(monkeypatch):
-    monkeypatch.setattr(collocations, "HELD", 10)
-    monkeypatch.setattr(collocations, "FULL", 20)
-    tally, out, want, draw = collocations.Tally(["k"]), [], Counter(), random.Random(1)
-    for _ in range(30):
-        keys = [draw.randrange(30) for _ in range(draw.randrange(9))]
-        want.update(keys)
-        out += tally.add(pa.table({"k": pa.array(keys, pa.int64()), "n": pa.array([1] * len(keys), pa.int64())}))
-    out += tally.rest()
-    got = Counter()
-    for batch in out:
-        for row in batch.to_pylist():
-            got[row["k"]] += row["n"]
-    assert got == want and len(out) > 1 and list(tally.rest()) == []
-
-
 def test_copies_share_chunks(spark, rows):
     """The dictionary of a text and of forty copies has the same chunks."""
     one, many = (land(collocations.parsed(spark.createDataFrame(r, DOCS)), "parsed") for r in ([rows[60]], rows[60:100]))
