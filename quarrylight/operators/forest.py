@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions.numbers import exceeds
 from quarrylight.operators import metrics, sampling
+from quarrylight.operators.bins import with_bins
 from quarrylight.operators.preprocess import Preprocessing, fit_preprocessing, preprocessing_stages
 from quarrylight.operators.profile import select_features
 from quarrylight.session import materialize, null_safe_join, small_side, spread
@@ -22,6 +23,12 @@ REGRESSOR_TREES, REGRESSOR_DEPTH = 100, 10
 SEED = 42
 # Bins per continuous feature, MLlib's own default: more find finer thresholds and take as much more memory.
 BINS = 32
+# A regressor is fitted on the rows of a train part up to this size, and on condensed rows of a larger one.
+PLAIN_ROWS = 200_000
+# Condensed rows of one cell, which a bootstrap draws each on its own.
+GROUPS = 8
+# Error of the ranks of the quantiles that stand for a feature's values, as 1 / ACCURACY.
+ACCURACY = 1000
 # Names shown for the class numbers 0 and 1.
 CLASSES = ["Normal", "Attack"]
 LABEL = "_label"
@@ -76,15 +83,62 @@ def predicted_class(model: PipelineModel) -> Column:
 
 def fit_regressor(
     train: DataFrame, params: Preprocessing, target: str, trees: int = REGRESSOR_TREES, depth: int = REGRESSOR_DEPTH,
-    bins: int = BINS,
+    bins: int = BINS, weight: str | None = None,
 ) -> PipelineModel:
     forest = RandomForestRegressor(
         featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, seed=SEED,
         featureSubsetStrategy="all", maxMemoryInMB=1024, maxBins=bins,
     )
+    if weight:
+        forest.setWeightCol(weight)
     return Pipeline(stages=[*preprocessing_stages(params), forest]).fit(train)
 
 
+def standing_values(df: DataFrame, names: list[str], bins: int = BINS) -> dict[str, list[float]]:
+    """For each column rising values that stand for all: its own values if they are few, otherwise even quantiles.
+
+    They are fewer than the bins. MLlib adds a 0 when it looks for thresholds, so 0 is among values on both sides of it.
+    """
+    count = max(2, bins - 2)
+    places = [i / (count - 1) for i in range(count)]
+    about = df.agg(*[f for i, c in enumerate(names) for f in (
+        F.approx_count_distinct(c).alias(f"n{i}"), F.percentile_approx(c, places, ACCURACY).alias(f"q{i}"),
+    )]).first()
+    found = {}
+    for i, name in enumerate(names):
+        own = []
+        if about[f"n{i}"] < 2 * bins:
+            own = [r[0] for r in df.select(name).distinct().limit(bins).collect()]
+        if not 0 < len(own) < bins:
+            own = about[f"q{i}"]
+            own = [*own, 0.0] if min(own) < 0 < max(own) else own
+        found[name] = sorted({x + 0.0 for x in own})
+    return found
+
+
+def condensed(
+    train: DataFrame, keys: list[str], params: Preprocessing, target: str, bins: int = BINS, groups: int = GROUPS
+) -> DataFrame:
+    """(features, target, weight): rows alike in the bins of all features as at most `groups` weighted rows with their mean target.
+
+    MLlib's trees see of a feature only its bin. Thresholds lie halfway between the values that stand for the bins,
+    which is where MLlib puts them, so every row counts in the bin in which it is scored. The part of the variance
+    that a condensed row hides is the same before and after any split, so splits gain what they gain on the rows.
+    Which rows of a cell are drawn together by the bootstrap follows from a hash of their keys.
+    """
+    filled = preprocessing_stages(params)[0].transform(train)
+    columns = [f"_num_{i}" for i in range(len(params.numeric))]
+    values = standing_values(filled, columns, bins)
+    halfway = {c: [(a + b) / 2 for a, b in zip(v, v[1:])] for c, v in values.items()}
+    dealt = with_bins(filled, halfway).withColumn("_group", F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(groups)))
+    label = F.col(f"`{target}`").cast("double")
+    # A missing target is an error of the fit, as it is for single rows.
+    mean = F.when(F.count(label) == F.count(F.lit(1)), F.avg(label))
+    cells = dealt.groupBy(*[f"_bin_{c}" for c in columns], "_group").agg(mean.alias(target), F.count(F.lit(1)).cast("double").alias("weight"))
+    stand = [F.get(F.array(*map(F.lit, values[c])), F.col(f"_bin_{c}")).alias(n) for c, n in zip(columns, params.numeric)]
+    return cells.select(*stand, target, "weight")
+
+
 def without_helpers(df: DataFrame) -> DataFrame:
     drop = [c for c in df.columns if c.startswith(HELPERS)] + ["features", "rawPrediction"]
     return df.drop(*drop)
@@ -164,14 +218,21 @@ def train_and_evaluate(
 
 def train_and_evaluate_value(
     df: DataFrame, keys: list[str], target: str, numeric: list[str], trees: int = REGRESSOR_TREES, depth: int = REGRESSOR_DEPTH,
-    bins: int = BINS,
+    bins: int = BINS, plain_rows: int = PLAIN_ROWS,
 ) -> tuple[PipelineModel, Preprocessing, DataFrame]:
-    """Random split, regression forest, error metrics on the test part."""
+    """Random split, regression forest on the whole train part, error metrics on the test part."""
     chosen = df.select(*dict.fromkeys([*keys, *numeric, target]))
     sampled = materialize(sampling.random_split(chosen, keys))
     train, test = spread(sampled.where("split = 'train'")), sampled.where("split = 'test'")
     params = fit_preprocessing(train, numeric, [])
-    model = fit_regressor(train, params, target, trees, depth, bins)
+    if train.count() <= plain_rows:
+        model = fit_regressor(train, params, target, trees, depth, bins)
+    else:
+        # Neighbours in the order of the features go the same ways, so a task's node statistics stay in the cache.
+        near = [F.col(f"`{n}`") for n in numeric]
+        few = materialize(condensed(train, keys, params, target, bins))
+        few = few.repartitionByRange(train.sparkSession.sparkContext.defaultParallelism, *near).sortWithinPartitions(*near)
+        model = fit_regressor(few, params, target, trees, depth, bins, "weight")
     report = metrics.regression_metrics(model.transform(test), target, "prediction")
     return model, params, report
 

@@ -211,6 +211,45 @@ def test_regressor_and_frozen_trees(spark, learnable):
     assert forest.score_value(learnable, model, keep=["id"]).columns == ["id", "prediction", "model"]
 
 
+def test_regressor_on_condensed_rows(spark):
+    """A large train part is fitted on few weighted rows that hold every row and lie in the bins they are scored in."""
+    table = spark.range(40_000).select(
+        "id", (F.col("id") * 7919 % 10_007 - 3000).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("few"),
+        F.when(F.col("id") % 9 > 0, F.lit(1.0)).alias("one"),
+    ).withColumn("y", F.col("x") * (1 + F.col("few")) + F.pmod(F.hash("id"), F.lit(50)))
+    names = ["x", "few", "one"]
+    params = preprocess.fit_preprocessing(table, names, [])
+    few = forest.condensed(table, ["id"], params, "y", groups=3).collect()
+    assert len(few) <= 31 * 5 * 3 and sum(r["weight"] for r in few) == 40_000
+    assert sum(r["weight"] * r["y"] for r in few) == pytest.approx(table.agg(F.sum("y")).first()[0])
+    assert {r["few"] for r in few} == {0.0, 1.0, 2.0, 3.0, 4.0} and {r["one"] for r in few} == {1.0}
+    values = {r["x"] for r in few}
+    assert 0.0 in values and len(values) < forest.BINS
+    settings = {"trees": 5, "depth": 6}
+    model, _, report = forest.train_and_evaluate_value(table, ["id"], "y", names, plain_rows=1000, **settings)
+    _, _, plain = forest.train_and_evaluate_value(table, ["id"], "y", names, **settings)
+    assert report.first()["rows"] == plain.first()["rows"] == 8000
+    assert abs(report.first()["r2"] - plain.first()["r2"]) < 0.01
+
+    def thresholds(tree):
+        return set() if not isinstance(tree, tuple) else {tree[:2]} | thresholds(tree[2]) | thresholds(tree[3])
+
+    used = set().union(*map(thresholds, forest.frozen_trees(model.stages[-1], names)))
+    train = forest.sampling.random_split(table, ["id"]).where("split = 'train'")
+    values = sorted({r["x"] for r in forest.condensed(train, ["id"], params, "y").collect()})
+    halfway = {(a + b) / 2 for a, b in zip(values, values[1:])}
+    assert {t for c, t in used if c == "x"} <= halfway
+
+
+def test_missing_target_of_condensed_rows(spark):
+    table = spark.range(300).selectExpr("id", "double(id % 7) as x", "if(id = 5, null, double(id)) as y")
+    params = preprocess.fit_preprocessing(table, ["x"], [])
+    few = forest.condensed(table, ["id"], params, "y", groups=1)
+    assert [r["x"] for r in few.collect() if r["y"] is None] == [5.0]
+    with pytest.raises(Exception):
+        forest.fit_regressor(few, params, "y", weight="weight")
+
+
 def test_class_weights(spark, learnable):
     weights = {r["Label"]: r["weight"] for r in forest.class_weights(learnable, "Label").collect()}
     ones = learnable.where("Label = 1").count()
