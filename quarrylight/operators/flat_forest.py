@@ -1,11 +1,13 @@
 """A fitted forest as a table of flat node arrays, walked by column expressions.
 
 One row for each tree: feature, threshold, left and right child of every node, and the values of its
-leaves. Scoring repeats each record once for each tree, joins the broadcast table on the tree's number
-and takes one step down for each level of the forest. Every step is a projection of array lookups, so the
-walk runs inside generated code, in stretches whose methods are small enough for the JVM to compile.
-A record's rows lie in one partition, so their sums meet there and one narrow row for each record is
-exchanged.
+leaves. A forest only compares its inputs with its thresholds, so records whose inputs lie between the
+same thresholds reach the same leaves: they are one cell. Scoring walks one record of each cell and joins
+the cells' sums back to all records. The walk repeats the record once for each tree, joins the broadcast
+table on the tree's number and takes one step down for each level of the forest. Every step is a projection
+of array lookups, so the walk runs inside generated code, in stretches whose methods are small enough for
+the JVM to compile. A cell's rows lie in one partition, so their sums meet there and one narrow row for
+each cell is exchanged.
 """
 
 from __future__ import annotations
@@ -13,14 +15,17 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import OneHotEncoderModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrylight.operators.bins import packed, with_bins
 from quarrylight.operators.forest import class_names, record
-from quarrylight.session import new_folder, small_side
+from quarrylight.session import materialize, new_folder, small_side, spread
 
 #: A forest whose arrays take more is not broadcast; MLlib's own scoring ships the same nodes as objects.
 MOST_NODES = 8_000_000
@@ -166,27 +171,53 @@ def _step() -> Column:
     return F.when(holds, at("left")).otherwise(at("right"))
 
 
+def limits(trees: pa.Table, inputs: int) -> dict[str, list[float]]:
+    """The rising thresholds of each input `_x_i`; a test for a code counts as one on either side of it."""
+    flat = {c: trees.column(c).combine_chunks().flatten().to_numpy() for c in ("feature", "threshold", "left", "right")}
+    inner = flat["left"] != flat["right"]
+    feature, threshold = flat["feature"][inner], flat["threshold"][inner]
+    found = {}
+    for i in range(inputs):
+        codes = threshold[feature == -1 - i]
+        found[f"_x_{i}"] = np.unique(np.concatenate([threshold[feature == i], codes - 0.5, codes + 0.5])).tolist()
+    return found
+
+
+def cells(rows: DataFrame, inputs: list[str], keys: list[str]) -> DataFrame:
+    """(*keys, _x): one row for each cell. Bins are intervals, so the least value of each input lies in the cell too."""
+    least = rows.groupBy(*keys).agg(*[F.min(c).alias(c) for c in inputs])
+    return spread(materialize(least.select(*keys, F.array(*inputs).alias("_x"))))
+
+
 def outputs(df: DataFrame, forest: FlatForest, keep: list[str]) -> DataFrame:
-    """(*keep, _sums): for every row the sums of the leaves' values over all trees, in tree order."""
+    """(*keep, _sums): for every row the sums of the leaves' values over all trees, in tree order.
+
+    `df` is read twice, for its cells and for its rows.
+    """
     prepared = forest.prepare.transform(df)
     kept = [F.col(f"`{c}`") for c in keep]
-    inputs = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in forest.inputs])
-    # _row keeps rows apart that are alike in every column kept.
-    walk = prepared.select(*kept, inputs.alias("_x")).withColumn("_row", F.monotonically_increasing_id()).withColumn(
-        "tree", F.explode(F.sequence(F.lit(0), F.lit(forest.count - 1)))
-    ).withColumn("_node", F.lit(0))
     # Few, small rows of a bounded table: with a schema that rules nulls out, lookups are a check and a read.
     spark = df.sparkSession
-    trees = F.broadcast(spark.createDataFrame(forest.trees.select(TREES.names).toArrow(), TREES))
+    table = forest.trees.select(TREES.names).toArrow()
+    trees = F.broadcast(spark.createDataFrame(table, TREES))
+    thresholds = limits(table, len(forest.inputs))
+    inputs = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(x) for c, x in zip(forest.inputs, thresholds, strict=True)]
+    numbers = packed(thresholds)
+    keys = [f"_cell_{i}" for i in range(len(numbers))]
+    rows = with_bins(prepared.select(*kept, *inputs), thresholds).withColumns(dict(zip(keys, numbers, strict=True)))
+    walk = cells(rows, list(thresholds), keys).withColumn(
+        "tree", F.explode(F.sequence(F.lit(0), F.lit(forest.count - 1)))
+    ).withColumn("_node", F.lit(0))
     for start in range(0, forest.depth, STRETCH):
         walk = walk.coalesce(ANY).join(trees.drop("value"), "tree")
         for _ in range(min(STRETCH, forest.depth - start)):
             walk = walk.withColumn("_node", _step())
-        walk = walk.select(*kept, "_x", "_row", "tree", "_node")
+        walk = walk.select(*keys, "_x", "tree", "_node")
     place = F.col("_node") * forest.outputs
     sums = [F.sum(F.col("value")[place + i]).alias(f"_s{i}") for i in range(forest.outputs)]
-    summed = walk.coalesce(ANY).join(trees.select("tree", "value"), "tree").groupBy(*kept, "_row").agg(*sums)
-    return summed.select(*kept, F.array(*[f"_s{i}" for i in range(forest.outputs)]).alias("_sums"))
+    summed = walk.coalesce(ANY).join(trees.select("tree", "value"), "tree").groupBy(*keys).agg(*sums)
+    known = small_side(summed.select(*keys, F.array(*[f"_s{i}" for i in range(forest.outputs)]).alias("_sums")))
+    return rows.select(*kept, *keys).join(known, keys).select(*kept, "_sums")
 
 
 def probabilities(df: DataFrame, forest: FlatForest, keep: list[str], output: str = "probability") -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylight.operators import flat_forest, forest, preprocess
+from quarrylight.operators import bins, flat_forest, forest, preprocess
 from quarrylight.session import new_folder
 
 
@@ -44,6 +44,29 @@ def test_flat_forest_equals_mllib(spark, rows, depth):
     assert (again.classes, again.width, again.outputs) == (["a small one", "large", "middle"], 1 + 7 + 8, 3)
 
 
+def test_flat_forest_walks_one_record_of_a_cell(spark, rows, monkeypatch):
+    """Records between the same thresholds are walked once, and all of them get their probabilities."""
+    model = fitted(rows, "kind")
+    flat = flat_forest.flatten(model, spark)
+    many = others(rows).crossJoin(spark.range(40).select(F.col("id").alias("copy"))).withColumns(
+        {"id": F.col("id") * 40 + F.col("copy"), "x": F.col("x") + F.col("copy") / 100}
+    )
+    walked, cells = [], flat_forest.cells
+    monkeypatch.setattr(flat_forest, "cells", lambda *a: walked.append(cells(*a)) or walked[0])
+    got = sorted(map(str, flat_forest.score(many, flat, keep=["id", "x"]).collect()))
+    assert got == sorted(map(str, forest.score(many, model, keep=["id", "x"]).collect())) and len(got) == 745 * 40
+    assert walked[0].count() <= 32 * 8 * 9
+
+
+def test_bins_count_thresholds_below(spark):
+    values = [float("-inf"), -1.5, -1.0, -0.0, 0.0, 0.5, 1.0, 1.1, float("inf"), float("nan")]
+    table = spark.createDataFrame([(x,) for x in values], "x double").withColumn("y", F.lit(1.0))
+    got = [tuple(r) for r in bins.with_bins(table, {"x": [-1.0, 0.0, 1.0], "y": []}).select("_bin_x", "_bin_y").collect()]
+    assert got == [(sum(t < x for t in (-1.0, 0.0, 1.0)) if x == x else -1, 0) for x in values]
+    wide = {f"c{i}": [float(j) for j in range(50)] for i in range(30)}
+    assert len(bins.packed(wide)) == 3 and len(bins.packed({})) == 1
+
+
 def test_flat_regression_equals_mllib(spark, rows):
     params = preprocess.fit_preprocessing(rows, ["x"], ["c"])
     model = forest.fit_regressor(rows, params, "y", trees=5, depth=5)
