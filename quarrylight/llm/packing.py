@@ -14,6 +14,7 @@ ranks say which document takes which place.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -166,10 +167,9 @@ def _tokenize(path: str, end: int, window: int):
         part, wholes, ranks = TaskContext.get().partitionId(), 0, Counter()
         known = encoder(path)
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            at = 0
-            for lo in range(0, len(texts), 1000):
-                ids = [x + tail for x in known.encode(texts[lo:lo + 1000])]
+            texts = ("" if t is None else t for t in batch.column(1).to_pylist())
+            coded, at = known.encode(texts), 0
+            while ids := [x + tail for x in islice(coded, 1000)]:
                 sizes = [len(x) // 4 for x in ids]
                 before, rank = [], []
                 for n in sizes:

@@ -2,7 +2,7 @@
 
 A byte-level tokenizer cuts a text before merging, and a space followed by a non-space always starts
 a new piece. So texts are cut there, and the library encodes each word only the first time a worker
-process meets it. Texts with other white space around a space go to the library whole, and so do texts
+process meets it; Arrow finds the distinct words of a block, and ids are put together as arrays. Texts with other white space around a space go to the library whole, and so do texts
 that hold the string of an added token, which the library's default encodes as that token.
 """
 
@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import gc
 import re
-from itertools import islice
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer, pre_tokenizers
 
@@ -24,6 +26,8 @@ REMEMBERED = 650_000
 ENDS = (".", ",")
 #: Characters handled at once.
 BLOCK = 3_000_000
+#: Pieces spelled in byte letters at once.
+GROUP = 5_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -50,19 +54,14 @@ class Encoder:
             isinstance(cutter, pre_tokenizers.ByteLevel) and self.whole.normalizer is None
             and not cutter.add_prefix_space and cutter.use_regex
         )
-        self.known: dict[str, bytes] = {}
+        # The place of each chunk; its ids are ids[starts[place]:starts[place + 1]].
+        self.known: dict[str, int] = {}
+        self.ids, self.starts = np.zeros(0, "<u4"), np.zeros(1, np.int64)
         if not self.by_word:
             return
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.model.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
-        self.model.post_processor = None
+        self.merge = self.whole.model.tokenize
         self.letters = byte_letters()
         self.spaced = self.letters | {10: "\n"}
-        vocabulary = self.whole.get_vocab()
-        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.width[i] = len(token)
         self.cut = regex.compile(PIECES).findall
         self.uneven = re.compile(r" (?=\s|\Z)").search
         self.added = [x.content for x in self.whole.get_added_tokens_decoder().values()]
@@ -94,26 +93,74 @@ class Encoder:
 
     def _cut_block(self, texts: list[str]) -> list[bytes]:
         found: list[bytes | None] = [None] * len(texts)
-        cut, odd = [], []
+        cut, heads, rests, odd = [], [], [], []
         for i, text in enumerate(texts):
             if self.uneven(text) or any(x in text for x in self.added):
                 odd.append(i)
             else:
-                parts = text.split(" ")
-                parts[0] = " " + parts[0]  # marks the chunk without a space before it
-                cut.append((i, parts))
-        self._learn(set().union(*[parts for _, parts in cut]).difference(self.known))
-        known = self.known.__getitem__
-        for i, parts in cut:
-            found[i] = b"".join(map(known, parts))
+                head, _, rest = text.partition(" ")
+                cut.append(i)
+                heads.append(" " + head)  # marks the chunk without a space before it
+                rests.append(rest or None)
+        split = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        head_places, places = self._learned(heads), self._learned(chunks)
+        # The chunks of each text in order: its head, then those of its rest.
+        sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        stops = np.cumsum(sizes)
+        first = np.zeros(len(heads) + len(coded), bool)
+        first[stops - sizes] = True
+        order = np.empty(len(first), np.int64)
+        order[first] = head_places
+        order[~first] = places[coded.indices.to_numpy()]
+        ids, lengths = self._ids(order)
+        ends = (np.append(0, np.cumsum(lengths))[stops] * 4).tolist()
+        raw = ids.tobytes()
+        for i, begin, end in zip(cut, [0, *ends], ends):
+            found[i] = raw[begin:end]
         for i, ids in zip(odd, self._wholly([texts[i] for i in odd]), strict=True):
             found[i] = ids
         if len(self.known) > REMEMBERED:  # what words make up is soon put together again
-            self.known = {x: ids for x, ids in self.known.items() if x.isalpha()}
+            self._keep([x for x in self.known if x.isalpha()])
         if len(self.known) > REMEMBERED * 3 // 4:
-            self.known = {}
+            self._keep([])
         return found
 
+    def _learned(self, chunks: list[str]) -> np.ndarray:
+        """The places of chunks; new ones are learned."""
+        places = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        at = np.flatnonzero(places < 0)
+        if len(at):
+            new = [chunks[i] for i in at.tolist()]
+            self._learn(set(new))
+            places[at] = self._places(new)
+        return places
+
+    def _places(self, chunks: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+
+    def _ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The remembered ids at some places, one after another, and how many each has."""
+        begins = self.starts[places]
+        lengths = self.starts[places + 1] - begins
+        stops = np.cumsum(lengths)
+        at = np.repeat(begins - stops + lengths, lengths)
+        at += np.arange(len(at))
+        return self.ids[at], lengths
+
+    def _keep(self, chunks: list[str]) -> None:
+        """Remember only these."""
+        ids, lengths = self._ids(self._places(chunks))
+        self.known, self.ids, self.starts = {}, ids[:0], np.zeros(1, np.int64)
+        self._remember(chunks, ids, lengths)
+
+    def _remember(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(self.starts) - 1
+        self.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(lengths))
+        self.ids = np.append(self.ids, ids)
+
     def _wholly(self, texts: list[str]) -> list[bytes]:
         return [
             np.array(x.ids, "<u4").tobytes() for text in texts
@@ -123,36 +170,48 @@ class Encoder:
     def _learn(self, chunks: set[str]) -> None:
         """Remember the ids of each chunk: `x` stands for a space and x, ` x` for x without it."""
         known = self.known
-        words = [x for x in chunks if x.isalpha()]
-        ended = [x for x in chunks if x[-1:] in ENDS and x[:-1].isalpha()]
-        others = chunks.difference(words, ended)
-        pieces = {}
-        for chunk in others:
-            cut = self.cut(chunk[1:] if chunk[:1] == " " else " " + chunk)
-            pieces[chunk] = [x[1:] if x[:1] == " " and len(x) > 1 else " " + x for x in cut]
-        need = {x[:-1] for x in ended}
-        need.update(" " + x for x in ENDS)
-        need.update(*pieces.values())
+        words, ended, stems, pieces = [], [], [], {}
+        for chunk in chunks:
+            if chunk.isalpha():
+                words.append(chunk)
+            elif chunk[-1:] in ENDS and (stem := chunk[:-1]).isalpha():
+                ended.append(chunk)
+                stems.append(stem)
+            else:
+                cut = self.cut(chunk[1:] if chunk[:1] == " " else " " + chunk)
+                parts = [x[1:] if x[:1] == " " and len(x) > 1 else " " + x for x in cut]
+                if parts == [chunk]:
+                    words.append(chunk)
+                else:
+                    pieces[chunk] = parts
+        marks = [" " + x for x in ENDS]
+        need = {x for parts in (stems, marks, *pieces.values()) for x in parts if x not in known}
         need.update(words)
-        self._merge(need.difference(known))
-        ends = {x: known[" " + x] for x in ENDS}
-        known.update([(x, known[x[:-1]] + ends[x[-1]]) for x in ended])
-        known.update([(x, b"".join([known[y] for y in parts])) for x, parts in pieces.items()])
+        self._merge(need)
+        if ended:
+            places = np.stack([self._places(stems), np.array([known[" " + x[-1]] for x in ended])], 1).ravel()
+            self._compose(ended, places, np.full(len(ended), 2))
+        if pieces:
+            places = self._places([x for parts in pieces.values() for x in parts])
+            self._compose(list(pieces), places, np.array([len(parts) for parts in pieces.values()]))
+
+    def _compose(self, chunks: list[str], places: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember chunks that are made of remembered pieces, so many for each."""
+        ids, lengths = self._ids(places)
+        ends = np.append(0, np.cumsum(lengths))[np.cumsum(sizes)]
+        self._remember(chunks, ids, np.diff(ends, prepend=0))
 
     def _merge(self, keys: set[str]) -> None:
-        """Let the library encode pieces that its cutter would leave whole, many in one call."""
-        for lines in (False, True):
-            ordered = iter([x for x in keys if ("\n" in x) == lines])
-            while group := list(islice(ordered, 10_000)):
-                texts = [x[1:] if x[:1] == " " else " " + x for x in group]
-                if lines:
-                    spelled = [x.encode().decode("latin-1").translate(self.letters) for x in texts]
-                    sizes, joined = np.cumsum([len(x) for x in spelled]), "\n".join(spelled)
-                else:
-                    raw = "\n".join(texts).encode()
-                    cuts = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), len(raw))
-                    sizes, joined = cuts - np.arange(len(cuts)), raw.decode("latin-1").translate(self.spaced)
-                ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-                stops = (np.searchsorted(np.cumsum(self.width[ids]), sizes, "right") * 4).tolist()
-                raw = ids.tobytes()
-                self.known.update(zip(group, [raw[a:b] for a, b in zip([0, *stops], stops)], strict=True))
+        """Let the library's model encode pieces that its cutter would leave whole."""
+        plain, lines = [x for x in keys if "\n" not in x], [x for x in keys if "\n" in x]
+        spaced = lambda group: [x[1:] if x[:1] == " " else " " + x for x in group]
+        for lo in range(0, len(plain), GROUP):
+            group = plain[lo:lo + GROUP]
+            spelled = "\n".join(spaced(group)).encode().decode("latin-1").translate(self.spaced)
+            self._encode(group, spelled.split("\n"))
+        self._encode(lines, [x.encode().decode("latin-1").translate(self.letters) for x in spaced(lines)])
+
+    def _encode(self, keys: list[str], spelled: list[str]) -> None:
+        found = [[token.id for token in x] for x in map(self.merge, spelled)]
+        ids = np.fromiter(chain.from_iterable(found), "<u4")
+        self._remember(keys, ids, np.fromiter(map(len, found), np.int64, len(found)))

@@ -107,6 +107,25 @@ def test_tokens_equal_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_remembered_as_arrays(monkeypatch):
+    """Each distinct word is merged once; a small memory that is emptied after each block changes no id."""
+    merged = []
+    texts = [prose(i, 200) + ", and\n\nthe 12,5 end." for i in range(40)]
+    plain = Tokenizer.from_file(PATH)
+    want = [plain.encode(x, add_special_tokens=False).ids for x in texts]
+    for size, remembered in ((10**6, 10**6), (500, 10**6), (500, 100), (500, 0)):
+        monkeypatch.setattr(tokens, "BLOCK", size)
+        monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+        known = tokens.Encoder(PATH)
+        merge = known.merge
+        known.merge = lambda x, merge=merge: merged.append(x) or merge(x)
+        merged.clear()
+        assert [np.frombuffer(x, "<u4").tolist() for x in known.encode(texts)] == want
+        assert len(known.starts) == len(known.known) + 1 and known.starts[-1] == len(known.ids)
+        if remembered == 10**6:
+            assert len(merged) == len(set(merged))
+
+
 def test_codes_round_trip_and_random_access():
     draw = np.random.default_rng(0)
     ids = np.concatenate([draw.integers(0, 50000, 3000), [0, 255, 256, 65535, 65536, 2**32 - 1]]).astype("<u4")
